@@ -37,15 +37,14 @@ def ring(spark: SparkSession, n_shards: int, vnodes: int, cells: int = CELLS) ->
     edges = spark.createDataFrame([(_signed(step * (i + 1) - 1 if i < cells - 1 else (1 << 64) - 1),) for i in range(cells)], "hi long")
     ends = edges.join(points, "hi", "full_outer")
     whole = Window.orderBy("hi")  # a bounded table: n_shards * vnodes + cells rows
-    first = points.agg(F.min_by("shard", "hi").alias("wrap"))
     return (
         ends.select(
             "hi",
             F.first("shard", ignorenulls=True).over(whole.rowsBetween(0, Window.unboundedFollowing)).alias("shard"),
             (F.lag("hi").over(whole) + 1).alias("lo"),
             (F.row_number().over(whole) - 1).alias("piece"),
+            F.first("shard", ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("wrap"),
         )
-        .join(F.broadcast(first))
         .select(
             F.col("piece").cast("long"), F.coalesce("lo", F.lit(-(1 << 63))).alias("lo"), "hi", F.coalesce("shard", "wrap").alias("shard"),
             _cell(F.col("hi"), cells).alias("cell"),
@@ -113,12 +112,8 @@ def _plan(spark: SparkSession, counts: DataFrame, n_shards: int, slack: float) -
     )
     # The ring is opened where the running excess is least: from there on, no walk passes the opening.
     flow = loads.withColumn("excess", F.sum(F.col("over") - F.col("spare")).over(upto))
-    opening = flow.agg(F.min_by("_unit", F.struct("excess", "_unit")).alias("opening"))
-    flow = (
-        flow.join(F.broadcast(opening))
-        .withColumn("turn", (F.col("_unit") <= F.col("opening")).cast("int"))
-        .drop("excess", "opening")
-    )
+    opening = F.min(F.struct("excess", "_unit")).over(Window.partitionBy())["_unit"]
+    flow = flow.withColumn("turn", (F.col("_unit") <= opening).cast("int")).drop("excess")
     around = Window.orderBy("turn", "_unit")
     till = around.rowsBetween(Window.unboundedPreceding, 0)
     flow = flow.withColumn("p", F.sum(F.col("over") - F.col("spare")).over(till))
