@@ -6,6 +6,7 @@ from .byte_bpe import op9_byte_bpe
 from .packing import op4_residual_packing
 from .quality_rules import OP3_SQL, op3_rule_ledger
 from .sharding import op1_ring_shards
+from .simhash import op6_simhash
 from .token_counts import op7_token_counts
 from .winnowing import op10_winnowing
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_ring_shards": op1_ring_shards,
     "op3_rule_ledger": op3_rule_ledger,
     "op4_residual_packing": op4_residual_packing,
+    "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_winnowing": op10_winnowing,
