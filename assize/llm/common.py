@@ -62,23 +62,27 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """64-bit polynomial hashes of any substring of a byte buffer, from prefix sums."""
+    """64-bit polynomial hashes of any substring of a byte buffer, from prefix sums.
 
-    _powers = np.ones(1, np.uint64)
+    The symbol at i weighs M**-i; times M**start, a substring's hash depends on its bytes alone."""
+
+    _powers = _inverse = np.ones(1, np.uint64)
 
     def __init__(self, data: np.ndarray):
         n = len(data) + 1
         if len(Rolling._powers) < n:
-            powers = np.full(max(n, 1 << 20), _MULTIPLIER, np.uint64)
-            powers[0] = 1
-            Rolling._powers = np.cumprod(powers, dtype=np.uint64)
+            size = max(n, 1 << 20)
+            for name, factor in (("_inverse", np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))), ("_powers", _MULTIPLIER)):
+                powers = np.full(size, factor, np.uint64)
+                powers[0] = 1
+                setattr(Rolling, name, np.cumprod(powers, dtype=np.uint64))
         self.back = Rolling._powers
         self.n = n
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum(_SYMBOLS[data] * self.back[n - 2 :: -1][: n - 1] if n > 1 else np.zeros(0, np.uint64), out=self.sums[1:])
+        np.cumsum(_SYMBOLS[data] * Rolling._inverse[: n - 1], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of data[start:end]. A symbol at i weighs M**(n-2-i); times M**start the place no longer counts."""
+        """Hashes of data[start:end]."""
         return mixed((self.sums[end] - self.sums[start]) * self.back[start])
 
     def windows(self, k: int) -> np.ndarray:

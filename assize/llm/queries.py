@@ -7,11 +7,13 @@ from .packing import op4_residual_packing
 from .quality_rules import OP3_SQL, op3_rule_ledger
 from .sharding import op1_ring_shards
 from .simhash import op6_simhash
+from .substring_dedup import op2_substring_dedup
 from .token_counts import op7_token_counts
 from .winnowing import op10_winnowing
 
 QUERIES = {
     "op1_ring_shards": op1_ring_shards,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_rule_ledger": op3_rule_ledger,
     "op4_residual_packing": op4_residual_packing,
     "op6_simhash": op6_simhash,
