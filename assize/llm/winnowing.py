@@ -43,8 +43,8 @@ def winnowed(text: Column, k: int = K, window: int = WINDOW) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard likeness of two fingerprints' hash sets; 1 for two empty ones."""
-    sets = F.struct(F.array_distinct(F.transform(a, lambda x: x["hash"])).alias("a"), F.array_distinct(F.transform(b, lambda x: x["hash"])).alias("b"))
+    """Jaccard likeness of two fingerprints' sets of hashes; 1 for two empty ones."""
+    sets = F.struct(F.array_distinct(a).alias("a"), F.array_distinct(b).alias("b"))
 
     def of(s: Column) -> Column:
         both = F.size(F.array_intersect(s["a"], s["b"]))
@@ -56,32 +56,42 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprint_text(marks: Column) -> Column:
     """The chosen hashes in order, 8 hexadecimal digits each."""
-    return F.array_join(F.transform(marks, lambda m: F.lpad(F.lower(F.hex(F.shiftrightunsigned(m["hash"], 32))), 8, "0")), "")
+    return F.array_join(F.transform(marks, lambda m: F.lpad(F.lower(F.hex(F.shiftrightunsigned(m, 32))), 8, "0")), "")
 
 
-def with_next(docs: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
-    """`docs` (id_col, carried...) with `next`: a struct of the carried columns of the next row by descending id (null ids
-    last, ties by the carried columns); after the last row comes the first.
+def with_next(docs: DataFrame, id_col: str, text_col: str, derived: dict) -> DataFrame:
+    """`docs` with `next_<column>` for text_col and each derived column, of the next row by descending id (null ids last,
+    ties by text); after the last row comes the first. derived: name to a function of the text column.
 
-    Ids are cut into cells of 2**CELL_BITS; inside a cell a window finds the next row. Only each cell's top row moves to
-    the cell above it, along a chain of cells that is itself cut in two levels, so no task holds all ids."""
+    Ids are cut into cells of 2**CELL_BITS; inside a cell a window finds the next row. Only each cell's top text moves to
+    the cell above it, along a chain of cells that is itself cut in two levels, so no task holds all ids. Texts are moved
+    once; what derives from them is computed before, but for the top texts after."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST))
-    rows = docs.select(id_col, *carried, key.alias("_k")).withColumn("_cell", F.shiftright("_k", CELL_BITS))
-    rank = F.struct("_k", *(F.col(c) for c in carried))
+    rows = docs.select(id_col, text_col, key.alias("_k")).withColumn("_cell", F.shiftright("_k", CELL_BITS))
+    rank = F.struct("_k", text_col)
     tops = rows.groupBy("_cell").agg(F.max(rank).alias("top"))
     ids = rows.groupBy("_cell").agg(F.lit(1).alias("one")).withColumn("_super", F.shiftright("_cell", SUPER_BITS))
     inner = Window.partitionBy("_super").orderBy("_cell")
-    supers = ids.groupBy("_super").agg(F.min("_cell").alias("low"), F.max("_cell").alias("high"))
+    supers = ids.groupBy("_super").agg(F.min("_cell").alias("low"))
     # One row for 2**(CELL_BITS + SUPER_BITS) ids: small enough for one window.
-    row = Window.orderBy("_super")
-    whole = Window.partitionBy()
-    supers = supers.select("_super", F.coalesce(F.lead("low").over(row), F.min("low").over(whole)).alias("after"))
+    supers = supers.select("_super", F.coalesce(F.lead("low").over(Window.orderBy("_super")), F.min("low").over(Window.partitionBy())).alias("after"))
     # The cell above each cell receives its top row; above the highest stands the lowest.
     chain = ids.join(supers, "_super").select("_cell", F.coalesce(F.lead("_cell").over(inner), F.col("after")).alias("to"))
-    arriving = tops.join(chain, "_cell").select(F.col("to").alias("_cell"), F.struct(*(F.col(f"top.{c}").alias(c) for c in carried)).alias("arrived"))
+    arriving = tops.join(chain, "_cell").select(F.col("to").alias("_cell"), F.col(f"top.{text_col}").alias("_arrived"))
+    carried = [text_col, *derived]
     here = Window.partitionBy("_cell").orderBy(rank.desc())
     following = F.lead(F.struct(*carried)).over(here)
-    return rows.withColumn("inside", following).join(arriving, "_cell", "left").select(id_col, *carried, F.coalesce("inside", "arrived").alias("next"))
+    joined = rows.withColumns({k: f(F.col(text_col)) for k, f in derived.items()}).withColumn("_inside", following).join(arriving, "_cell", "left")
+    inside = F.col("_inside").isNotNull()
+    return joined.select(
+        id_col, *carried, F.when(inside, F.col(f"_inside.{text_col}")).otherwise(F.col("_arrived")).alias(f"next_{text_col}"),
+        *(F.when(inside, F.col(f"_inside.{k}")).otherwise(f(F.col("_arrived"))).alias(f"next_{k}") for k, f in derived.items()),
+    )
+
+
+def hashes_of(text: Column) -> Column:
+    """The chosen hashes of a text in the order of their places."""
+    return F.transform(winnowed(text), lambda m: m["hash"])
 
 
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,10 +99,10 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next.text"), F.lit(1), cut))
-    rows = with_next(docs.withColumn("marks", winnowed(F.col("text"))), "doc_id", ["text", "marks"]).withColumn("edited", edited)
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "marks", winnowed(F.col("edited")).alias("edited_marks"), F.col("next.marks").alias("next_marks"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
+    rows = with_next(docs, "doc_id", "text", {"marks": hashes_of}).withColumn("edited", edited)
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "marks", hashes_of(F.col("edited")).alias("edited_marks"), "next_marks")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint_text(F.col("marks")).alias("fingerprint"), fingerprint_text(F.col("edited_marks")).alias("edited_fingerprint"),
-        likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"), likeness(F.col("marks"), F.col("next_marks")).alias("near_next"), F.size("marks").alias("n_marks"),
+        likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"), likeness(F.col("marks"), F.col("next_marks")).alias("near_next"), F.size("marks").cast("long").alias("n_marks"),
     )
