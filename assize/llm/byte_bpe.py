@@ -153,10 +153,9 @@ def _tasks(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = made("byte_bpe" + pattern, data.value, lambda d: ByteBpe(d, pattern, whole.value))
-        for whole in batches:
-            kinds = None
-            for at in range(0, whole.num_rows, slice_rows):
-                b = whole.slice(at, slice_rows)
+        for batch in batches:
+            for at in range(0, batch.num_rows, slice_rows):
+                b = batch.slice(at, slice_rows)
                 columns = list(zip(*row(bpe, b.column(1).to_pylist())))
                 kinds = [pa.binary() if isinstance(x[0], bytes) else pa.string() if isinstance(x[0], str) else pa.int64() for x in columns]
                 yield pa.record_batch([b.column(0), *(pa.array(x, k) for x, k in zip(columns, kinds))], ["id", *(o.split()[0] for o in outputs.split(", "))])
