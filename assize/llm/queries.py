@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .byte_bpe import op9_byte_bpe
 from .packing import op4_residual_packing
+from .perplexity import op8_perplexity
+from .preference import OP5_SQL, op5_preferences
 from .quality_rules import OP3_SQL, op3_rule_ledger
 from .sharding import op1_ring_shards
 from .simhash import op6_simhash
@@ -16,9 +18,11 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_rule_ledger": op3_rule_ledger,
     "op4_residual_packing": op4_residual_packing,
+    "op5_preferences": op5_preferences,
     "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
+    "op8_perplexity": op8_perplexity,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_winnowing": op10_winnowing,
 }
-ORACLE_SQL = {"op3_rule_ledger": OP3_SQL}
+ORACLE_SQL = {"op3_rule_ledger": OP3_SQL, "op5_preferences": OP5_SQL}
