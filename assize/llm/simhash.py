@@ -15,10 +15,10 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, let, shingle_hashes, table, words_of
 from .components import star_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -55,9 +55,10 @@ def _votes(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp long): the bits of each whole text's SimHash over its k-word shingles, A-Z lowered. Fewer words make one
-    shingle; a text without words, or null, has the fingerprint 0. Ids may be null or repeat. Nothing is shuffled."""
+def fingerprints(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
+    """(id_col, fp long): the bits of each whole text's SimHash over its k-word shingles, A-Z lowered; with `once`, equal
+    shingles of a text count once. Fewer words make one shingle; a text without words, or null, has the fingerprint 0. Ids
+    may be null or repeat. Nothing is shuffled."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,9 +74,11 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text
                     joined = b" ".join(words)
                     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
                     n = max(min(len(words), 1), len(words) - k + 1)
-                    starts = np.concatenate([[0], ends[: n - 1] + 1]) if n else []
-                    hashes += [xxh64_intdigest(joined[x:y], SEED) for x, y in zip(starts, ends[len(words) - n :].tolist() if n else [])] if n != 1 else [xxh64_intdigest(joined, SEED)]
-                    sizes.append(n)
+                    starts = np.concatenate([[0], ends[: n - 1] + 1]).tolist() if n else []
+                    found = [xxh64_intdigest(joined[x:y], SEED) for x, y in zip(starts, ends[len(words) - n :].tolist() if n else [])] if n != 1 else [xxh64_intdigest(joined, SEED)]
+                    found = list(set(found)) if once else found
+                    hashes += found
+                    sizes.append(len(found))
                 fp = _votes(np.array(hashes, np.uint64), np.array(sizes, np.int64))
                 yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
 
@@ -302,12 +305,12 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKE
     return _verified(rows.repartition(*keys).sortWithinPartitions(*keys), keys, radius).distinct()
 
 
-def near_duplicate_classes(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS, once: bool = False) -> DataFrame:
     """(id_col, fp, component_id) of every row: the smallest id that links of at most `radius` differing bits reach.
 
     Rows without words, null texts included, share the fingerprint 0. Null ids get a class like any other row and never
     name one, unless a class has no other id; repeated rows stay. An empty table gives an empty result."""
-    marked = durable(fingerprints(docs, k, id_col, text_col))
+    marked = durable(fingerprints(docs, k, id_col, text_col, once))
     distinct = durable(marked.groupBy("fp").agg(F.min(id_col).alias("least_id")))
     roots = star_components(hamming_links(distinct, radius, bucket_rows)).select(F.col("node").alias("fp"), "root")
     rooted = distinct.join(roots, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
@@ -316,6 +319,43 @@ def near_duplicate_classes(docs: DataFrame, k: int = SHINGLE, radius: int = RADI
     return marked.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, likeness: float = 0.8, k: int = 2, radius: int = 10) -> DataFrame:
+    """(id_col) of the rows to drop so that one of each group of near copies stays: a copy, or a text whose `words`-word
+    shingles have a Jaccard likeness of at least `likeness` to one of a smaller id that it is compared with.
+
+    Candidates are the classes of a SimHash over distinct k-word shingles with a wide radius: an edited word changes k of
+    those, so near copies stay within it. Each class is then verified on exact shingle sets in rounds of 1, 2, 4, ... leaders
+    until no member is left, so that every pair of a class that may matter is compared, and a class of copies needs one
+    round. Exact copies are settled by their hash first. Ids must be unique and not null. Texts without words are copies of
+    one another."""
+    c = F.col
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    rows = docs.select(c(id_col).alias("id"), F.coalesce(c(text_col).cast("string"), F.lit("")).alias("text"))
+    digests = durable(rows.select("id", F.sha2("text", 256).alias("h")))
+    first = digests.groupBy("h").agg(F.min("id").alias("first"))
+    copies = durable(digests.join(first, "h").where("id <> first").select("id"))
+    classes = near_duplicate_classes(rows, k, radius, "id", "text", once=True).join(copies, "id", "left_anti")
+    classes = durable(classes.select("id", c("component_id").alias("class")))
+    shared = classes.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
+    members = classes.join(shared, "class")
+    shingles = F.array_distinct(let(words_of(F.translate("text", lower.upper(), lower)), lambda w: F.when(F.size(w) >= words, shingle_hashes(w, words)).otherwise(F.array(F.xxhash64(w)))))
+    left = durable(rows.join(members, "id").select("class", "id", shingles.alias("s")))
+    dropped, leaders = copies, 1
+    while not left.isEmpty():
+        order = left.select("class", "id").withColumn("nth", F.row_number().over(Window.partitionBy("class").orderBy("id")))
+        heads = left.join(order.where(c("nth") <= leaders).select("id"), "id", "left_semi").select("class", c("id").alias("head"), c("s").alias("t"))
+        both = F.size(F.array_intersect("s", "t"))
+        like = both / (F.size("s") + F.size("t") - both)
+        met = left.join(heads, "class").where("head <> id")
+        result = durable(met.groupBy("class", "id").agg(F.max((c("head") < c("id")) & (like >= likeness)).alias("copy"), F.count("*").alias("heads")))
+        dropped = dropped.union(result.where("copy").select("id"))
+        # Heads are settled; what remains has been compared with them all.
+        rest = result.where("not copy").join(heads.select(c("head").alias("id")), "id", "left_anti").select("id")
+        left = durable(left.join(rest, "id", "left_semi"))
+        leaders *= 2
+    return dropped.select(c("id").alias(id_col)).distinct()
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     rows = near_duplicate_classes(table(spark, sf_dir, "documents"))

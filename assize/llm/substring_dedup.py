@@ -231,7 +231,7 @@ def _merge(length: int):
 # ---------------------------------------------------------------- the operator
 
 
-def _cut(length: int, mode: str):
+def _cut(length: int, mode: str, as_text: bool = False):
     """A mapInArrow function over (doc, sub, text, ats): the bytes of each segment, or what is left of the text."""
 
     def spans(ats: list[int]) -> list[list[int]]:
@@ -270,13 +270,13 @@ def _cut(length: int, mode: str):
                     kept.append(b"".join([*parts, t[at:]]))
                     removed.append(len(t) - len(kept[-1]))
                     runs.append(len(cut))
-                yield pa.record_batch([*(c for c, n in zip(b.columns, b.schema.names) if n not in ("text", "ats")), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], [*(n for n in b.schema.names if n not in ("text", "ats")), "kept", "n_removed", "n_spans"])
+                yield pa.record_batch([*(c for c, n in zip(b.columns, b.schema.names) if n not in ("text", "ats")), pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], [*(n for n in b.schema.names if n not in ("text", "ats")), "kept", "n_removed", "n_spans"])
 
     return {"pieces": pieces, "left": left}[mode]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with kept (binary: the UTF-8 bytes left), n_removed and n_spans.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """`docs` with kept (binary: the UTF-8 bytes left; with as_text a string, without the bytes of cut characters), n_removed and n_spans.
 
     A byte goes if a string of `length` bytes covers it that also starts earlier: in a smaller id, or in the same text.
     Texts are bytes, so what is left need not be UTF-8. Null texts count as empty. Ids are 0 or more; a null id comes
@@ -311,8 +311,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     found = built.groupBy("bucket").applyInPandas(_merge(length), "doc long, at long")
     gone = late.union(found).groupBy("doc", sub.alias("sub")).agg(F.collect_set("at").alias("ats"))
     rows = keyed.join(gone, ["doc", "sub"], "left").select(*(f"c{i}" for i in range(len(names))), "text", "ats")
-    schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)) + ", kept binary, n_removed long, n_spans long"
-    out = rows.mapInArrow(_cut(length, "left"), schema)
+    schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)) + f", kept {'string' if as_text else 'binary'}, n_removed long, n_spans long"
+    out = rows.mapInArrow(_cut(length, "left", as_text), schema)
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "kept", "n_removed", "n_spans")
 
 
