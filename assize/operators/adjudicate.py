@@ -243,7 +243,8 @@ def adjudicate_live(cases: DataFrame, rules: Rules, judge: Callable[[list[str]],
             spoken = judge_with(rows.where(asks).withColumn("prompt", prompt_of(rules, s, order)), judge).drop("prompt")
             rows = keep(silent.unionByName(spoken))
             verdict = parse_verdict(F.col("raw"))
-        rows = keep(rows.select(case, advance(rules, s, verdict).alias("state"))) if judge is not None else rows.select(case, advance(rules, s, verdict).alias("state"))
+        # Written each round: an unrolled plan would grow with the number of rounds.
+        rows = keep(rows.select(case, advance(rules, s, verdict).alias("state")))
         decided = rows.where(s["disposition"].isNotNull())
         done = decided if done is None else done.unionByName(decided)
         rows = rows.where(s["disposition"].isNull())
