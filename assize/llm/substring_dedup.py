@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -124,27 +125,50 @@ def rotations(symbols: np.ndarray) -> np.ndarray:
         step *= 2
 
 
-def before(symbols: np.ndarray, order: np.ndarray, stride: int) -> np.ndarray:
-    """The transform: for each rotation in order, the `stride` symbols before it as one number."""
-    out = np.zeros(len(order), np.uint64)
-    for i in range(stride):
-        out = (out << np.uint64(9)) | symbols[(order - stride + i) % len(symbols)].astype(np.uint64)
-    return out
+def transform_of(symbols: np.ndarray) -> np.ndarray:
+    """For each rotation in order the symbol before it."""
+    return symbols[rotations(symbols) - 1]
 
 
 def _build(group: pd.DataFrame) -> pd.DataFrame:
-    """One row for a shard: its transform, its order and its segments."""
+    """One row for a shard: its transform and its segments. The order itself need not travel: the transform has it."""
     texts = group["bytes"].tolist()
     symbols = np.append(np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + np.uint16(1), np.uint16(0))
-    order = rotations(symbols)
     row = {
-        "bucket": group["bucket"].iloc[0], "shard": group["shard"].iloc[0], "transform": packed(before(symbols, order, STRIDE)), "order": packed(order.astype(np.int32)),
+        "bucket": group["bucket"].iloc[0], "shard": group["shard"].iloc[0], "transform": packed(transform_of(symbols)),
         "sizes": packed(np.array([len(t) for t in texts], np.int32)), "doc": packed(group["doc"].to_numpy(np.int64)), "at": packed(group["at"].to_numpy(np.int64)),
     }
     return pd.DataFrame([row])
 
 
-_SHARD = "bucket long, shard int, transform binary, order binary, sizes binary, doc binary, at binary"
+_SHARD = "bucket long, shard int, transform binary, sizes binary, doc binary, at binary"
+
+
+def steps_back(transform: np.ndarray) -> np.ndarray:
+    """For each rotation the place, in the same order, of the rotation that starts one symbol earlier."""
+    out = np.empty(len(transform), np.int64)
+    out[np.argsort(transform, kind="stable")] = np.arange(len(transform))
+    return out
+
+
+def starts_of(transform: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Where each rotation starts: its steps back to the rotation that the end stands before, by pointer doubling."""
+    nxt, far = back.copy(), np.ones(len(back), np.int64)
+    first = int(np.flatnonzero(transform == 0)[0])
+    nxt[first], far[first] = first, 0
+    for _ in range(max(1, len(back)).bit_length()):
+        far += far[nxt]
+        nxt = nxt[nxt]
+    return far
+
+
+def before(transform: np.ndarray, back: np.ndarray, stride: int) -> np.ndarray:
+    """For each rotation the `stride` symbols before it as one number, the nearest in the lowest bits."""
+    out, at = np.zeros(len(transform), np.uint64), np.arange(len(transform))
+    for i in range(stride):
+        out |= transform[at].astype(np.uint64) << np.uint64(9 * i)
+        at = back[at]
+    return out
 
 
 # ---------------------------------------------------------------- merging
@@ -189,12 +213,13 @@ def _merge(length: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """Repeated strings of a bucket, as (doc, at)."""
         group = group.sort_values("shard")
-        transforms = [unpacked(x, np.uint64) for x in group["transform"]]
-        rotation, block = merged(transforms, length)
+        transforms = [unpacked(x, np.uint16) for x in group["transform"]]
+        backs = [steps_back(t) for t in transforms]
+        rotation, block = merged([before(t, b, STRIDE) for t, b in zip(transforms, backs)], length)
         # Where each rotation lies: its segment, and its offset there; -1 for the shards' ends.
         segment, offset, doc, at, base = [], [], [], [], 0
-        for _, r in group.iterrows():
-            order, sizes = unpacked(r["order"], np.int32), unpacked(r["sizes"], np.int32).astype(np.int64)
+        for t, b, (_, r) in zip(transforms, backs, group.iterrows()):
+            order, sizes = starts_of(t, b), unpacked(r["sizes"], np.int32).astype(np.int64)
             owner = np.append(np.repeat(np.arange(len(sizes)), sizes), -1)
             inside = np.append(np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes), 0)
             segment.append(np.where(owner[order] >= 0, owner[order] + base, -1))
@@ -246,11 +271,13 @@ def _cut(length: int, mode: str, as_text: bool = False):
         return out
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor().decompress
         for whole in batches:
             for lo in range(0, whole.num_rows, 200):
                 b = whole.slice(lo, 200)
                 doc, anchor, content, at, cut = [], [], [], [], []
-                for d, t, found in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), b.column("found").to_pylist()):
+                for d, z, found in zip(b.column("doc").to_pylist(), b.column("zipped").to_pylist(), b.column("found").to_pylist()):
+                    t = unzip(z)
                     for f in found:
                         start = (f["at"] >> 8) & 0x7FFFFFFF
                         for x, v in ((doc, d), (anchor, f["anchor"]), (content, f["content"]), (at, f["at"]), (cut, t[start : start + (f["at"] & 0xFF) + length - 1])):
@@ -258,19 +285,24 @@ def _cut(length: int, mode: str, as_text: bool = False):
                 yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(anchor, pa.int64()), pa.array(content, pa.int64()), pa.array(cut, pa.binary())], ["doc", "at", "anchor", "content", "bytes"])
 
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor().decompress
         for whole in batches:
             for lo in range(0, whole.num_rows, 200):
                 b = whole.slice(lo, 200)
-                kept, removed, runs = [], [], []
-                for t, ats in zip(b.column("text").to_pylist(), b.column("ats").to_pylist()):
-                    cut, at, parts = spans(ats or []), 0, []
+                texts, kept, removed, runs = [], [], [], []
+                for z, ats in zip(b.column("zipped").to_pylist(), b.column("ats").to_pylist()):
+                    texts.append(None if z is None else unzip(z))
+                    t, cut, at, parts = texts[-1] or b"", spans(ats or []), 0, []
                     for x, y in cut:
                         parts.append(t[at:x])
                         at = y
                     kept.append(b"".join([*parts, t[at:]]))
                     removed.append(len(t) - len(kept[-1]))
                     runs.append(len(cut))
-                yield pa.record_batch([*(c for c, n in zip(b.columns, b.schema.names) if n not in ("text", "ats")), pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], [*(n for n in b.schema.names if n not in ("text", "ats")), "kept", "n_removed", "n_spans"])
+                left_over = pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+                others = [(n, c) for n, c in zip(b.schema.names, b.columns) if n[0] == "c"]
+                made = [("text", pa.array(texts, pa.binary()).cast(pa.string())), ("kept", left_over), ("n_removed", pa.array(removed, pa.int64())), ("n_spans", pa.array(runs, pa.int64()))]
+                yield pa.record_batch([c for _, c in others + made], [n for n, _ in others + made])
 
     return {"pieces": pieces, "left": left}[mode]
 
@@ -288,32 +320,46 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     spark = docs.sparkSession
     docs = docs.drop("kept", "n_removed", "n_spans")
     names = docs.columns
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    keyed = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)), text.alias("text"))
-    identity = F.col(f"c{names.index(id_col)}").cast("long")
-    keyed = keyed.withColumns({"doc": F.coalesce(identity, F.shiftrightunsigned(F.xxhash64("text"), 1) + F.lit(-(1 << 63))), "sub": F.crc32("text").bitwiseAND(F.lit(0xFFFFFF))})
-    source = keyed.select("doc", "sub", "text")
-    met = segments(source, length, gram)
-    same = Window.partitionBy("anchor", "content").orderBy("doc", "at")
+    others = [n for n in names if n != text_col]
+    text = F.col(text_col).cast("string")
+    raw = F.coalesce(text, F.lit("")).cast("binary")
+    place = {
+        "doc": F.coalesce(F.col(id_col).cast("long"), F.shiftrightunsigned(F.xxhash64(raw), 1) + F.lit(-(1 << 63))),
+        "sub": F.crc32(raw).bitwiseAND(F.lit(0xFFFFFF)),
+    }
+    met = segments(docs.select(*(v.alias(k) for k, v in place.items()), raw.alias("text")), length, gram)
+    same, by_anchor = Window.partitionBy("anchor", "content").orderBy("doc", "at"), Window.partitionBy("anchor")
     ranked = met.repartition("anchor").withColumn("nth", F.rank().over(same))
-    by_anchor = Window.partitionBy("anchor")
     ranked = ranked.withColumns({"n": F.count("*").over(by_anchor), "low": F.min("content").over(by_anchor), "high": F.max("content").over(by_anchor)})
     repeated = durable(ranked.where("late or n > 1").where("late or nth > 1 or low < high").select(F.when(~F.col("late") & (F.col("nth") == 1), F.col("anchor")).alias("anchor"), "content", "doc", "at"))
     late = repeated.where("anchor is null").select("doc", "at")
     sub = F.shiftright("at", 39)
-    wanted = repeated.where("anchor is not null").groupBy("doc", sub.alias("sub")).agg(F.collect_set(F.struct("anchor", "content", "at")).alias("found"))
-    cut = source.join(wanted, ["doc", "sub"]).mapInArrow(_cut(length, "pieces"), "doc long, at long, anchor long, content long, bytes binary")
-    cut = durable(cut)
-    total = cut.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    firsts = repeated.where("anchor is not null")
+    total = firsts.agg(F.sum(F.col("at").bitwiseAND(F.lit(0xFF)) + (length - 1))).first()[0] or 0
     buckets = max(1, -(-total // (SHARD_BYTES * SHARDS)))
+    wanted = firsts.groupBy("doc", sub.alias("sub")).agg(F.collect_set(F.struct("anchor", "content", "at")).alias("found"))
+    # Texts travel compressed. Both joins below read the same columns by the same keys, so that one shuffle may serve both.
+    held = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(others)), *(v.alias(k) for k, v in place.items()), text.alias("text"))
+    kinds = "".join(f"c{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(others))
+    zipped = held.mapInArrow(_zip, f"{kinds}doc long, sub long, zipped binary")
+    cut = zipped.join(wanted, ["doc", "sub"]).mapInArrow(_cut(length, "pieces"), "doc long, at long, anchor long, content long, bytes binary")
     dealt = cut.select(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"), F.pmod(F.xxhash64("content"), F.lit(SHARDS)).cast("int").alias("shard"), "doc", "at", "bytes")
     built = dealt.groupBy("bucket", "shard").applyInPandas(_build, _SHARD)
     found = built.groupBy("bucket").applyInPandas(_merge(length), "doc long, at long")
     gone = late.union(found).groupBy("doc", sub.alias("sub")).agg(F.collect_set("at").alias("ats"))
-    rows = keyed.join(gone, ["doc", "sub"], "left").select(*(f"c{i}" for i in range(len(names))), "text", "ats")
-    schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)) + f", kept {'string' if as_text else 'binary'}, n_removed long, n_spans long"
-    out = rows.mapInArrow(_cut(length, "left", as_text), schema)
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "kept", "n_removed", "n_spans")
+    out = zipped.join(gone, ["doc", "sub"], "left").mapInArrow(_cut(length, "left", as_text), f"{kinds}text string, kept {'string' if as_text else 'binary'}, n_removed long, n_spans long")
+    back = {c: F.col(f"c{i}") for i, c in enumerate(others)} | {text_col: F.col("text")}
+    return out.select(*(back[c].alias(c) for c in names), "kept", "n_removed", "n_spans")
+
+
+def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column's texts, compressed one by one."""
+    shrink = zstandard.ZstdCompressor(level=3).compress
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 500):
+            b = whole.slice(lo, 500)
+            texts = [None if t is None else shrink(t.encode()) for t in b.column("text").to_pylist()]
+            yield pa.record_batch([*b.columns[:-1], pa.array(texts, pa.binary())], [*b.schema.names[:-1], "zipped"])
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
