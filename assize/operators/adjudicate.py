@@ -95,7 +95,7 @@ def overridden(rules: Rules, step: Column, verdict: Column, sources: Column) ->
             "fallback_note": F.when(short, F.concat(F.lit("Evidence insufficient: "), f["why"])).otherwise(verdict["fallback_note"]),
         }
         names = ("finding", "refuted", "confidence", "blocking", "blocking_kind", "evidence_refs", "findings", "reasoning", "details_md", "fallback_note", "tier", "refuted_coerced")
-        return F.struct(*((new.get(n, verdict[n])).alias(n) for n in names)).cast(VERDICT)
+        return F.struct(*((new.get(n, verdict[n])).alias(n) for n in names))
 
     return let(facts, made)
 
@@ -113,7 +113,8 @@ def opened(rules: Rules, data: Column) -> Column:
 
 def _with(state: Column, **new: Column) -> Column:
     names = ("step", "round", "calls", "last", "run", "data", "sources", "disposition", "reason", "history", "verdicts", "blocking_approved")
-    return F.struct(*(new.get(n, state[n]).alias(n) for n in names)).cast(STATE)
+    # Without a cast: it would copy all verdicts so far in every round.
+    return F.struct(*(new.get(n, state[n]).alias(n) for n in names))
 
 
 def advance(rules: Rules, state: Column, verdict: Column) -> Column:
