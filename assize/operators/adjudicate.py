@@ -170,11 +170,29 @@ def closed(rules: Rules, rows: DataFrame, case: str) -> DataFrame:
     )
 
 
-def adjudicate(cases: DataFrame, responses: DataFrame, rules: Rules, case: str = "case_id") -> DataFrame:
+def with_case_ids(cases: DataFrame, data: str = "data", case: str = "case_id") -> DataFrame:
+    """`cases` with an id of 12 hexadecimal digits from their data, for cases without a key of their own. Unlike a random
+    id it is the same whenever a task runs again; equal data have equal ids."""
+    entries = F.sort_array(F.map_entries(F.col(data)))
+    return cases.withColumn(case, F.substring(F.sha2(F.coalesce(F.to_json(entries), F.lit("")), 256), 1, 12))
+
+
+def unheard(cases: DataFrame, case: str = "case_id") -> DataFrame:
+    """The results of cases for which no procedure is defined: rejected, before any round."""
+    none = F.array().cast(f"array<{VERDICT}>")
+    return cases.select(
+        case, F.lit("rejected").alias("final_disposition"), F.lit("No procedure defined").alias("reason"), F.lit(0).alias("round_count"), F.lit(0).alias("n_verdicts"),
+        F.array().cast("array<string>").alias("step_history"), none.alias("verdicts"), F.lit(False).alias("blocking_approved"),
+    )
+
+
+def adjudicate(cases: DataFrame, responses: DataFrame, rules: Rules | None, case: str = "case_id") -> DataFrame:
     """Results of `cases` (case, data map<string,string>) under scripted `responses` (case, call_idx, raw): the k-th call of
     a case gets its k-th response in the order of call_idx, then the default response.
 
     Texts are parsed where they lie; then a case's verdicts meet once, and the rest is a fold in the row."""
+    if rules is None:
+        return unheard(cases, case)
     prepare(cases.sparkSession)
     spoken = responses.select(case, "call_idx", parse_verdict(F.col("raw")).alias("v"))
     heard = spoken.groupBy(case).agg(F.transform(F.sort_array(F.collect_list(F.struct("call_idx", "v"))), lambda x: x["v"]).alias("_said"))

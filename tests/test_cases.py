@@ -3,8 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from assize.operators.adjudicate import Rules, Statute, adjudicate, adjudicate_live, opened, prompt_of
+from assize.operators.adjudicate import Rules, Statute, adjudicate, adjudicate_live, opened, prompt_of, with_case_ids
 from assize.operators.procedure import CODE, JUDGMENT, Procedure, Step, set_key
+from assize.sources.judges import process_judge, scripted_judge
 
 MODERATION = Procedure(
     "m",
@@ -121,3 +122,16 @@ def test_prompt(spark):
     assert "## OBJECTIVE\n(no objective specified)" in short and "PRIOR GAPS" not in short
     assert "### hate: no hate\nRequired evidence: content\nViolations to check:\n  - slur (critical): slurs\nDefault to reject: True\n\n## RULES" in short
     assert short.endswith("Refuted\nNot Refuted")
+
+
+def test_no_procedure_and_no_ids(spark):
+    cases = with_case_ids(spark.createDataFrame([({"a": "1", "b": "2"},), ({"b": "2", "a": "1"},), ({},)], "data map<string,string>"))
+    rows = adjudicate(cases, None, None).collect()
+    assert {(r.final_disposition, r.reason, r.round_count) for r in rows} == {("rejected", "No procedure defined", 0)}
+    ids = [r.case_id for r in rows]
+    assert ids[0] == ids[1] != ids[2] and all(len(i) == 12 for i in ids)
+
+
+def test_judges():
+    assert process_judge(["cat"])([" Refuted\n", "x"]) == ["Refuted", "x"]
+    assert scripted_judge({"a": "Refuted"}, "Not Refuted")(["a", "b"]) == ["Refuted", "Not Refuted"]
