@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assize.llm.common import small_batches
 from assize.llm.packing import pack, token_pieces
 from assize.llm.perplexity import classify
 from assize.llm.quality_rules import CURRENT, POLICIES, ledger, verdict
@@ -32,6 +33,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity lies within their language's threshold."""
+    small_batches(spark)
     keyed = docs.select(*COLUMNS).withColumn("key", _key())
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumnRenamed("doc_id", "key")
     rejected = classify(keyed, labels, id_col="key").where("not kept").select("key").distinct()
@@ -39,7 +41,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest id. Rows repeated in full are one row."""
+    """One document of each group of near copies. Rows repeated in full are one row."""
+    small_batches(spark)
     keyed = docs.select(*COLUMNS).withColumn("key", _key())
     repeated = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     if not repeated.isEmpty():
@@ -50,12 +53,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 100 bytes or more that an earlier place has; a text may end up empty."""
+    small_batches(spark)
     rows = remove_repeats(docs.select(*COLUMNS), as_text=True)
     return rows.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of at most 4096 tokens."""
+    small_batches(spark)
     import public_tokenizers
 
     pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
