@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, mixed, table
+from .common import Rolling, lean, mixed, table
 from .pretokens import Memory, compiled, made, pieces, shipped
 
 
@@ -160,7 +160,7 @@ def _tasks(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str, tex
                 kinds = [pa.binary() if isinstance(x[0], bytes) else pa.string() if isinstance(x[0], str) else pa.int64() for x in columns]
                 yield pa.record_batch([b.column(0), *(pa.array(x, k) for x, k in zip(columns, kinds))], ["id", *(o.split()[0] for o in outputs.split(", "))])
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
 def encode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", slice_rows: int = 500) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -15,7 +17,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of so many rows: a Python task holds one batch of texts at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +39,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a table in the same shared folder: columnar and compressed, for what has many rows."""
+    spark = df.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="assize-written-")).as_uri()
+    at = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -79,7 +96,9 @@ class Rolling:
         self.back = Rolling._powers
         self.n = n
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum(_SYMBOLS[data] * Rolling._inverse[: n - 1], out=self.sums[1:])
+        weighed = _SYMBOLS[data]
+        weighed *= Rolling._inverse[: n - 1]
+        np.cumsum(weighed, out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of data[start:end]."""
@@ -105,6 +124,32 @@ def chunks(columns: Iterable[tuple], size: int) -> Iterator[list[tuple]]:
         yield held
 
 
+def lean(run):
+    """The task function `run`, which gives its memory back at the end of a partition: a Python worker outlives its tasks,
+    and what one stage has freed but still holds would count against the next."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            Rolling._powers = Rolling._inverse = np.ones(1, np.uint64)
+            release()
+
+    return inner
+
+
+def release() -> None:
+    import ctypes
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def packed(a: np.ndarray) -> bytes:
     """Bytes of an array, its byte planes apart, compressed: sorted or small numbers take little."""
     import zstandard

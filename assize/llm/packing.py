@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, lean, table
 from .pretokens import Memory, made, shipped
 
 CAPACITY, END_ID = 4096, 1
@@ -33,7 +33,7 @@ class WordTokenizer:
         self.words = Memory()
 
     def of_library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def of_words(self, new: list[bytes]) -> list[bytes]:
         # A full stop or comma after a letter is a pre-token of its own.
@@ -77,7 +77,7 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY
                 columns = [b.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.record_batch(columns + [pa.array(ids, pa.binary())] * with_ids, names)
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

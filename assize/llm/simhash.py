@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, let, shingle_hashes, table, words_of
+from .common import durable, lean, let, shingle_hashes, table, words_of
 from .components import star_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text
                 fp = _votes(np.array(hashes, np.uint64), np.array(sizes, np.int64))
                 yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
 
-    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), f"id {docs.schema[id_col].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
 
 
 # ---------------------------------------------------------------- the plan: bits, parts, thresholds
@@ -321,13 +321,14 @@ def near_duplicate_classes(docs: DataFrame, k: int = SHINGLE, radius: int = RADI
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, likeness: float = 0.8, k: int = 2, radius: int = 10) -> DataFrame:
     """(id_col) of the rows to drop so that one of each group of near copies stays: a copy, or a text whose `words`-word
-    shingles have a Jaccard likeness of at least `likeness` to one of a smaller id that it is compared with.
+    shingles have a Jaccard likeness of at least `likeness` to one that leads it.
 
     Candidates are the classes of a SimHash over distinct k-word shingles with a wide radius: an edited word changes k of
     those, so near copies stay within it. Each class is then verified on exact shingle sets in rounds of 1, 2, 4, ... leaders
-    until no member is left, so that every pair of a class that may matter is compared, and a class of copies needs one
-    round. Exact copies are settled by their hash first. Ids must be unique and not null. Texts without words are copies of
-    one another."""
+    until no member is left, so that every pair of a class that may matter is compared. Leaders go from the middle of a class
+    outwards (by distance to the majority of its bits): what all others were edited from settles a class in one round.
+    Exact copies are settled by their hash first, the smallest id stays. Ids must be unique and not null. Texts without
+    words are copies of one another."""
     c = F.col
     lower = "abcdefghijklmnopqrstuvwxyz"
     rows = docs.select(c(id_col).alias("id"), F.coalesce(c(text_col).cast("string"), F.lit("")).alias("text"))
@@ -335,19 +336,24 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = digests.groupBy("h").agg(F.min("id").alias("first"))
     copies = durable(digests.join(first, "h").where("id <> first").select("id"))
     classes = near_duplicate_classes(rows, k, radius, "id", "text", once=True).join(copies, "id", "left_anti")
-    classes = durable(classes.select("id", c("component_id").alias("class")))
-    shared = classes.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
-    members = classes.join(shared, "class")
+    classes = durable(classes.select("id", "fp", c("component_id").alias("class")))
+    bit = lambda i: F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")
+    held = classes.groupBy("class").agg(F.count("*").alias("n"), *(F.sum((c("fp").bitwiseAND(bit(i)) != 0).cast("long")).alias(f"b{i}") for i in range(64))).where("n > 1")
+    middle = F.lit(0).cast("long")
+    for i in range(64):
+        middle = middle.bitwiseOR(F.when(2 * c(f"b{i}") > c("n"), bit(i)).otherwise(F.lit(0).cast("long")))
+    shared = durable(held.select("class", middle.alias("middle")))
+    members = classes.join(shared, "class").select("class", "id", F.bit_count(c("fp").bitwiseXOR(c("middle"))).alias("d"))
     shingles = F.array_distinct(let(words_of(F.translate("text", lower.upper(), lower)), lambda w: F.when(F.size(w) >= words, shingle_hashes(w, words)).otherwise(F.array(F.xxhash64(w)))))
-    left = durable(rows.join(members, "id").select("class", "id", shingles.alias("s")))
+    left = durable(rows.join(members, "id").select("class", "id", "d", shingles.alias("s")))
     dropped, leaders = copies, 1
     while not left.isEmpty():
-        order = left.select("class", "id").withColumn("nth", F.row_number().over(Window.partitionBy("class").orderBy("id")))
-        heads = left.join(order.where(c("nth") <= leaders).select("id"), "id", "left_semi").select("class", c("id").alias("head"), c("s").alias("t"))
+        order = left.select("class", "id", "d").withColumn("nth", F.row_number().over(Window.partitionBy("class").orderBy("d", "id")))
+        heads = left.join(order.where(c("nth") <= leaders).select("id"), "id", "left_semi").select("class", c("id").alias("head"), c("d").alias("e"), c("s").alias("t"))
         both = F.size(F.array_intersect("s", "t"))
         like = both / (F.size("s") + F.size("t") - both)
         met = left.join(heads, "class").where("head <> id")
-        result = durable(met.groupBy("class", "id").agg(F.max((c("head") < c("id")) & (like >= likeness)).alias("copy"), F.count("*").alias("heads")))
+        result = durable(met.groupBy("class", "id").agg(F.max((F.struct("e", "head") < F.struct("d", "id")) & (like >= likeness)).alias("copy"), F.count("*").alias("heads")))
         dropped = dropped.union(result.where("copy").select("id"))
         # Heads are settled; what remains has been compared with them all.
         rest = result.where("not copy").join(heads.select(c("head").alias("id")), "id", "left_anti").select("id")

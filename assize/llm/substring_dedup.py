@@ -20,11 +20,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, chunks, durable, mixed, packed, table, unpacked
+from .common import Rolling, chunks, durable, lean, mixed, packed, table, unpacked
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text that a task hashes at once, of segments in one shard, and shards in one bucket.
-CHUNK_BYTES, SHARD_BYTES, SHARDS = 1 << 21, 1 << 18, 4
+CHUNK_BYTES, SHARD_BYTES, SHARDS = 1 << 20, 1 << 18, 4
 STRIDE = 4
 
 
@@ -101,7 +101,7 @@ def segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 content = np.where(late, np.uint64(0), content)
                 yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(d), pa.array(at), pa.array(late)], ["anchor", "content", "doc", "at", "late"])
 
-    return docs.mapInArrow(run, "anchor long, content long, doc long, at long, late boolean")
+    return docs.mapInArrow(lean(run), "anchor long, content long, doc long, at long, late boolean")
 
 
 # ---------------------------------------------------------------- a shard's transform
@@ -341,13 +341,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     # Texts travel compressed. Both joins below read the same columns by the same keys, so that one shuffle may serve both.
     held = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(others)), *(v.alias(k) for k, v in place.items()), text.alias("text"))
     kinds = "".join(f"c{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(others))
-    zipped = held.mapInArrow(_zip, f"{kinds}doc long, sub long, zipped binary")
-    cut = zipped.join(wanted, ["doc", "sub"]).mapInArrow(_cut(length, "pieces"), "doc long, at long, anchor long, content long, bytes binary")
+    zipped = held.mapInArrow(lean(_zip), f"{kinds}doc long, sub long, zipped binary")
+    cut = zipped.join(wanted, ["doc", "sub"]).mapInArrow(lean(_cut(length, "pieces")), "doc long, at long, anchor long, content long, bytes binary")
     dealt = cut.select(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"), F.pmod(F.xxhash64("content"), F.lit(SHARDS)).cast("int").alias("shard"), "doc", "at", "bytes")
     built = dealt.groupBy("bucket", "shard").applyInPandas(_build, _SHARD)
     found = built.groupBy("bucket").applyInPandas(_merge(length), "doc long, at long")
     gone = late.union(found).groupBy("doc", sub.alias("sub")).agg(F.collect_set("at").alias("ats"))
-    out = zipped.join(gone, ["doc", "sub"], "left").mapInArrow(_cut(length, "left", as_text), f"{kinds}text string, kept {'string' if as_text else 'binary'}, n_removed long, n_spans long")
+    out = zipped.join(gone, ["doc", "sub"], "left").mapInArrow(lean(_cut(length, "left", as_text)), f"{kinds}text string, kept {'string' if as_text else 'binary'}, n_removed long, n_spans long")
     back = {c: F.col(f"c{i}") for i, c in enumerate(others)} | {text_col: F.col("text")}
     return out.select(*(back[c].alias(c) for c in names), "kept", "n_removed", "n_spans")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 from .pretokens import Memory, compiled, made, pieces, shipped
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -129,7 +129,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
                 n = counter.of_texts(b.column(2).to_pylist())
                 yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
-    return rows.mapInArrow(run, f"id {id_type}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), f"id {id_type}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
