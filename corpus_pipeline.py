@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over `documents`, each written as Parquet and reread as the next one's input.
 
 Rows keep the columns of documents (doc_id, text, lang, source, n_chars) up to the last stage. Rows are told apart by
-doc_id; those with a null doc_id by their text.
+doc_id and a hash of all columns: different rows may share an id, and only rows repeated in full are one.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _key() -> Column:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return F.coalesce(F.col("doc_id").cast("long"), -F.shiftrightunsigned(F.xxhash64(text), 1) - 1)
+    """The id, and 64 bits of the whole row; a null id, which labels never name, comes before all others."""
+    whole = F.xxhash64(*(x for c in COLUMNS for x in (F.col(c), F.col(c).isNull())))
+    return F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), whole.alias("row"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +36,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents whose perplexity lies within their language's threshold."""
     small_batches(spark)
     keyed = docs.select(*COLUMNS).withColumn("key", _key())
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumnRenamed("doc_id", "key")
-    rejected = classify(keyed, labels, id_col="key").where("not kept").select("key").distinct()
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rejected = classify(keyed, labels, id_col="key", labelled="key.id", label_col="doc_id").where("not kept").select("key").distinct()
     return keyed.join(rejected, "key", "left_anti").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies. Rows repeated in full are one row."""
+    """One document of each group of near copies. Rows repeated in full, in all columns, are one row."""
     small_batches(spark)
     keyed = docs.select(*COLUMNS).withColumn("key", _key())
     repeated = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")

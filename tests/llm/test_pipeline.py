@@ -82,6 +82,21 @@ def test_run(spark, corpus, stages):
     assert sorted((str(r.doc_id), r.piece, r.length, r.ids_crc32) for r in rows) == sorted((str(r.doc_id), r.piece, r.length, r.ids_crc32) for r in stages[5])
 
 
+def test_rows_that_share_an_id_are_told_apart(spark, tmp_path):
+    rng = random.Random(13)
+    good = lambda: " ".join(rng.choice("the of and sat ran cat dog bird tree house near under over".split()) for _ in range(40))
+    rows = [(i, good(), "en", "s", 1) for i in range(400)]
+    junk, other = " ".join("qzx##!%d" % i for i in range(60)), good()
+    rows += [(7, junk, "en", "s", 1), (8, other, "en", "s", 1), (8, other, "en", "s", 1), (8, other, None, "s", 1), (None, good(), "en", "s", 1), (None, good(), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 400) if i != 7], "doc_id bigint, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    kept = [tuple(r) for r in corpus_pipeline.quality_classifier(spark, docs, f"file://{tmp_path}").collect()]
+    assert rows[400] not in kept and rows[7] in kept
+    # Copies of one text under an id leave one row; another text under the same id stays.
+    left = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, f"file://{tmp_path}").collect()]
+    assert {r[1] for r in left} == {r[1] for r in rows} and len(left) == len({r[1] for r in rows})
+
+
 def test_empty_corpus(spark, tmp_path):
     for name, schema in (("documents", SCHEMA), ("labels", "doc_id bigint, quality int, toxic int")):
         spark.createDataFrame([], schema).write.parquet(f"file://{tmp_path}/{name}.parquet")
