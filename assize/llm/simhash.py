@@ -325,7 +325,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Candidates are the classes of a SimHash over distinct k-word shingles with a wide radius: an edited word changes k of
     those, so near copies stay within it. Each class is then verified on exact shingle sets in rounds of 1, 2, 4, ... leaders
-    until no member is left, so that every pair of a class that may matter is compared. Leaders go from the middle of a class
+    until no member is left, so that every pair of a class that may matter is compared. Only a leader that stays drops others:
+    one that is like an earlier leader waits until it is known whether that one stays. Leaders go from the middle of a class
     outwards (by distance to the majority of its bits): what all others were edited from settles a class in one round.
     Exact copies are settled by their hash first, the smallest id stays. Ids must be unique and not null. Texts without
     words are copies of one another."""
@@ -352,12 +353,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         heads = left.join(order.where(c("nth") <= leaders).select("id"), "id", "left_semi").select("class", c("id").alias("head"), c("d").alias("e"), c("s").alias("t"))
         both = F.size(F.array_intersect("s", "t"))
         like = both / (F.size("s") + F.size("t") - both)
-        met = left.join(heads, "class").where("head <> id")
-        result = durable(met.groupBy("class", "id").agg(F.max((F.struct("e", "head") < F.struct("d", "id")) & (like >= likeness)).alias("copy"), F.count("*").alias("heads")))
-        dropped = dropped.union(result.where("copy").select("id"))
-        # Heads are settled; what remains has been compared with them all.
-        rest = result.where("not copy").join(heads.select(c("head").alias("id")), "id", "left_anti").select("id")
-        left = durable(left.join(rest, "id", "left_semi"))
+        met = left.join(heads, "class").where(F.struct("e", "head") < F.struct("d", "id"))
+        pairs = durable(met.where(like >= likeness).select("id", "head"))
+        # A leader like no earlier one stays, and has been compared with all that remain.
+        stay = durable(heads.select(c("head").alias("id")).join(pairs.select("id").distinct(), "id", "left_anti"))
+        gone = durable(pairs.join(stay.select(c("id").alias("head")), "head", "left_semi").select("id").distinct())
+        dropped = dropped.union(gone)
+        left = durable(left.join(stay.union(gone), "id", "left_anti"))
         leaders *= 2
     return dropped.select(c("id").alias(id_col)).distinct()
 

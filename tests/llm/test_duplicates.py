@@ -109,6 +109,24 @@ def test_near_copies_are_dropped_and_others_stay(spark):
     assert simhash.near_copies(docs.limit(0)).count() == 0
 
 
+def test_only_a_kept_text_drops_others(spark):
+    rng = random.Random(10)
+    rows = []
+    for _ in range(12):
+        # A chain: neighbours are alike, those two steps apart are not.
+        w = [f"w{rng.randrange(400)}" for _ in range(150)]
+        for step in range(8):
+            rows.append(" ".join(w))
+            for j in range(3):
+                w[10 + 18 * step % 130 + 6 * j] = f"e{step}{j}"
+    rng.shuffle(rows)
+    gone = {r.doc_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(3)).collect()}
+    sets = [shingles(t) for t in rows]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    kept = [i for i in range(len(rows)) if i not in gone]
+    assert gone and all(any(like(g, k) >= 0.8 for k in kept) for g in gone)
+
+
 # ---------------------------------------------------------------- repeated strings
 
 
