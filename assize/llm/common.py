@@ -27,25 +27,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder the cluster names in spark.checkpoint.dir.
-
-    Only where that setting is missing (tests, a laptop) a folder of this machine is used."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir. Where that is not set, a local session gets one of this machine;
+    on a cluster executors would not see it, so that is an error."""
     context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = Path(tempfile.mkdtemp(prefix="assize-")).as_uri()
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or Path(tempfile.mkdtemp(prefix="assize-checkpoint-")).as_uri())
+        context.setCheckpointDir(named)
+    return named
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a table in the same shared folder: columnar and compressed, for what has many rows."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="assize-written-")).as_uri()
-    at = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return Table(df).read()
+
+
+class Table:
+    """A table in the shared folder that can be dropped once nothing reads it any more."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.path = f"{shared_folder(self.spark).rstrip('/')}/{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        context = self.spark.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

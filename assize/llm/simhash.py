@@ -10,7 +10,8 @@ as a spanning forest of its links, however many pairs it holds.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from hashlib import blake2b
+from itertools import chain, combinations
 from math import ceil, comb
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, lean, let, shingle_hashes, table, words_of
+from .common import Rolling, Table, chunks, durable, lean, mixed, table, written
 from .components import star_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -32,33 +33,35 @@ PROBE_COST, PAIR_COST = 1.0, 0.002
 # ---------------------------------------------------------------- fingerprints
 
 
+#: For each byte its eight bits as eight counters of one byte each.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+
+
 def _votes(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """One fingerprint for each run of hashes: a bit is 1 if over half of them have it."""
+    """One fingerprint for each run of hashes: a bit is 1 if over half of them have it.
+
+    Bits are counted in byte-wide lanes over pieces of at most 255 hashes, then by run."""
     out = np.zeros(len(sizes), np.uint64)
     full = np.flatnonzero(sizes)
-    ends = np.cumsum(sizes)
+    if not len(full):
+        return out
+    pieces = -(-sizes[full] // 255)
+    first = np.cumsum(pieces) - pieces
+    starts = np.repeat(np.cumsum(sizes[full]) - sizes[full], pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+    octets = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+    ones = np.empty((len(full), 64), np.int64)
+    for i in range(8):
+        lanes = np.add.reduceat(_LANES[octets[:, i]], starts).view(np.uint8).reshape(-1, 8)
+        ones[:, 8 * i : 8 * i + 8] = np.add.reduceat(lanes, first, axis=0, dtype=np.int64)
     weights = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
-    at = 0
-    while at < len(full):  # about 64k hashes at a time
-        upto = max(at + 1, int(np.searchsorted(ends[full], ends[full[at]] - sizes[full[at]] + 65536, side="right")))
-        runs = full[at:upto]
-        first, last = int(ends[runs[0]] - sizes[runs[0]]), int(ends[runs[-1]])
-        ones = np.zeros((len(runs), 64), np.int64)
-        for lo in range(first, last, 1 << 20):  # one very long text
-            hi = min(last, lo + (1 << 20))
-            bits = np.unpackbits(hashes[lo:hi].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            starts = np.maximum(ends[runs] - sizes[runs], lo) - lo
-            inside = (starts < hi - lo) & (ends[runs] > lo)
-            ones[inside] += np.add.reduceat(bits, starts[inside], axis=0, dtype=np.int64)
-        out[runs] = ((2 * ones > sizes[runs][:, None]) * weights).sum(axis=1, dtype=np.uint64)
-        at = upto
+    out[full] = ((2 * ones > sizes[full][:, None]) * weights).sum(axis=1, dtype=np.uint64)
     return out
 
 
-def fingerprints(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
-    """(id_col, fp long): the bits of each whole text's SimHash over its k-word shingles, A-Z lowered; with `once`, equal
-    shingles of a text count once. Fewer words make one shingle; a text without words, or null, has the fingerprint 0. Ids
-    may be null or repeat. Nothing is shuffled."""
+def fingerprints(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, fp long): the bits of each whole text's SimHash over its k-word shingles, repeats included, A-Z lowered.
+    Fewer words make one shingle; a text without words, or null, has the fingerprint 0. Ids may be null or repeat. Nothing
+    is shuffled."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +79,6 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text
                     n = max(min(len(words), 1), len(words) - k + 1)
                     starts = np.concatenate([[0], ends[: n - 1] + 1]).tolist() if n else []
                     found = [xxh64_intdigest(joined[x:y], SEED) for x, y in zip(starts, ends[len(words) - n :].tolist() if n else [])] if n != 1 else [xxh64_intdigest(joined, SEED)]
-                    found = list(set(found)) if once else found
                     hashes += found
                     sizes.append(len(found))
                 fp = _votes(np.array(hashes, np.uint64), np.array(sizes, np.int64))
@@ -305,12 +307,13 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKE
     return _verified(rows.repartition(*keys).sortWithinPartitions(*keys), keys, radius).distinct()
 
 
-def near_duplicate_classes(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS, once: bool = False) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(id_col, fp, component_id) of every row: the smallest id that links of at most `radius` differing bits reach.
 
     Rows without words, null texts included, share the fingerprint 0. Null ids get a class like any other row and never
-    name one, unless a class has no other id; repeated rows stay. An empty table gives an empty result."""
-    marked = durable(fingerprints(docs, k, id_col, text_col, once))
+    name one, unless a class has no other id; repeated rows stay. All other columns are left out, whatever their names. An
+    empty table gives an empty result."""
+    marked = durable(fingerprints(docs, k, id_col, text_col))
     distinct = durable(marked.groupBy("fp").agg(F.min(id_col).alias("least_id")))
     roots = star_components(hamming_links(distinct, radius, bucket_rows)).select(F.col("node").alias("fp"), "root")
     rooted = distinct.join(roots, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
@@ -319,49 +322,227 @@ def near_duplicate_classes(docs: DataFrame, k: int = SHINGLE, radius: int = RADI
     return marked.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, likeness: float = 0.8, k: int = 2, radius: int = 10) -> DataFrame:
-    """(id_col) of the rows to drop so that one of each group of near copies stays: a copy, or a text whose `words`-word
-    shingles have a Jaccard likeness of at least `likeness` to one that leads it.
+# ---------------------------------------------------------------- near copies, verified on exact shingle sets
 
-    Candidates are the classes of a SimHash over distinct k-word shingles with a wide radius: an edited word changes k of
-    those, so near copies stay within it. Each class is then verified on exact shingle sets in rounds of 1, 2, 4, ... leaders
-    until no member is left, so that every pair of a class that may matter is compared. Only a leader that stays drops others:
-    one that is like an earlier leader waits until it is known whether that one stays. Leaders go from the middle of a class
-    outwards (by distance to the majority of its bits): what all others were edited from settles a class in one round.
-    Exact copies are settled by their hash first, the smallest id stays. Ids must be unique and not null. Texts without
-    words are copies of one another."""
-    c = F.col
-    lower = "abcdefghijklmnopqrstuvwxyz"
-    rows = docs.select(c(id_col).alias("id"), F.coalesce(c(text_col).cast("string"), F.lit("")).alias("text"))
-    digests = durable(rows.select("id", F.sha2("text", 256).alias("h")))
-    first = digests.groupBy("h").agg(F.min("id").alias("first"))
-    copies = durable(digests.join(first, "h").where("id <> first").select("id"))
-    classes = near_duplicate_classes(rows, k, radius, "id", "text", once=True).join(copies, "id", "left_anti")
-    classes = durable(classes.select("id", "fp", c("component_id").alias("class")))
+#: SimHashes of independent seeds: a pair of likeness 0.8 is about 9.7 bits apart on average under each of them, and has to
+#: lie within the radius under one.
+NEAR_SEEDS, NEAR_RADIUS, NEAR_FEATURE = (1, 2, 3), 10, 2
+#: A class of at most so many texts and bytes is settled by one task; of a larger one this much leads a round.
+GROUP_ROWS, GROUP_BYTES = 2048, 16 << 20
+#: Min-hashes of a band, and bands: texts of likeness 0.8 share one of these with probability 0.997.
+BAND, BANDS = 3, 8
+SALTS = 64
+
+
+def _word_hashes(text: bytes) -> np.ndarray:
+    words = text.lower().split()
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    return Rolling(np.frombuffer(b"".join(words), np.uint8)).of(np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if words else np.zeros(0, np.uint64)
+
+
+def _shingle_set(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the distinct k-word windows, in order; of all words if they are fewer."""
+    k = max(1, min(k, len(words)))
+    n = len(words) - k + 1
+    if n < 1:
+        return np.zeros(1, np.uint64)
+    h = np.zeros(n, np.uint64)
+    for i in range(k):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words[i : n + i]
+    return np.unique(mixed(h + np.uint64(k)))
+
+
+def _marks(docs: DataFrame, id_type: str, feature: int, seeds: tuple[int, ...]) -> DataFrame:
+    """(id, h, size, f0, f1, ...) of (id, text): a 128-bit hash of the text, its bytes, and a SimHash of its distinct shingles
+    for each seed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = ((i, t.as_py().encode()) for i, t in enumerate(b.column(1)))
+            for part in chunks(rows, 1 << 20):
+                sets = [_shingle_set(_word_hashes(t), feature) for _, t in part]
+                sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+                flat = np.concatenate(sets)
+                fps = [_votes(mixed(flat ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), sizes) for seed in seeds]
+                digests = pa.array([blake2b(t, digest_size=16).digest() for _, t in part], pa.binary())
+                lengths = pa.array([len(t) for _, t in part], pa.int64())
+                yield pa.record_batch([b.column(0).take(pa.array([r[0] for r in part])), digests, lengths, *(pa.array(f.view(np.int64)) for f in fps)], ["id", "h", "size", *(f"f{i}" for i in range(len(seeds)))])
+
+    return docs.select("id", "text").mapInArrow(lean(run), f"id {id_type}, h binary, size long" + "".join(f", f{i} long" for i in range(len(seeds))))
+
+
+def _linked(firsts: DataFrame, fp: str, radius: int, bucket_rows: int) -> DataFrame:
+    """(a, b): links of texts (node) whose fingerprints in the column `fp` lie within the radius, enough of them for the
+    components."""
+    named = written(firsts.groupBy(F.col(fp).alias("fp")).agg(F.min("node").alias("node"), F.count("*").alias("n")))
+    same = firsts.join(named.where("n > 1").select(F.col("fp").alias(fp), F.col("node").alias("b")), fp).where("node <> b").select(F.col("node").alias("a"), "b")
+    near = hamming_links(named.select("fp"), radius, bucket_rows)
+    for side in ("a", "b"):
+        near = near.join(named.select(F.col("fp").alias(side), F.col("node").alias(f"{side}_node")), side).drop(side)
+    return same.union(near.select("a_node", "b_node"))
+
+
+class _Led:
+    """The texts of one group that stay so far, by their shingles."""
+
+    def __init__(self):
+        self.sizes: list[int] = []
+        self.holders: dict[int, list[int]] = {}
+
+    def like(self, shingles: list[int], likeness: float) -> bool:
+        found = [x for x in map(self.holders.get, shingles) if x is not None]
+        if not found:
+            return False
+        if len(self.sizes) == 1:
+            both, sizes = np.array([len(found)]), np.array(self.sizes)
+        else:
+            both, sizes = np.bincount(np.fromiter(chain.from_iterable(found), np.int64), minlength=len(self.sizes)), np.array(self.sizes)
+        return bool((both >= likeness * (len(shingles) + sizes - both) - 1e-9).any())
+
+    def add(self, shingles: list[int]) -> None:
+        for s in shingles:
+            self.holders.setdefault(s, []).append(len(self.sizes))
+        self.sizes.append(len(shingles))
+
+
+GIVEN, OPEN, ASKED = 0, 1, 2
+
+
+def _settled(rows: DataFrame, id_type: str, words: int, likeness: float) -> DataFrame:
+    """(id) of the rows of (unit, mode, d, id, text) that are like a text of their unit that stays.
+
+    Units are streamed in the order of (mode, d, id): GIVEN texts stay, an OPEN one stays unless an earlier text that stays is
+    like it, ASKED ones are only compared. A task holds the shingles of one unit's staying texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, led = None, _Led()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                gone = []
+                for i, (u, mode, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist())):
+                    if u != unit:
+                        unit, led = u, _Led()
+                    shingles = _shingle_set(_word_hashes(text.encode()), words).tolist()
+                    if mode != GIVEN and led.like(shingles, likeness):
+                        gone.append(i)
+                    elif mode != ASKED:
+                        led.add(shingles)
+                yield pa.record_batch([b.column(2).take(pa.array(gone, pa.int64()))], ["id"])
+
+    # Equal units have equal hashes; units of one hash and one place would follow one another, not mix.
+    dealt = rows.repartition("unit").sortWithinPartitions("unit", "mode", "d", "id")
+    return dealt.select("unit", "mode", "id", "text").mapInArrow(lean(run), f"id {id_type}")
+
+
+def _banded(members: DataFrame, words: int) -> DataFrame:
+    """(class, key, node) of (class, node, text): a key for each band of min-hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts = mixed(np.arange(1, BAND * BANDS + 1, dtype=np.uint64))
+        for b in batches:
+            keys = []
+            for text in b.column(2).to_pylist():
+                s = _shingle_set(_word_hashes(text.encode()), words)
+                least = np.array([mixed(s ^ x).min() for x in salts]).reshape(BANDS, BAND)
+                h = np.arange(BANDS, dtype=np.uint64)
+                for i in range(BAND):
+                    h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + least[:, i])
+                keys.append(h.view(np.int64))
+            n = len(keys)
+            flat = pa.array(np.concatenate(keys) if n else np.zeros(0, np.int64))
+            again = pa.array(np.repeat(np.arange(n), BANDS))
+            yield pa.record_batch([b.column(0).take(again), flat, b.column(1).take(again)], ["class", "key", "node"])
+
+    return members.select("class", "node", "text").mapInArrow(lean(run), "class long, key long, node long")
+
+
+def _middles(members: DataFrame) -> DataFrame:
+    """(class, n, bytes, middle) of (class, size, f0): the majority of each bit of the class's fingerprints."""
     bit = lambda i: F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")
-    held = classes.groupBy("class").agg(F.count("*").alias("n"), *(F.sum((c("fp").bitwiseAND(bit(i)) != 0).cast("long")).alias(f"b{i}") for i in range(64))).where("n > 1")
+    c = F.col
+    held = members.groupBy("class").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), *(F.sum((c("f0").bitwiseAND(bit(i)) != 0).cast("long")).alias(f"b{i}") for i in range(64)))
     middle = F.lit(0).cast("long")
     for i in range(64):
         middle = middle.bitwiseOR(F.when(2 * c(f"b{i}") > c("n"), bit(i)).otherwise(F.lit(0).cast("long")))
-    shared = durable(held.select("class", middle.alias("middle")))
-    members = classes.join(shared, "class").select("class", "id", F.bit_count(c("fp").bitwiseXOR(c("middle"))).alias("d"))
-    shingles = F.array_distinct(let(words_of(F.translate("text", lower.upper(), lower)), lambda w: F.when(F.size(w) >= words, shingle_hashes(w, words)).otherwise(F.array(F.xxhash64(w)))))
-    left = durable(rows.join(members, "id").select("class", "id", "d", shingles.alias("s")))
-    dropped, leaders = copies, 1
-    while not left.isEmpty():
-        order = left.select("class", "id", "d").withColumn("nth", F.row_number().over(Window.partitionBy("class").orderBy("d", "id")))
-        heads = left.join(order.where(c("nth") <= leaders).select("id"), "id", "left_semi").select("class", c("id").alias("head"), c("d").alias("e"), c("s").alias("t"))
-        both = F.size(F.array_intersect("s", "t"))
-        like = both / (F.size("s") + F.size("t") - both)
-        met = left.join(heads, "class").where(F.struct("e", "head") < F.struct("d", "id"))
-        pairs = durable(met.where(like >= likeness).select("id", "head"))
-        # A leader like no earlier one stays, and has been compared with all that remain.
-        stay = durable(heads.select(c("head").alias("id")).join(pairs.select("id").distinct(), "id", "left_anti"))
-        gone = durable(pairs.join(stay.select(c("id").alias("head")), "head", "left_semi").select("id").distinct())
-        dropped = dropped.union(gone)
-        left = durable(left.join(stay.union(gone), "id", "left_anti"))
-        leaders *= 2
-    return dropped.select(c("id").alias(id_col)).distinct()
+    return held.select("class", "n", "bytes", middle.alias("middle"))
+
+
+def staying(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, likeness: float = 0.8, seeds: tuple[int, ...] = NEAR_SEEDS, radius: int = NEAR_RADIUS, bucket_rows: int = BUCKET_ROWS, group_rows: int = GROUP_ROWS, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(id_col) of the rows that stay, so that one of each group of near copies does: every other text equals one that stays,
+    or the sets of their `words`-word shingles (A-Z lowered) have a Jaccard likeness of at least `likeness`; no two texts that
+    stay and were candidates of each other do.
+
+    Candidates are texts in one class of links within `radius` bits under any of several SimHashes (one for each seed) over
+    distinct two-word shingles. A class is settled on exact shingle sets: the texts nearest to the middle of the class lead,
+    and only a text that stays drops others. A class of up to `group_rows` texts and `group_bytes` bytes is settled by one
+    task. A larger one is first taken apart where its members share no band of min-hashes; what is still larger is settled in
+    rounds: the next `group_rows` texts (or `group_bytes`) settle among themselves, then all others are compared with those
+    of them that stay, in blocks. No pairs are written, and every round settles its leaders and all that are like them.
+
+    Of equal texts the row with the least id stays. Rows without an id are left out of the result and lead nothing; rows
+    that share an id stay together if one of them does. Null texts count as empty, texts without words are like one another.
+    Other columns are not read, whatever their names; an empty table gives an empty result."""
+    c = F.col
+    id_type = docs.schema[id_col].dataType.simpleString()
+    rows = docs.where(c(id_col).isNotNull()).select(c(id_col).alias("id"), F.coalesce(c(text_col).cast("string"), F.lit("")).alias("text"))
+    fps = [f"f{i}" for i in range(len(seeds))]
+    marks = _marks(rows, id_type, NEAR_FEATURE, seeds)
+    firsts = written(marks.groupBy("h").agg(F.min("id").alias("id"), F.first("size").alias("size"), *(F.first(f).alias(f) for f in fps)).select("id", F.xxhash64("h").alias("node"), "size", *fps))
+    links = _linked(firsts, fps[0], radius, bucket_rows)
+    for f in fps[1:]:
+        links = links.union(_linked(firsts, f, radius, bucket_rows))
+    roots = star_components(links)
+    members = written(firsts.join(roots, "node").select(c("root").alias("class"), "node", "id", "size", "f0"))
+
+    def ordered(some: DataFrame) -> DataFrame:
+        """With the class's n and bytes, and the distance from its middle."""
+        return some.join(_middles(some), "class").withColumn("d", F.bit_count(c("f0").bitwiseXOR(c("middle"))))
+
+    def texts(some: DataFrame) -> DataFrame:
+        return rows.join(some, "id")
+
+    def settle(some: DataFrame) -> DataFrame:
+        return _settled(some, id_type, words, likeness)
+
+    fits = (c("n") <= group_rows) & (c("bytes") <= group_bytes)
+    sized = written(ordered(members))
+    gone = settle(texts(sized.where(fits).select("id", c("class").alias("unit"), F.lit(OPEN).alias("mode"), "d")))
+    large = sized.where(~fits)
+    if not large.isEmpty():
+        keys = _banded(texts(large.select("id", "class", "node")), words)
+        met = written(keys)
+        least = met.groupBy("class", "key").agg(F.min("node").alias("b"))
+        parts = star_components(met.join(least, ["class", "key"]).select(F.col("node").alias("a"), "b"))
+        apart = written(ordered(large.select("node", "id", "size", "f0").join(parts.select("node", c("root").alias("class")), "node").select("class", "node", "id", "size", "f0")))
+        gone = gone.union(settle(texts(apart.where(fits).select("id", c("class").alias("unit"), F.lit(OPEN).alias("mode"), "d"))))
+        left = Table(apart.where(~fits).select("class", "id", "size", "d"))
+        while not left.read().isEmpty():
+            gone_now, left_now = _round(left.read(), texts, settle, group_rows, group_bytes)
+            left.drop()
+            gone, left = gone.union(gone_now), left_now
+    return firsts.select("id").join(gone.distinct(), "id", "left_anti").select(c("id").alias(id_col))
+
+
+def _round(left: DataFrame, texts, settle, group_rows: int, group_bytes: int) -> tuple[DataFrame, Table]:
+    """One round over the open texts (class, id, size, d) of large classes: (ids that go, what stays open)."""
+    c = F.col
+    first = Window.partitionBy("class", "salt").orderBy("d", "id")
+    order = Window.partitionBy("class").orderBy("d", "id")
+    some = left.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).withColumn("nth", F.row_number().over(first)).where(c("nth") <= group_rows)
+    some = some.withColumns({"nth": F.row_number().over(order), "before": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    heads = written(some.where((c("nth") <= group_rows) & (F.coalesce("before", F.lit(0)) < group_bytes)).select("class", "id", "d"))
+    beaten = written(settle(texts(heads.select("id", c("class").alias("unit"), F.lit(OPEN).alias("mode"), "d"))))
+    leaders = heads.join(beaten, "id", "left_anti")
+    rest = left.join(heads.select("id"), "id", "left_anti")
+    blocks = rest.groupBy("class").agg(F.ceil(F.sum("size") / group_bytes).cast("int").alias("blocks"))
+    # Each block of the other texts meets all leaders of its class.
+    unit = lambda block: F.xxhash64("class", block)
+    asked = rest.join(F.broadcast(blocks), "class").select("id", unit(F.pmod(F.xxhash64("id"), c("blocks")).cast("int")).alias("unit"), F.lit(ASKED).alias("mode"), "d")
+    given = texts(leaders.select("id", "class", "d")).join(F.broadcast(blocks), "class").withColumn("block", F.explode(F.sequence(F.lit(0), c("blocks") - 1)))
+    given = given.select("id", "text", unit(c("block")).alias("unit"), F.lit(GIVEN).alias("mode"), "d")
+    dropped = written(settle(texts(asked).unionByName(given)))
+    return beaten.union(dropped), Table(rest.join(dropped, "id", "left_anti").select("class", "id", "size", "d"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

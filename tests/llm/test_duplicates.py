@@ -89,42 +89,101 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
 
+def stays(spark, rows, **limits):
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(rows)], "doc_id bigint, text string, class string").repartition(3)
+    return {r.doc_id for r in simhash.staying(docs, **limits).collect()}
+
+
+def check_stays(rows, kept, close=True):
+    """Every other row is like one that stays; with `close`, no two that stay are alike."""
+    sets = [shingles(t) for t in rows]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(any(like(g, k) >= 0.8 for k in kept) for g in set(range(len(rows))) - kept)
+    assert not close or all(like(a, b) < 0.8 for a in kept for b in kept if a < b)
+
+
+def invented(rng, n, words=400):
+    return [f"w{rng.randrange(words)}" for _ in range(n)]
+
+
 def test_near_copies_are_dropped_and_others_stay(spark):
     rng = random.Random(9)
-    base = [" ".join(f"w{rng.randrange(400)}" for _ in range(150)) for _ in range(30)]
+    base = [" ".join(invented(rng, 150)) for _ in range(30)]
     rows = list(base)
     for i in range(0, 30, 3):
         for _ in range(rng.randint(1, 4)):
             w = base[i].split()
             w[rng.randrange(len(w))] = "edit"
             rows.append(" ".join(w))
-    rows += [base[1], base[1], base[2] + " one more sentence that differs a lot from what was said " + base[4]]
-    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(3)
-    gone = {r.doc_id for r in simhash.near_copies(docs).collect()}
-    sets = [shingles(t) for t in rows]
-    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-    kept = [i for i in range(len(rows)) if i not in gone]
-    assert all(like(a, b) < 0.8 for a in kept for b in kept if a < b)
-    assert all(any(like(g, k) >= 0.8 for k in kept) for g in gone)
-    assert simhash.near_copies(docs.limit(0)).count() == 0
+    rows += [base[1], base[1], base[2] + " one more sentence that differs a lot from what was said " + base[4], "", " ", "Two Words", "two words"]
+    kept = stays(spark, rows)
+    check_stays(rows, kept)
+    assert stays(spark, []) == set()
+    # Small groups go through rounds of leaders, with the same guarantee.
+    check_stays(rows, stays(spark, rows, group_rows=2, group_bytes=2500))
 
 
-def test_only_a_kept_text_drops_others(spark):
+@pytest.mark.parametrize("group_rows", [2048, 10])
+def test_only_a_kept_text_drops_others(spark, group_rows):
     rng = random.Random(10)
     rows = []
-    for _ in range(12):
+    for _ in range(3):
         # A chain: neighbours are alike, those two steps apart are not.
-        w = [f"w{rng.randrange(400)}" for _ in range(150)]
-        for step in range(8):
+        w = invented(rng, 150)
+        for step in range(24):
             rows.append(" ".join(w))
             for j in range(3):
                 w[10 + 18 * step % 130 + 6 * j] = f"e{step}{j}"
     rng.shuffle(rows)
-    gone = {r.doc_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(3)).collect()}
-    sets = [shingles(t) for t in rows]
-    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-    kept = [i for i in range(len(rows)) if i not in gone]
-    assert gone and all(any(like(g, k) >= 0.8 for k in kept) for g in gone)
+    kept = stays(spark, rows, group_rows=group_rows)
+    check_stays(rows, kept)
+    assert len(kept) < len(rows)
+
+
+def test_a_large_group_of_near_copies(spark):
+    """5,000 near copies of one text, and templated texts that share half their words but are not alike."""
+    rng = random.Random(11)
+    base = invented(rng, 120)
+    rows = [" ".join(base)]
+    for _ in range(5000):
+        w = list(base)
+        w[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+        rows.append(" ".join(w))
+    half = invented(rng, 60)
+    rows += [" ".join(half + invented(rng, 60)) for _ in range(300)]
+    kept = stays(spark, rows, group_rows=512)
+    check_stays(rows, kept, close=False)
+    assert sum(k <= 5000 for k in kept) <= 3 and all(k in kept for k in range(5001, len(rows)))
+
+
+def edits(rng, words, kind):
+    n = len(words)
+    if kind == "scattered":
+        out = list(words)
+        for at in rng.sample(range(n), max(1, n // 55)):
+            out[at] = f"e{rng.randrange(10**6)}"
+        return out
+    size = n * {"appended": 24, "replaced": 8}[kind] // 100
+    if kind == "appended":
+        return words + invented(rng, size)
+    at = rng.randrange(n - size)
+    return words[:at] + invented(rng, size) + words[at + size :]
+
+
+@pytest.mark.parametrize("kind", ["scattered", "appended", "replaced"])
+def test_recall_at_the_edge_of_likeness(spark, kind):
+    """Pairs of likeness 0.8 or little more, by edits near and far: at least 0.9 of them are found."""
+    rng = random.Random(kind)
+    rows, pairs = [], []
+    for _ in range(250):
+        w = invented(rng, rng.randint(100, 300), 3000)
+        rows += [" ".join(w), " ".join(edits(rng, w, kind))]
+        a, b = shingles(rows[-2]), shingles(rows[-1])
+        if len(a & b) >= 0.8 * len(a | b):
+            pairs.append((len(rows) - 2, len(rows) - 1))
+    kept = stays(spark, rows)
+    caught = sum(not (a in kept and b in kept) for a, b in pairs)
+    assert len(pairs) > 60 and caught >= 0.9 * len(pairs), (caught, len(pairs))
 
 
 # ---------------------------------------------------------------- repeated strings
