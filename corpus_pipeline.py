@@ -15,7 +15,7 @@ from assize.llm.common import small_batches
 from assize.llm.packing import pack, token_pieces
 from assize.llm.perplexity import classify
 from assize.llm.quality_rules import CURRENT, POLICIES, ledger, verdict
-from assize.llm.simhash import near_copies
+from assize.llm.simhash import staying
 from assize.llm.substring_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -49,7 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if not repeated.isEmpty():
         twice = keyed.join(repeated, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*", "key")
         keyed = keyed.join(repeated, "key", "left_anti").unionByName(twice)
-    return keyed.join(near_copies(keyed, id_col="key"), "key", "left_anti").select(*COLUMNS)
+    return keyed.join(staying(keyed, id_col="key"), "key", "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
