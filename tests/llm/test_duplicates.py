@@ -245,3 +245,30 @@ def test_repeats_of_odd_rows(spark, no_docs):
     assert substring_dedup.remove_repeats(no_docs).count() == 0
     text = substring_dedup.remove_repeats(rows, as_text=True)
     assert dict(text.dtypes)["kept"] == "string" and hashlib.sha256(b"").hexdigest() in {r.h for r in text.select(F.sha2("kept", 256).alias("h")).collect()}
+
+
+def test_repeated_rows_count_once(spark):
+    rng = random.Random(14)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    tail = lambda n: "".join(rng.choice("ijklmnop ") for _ in range(n))
+    twice, other = tail(200) + shared + tail(200), tail(150) + shared + tail(300)
+    rows = [(3, twice), (3, twice), (9, other), (None, other[:80]), (9, tail(300))]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    # 90 bytes in common are too few: nothing goes, of either row.
+    assert len(got) == 5 and all(r.n_removed == 0 for r in got)
+
+
+@pytest.mark.parametrize("sampled", [1, 64])
+def test_one_anchor_in_very_many_surroundings(spark, monkeypatch, sampled):
+    """A phrase of 40 bytes in 3,000 texts, with and without its strings being dealt one by one."""
+    monkeypatch.setattr(substring_dedup, "SAMPLED", sampled)
+    monkeypatch.setattr(substring_dedup, "HOT_BYTES", 50_000)
+    rng = random.Random(15)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    phrase, sides = "This phrase stands in nearly every text.", [some(90) for _ in range(40)]
+    texts = [(rng.choice(sides) if i % 3 else some(90)) + phrase + (rng.choice(sides) if i % 2 else some(90)) for i in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    laid = rows.select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("sub"), F.col("text").cast("binary").alias("text"))
+    assert sampled > 1 or len(substring_dedup.hot_anchors(laid, 100, 32)) > 0
+    got = {r.doc_id: (bytes(r.kept), r.n_removed, r.n_spans) for r in substring_dedup.remove_repeats(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == brute([(i, t.encode()) for i, t in enumerate(texts)], 100)
