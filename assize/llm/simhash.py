@@ -4,7 +4,7 @@ The 64 bits are regrouped so that correlated ones stand together, and cut into m
 radius - m + 1, any two fingerprints within the radius lie within T[i] of each other on some part i. The parts and their
 thresholds are chosen by dynamic programming on the candidate counts that histograms of all fingerprints foretell. Exact
 copies are one fingerprint from the start; candidates meet in buckets, are verified on all 64 bits, and leave a bucket only
-as a spanning forest of its links, however many pairs it holds.
+as stars of its components, however many pairs it holds.
 """
 
 from __future__ import annotations
@@ -214,18 +214,19 @@ def _probes(fps: DataFrame, order: list[int], parts: list[tuple[int, int, int]])
     return fps.select("fp").mapInArrow(run, "part int, value long, fp long")
 
 
-def _forest(fp: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links that span the components of one bucket: a search that compares each found row with the unvisited only."""
+def _stars(fp: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Every fingerprint of one bucket with the least of its component there: a search that compares each found row with the
+    unvisited only."""
     a, b = [], []
-    left = fp
+    left = fp  # in order
     while len(left) > 1:
-        front, left = [left[0]], left[1:]
+        least, left = left[0], left[1:]
+        front = [least]
         while front and len(left):
-            x = front.pop()
-            near = np.bitwise_count(left ^ x) <= radius
+            near = np.bitwise_count(left ^ front.pop()) <= radius
             if near.any():
                 found = left[near]
-                a.append(np.full(len(found), x))
+                a.append(np.full(len(found), least))
                 b.append(found)
                 front.extend(found)
                 left = left[~near]
@@ -233,28 +234,40 @@ def _forest(fp: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndar
 
 
 def _links_of(keys: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within buckets; rows come sorted by bucket. Small buckets are compared all at once, row with i-th next row."""
+    """Components within buckets, as (least, member); rows come sorted by bucket. Small buckets are compared all at once, row
+    with i-th next row, and the least of what is linked spreads along the links."""
     starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1])]))
     sizes = np.diff(np.append(starts, len(keys)))
     a, b = [], []
     for s, n in zip(starts[sizes > 48], sizes[sizes > 48]):
-        x, y = _forest(np.unique(fp[s : s + n]), radius)
+        x, y = _stars(np.unique(fp[s : s + n]), radius)
         a += x
         b += y
     small = np.repeat(sizes <= 48, sizes)
     x, group = fp[small], np.repeat(np.arange(len(sizes)), sizes)[small]
+    left, right = [], []
     for lag in range(1, 48):
         same = group[lag:] == group[:-lag]
         if not same.any():
             break
-        hit = same & (np.bitwise_count(x[lag:] ^ x[:-lag]) <= radius) & (x[lag:] != x[:-lag])
-        a.append(x[:-lag][hit])
-        b.append(x[lag:][hit])
+        hit = np.flatnonzero(same & (np.bitwise_count(x[lag:] ^ x[:-lag]) <= radius))
+        left.append(hit)
+        right.append(hit + lag)
+    if left:
+        i, j, least = np.concatenate(left), np.concatenate(right), x.copy()
+        while len(i):
+            low = np.minimum(least[i], least[j])
+            if (low == least[i]).all() and (low == least[j]).all():
+                break
+            np.minimum.at(least, i, low)
+            np.minimum.at(least, j, low)
+        a.append(least[least != x])
+        b.append(x[least != x])
     return (np.concatenate(a) if a else np.zeros(0, np.uint64)), (np.concatenate(b) if b else np.zeros(0, np.uint64))
 
 
 def _verified(units: DataFrame, keys: list[str], radius: int) -> DataFrame:
-    """(a, b) links within the units. Rows must be partitioned by the unit's keys and sorted by them."""
+    """(a, b) of the components within the units. Rows must be partitioned by the unit's keys and sorted by them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(names: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -281,7 +294,9 @@ def _verified(units: DataFrame, keys: list[str], radius: int) -> DataFrame:
 
 
 def hamming_links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp) whose components are those of all pairs within `radius`.
+    """(a, b) of distinct fingerprints (column fp), whose components are those of all pairs within `radius`: in each bucket
+    the members of a component with its least one, so that a dense group leaves about one row for each member, not for each
+    pair or bucket.
 
     No pair is lost: a bucket larger than `bucket_rows` is cut into blocks, and every two of its blocks are compared."""
     n, both = _matrix(fps)

@@ -111,7 +111,7 @@ def test_rounds_merge_what_partitions_leave(spark):
     assert len(got) == len(lengths) and got[0].bin == "x"
     assert check_bins(got, 1000) <= 1.02 * -(-sum(lengths) // 1000) + 1
     large = spark.createDataFrame([(i, 600) for i in range(50)], "id int, length bigint").repartition(7)
-    assert check_bins(packing.pack(large, capacity=1000, fan_in=2, carry=3).collect(), 1000) == 50
+    assert check_bins(packing.pack(large, capacity=1000, fan_in=2).collect(), 1000) == 50
 
 
 def test_lengths_are_checked(spark):
