@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,11 @@ CAPACITY, END_ID = 4096, 1
 
 
 class WordTokenizer:
-    """Ids of whole texts by the tokenizers library; what stands between white space is looked up once and remembered."""
+    """Ids of whole texts by the tokenizers library; what stands between white space is looked up once and remembered.
+
+    New words go to the library many at a time, with a mark between them that is a token of its own."""
+
+    MARK, TOGETHER = "|", 64
 
     def __init__(self, vocabulary: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -31,16 +36,32 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_str(vocabulary.decode())
         self.words = Memory()
+        mark = self.library.encode(self.MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def of_library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of_marked(self, words: list[str]) -> dict[str, bytes]:
+        apart = [w for w in words if self.mark is None or self.MARK in w]
+        out = dict(zip(apart, self.of_library(apart)))
+        plain = [w for w in words if w not in out] if apart else words
+        groups = [plain[i : i + self.TOGETHER] for i in range(0, len(plain), self.TOGETHER)]
+        for group, ids in zip(groups, self.of_library([f" {self.MARK} ".join(g) for g in groups])):
+            at = 0
+            for word, end in zip(group, [*np.flatnonzero(np.frombuffer(ids, np.uint32) == self.mark).tolist(), len(ids) // 4]):
+                out[word] = ids[4 * at : 4 * end]
+                at = end + 1
+        return out
 
     def of_words(self, new: list[bytes]) -> list[bytes]:
         # A full stop or comma after a letter is a pre-token of its own.
         ends = [w[-1:] if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122 else b"" for w in new]
         stems = [w[:-1] if e else w for w, e in zip(new, ends)]
         todo = list({s for s in stems if s not in self.words} | set(ends) - {b""})
-        ids = dict(zip(todo, self.of_library([t.decode() for t in todo])))
+        texts = [t.decode() for t in todo]
+        made = self.of_marked(texts)
+        ids = {t: made[x] for t, x in zip(todo, texts)}
         return [(ids[s] if s in ids else self.words[s]) + (ids[e] if e else b"") for s, e in zip(stems, ends)]
 
     def of_texts(self, texts: list[str | None]) -> list[bytes]:
@@ -48,7 +69,7 @@ class WordTokenizer:
         texts in which a special token's string may occur go to the library whole."""
         raw = [(t or "").encode() for t in texts]
         cut = [None if b"<|" in r else r.lower().split() for r in raw]
-        self.words.learn((w for c in cut if c for w in c), self.of_words)
+        self.words.learn(set().union(*filter(None, cut)), self.of_words)
         get = self.words.__getitem__
         return [self.of_library([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
 
@@ -105,7 +126,11 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _packer(length_col: str, capacity: int, closed_room: int, carry: int, level: int):
-    """A mapInArrow function that packs a partition: adds bin, offset, bin_fill and open (on a bin's first item)."""
+    """A mapInArrow function that packs a partition: adds bin, offset, bin_fill and open (on a bin's first item).
+
+    Of the bins with more than `closed_room` left the `carry` emptiest go on. More would save no bin: two bins of one
+    best-fit packing never fit into one, so one at most is half full or less; a group of partitions thus has one such bin for
+    each of them to place, and more carried bins than that, each with more room than any bin that stays behind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -117,7 +142,6 @@ def _packer(length_col: str, capacity: int, closed_room: int, carry: int, level:
             raise ValueError(f"lengths must lie between 1 and {capacity}")
         bins, offsets, fills = best_fit(lengths, capacity)
         underfull = np.flatnonzero(capacity - fills > closed_room)
-        # One bin at most is half empty or more, so a bin beyond the emptiest few hundred finds no partner above.
         open_bins = np.zeros(len(fills), bool)
         open_bins[underfull[np.argsort(fills[underfull], kind="stable")[:carry]]] = True
         names = (level << 56) + (TaskContext.get().partitionId() << 32) + bins
@@ -129,11 +153,12 @@ def _packer(length_col: str, capacity: int, closed_room: int, carry: int, level:
     return run
 
 
-def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY, closed_room: int = 8, carry: int = 1000, fan_in: int = 16) -> DataFrame:
+def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY, closed_room: int = 8, fan_in: int = 16) -> DataFrame:
     """`pieces` with sequence_id and offset (gapless from 0 in each sequence); no sequence exceeds `capacity`.
 
     Every row takes its own place, repeated and null-keyed rows too; lengths are 1 to `capacity`, others raise. Columns
     named sequence_id or offset are replaced, all others pass through; an empty table gives an empty result."""
+    carry = 2 * fan_in
     pieces = pieces.drop("sequence_id", "offset")
     names = pieces.columns
     inner = pieces.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)))
