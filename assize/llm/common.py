@@ -199,7 +199,23 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def shingle_hashes(words: Column, k: int) -> Column:
-    """64-bit hashes of the k-word windows of an array, empty if it has fewer words."""
-    none = F.array().cast("array<bigint>")
-    return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.xxhash64(F.slice(words, i, k)))).otherwise(none)
+def shifted(a: Column, b: Column, by: int, join) -> Column:
+    """join(a[i], b[i + by]) for every i that b reaches."""
+    n = F.size(b) - by
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, by + 1, n), join)
+
+
+def rolled(hashes: Column, k: int) -> Column:
+    """Hashes of all windows of k elements, of an array of k or more. Windows of 2, 4, ... come from two of half the size each,
+    so an element is hashed once, and a window by one step for each bit of k."""
+    pair = lambda x, y: F.xxhash64(x, y)
+
+    def step(done: Column | None, width: int, power: Column, size: int) -> Column:
+        if k & size:
+            done, width = (power if done is None else shifted(done, power, width, pair)), width + size
+        if 2 * size > k:
+            return done
+        more = lambda p, d: let(shifted(p, p, size, pair), lambda q: step(d, width, q, 2 * size))
+        return more(power, None) if done is None else let(done, lambda d: more(power, d))
+
+    return let(hashes, lambda h: step(None, 0, h, 1))

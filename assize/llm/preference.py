@@ -68,22 +68,30 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
     return done.drop(*new).select(*(c for c in pairs.columns if c not in new), *(F.col(f"_made.{c}").alias(c) for c in new))
 
 
-def mismatched_pairs(conversations: DataFrame) -> DataFrame:
-    """(pair_id, chosen, rejected) from (conv_id, turn, role, text): conversations 2i and 2i + 1 make pair i. Chosen is the
-    first up to its last assistant turn; rejected is the same with that turn replaced by the second's last assistant turn.
-    A side without an assistant turn has null there. Rows without a conv_id belong to no conversation.
+def pairs_of(conversations: DataFrame) -> DataFrame:
+    """(pair_id, kind, chosen, rejected) from (conv_id, turn, role, text), all turns of all conversations. Conversations 2i and
+    2i + 1 make pair i, with three rows:
+
+    `whole`: the first against the second, as they stand. `first`: the first against itself up to a turn, from where it goes
+    on as the second does; the turn is the remainder of the pair's number by the number of turns. `second`: the same with the
+    two exchanged. A conversation that is missing has no turns; equal turn numbers are ordered by role and text, nulls first.
+    Rows without a conv_id belong to no conversation.
 
     A pair's turns meet in one row, as its texts do in the result."""
     c = F.col
-    turns = conversations.where("conv_id is not null").select(F.floor(c("conv_id") / 2).cast("long").alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("first"), F.struct("turn", "role", "text").alias("t"))
-    sides = turns.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.when(c("first"), c("t")))).alias("a"), F.max(F.when(~c("first") & (c("t.role") == TRAINED_ROLE), c("t"))).alias("reply"))
-    last = F.array_max(F.transform(c("a"), lambda t, i: F.when(t["role"] == TRAINED_ROLE, i + 1)))
-    plain = lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))
-    sides = sides.withColumn("last", last)
-    return sides.select(
-        "pair_id", F.when(c("last").isNotNull(), F.transform(F.slice("a", F.lit(1), c("last")), plain)).alias("chosen"),
-        F.when(c("last").isNotNull() & c("reply").isNotNull(), F.concat(F.transform(F.slice("a", F.lit(1), c("last") - 1), plain), F.array(plain(c("reply"))))).alias("rejected"),
-    )
+    plain = lambda turns: F.transform(F.sort_array(turns), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    first = F.pmod("conv_id", F.lit(2)) == 0
+    turns = conversations.where("conv_id is not null").select(F.shiftright("conv_id", 1).cast("long").alias("pair_id"), first.alias("first"), F.struct("turn", "role", "text").alias("t"))
+    sides = turns.groupBy("pair_id").agg(plain(F.collect_list(F.when(c("first"), c("t")))).alias("a"), plain(F.collect_list(F.when(~c("first"), c("t")))).alias("b"))
+
+    def going_on(mine: Column, other: Column) -> Column:
+        at = F.pmod(c("pair_id"), F.greatest(F.size(mine), F.lit(1))).cast("int")
+        return F.concat(F.slice(mine, F.lit(1), at), F.slice(other, at + 1, F.size(other)))
+
+    row = lambda kind, chosen, rejected: F.struct(F.lit(kind).alias("kind"), chosen.alias("chosen"), rejected.alias("rejected"))
+    a, b = c("a"), c("b")
+    rows = F.array(row("whole", a, b), row("first", a, going_on(a, b)), row("second", b, going_on(b, a)))
+    return sides.select("pair_id", F.explode(rows).alias("r")).select("pair_id", "r.*")
 
 
 def mask_text(mask: Column) -> Column:
@@ -91,29 +99,32 @@ def mask_text(mask: Column) -> Column:
 
 
 def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompt and masked completions of every pair of conversations."""
-    rows = format_preferences(mismatched_pairs(table(spark, sf_dir, "conversations")))
+    """Prompt and masked completions of every pair of conversations, and of where either goes on as the other."""
+    rows = format_preferences(pairs_of(table(spark, sf_dir, "conversations")))
     return rows.select(
-        "pair_id", F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"), "prompt", "chosen_completion", "rejected_completion",
+        "pair_id", "kind", F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"), "prompt", "chosen_completion", "rejected_completion",
         mask_text(F.col("chosen_mask")).alias("chosen_mask"), mask_text(F.col("rejected_mask")).alias("rejected_mask"), "differs",
     )
 
 
+#: Turn by turn: both sides of a row are joined on the place of the turn, and sums over places give texts and masks.
 OP5_SQL = r"""
-WITH t AS (SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS first, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
-a AS (SELECT pair_id, list({'role': role, 'text': text} ORDER BY turn, role, text) FILTER (WHERE first) AS a,
-  max({'turn': turn, 'role': role, 'text': text}) FILTER (WHERE NOT first AND role = 'assistant') AS reply FROM t GROUP BY pair_id),
-l AS (SELECT pair_id, a, reply, list_max(list_filter(range(1, len(a) + 1), lambda i: a[i].role = 'assistant')) AS last FROM a),
-s AS (SELECT pair_id, CASE WHEN last IS NULL THEN [] ELSE a[1:last] END AS c,
-  CASE WHEN last IS NULL OR reply IS NULL THEN [] ELSE list_append(a[1:last - 1], {'role': reply.role, 'text': reply.text}) END AS r FROM l),
-n AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] IS DISTINCT FROM r[i])) - 1, least(len(c), len(r))) AS k FROM s),
-x AS (SELECT pair_id, k, len(c) > k OR len(r) > k AS differs,
-  list_transform(c, lambda t: '<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || '<|end|>' || chr(10)) AS ct,
-  list_transform(r, lambda t: '<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || '<|end|>' || chr(10)) AS rt,
-  list_transform(c, lambda t: t.role = 'assistant') AS cm, list_transform(r, lambda t: t.role = 'assistant') AS rm,
-  list_transform(c, lambda t: length(coalesce(t.text, '')) + 8) AS cn, list_transform(r, lambda t: length(coalesce(t.text, '')) + 8) AS rn FROM n)
-SELECT pair_id, CAST(k AS BIGINT) AS n_prompt_turns, array_to_string(ct[1:k], '') AS prompt, array_to_string(ct[k + 1:], '') AS chosen_completion, array_to_string(rt[k + 1:], '') AS rejected_completion,
-  array_to_string(list_transform(list_filter(range(k + 1, len(ct) + 1), lambda i: cm[i]), lambda i: CAST(CAST(list_sum(list_transform(ct[k + 1:i], lambda y: length(y))) - cn[i] AS BIGINT) AS VARCHAR) || '+' || CAST(cn[i] AS VARCHAR)), ',') AS chosen_mask,
-  array_to_string(list_transform(list_filter(range(k + 1, len(rt) + 1), lambda i: rm[i]), lambda i: CAST(CAST(list_sum(list_transform(rt[k + 1:i], lambda y: length(y))) - rn[i] AS BIGINT) AS VARCHAR) || '+' || CAST(rn[i] AS VARCHAR)), ',') AS rejected_mask,
-  differs FROM x
+WITH t AS (SELECT conv_id >> 1 AS pair_id, conv_id % 2 AS side, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT pair_id, count(*) FILTER (WHERE side = 0) AS n0, count(*) FILTER (WHERE side = 1) AS n1 FROM t GROUP BY pair_id),
+g AS (SELECT pair_id, kind, side, pair_id % greatest(CASE WHEN side = 0 THEN n0 ELSE n1 END, 1) AS at FROM n, (VALUES ('whole', 0), ('first', 0), ('second', 1)) AS k(kind, side)),
+c AS (SELECT g.pair_id, kind, pos, role, text FROM g JOIN t USING (pair_id, side)),
+r AS (SELECT g.pair_id, kind, pos, role, text FROM g JOIN t ON t.pair_id = g.pair_id AND CASE WHEN kind = 'whole' THEN t.side = 1 ELSE (t.side = g.side) = (pos <= g.at) END),
+d AS (SELECT pair_id, kind, pos, c.role AS cr, c.text AS ct, r.role AS rr, r.text AS rt, c.pos AS cp, r.pos AS rp FROM c FULL JOIN r USING (pair_id, kind, pos)),
+f AS (SELECT pair_id, kind, min(pos) FILTER (WHERE cp IS NULL OR rp IS NULL OR cr IS DISTINCT FROM rr OR ct IS DISTINCT FROM rt) - 1 AS cut, max(pos) AS most FROM d GROUP BY pair_id, kind),
+e AS (SELECT g.pair_id, g.kind, coalesce(cut, most, 0) AS k, cut IS NOT NULL AS differs FROM g LEFT JOIN f USING (pair_id, kind)),
+s AS (SELECT pair_id, kind, pos, 'c' AS of, role, text FROM c UNION ALL SELECT pair_id, kind, pos, 'r', role, text FROM r),
+x AS (SELECT e.*, s.of, s.pos, s.role, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS shown, length(coalesce(text, '')) + 8 AS body FROM e LEFT JOIN s USING (pair_id, kind)),
+y AS (SELECT *, sum(CASE WHEN pos > k THEN length(shown) ELSE 0 END) OVER (PARTITION BY pair_id, kind, of ORDER BY pos) - body AS start FROM x)
+SELECT pair_id, kind, CAST(k AS BIGINT) AS n_prompt_turns, differs,
+  coalesce(string_agg(shown, '' ORDER BY pos) FILTER (WHERE of = 'c' AND pos <= k), '') AS prompt,
+  coalesce(string_agg(shown, '' ORDER BY pos) FILTER (WHERE of = 'c' AND pos > k), '') AS chosen_completion,
+  coalesce(string_agg(shown, '' ORDER BY pos) FILTER (WHERE of = 'r' AND pos > k), '') AS rejected_completion,
+  coalesce(string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || '+' || CAST(body AS VARCHAR), ',' ORDER BY pos) FILTER (WHERE of = 'c' AND pos > k AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || '+' || CAST(body AS VARCHAR), ',' ORDER BY pos) FILTER (WHERE of = 'r' AND pos > k AND role = 'assistant'), '') AS rejected_mask
+FROM y GROUP BY pair_id, kind, k, differs
 """

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, shingle_hashes, table, words_of
+from .common import let, rolled, table, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -83,7 +83,8 @@ def _repeated(words: Column) -> Column:
         pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(pairs, among))
 
-    return let(shingle_hashes(words, WINDOW), count)
+    hashes = F.when(F.size(words) >= WINDOW, rolled(F.transform(words, lambda w: F.xxhash64(w)), WINDOW)).otherwise(F.array().cast("array<bigint>"))
+    return let(hashes, count)
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -96,7 +96,7 @@ def test_ledger_of_odd_rows(odd_docs, no_docs):
 def test_winnowing_keeps_the_rightmost_least_hash(spark, docs, texts):
     k, w = 3, 4
     rows = docs.select("doc_id", winnowing.winnowed(F.col("text"), k, w).alias("m"), F.transform(F.expr(f"filter(split(coalesce(text, ''), '[\\\\x20\\\\x09-\\\\x0D]+'), x -> x <> '')"), lambda x: x).alias("w"))
-    hashes = rows.withColumn("h", winnowing.shingle_hashes(F.col("w"), k)).collect()
+    hashes = rows.withColumn("h", F.when(F.size("w") >= k, winnowing.rolled(F.transform("w", lambda x: F.xxhash64(x)), k)).otherwise(F.array().cast("array<bigint>"))).collect()
     for r in hashes:
         assert r.w == words(texts[r.doc_id])
         h = list(r.h)
@@ -119,12 +119,33 @@ def test_shared_passages_leave_common_hashes(spark):
     assert a & b
 
 
-@pytest.mark.parametrize("ids", [[], [5], [5, 9], list(range(0, 9_000_000, 1_100_003)), [3, 3, None, 2000, 5000], list(range(2500))])
-def test_next_rows(spark, ids):
-    rows = spark.createDataFrame([(i, f"t{n}") for n, i in enumerate(ids)], "id bigint, text string")
-    got = {r.text: r.next_text for r in winnowing.with_next(rows, "id", "text", {"n": F.length}).collect()}
-    order = sorted(((-(1 << 63) if i is None else i, f"t{n}") for n, i in enumerate(ids)), reverse=True)
-    assert got == {t: order[(j + 1) % len(order)][1] for j, (_, t) in enumerate(order)}
+def test_rolled_hashes_tell_windows_apart(spark):
+    rng = __import__("random").Random(2)
+    values = [rng.randrange(3) for _ in range(300)]
+    rows = spark.createDataFrame([(values,)], "v array<bigint>")
+    for k in (1, 2, 3, 5, 8, 11):
+        h = rows.select(winnowing.rolled(F.col("v"), k).alias("h")).first().h
+        spans = [tuple(values[i : i + k]) for i in range(len(values) - k + 1)]
+        assert len(h) == len(spans) and len(set(zip(h, spans))) == len(set(h)) == len(set(spans))
+    for w in (1, 2, 3, 7, 16, 21):
+        got = rows.select(winnowing.least_of_windows(F.col("v"), w).alias("m")).first().m
+        assert got == [min(values[i : i + w]) for i in range(len(values) - w + 1)]
+
+
+SPARSE = [__import__("random").Random(3).randrange(1 << 62) for _ in range(1500)]
+
+
+@pytest.mark.parametrize("ids", [[], [5], [5, 9], list(range(0, 9_000_000, 1_100_003)), [3, 3, None, 2000, 5000], list(range(1500)), SPARSE, [None] * 700 + [7] * 700 + [-4, 9]])
+@pytest.mark.parametrize("cell_rows", [4096, 50])
+def test_next_rows(spark, ids, cell_rows):
+    rows = spark.createDataFrame([(i, f"t{n}" if n % 97 else None, n, "k") for n, i in enumerate(ids)], "id bigint, text string, n int, cell string").repartition(3)
+    ranked = sorted(((-(1 << 63) if r.id is None else r.id, r.h, r.text or ""), r.text, r.n) for r in rows.withColumn("h", F.xxhash64("text")).collect())[::-1]
+    out = winnowing.with_next(rows, "id", "text", cell_rows)
+    assert out.columns == ["id", "text", "n", "cell", "next_text"]
+    got = {r.n: r.next_text for r in out.collect()}
+    assert len(got) == len(ids)
+    # Rows of one rank are texts that are null: any order of them is right.
+    assert all(got[n] == ranked[(j + 1) % len(ranked)][1] for j, (_, t, n) in enumerate(ranked) if t is not None)
 
 
 def test_likeness(spark):
@@ -163,8 +184,21 @@ def test_preferences(spark, a, b, n):
         assert [text[m.start : m.start + m.length] for m in mask] == [(y or "") + "<|end|>\n" for x, y in side[n:] if x == "assistant"]
 
 
+CONVERSATION = "conv_id bigint, turn bigint, role string, text string, kind string"
+
+
 def test_pairs_of_conversations(spark):
-    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (1, 0, "user", "other"), (1, 1, "assistant", "b"), (2, 0, "user", "lonely"), (3, 0, "assistant", "x"), (None, 0, "user", "no"), (4, 0, "assistant", "y")]
-    got = {r.pair_id: r for r in preference.mismatched_pairs(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
-    assert [tuple(t) for t in got[0].chosen] == [("user", "q"), ("assistant", "a")] and [tuple(t) for t in got[0].rejected] == [("user", "q"), ("assistant", "b")]
-    assert got[1].chosen is None and got[2].rejected is None and set(got) == {0, 1, 2}
+    rows = [(2, 0, "user", "q"), (2, 1, "assistant", "a"), (2, 2, "user", "more"), (3, 0, "user", "q"), (3, 1, "assistant", "b"), (4, 0, "user", "lonely"), (7, 0, "assistant", "x"), (None, 0, "user", "no"), (9, 5, None, None), (9, 5, "user", "same turn")]
+    got = {(r.pair_id, r.kind): ([tuple(t) for t in r.chosen], [tuple(t) for t in r.rejected]) for r in preference.pairs_of(spark.createDataFrame([(*r, "clash") for r in rows], CONVERSATION)).collect()}
+    a, b = [("user", "q"), ("assistant", "a"), ("user", "more")], [("user", "q"), ("assistant", "b")]
+    assert got[1, "whole"] == (a, b) and got[1, "first"] == (a, [a[0], b[1]]) and got[1, "second"] == (b, [b[0], *a[1:]])
+    assert got[2, "whole"] == ([("user", "lonely")], []) and got[3, "whole"] == ([], [("assistant", "x")])
+    assert got[4, "whole"] == ([], [(None, None), ("user", "same turn")]) and len(got) == 12
+    assert preference.pairs_of(spark.createDataFrame([], CONVERSATION)).count() == 0
+
+
+def test_long_turns_are_kept_whole(spark):
+    long = "word " * 40_000
+    made = preference.format_preferences(preference.pairs_of(spark.createDataFrame([(0, 0, "user", long, ""), (0, 1, "assistant", long, ""), (1, 0, "user", long, "")], CONVERSATION)))
+    whole = made.where("kind = 'whole'").first()
+    assert whole.n_prompt_turns == 1 and whole.prompt == f"<|user|>\n{long}<|end|>\n" and whole.chosen_completion == f"<|assistant|>\n{long}<|end|>\n" and whole.rejected_completion == ""
