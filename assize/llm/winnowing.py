@@ -16,8 +16,8 @@ from .common import let, rolled, shifted, table, words_of
 K, WINDOW = 5, 16
 #: Hashes are compared by their upper 36 bits; the lower 28 order equal ones by place.
 PLACES = (1 << 28) - 1
-#: Rows that stand side by side in a window task, and the most such cells: their bounds are a constant of the plan.
-CELL_ROWS, MOST_CELLS = 4096, 4096
+#: Rows that stand side by side in a window, the most such cells (their bounds are a constant of the plan), and cells a task.
+CELL_ROWS, MOST_CELLS, TASK_CELLS = 256, 4096, 4
 LEAST = -(1 << 63)
 
 
@@ -107,13 +107,15 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         bounds = sorted({(some[i * len(some) // cells].k, some[i * len(some) // cells].h) for i in range(1, cells)}) if some else []
     rank = F.struct("k", "h")
     rows = rows.withColumn("cell", _cell(rank, bounds))
+    # Rows are small and what follows is not: the number of tasks follows the rows, not the bytes.
+    dealt = rows.repartition(-(-max(1, cells) // TASK_CELLS), "cell")
     tops = rows.groupBy("cell").agg(F.max(F.struct("k", "h", "t")).alias("top"))
     # One row for each cell, MOST_CELLS at most: the cell above each receives its top text, above the highest stands the lowest.
     every = Window.orderBy("cell")
     arriving = tops.select(F.coalesce(F.lead("cell").over(every), F.min("cell").over(Window.partitionBy())).alias("cell"), c("top.t").alias("arrived"))
     here = Window.partitionBy("cell").orderBy(F.desc("k"), F.desc("h"), F.desc("t"))
     # A null text is a text: what is ahead is told from nothing ahead by the struct.
-    joined = rows.withColumn("ahead", F.lead(F.struct("t")).over(here)).join(arriving, "cell", "left")
+    joined = dealt.withColumn("ahead", F.lead(F.struct("t")).over(here)).join(arriving, "cell", "left")
     return joined.select(*(c(f"c{i}").alias(n) for i, n in enumerate(names)), F.when(c("ahead").isNotNull(), c("ahead.t")).otherwise(c("arrived")).alias(new))
 
 
