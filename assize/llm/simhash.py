@@ -319,7 +319,11 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKE
     else:
         rows = rows.select("part", "value", F.lit(0).cast("long").alias("unit"), "fp")
     keys = ["part", "value", "unit"]
-    return _verified(rows.repartition(*keys).sortWithinPartitions(*keys), keys, radius).distinct()
+    found = _verified(rows.repartition(*keys).sortWithinPartitions(*keys), keys, radius)
+    # Buckets have leasts of their own: a member is linked with the least of these, and so are they. No member has more of
+    # them than probes.
+    leasts = found.groupBy("b").agg(F.collect_set("a").alias("leasts")).withColumn("least", F.array_min("leasts"))
+    return leasts.select(F.col("least").alias("a"), F.explode(F.array_append("leasts", F.col("b"))).alias("b")).where("a <> b").distinct()
 
 
 def near_duplicate_classes(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -472,6 +476,17 @@ def _banded(members: DataFrame, words: int) -> DataFrame:
     return members.select("class", "node", "text").mapInArrow(lean(run), "class long, key long, node long")
 
 
+def _shared_bands(keys: DataFrame) -> DataFrame:
+    """(a, b): links whose components are those of members (class, key, node) that share a key. The least node of each key
+    leads it; a member is linked with the least of its keys' leaders, and so are these leaders: about one link for each
+    member of a group that shares its keys."""
+    keys = written(keys)
+    leaders = keys.groupBy("class", "key").agg(F.min("node").alias("leader"))
+    led = written(keys.join(leaders, ["class", "key"]).select("node", "leader"))
+    first = led.groupBy("node").agg(F.min("leader").alias("b"))
+    return first.select(F.col("node").alias("a"), "b").union(led.join(first, "node").select(F.col("leader").alias("a"), "b")).distinct()
+
+
 def _middles(members: DataFrame) -> DataFrame:
     """(class, n, bytes, middle) of (class, size, f0): the majority of each bit of the class's fingerprints."""
     bit = lambda i: F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")
@@ -525,10 +540,7 @@ def staying(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     gone = settle(texts(sized.where(fits).select("id", c("class").alias("unit"), F.lit(OPEN).alias("mode"), "d")))
     large = sized.where(~fits)
     if not large.isEmpty():
-        keys = _banded(texts(large.select("id", "class", "node")), words)
-        met = written(keys)
-        least = met.groupBy("class", "key").agg(F.min("node").alias("b"))
-        parts = star_components(met.join(least, ["class", "key"]).select(F.col("node").alias("a"), "b"))
+        parts = star_components(_shared_bands(_banded(texts(large.select("id", "class", "node")), words)))
         apart = written(ordered(large.select("node", "id", "size", "f0").join(parts.select("node", c("root").alias("class")), "node").select("class", "node", "id", "size", "f0")))
         gone = gone.union(settle(texts(apart.where(fits).select("id", c("class").alias("unit"), F.lit(OPEN).alias("mode"), "d"))))
         left = Table(apart.where(~fits).select("class", "id", "size", "d"))
