@@ -183,7 +183,7 @@ ORACLE_SQL = {
       SELECT case_id, CASE WHEN r AND lie THEN 'rejected' ELSE 'approved' END AS final_disposition, 'Procedure ended at terminal step ''' || CASE WHEN r AND lie THEN 'rejected' ELSE 'approved' END || '''' AS reason,
       CAST(CASE WHEN r THEN 5 ELSE 3 END AS BIGINT) AS round_count, CAST(CASE WHEN r THEN 3 ELSE 2 END AS BIGINT) AS n_verdicts, CASE WHEN r THEN 'check_invoice>fix_invoice>check_invoice>check_terms>' ELSE 'check_invoice>check_terms>' END || CASE WHEN r AND lie THEN 'rejected' ELSE 'approved' END AS steps FROM x""",
     "q_escalations": "SELECT l_orderkey AS case_id, l_returnflag AS statute, count(*) AS n, CASE WHEN l_returnflag = 'R' THEN 'block' ELSE 'flag' END AS action FROM lineitem GROUP BY l_orderkey, l_returnflag HAVING count(*) > CASE WHEN l_returnflag = 'N' THEN 4 ELSE 2 END",
-    "u_judge_udf": "SELECT conv_id, turn, text = upper(text) AND text <> lower(text) AS refuted FROM conversations",
+    "u_judge_udf": "SELECT conv_id, turn, length(text) < 60 AS refuted FROM conversations",
     "s_tumbling": _WINDOWS.format(start="date_trunc('day', ts)", rows="events"),
     "s_sliding": _WINDOWS.format(start="w", rows="(SELECT *, unnest([time_bucket(INTERVAL '12 hours', ts, TIMESTAMP '2000-01-01'), time_bucket(INTERVAL '12 hours', ts, TIMESTAMP '2000-01-01') - INTERVAL '12 hours']) AS w FROM events)"),
     "s_session": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

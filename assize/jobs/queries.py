@@ -352,10 +352,10 @@ def q_adjudicate_audit(spark, sf_dir):
 
 
 def u_judge_udf(spark, sf_dir):
-    """A deterministic judge in Python batches: refutes what shouts."""
+    """A deterministic judge in Python batches: refutes what is too short to be judged."""
 
     def judge(prompts: list[str]) -> list[str]:
-        return ["Refuted" if p.isupper() else "Not Refuted" for p in prompts]
+        return ["Refuted" if len(p) < 60 else "Not Refuted" for p in prompts]
 
     prepare(spark)
     rows = judge_with(table(spark, sf_dir, "conversations").select("conv_id", "turn", c("text").alias("prompt")), judge)

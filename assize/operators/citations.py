@@ -34,22 +34,44 @@ def failures(verified: DataFrame, case: str = "case_id", order: str = "pos") ->
     return verified.groupBy(case).agg(F.bool_and("verified").alias("all_verified"), F.transform(F.sort_array(F.collect_list(message)), lambda x: x["m"]).alias("messages"))
 
 
+#: Snippets without a whole word inside have no key: so many of them at most are broadcast and compared with every text.
+KEYLESS = 1000
+
+
 def contained(texts: DataFrame, snippets: DataFrame, text_id: str, text: str, snippet_id: str, snippet: str, words: int = 5) -> DataFrame:
     """(text_id, snippet_id) for every snippet that occurs in a text, whatever their keys.
 
-    Instead of comparing every text with every snippet, both meet on word shingles: a snippet is looked up by the rarest
-    whole run of `words` words inside it that no text boundary can cut, and each meeting is verified on the whole snippet.
-    Snippets with fewer whole words than that are few and compared directly."""
+    Instead of comparing every text with every snippet, both meet on runs of words: a snippet is looked up by one run of
+    `words` whole words inside it that no text boundary can cut, or by its longest whole word if it has fewer. Only hashes
+    and ids meet there; the texts join the candidates afterwards, and each candidate is verified on the whole snippet.
+    Snippets without a whole word inside are compared directly, and raise ValueError if there are more than KEYLESS."""
     c = F.col
     space = r"[\s\x1c-\x1f\x85\p{Z}]+"
     inner = lambda x: F.filter(F.split(x, space), lambda w: w != "")
     # Words at a snippet's ends may be parts of longer words in a text.
     whole = F.slice(inner(c(snippet)), F.lit(2), F.greatest(F.size(inner(c(snippet))) - 2, F.lit(0)))
-    some = snippets.where(c(snippet) != "").select(c(snippet_id), c(snippet).alias("_s"), whole.alias("_w"))
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (words - 1)), lambda i: F.xxhash64(F.slice(w, i, words)))
-    keyed = some.where(F.size("_w") >= words).select(snippet_id, "_s", F.array_min(runs(c("_w"))).alias("_k"))
-    held = texts.select(text_id, c(text).alias("_t"), inner(c(text)).alias("_w")).where(F.size("_w") >= words).select(text_id, "_t", F.explode(F.array_distinct(runs(c("_w")))).alias("_h"))
-    met = held.join(keyed, c("_h") == c("_k")).where(F.contains("_t", c("_s"))).select(text_id, snippet_id)
-    short = some.where(F.size("_w") < words).select(snippet_id, "_s")
-    direct = texts.select(text_id, c(text).alias("_t")).join(short, F.contains(c("_t"), c("_s"))).select(text_id, snippet_id)
-    return met.unionByName(direct).distinct()
+    some = snippets.where(c(snippet) != "").select(c(snippet_id).alias("sid"), c(snippet).alias("s"), whole.alias("w"))
+    counts = some.agg(F.count_if((F.size("w") > 0) & (F.size("w") < words)).alias("short"), F.count_if(F.size("w") == 0).alias("keyless")).first()
+    if counts["keyless"] > KEYLESS:
+        raise ValueError(f"{counts['keyless']} snippets have no whole word inside, more than {KEYLESS}")
+    held = texts.select(c(text_id).alias("tid"), c(text).alias("t"))
+
+    def candidates(of_texts, of_snippets: DataFrame) -> DataFrame:
+        keyed = held.select("tid", F.explode(F.array_distinct(of_texts(inner(c("t"))))).alias("k"))
+        return keyed.join(of_snippets, "k").select("tid", "sid")
+
+    def runs(w):
+        each = F.when(F.size(w) >= words, F.sequence(F.lit(0), F.size(w) - words)).otherwise(F.array().cast("array<int>"))
+        # A word is hashed once, a run by the hashes of its words.
+        return F.element_at(F.transform(F.array(F.transform(w, lambda x: F.xxhash64(x))), lambda h: F.transform(each, lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(words))))), 1)
+
+    met = candidates(runs, some.where(F.size("w") >= words).select("sid", F.array_min(runs(c("w"))).alias("k")))
+    if counts["short"]:
+        longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+        met = met.union(candidates(lambda w: F.transform(w, lambda x: F.xxhash64(x)), some.where((F.size("w") > 0) & (F.size("w") < words)).select("sid", F.xxhash64(longest).alias("k"))))
+    met = met.distinct().select(c("tid").alias("_tid"), c("sid").alias("_sid"))
+    known = some.select("sid", "s")
+    found = held.join(met, c("tid").eqNullSafe(c("_tid"))).join(known, c("sid").eqNullSafe(c("_sid"))).where(F.contains("t", c("s"))).select("tid", "sid")
+    if counts["keyless"]:
+        found = found.union(held.join(F.broadcast(some.where(F.size("w") == 0).select("sid", "s")), F.contains(c("t"), c("s"))).select("tid", "sid"))
+    return found.distinct().select(c("tid").alias(text_id), c("sid").alias(snippet_id))
