@@ -113,9 +113,33 @@ result AS (SELECT case_id, coalesce(disposition, 'max_rounds') AS final_disposit
 """
 
 
-_MODERATION = "('review_content','not_refuted','approved'),('review_content','refuted','classify_severity'),('review_content','blocked','blocked'),('classify_severity','not_refuted','warned'),('classify_severity','refuted','blocked'),('classify_severity','blocked','blocked')"
+_DESK = "('facts','not_refuted','tone'),('facts','refuted','facts'),('facts','blocked','withheld'),('tone','not_refuted','published'),('tone','refuted','facts'),('tone','blocked','withheld')"
 _RETRY = "('review','not_refuted','review'),('review','refuted','review'),('review','blocked','review')"
-_LAW = ["## APPLICABLE STATUTES", "### hate_speech: Content must not contain hate speech targeting protected groups.", "Required evidence: content", "Violations to check:", "  - slur (critical): Use of recognized slurs", "Default to reject: True", ""]
+_LAW = ["## APPLICABLE STATUTES", "### sourced: Every claim can be found in the text.", "Required evidence: content", "Violations to check:", "  - bare_claim (major): A claim that nothing supports", "Default to reject: True", ""]
+
+#: The live hearing by recursion: what the judge says goes by the first word's length, the step and the gaps so far.
+_LIVE = f"""
+WITH RECURSIVE edges(cur, outcome, nxt) AS (VALUES {_DESK}),
+word AS (SELECT conv_id AS case_id, length(regexp_extract(text, '[A-Za-z]+', 0)) AS n FROM conversations WHERE turn = 0),
+state AS (
+  SELECT case_id, n, 'facts' AS step, 0 AS round, 0 AS k, 0 AS gaps, '' AS last, 0 AS run, CAST(NULL AS VARCHAR) AS disposition, '' AS reason, '' AS steps FROM word
+  UNION ALL
+  SELECT case_id, n, coalesce(nxt, step), round + 1, CASE WHEN is_code THEN k ELSE k + 1 END, CASE WHEN fp <> '' THEN gaps + 1 ELSE gaps END, CASE WHEN fp <> '' THEN fp ELSE last END, now_run,
+    CASE WHEN is_code THEN step WHEN fp <> '' AND now_run >= 2 THEN 'stalled' END,
+    CASE WHEN is_code THEN 'Procedure ended at terminal step ''' || step || '''' WHEN fp <> '' AND now_run >= 2 THEN 'Same gap fingerprint appeared ' || CAST(now_run AS VARCHAR) || ' consecutive times' ELSE '' END,
+    steps || CASE WHEN steps = '' THEN '' ELSE '>' END || step
+  FROM (SELECT b.*, e.nxt FROM (SELECT a.*, CASE WHEN fp = '' THEN run WHEN fp = last THEN run + 1 ELSE 1 END AS now_run FROM
+      (SELECT s.*, CASE WHEN NOT refuted THEN '' WHEN n % 5 = 0 THEN 'd0' ELSE 'd' || CAST(gaps % 2 AS VARCHAR) END AS fp FROM
+        (SELECT *, step IN ('published', 'withheld') AS is_code, CASE step WHEN 'facts' THEN (n + gaps) % 2 = 1 WHEN 'tone' THEN n % 3 = 0 AND gaps < 2 ELSE false END AS refuted FROM state WHERE disposition IS NULL AND round < 5) s) a) b
+    LEFT JOIN edges e ON e.cur = b.step AND e.outcome = CASE WHEN b.n = 0 THEN 'blocked' WHEN b.refuted THEN 'refuted' ELSE 'not_refuted' END)),
+result AS (SELECT case_id, coalesce(disposition, 'max_rounds') AS final_disposition, CASE WHEN disposition IS NULL THEN 'Procedure did not converge within 5 rounds' ELSE reason END AS reason,
+  CAST(round AS BIGINT) AS round_count, CAST(k AS BIGINT) AS n_verdicts, steps FROM state WHERE disposition IS NOT NULL OR round = 5)
+"""
+
+_PARTS = """
+WITH book AS (SELECT p_partkey AS ord, 'part ' || CAST(p_partkey AS VARCHAR) AS name, CASE WHEN p_size = 1 THEN '' ELSE 'rule of ' || p_type END AS description, CASE WHEN p_size = 1 THEN '' ELSE p_brand END AS required_evidence,
+  p_size = 1 OR p_size % 2 = 0 AS default_to_reject FROM part)
+"""
 
 
 def _line(text: str) -> str:
@@ -150,12 +174,23 @@ ORACLE_SQL = {
     "q_benchmark_contained": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''",
     "q_evidence_override": _V + "SELECT doc_id, blocking OR why <> '' AS blocking, CASE WHEN why <> '' THEN 'Evidence insufficient: ' || why ELSE note END AS note FROM w",
     "q_citation_override": _V + "SELECT doc_id, untrue, refuted AS before, refuted OR why <> '' OR untrue AS after FROM w",
+    "q_latest_sources": "SELECT user_id AS case_id, event_type AS source, arg_max(props, (ts, event_id)) AS content FROM events GROUP BY ALL",
+    "q_confidence_gate": _V + """SELECT doc_id, doc_id % 3 = 2 OR list_position(['unknown', 'low', 'medium', 'high'], confidence) >= CASE doc_id % 3 WHEN 0 THEN 4 ELSE 3 END AS confident FROM w""",
+    "q_statute_blocking": _V + "SELECT doc_id, blocking AND quality = 1 AS blocks FROM w",
+    "q_uncited": _FINDINGS + "SELECT l_orderkey, count(*) FILTER (WHERE tok LIKE 'A:%') = 0 AND count(*) FILTER (WHERE NOT blank) > 1 AS uncited FROM f WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey",
+    "q_panel": _V + "SELECT doc_id // 5 AS case_id, count(*) AS n, bool_or(refuted AND confidence = 'high' AND NOT blocking) OR 2 * count(*) FILTER (WHERE refuted) >= count(*) AS refuted, bool_or(refuted AND confidence = 'high' AND NOT blocking) AS settled FROM w GROUP BY ALL",
+    "q_catalog_get": _BOOK + "SELECT s_suppkey, s_suppkey % 3 <> 0 AS known, CASE WHEN s_suppkey % 3 <> 0 THEN description END AS description FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN book ON n_name = name",
+    "q_catalog_size": "SELECT count(*) AS n FROM part",
     "q_statute_upsert": "SELECT p_brand AS name, min(p_partkey) AS ord, arg_max(p_type, p_partkey) AS p_type, arg_max(p_size, p_partkey) AS p_size FROM part GROUP BY p_brand",
     "q_statute_lookup": _BOOK + ", s AS (SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT s_suppkey, CAST(pos AS BIGINT) AS pos, name, default_to_reject FROM s CROSS JOIN (VALUES (0), (2)) p(pos) JOIN book ON n_name = name",
-    "q_statute_roundtrip": _BOOK + "SELECT ord, name, description, required_evidence, CAST(3 AS BIGINT) AS max_violations, 'block' AS action, default_to_reject, true AS blocking FROM book",
+    "q_statute_roundtrip": _PARTS + "SELECT CAST(ord AS INTEGER) AS ord, name, description, required_evidence, CAST(3 AS BIGINT) AS max_violations, 'block' AS action, default_to_reject, true AS blocking FROM book",
     "q_statute_names": _BOOK + "SELECT CAST(row_number() OVER (ORDER BY ord) - 1 AS INTEGER) AS ord, name FROM book",
-    "q_transitions": _GRAPH + """, one AS (SELECT DISTINCT cur, outcome, nxt FROM edges WHERE procedure = '1'), e AS (SELECT event_id, event_type, CASE WHEN event_id % 2 = 0 THEN 'view' ELSE 'click' END AS outcome FROM events)
-      SELECT event_id, nxt, coalesce(nxt, event_type) AS stays_or_next FROM e LEFT JOIN one ON e.event_type = one.cur AND e.outcome = one.outcome""",
+    "q_transitions": _GRAPH + """, e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS own, event_type, CASE WHEN event_id % 2 = 0 THEN 'view' ELSE 'click' END AS outcome FROM events)
+      SELECT event_id, nxt, coalesce(nxt, event_type) AS stays_or_next FROM e LEFT JOIN edges ON e.own = edges.procedure AND e.event_type = edges.cur AND e.outcome = edges.outcome""",
+    "q_procedure_json": _GRAPH + """, t AS (SELECT procedure, cur, string_agg('"' || outcome || '":"' || nxt || '"', ',' ORDER BY outcome) AS j FROM edges GROUP BY ALL),
+      p AS (SELECT s.procedure, min(step) AS first, string_agg('{"name":"' || step || '","kind":"JUDGMENT","statutes":["law of ' || step || '"],"transitions":{' || coalesce(j, '') || '}}', ',' ORDER BY step) AS l FROM steps s LEFT JOIN t ON s.procedure = t.procedure AND s.step = t.cur GROUP BY s.procedure)
+      SELECT procedure, '{"name":"' || procedure || '","initial_step":"' || first || '","max_rounds":10,"stall_threshold":2,"steps":[' || l || ']}' AS json FROM p""",
+    "q_procedure_load": _GRAPH + "SELECT s.procedure, s.step, 'JUDGMENT' AS kind, 'law of ' || s.step AS statutes, outcome, nxt FROM steps s LEFT JOIN edges e ON s.procedure = e.procedure AND s.step = e.cur",
     "q_terminal_steps": _GRAPH + "SELECT procedure, step FROM steps s WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.procedure = s.procedure AND e.cur = s.step)",
     "q_procedure_lint": _GRAPH + """SELECT procedure, cur AS step, 'unknown target' AS problem, nxt AS name FROM edges e WHERE NOT EXISTS (SELECT 1 FROM steps s WHERE s.procedure = e.procedure AND s.step = e.nxt)
       UNION ALL SELECT procedure, step, 'unknown statute', 'law of ' || step FROM steps WHERE step = 'error'""",
@@ -176,12 +211,15 @@ ORACLE_SQL = {
       SELECT conv_id, sha256(x) AS packet_sha256 FROM p""",
     "q_truncate": "WITH t AS (SELECT doc_id, CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || chr(10) || '... (truncated)' ELSE text END AS x FROM documents) SELECT doc_id, CAST(length(x) AS BIGINT) AS n_chars, sha256(x) AS cut_sha256 FROM t",
     "q_mock_responses": f"WITH {_SAID} SELECT f.conv_id AS case_id, CAST(i AS BIGINT) AS call_idx, t.raw IS NULL AS used_up, sha256(coalesce(t.raw, d.raw)) AS raw_sha256 FROM first f CROSS JOIN range(0, 10) r(i) CROSS JOIN default_ d LEFT JOIN texts t ON f.conv_id = t.case_id AND i = t.call_idx",
-    "q_adjudicate_moderation": _hearing(_MODERATION, "review_content", 5, 2, True) + "SELECT case_id, final_disposition, reason, round_count, n_verdicts, steps FROM result",
+    "q_adjudicate_moderation": _hearing(_DESK, "facts", 5, 2, True) + "SELECT case_id, final_disposition, reason, round_count, n_verdicts, steps FROM result",
     "q_max_rounds": _hearing(_RETRY, "review", 3, 99, False) + "SELECT case_id, final_disposition, reason, round_count, n_verdicts, steps FROM result",
-    "q_disposition_summary": _hearing(_MODERATION, "review_content", 5, 2, True) + "SELECT final_disposition, count(*) AS n, CAST(sum(round_count) AS BIGINT) AS rounds, CAST(sum(n_verdicts) AS BIGINT) AS calls FROM result GROUP BY final_disposition",
+    "q_disposition_summary": _hearing(_DESK, "facts", 5, 2, True) + "SELECT final_disposition, count(*) AS n, CAST(sum(round_count) AS BIGINT) AS rounds, CAST(sum(n_verdicts) AS BIGINT) AS calls FROM result GROUP BY final_disposition",
     "q_adjudicate_audit": """WITH x AS (SELECT o_orderkey AS case_id, coalesce(r, false) AS r, o_orderkey % 5 = 0 AS lie FROM orders LEFT JOIN (SELECT l_orderkey, bool_or(l_returnflag = 'R') AS r FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)
       SELECT case_id, CASE WHEN r AND lie THEN 'rejected' ELSE 'approved' END AS final_disposition, 'Procedure ended at terminal step ''' || CASE WHEN r AND lie THEN 'rejected' ELSE 'approved' END || '''' AS reason,
       CAST(CASE WHEN r THEN 5 ELSE 3 END AS BIGINT) AS round_count, CAST(CASE WHEN r THEN 3 ELSE 2 END AS BIGINT) AS n_verdicts, CASE WHEN r THEN 'check_invoice>fix_invoice>check_invoice>check_terms>' ELSE 'check_invoice>check_terms>' END || CASE WHEN r AND lie THEN 'rejected' ELSE 'approved' END AS steps FROM x""",
+    "q_adjudicate_live": _LIVE + "SELECT case_id, final_disposition, reason, round_count, n_verdicts, steps FROM result",
+    "q_no_backend": "SELECT conv_id AS case_id, 'withheld' AS final_disposition, 'Procedure ended at terminal step ''withheld''' AS reason, CAST(2 AS BIGINT) AS round_count, CAST(1 AS BIGINT) AS n_verdicts, 'facts>withheld' AS steps FROM conversations WHERE turn = 0",
+    "q_no_procedure": "SELECT conv_id AS case_id, 'rejected' AS final_disposition, 'No procedure defined' AS reason, CAST(0 AS BIGINT) AS round_count, CAST(0 AS BIGINT) AS n_verdicts, '' AS steps FROM conversations WHERE turn = 0",
     "q_escalations": "SELECT l_orderkey AS case_id, l_returnflag AS statute, count(*) AS n, CASE WHEN l_returnflag = 'R' THEN 'block' ELSE 'flag' END AS action FROM lineitem GROUP BY l_orderkey, l_returnflag HAVING count(*) > CASE WHEN l_returnflag = 'N' THEN 4 ELSE 2 END",
     "u_judge_udf": "SELECT conv_id, turn, length(text) < 60 AS refuted FROM conversations",
     "s_tumbling": _WINDOWS.format(start="date_trunc('day', ts)", rows="events"),
@@ -189,5 +227,10 @@ ORACLE_SQL = {
     "s_session": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
       h AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM h GROUP BY user_id, s""",
     "s_dedup": "SELECT DISTINCT event_id, user_id, event_type FROM events",
+    "s_late": """WITH m AS (SELECT max(ts) FILTER (WHERE event_id % 10 <> 0) - INTERVAL '1 hour' AS first_mark, max(ts) - INTERVAL '1 hour' AS last_mark FROM events),
+      e AS (SELECT *, date_trunc('day', ts) + INTERVAL '1 day' AS closes FROM events, m)
+      SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM e
+      WHERE closes <= last_mark AND (event_id % 10 <> 0 OR closes > first_mark) GROUP BY ALL""",
+    "s_stall_batches": _stall("event_type", 2) + "SELECT user_id, event_id, run FROM hits",
     "s_stall": _stall("event_type", 2) + "SELECT user_id, event_id, run FROM hits",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from assize.functions.evidence import all_cited, evidence_reason, judgment_promp
 from assize.functions.text import json_body, terminal_token, truncated
 from assize.functions.verdicts import blocking_kind, confidence, decisive, fingerprint, is_blank_finding, parse_verdict, prepare, route, terminal_disposition, verdict_json
 from assize.operators import catalog, citations, extensions, procedure, stalls
-from assize.operators.adjudicate import DEFAULT_RESPONSE, Rules, Statute, adjudicate, judge_with, overridden
+from assize.operators.adjudicate import DEFAULT_RESPONSE, Rules, Statute, adjudicate, adjudicate_live, judge_with, overridden
 from assize.operators.procedure import CODE, JUDGMENT, Procedure, Step, set_key
 from assize.sources.tables import conversation_cases, conversation_responses, judge_texts, order_citations, order_findings, table
 from assize.streaming import events as streams
@@ -18,18 +20,19 @@ c = F.col
 
 # ---------------------------------------------------------------- rules used by the queries
 
-MODERATION = Procedure(
-    "content_moderation",
+#: Facts first, then tone; a gap found in either sends the text back to the facts.
+DESK = Procedure(
+    "desk",
     (
-        Step("review_content", JUDGMENT, ("hate_speech",), {"not_refuted": "approved", "refuted": "classify_severity", "blocked": "blocked"}),
-        Step("classify_severity", JUDGMENT, ("hate_speech",), {"not_refuted": "warned", "refuted": "blocked", "blocked": "blocked"}),
-        Step("approved", CODE),
-        Step("warned", CODE),
-        Step("blocked", CODE),
+        Step("facts", JUDGMENT, ("sourced",), {"not_refuted": "tone", "refuted": "facts", "blocked": "withheld"}),
+        Step("tone", JUDGMENT, ("measured",), {"not_refuted": "published", "refuted": "facts", "blocked": "withheld"}),
+        Step("published", CODE),
+        Step("withheld", CODE),
     ),
     max_rounds=5,
 )
-MODERATION_RULES = Rules(MODERATION, (Statute("hate_speech", "Content must not contain hate speech targeting protected groups.", ("content",), True, (("slur", "critical", "Use of recognized slurs"),)),))
+SOURCED = Statute("sourced", "Every claim can be found in the text.", ("content",), True, (("bare_claim", "major", "A claim that nothing supports"),))
+DESK_RULES = Rules(DESK, (SOURCED, Statute("measured", "The text keeps a level tone.", ("content",))))
 LOOP_RULES = Rules(Procedure("retry", (Step("review", JUDGMENT, (), {"not_refuted": "review", "refuted": "review", "blocked": "review"}),), max_rounds=3, stall_threshold=99))
 AUDIT = Procedure(
     "order_audit",
@@ -164,6 +167,37 @@ def q_citation_override(spark, sf_dir):
     return _overridden(spark, sf_dir).select("doc_id", (~true).alias("untrue"), c("v.refuted").alias("before"), c("o.refuted").alias("after"))
 
 
+def q_latest_sources(spark, sf_dir):
+    """Cases are users, sources their event types: of each, the content that came last."""
+    rows = table(spark, sf_dir, "events").select(c("user_id").alias("case_id"), c("event_type").alias("source"), c("props").alias("content"), F.struct("ts", "event_id").alias("ord"))
+    return citations.latest_sources(rows).select("case_id", "source", "content")
+
+
+# ---------------------------------------------------------------- declared rules beyond the rounds
+
+
+def q_confidence_gate(spark, sf_dir):
+    least = F.when(c("doc_id") % 3 == 0, "high").when(c("doc_id") % 3 == 1, "medium")
+    return _parsed(spark, sf_dir).select("doc_id", extensions.confident(c("v"), least).alias("confident"))
+
+
+def q_statute_blocking(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("doc_id", extensions.blocks(c("v"), c("quality") == 1).alias("blocks"))
+
+
+def q_uncited(spark, sf_dir):
+    """An order cites its invoice lines and claims its lines: more than one claim without a citation."""
+    cited = order_citations(spark, sf_dir).select(c("o_orderkey").alias("l_orderkey"), F.filter("refs", lambda r: r["source"] == "invoice").alias("evidence_refs"))
+    claims = order_findings(spark, sf_dir).select("l_orderkey", F.filter("findings", lambda f: ~is_blank_finding(f)).alias("findings"))
+    return claims.join(cited, "l_orderkey").select("l_orderkey", extensions.uncited_claims(F.struct("evidence_refs", "findings"), 1).alias("uncited"))
+
+
+def q_panel(spark, sf_dir):
+    """Five texts that follow one another make a panel."""
+    rows = _parsed(spark, sf_dir).select(F.floor(c("doc_id") / 5).cast("long").alias("case_id"), c("v").alias("verdict"))
+    return extensions.panel(rows).select("case_id", "n", "refuted", "settled")
+
+
 # ---------------------------------------------------------------- catalog
 
 
@@ -172,11 +206,20 @@ def q_statute_upsert(spark, sf_dir):
     return catalog.upserted(rows).select("name", "ord", "p_type", "p_size")
 
 
+def _json_of(key, name, description, region, strict, short):
+    full = F.to_json(F.struct(name.alias("name"), description.alias("description"), F.array(region).alias("required_evidence"), strict.alias("default_to_reject")))
+    return c(key).alias("ord"), F.when(short, F.to_json(F.struct(name.alias("name")))).otherwise(full).alias("json")
+
+
 def _nation_book(spark, sf_dir):
     """A statute for each nation, as JSON: it requires its region's name; nations of region 0 leave most fields out."""
     rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), c("n_regionkey") == c("r_regionkey"))
-    full = F.to_json(F.struct(c("n_name").alias("name"), F.concat(F.lit("rule of "), c("r_name")).alias("description"), F.array("r_name").alias("required_evidence"), (c("n_nationkey") % 2 == 0).alias("default_to_reject")))
-    return rows.select(c("n_nationkey").alias("ord"), F.when(c("n_regionkey") == 0, F.to_json(F.struct(c("n_name").alias("name")))).otherwise(full).alias("json"))
+    return rows.select(*_json_of("n_nationkey", c("n_name"), F.concat(F.lit("rule of "), c("r_name")), c("r_name"), c("n_nationkey") % 2 == 0, c("n_regionkey") == 0))
+
+
+def _part_book(spark, sf_dir):
+    """A statute for each part, as JSON: it requires its brand; parts of size 1 leave most fields out."""
+    return table(spark, sf_dir, "part").select(*_json_of("p_partkey", F.concat(F.lit("part "), c("p_partkey").cast("string")), F.concat(F.lit("rule of "), c("p_type")), c("p_brand"), c("p_size") % 2 == 0, c("p_size") == 1))
 
 
 def q_statute_lookup(spark, sf_dir):
@@ -186,8 +229,20 @@ def q_statute_lookup(spark, sf_dir):
     return catalog.get_all(rows, "names", book).select("s_suppkey", c("pos").cast("long").alias("pos"), c("statute.name").alias("name"), c("statute.default_to_reject").alias("default_to_reject"))
 
 
-def q_statute_roundtrip(spark, sf_dir):
+def q_catalog_get(spark, sf_dir):
+    """Each supplier asks for its nation's statute; every third one for a law that nobody made."""
     book = catalog.statutes_from_json(_nation_book(spark, sf_dir))
+    own = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), c("s_nationkey") == c("n_nationkey"))
+    rows = own.select("s_suppkey", F.when(c("s_suppkey") % 3 == 0, "no such law").otherwise(c("n_name")).alias("asked"))
+    return catalog.get(rows, "asked", book).select("s_suppkey", "known", c("statute.description").alias("description"))
+
+
+def q_catalog_size(spark, sf_dir):
+    return catalog.size(catalog.upserted(catalog.statutes_from_json(_part_book(spark, sf_dir)))).select("n")
+
+
+def q_statute_roundtrip(spark, sf_dir):
+    book = catalog.statutes_from_json(_part_book(spark, sf_dir))
     again = catalog.statutes_from_json(book.select("ord", catalog.statute_json().alias("json")))
     return again.select(
         "ord", "name", "description", F.array_join("required_evidence", "|").alias("required_evidence"), c("escalation.max_violations").cast("long").alias("max_violations"),
@@ -214,10 +269,25 @@ def _event_graphs(spark, sf_dir):
 
 
 def q_transitions(spark, sf_dir):
+    """Every event goes on along its own user's edges."""
     _, edges = _event_graphs(spark, sf_dir)
-    one = edges.where("procedure = '1'").select("cur", "outcome", "nxt").distinct()
-    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.when(c("event_id") % 2 == 0, "view").otherwise("click").alias("outcome"))
-    return procedure.follow(rows, one, "event_type", "outcome").select("event_id", "nxt", "stays_or_next")
+    rows = table(spark, sf_dir, "events").select("event_id", c("user_id").cast("string").alias("own"), "event_type", F.when(c("event_id") % 2 == 0, "view").otherwise("click").alias("outcome"))
+    return procedure.follow(rows, edges, "event_type", "outcome", "own").select("event_id", "nxt", "stays_or_next")
+
+
+def _stored(spark, sf_dir):
+    steps, edges = _event_graphs(spark, sf_dir)
+    limits = steps.groupBy("procedure").agg(F.min("step").alias("initial_step")).withColumns({"max_rounds": F.lit(10), "stall_threshold": F.lit(2)})
+    return procedure.stored(limits, steps.withColumns({"ord": F.lit(0), "kind": F.lit(JUDGMENT)}), edges)
+
+
+def q_procedure_json(spark, sf_dir):
+    return _stored(spark, sf_dir)
+
+
+def q_procedure_load(spark, sf_dir):
+    _, steps, edges = procedure.unstored(_stored(spark, sf_dir))
+    return steps.join(edges.withColumnRenamed("cur", "step"), ["procedure", "step"], "left").select("procedure", "step", "kind", F.array_join("statutes", "|").alias("statutes"), "outcome", "nxt")
 
 
 def q_terminal_steps(spark, sf_dir):
@@ -282,7 +352,7 @@ def q_prompt(spark, sf_dir):
     rows = _per_conversation(spark, sf_dir)
     fields = F.transform("turns", lambda t, i: F.struct(F.when(i == 0, F.lit("objective")).otherwise(F.concat(t["role"], t["turn"].cast("string"))).alias("name"), t["text"].alias("value")))
     gaps = F.transform("turns", lambda t: F.struct(t["role"].alias("kind"), t["turn"].cast("string").alias("location"), F.substring(t["text"], 1, 20).alias("detail")))
-    s = MODERATION_RULES.statutes[0]
+    s = DESK_RULES.statutes[0]
     law = F.array(F.struct(
         F.lit(s.name).alias("name"), F.lit(s.description).alias("description"), F.array(*map(F.lit, s.required_evidence)).alias("required_evidence"), F.lit(s.default_to_reject).alias("default_to_reject"),
         F.array(*(F.struct(F.lit(n).alias("name"), F.lit(v).alias("severity"), F.lit(d).alias("description")) for n, v, d in s.violations)).alias("violations"),
@@ -322,7 +392,7 @@ def _result(rows):
 
 
 def q_adjudicate_moderation(spark, sf_dir):
-    return _result(_moderated(spark, sf_dir, MODERATION_RULES))
+    return _result(_moderated(spark, sf_dir, DESK_RULES))
 
 
 def q_max_rounds(spark, sf_dir):
@@ -330,7 +400,7 @@ def q_max_rounds(spark, sf_dir):
 
 
 def q_disposition_summary(spark, sf_dir):
-    return _moderated(spark, sf_dir, MODERATION_RULES).groupBy("final_disposition").agg(F.count("*").alias("n"), F.sum("round_count").alias("rounds"), F.sum("n_verdicts").alias("calls"))
+    return _moderated(spark, sf_dir, DESK_RULES).groupBy("final_disposition").agg(F.count("*").alias("n"), F.sum("round_count").alias("rounds"), F.sum("n_verdicts").alias("calls"))
 
 
 def q_adjudicate_audit(spark, sf_dir):
@@ -351,6 +421,32 @@ def q_adjudicate_audit(spark, sf_dir):
     return _result(adjudicate(cases, responses, AUDIT_RULES))
 
 
+def _reviewer(prompts: list[str]) -> list[str]:
+    """A judge by rule: the length of the content's first word and the gaps told so far decide what it says."""
+    out = []
+    for p in prompts:
+        word = re.search("[A-Za-z]*", re.search("### content\n[^A-Za-z]*(.*)", p, re.S)[1])[0]
+        gaps = len(re.findall(r"^- \[gap\]", p, re.M))
+        refuted = (len(word) + gaps) % 2 == 1 if "### sourced:" in p else len(word) % 3 == 0 and gaps < 2
+        detail = "d0" if len(word) % 5 == 0 else f"d{gaps % 2}"
+        found = f'[{{"kind": "gap", "location": "t0", "detail": "{detail}"}}]' if refuted else "[]"
+        out.append(f'{{"refuted": {str(refuted).lower()}, "evidence_refs": [{{"source": "content", "snippet": "{word}"}}], "findings": {found}, "reasoning": "read"}}')
+    return out
+
+
+def q_adjudicate_live(spark, sf_dir):
+    """A judge that is asked round by round, and hears of the gaps it has found."""
+    return _result(adjudicate_live(conversation_cases(spark, sf_dir), DESK_RULES, _reviewer))
+
+
+def q_no_backend(spark, sf_dir):
+    return _result(adjudicate_live(conversation_cases(spark, sf_dir), DESK_RULES, None))
+
+
+def q_no_procedure(spark, sf_dir):
+    return _result(adjudicate(conversation_cases(spark, sf_dir), conversation_responses(spark, sf_dir), None))
+
+
 def u_judge_udf(spark, sf_dir):
     """A deterministic judge in Python batches: refutes what is too short to be judged."""
 
@@ -393,6 +489,19 @@ def s_stall(spark, sf_dir):
     return streams.drained(streams.stalled_events(streams.event_stream(spark, sf_dir)), "append").select("user_id", "event_id", c("run").cast("long").alias("run"))
 
 
+def s_late(spark, sf_dir):
+    """Every tenth event is delivered after all others: those whose day the watermark has closed come too late."""
+    rows = table(spark, sf_dir, "events")
+    return streams.delivered([rows.where("event_id % 10 <> 0"), rows.where("event_id % 10 = 0")], streams.tumbling_counts)
+
+
+def s_stall_batches(spark, sf_dir):
+    """The first half of the time, then the second: a user's run goes on from one delivery to the next."""
+    rows = table(spark, sf_dir, "events")
+    half = F.expr("timestamp_ntz '2024-01-15 00:00:00'")
+    return streams.delivered([rows.where(c("ts") < half), rows.where(c("ts") >= half)], streams.stalled_events).select("user_id", "event_id", c("run").cast("long").alias("run"))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[:2] in ("q_", "s_", "u_")}
 
 

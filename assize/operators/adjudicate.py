@@ -20,6 +20,7 @@ from assize.functions.text import let
 from assize.functions.verdicts import FINDING, VERDICT, fingerprint, is_blank_finding, parse_verdict, plain_verdict, prepare, route, terminal_disposition
 from assize.operators.procedure import CODE, JUDGMENT, Procedure
 from assize.operators.stalls import run_step
+from assize.sources.shared import kept
 
 #: What a scripted judge says once its responses are used up (a fixed text of the format).
 DEFAULT_RESPONSE = (
@@ -245,10 +246,10 @@ def prompt_of(rules: Rules, state: Column, order: tuple[str, ...] = ()) -> Colum
 def adjudicate_live(cases: DataFrame, rules: Rules, judge: Callable[[list[str]], list[str]] | None, case: str = "case_id", order: tuple[str, ...] = (), keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Results of `cases` under a live judge, round by round; None judges nothing and blocks (finding no_llm).
 
-    `keep` makes a round's answers durable (by default a checkpoint; the session needs spark.checkpoint.dir): cases that are
-    decided leave the loop, and no task that is run again asks the judge again."""
+    `keep` makes a round's answers durable (by default a table in the shared folder): cases that are decided leave the loop,
+    which ends once none is open, and no task that is run again asks the judge again."""
     prepare(cases.sparkSession)
-    keep = keep or (lambda df: df.checkpoint(eager=True))
+    keep = keep or kept
     s = F.col("state")
     rows = cases.select(case, opened(rules, F.col("data")).alias("state"))
     done = None
@@ -267,4 +268,6 @@ def adjudicate_live(cases: DataFrame, rules: Rules, judge: Callable[[list[str]],
         decided = rows.where(s["disposition"].isNotNull())
         done = decided if done is None else done.unionByName(decided)
         rows = rows.where(s["disposition"].isNull())
+        if rows.isEmpty():
+            break
     return closed(rules, rows if done is None else done.unionByName(rows), case)

@@ -67,3 +67,15 @@ def get_all(rows: DataFrame, names: str, statutes: DataFrame) -> DataFrame:
     wanted = rows.select("*", F.posexplode(names).alias("pos", "_name"))
     law = statutes.select(F.col("name").alias("_law"), F.struct(*_NAMES).alias("statute"))
     return wanted.join(law, F.col("_name") == F.col("_law")).drop("_name", "_law")
+
+
+def get(rows: DataFrame, name: str, statutes: DataFrame) -> DataFrame:
+    """`rows` with `known`, whether the catalog has the statute that the column `name` names, and its columns as `statute`
+    (null if it doesn't). Null names are unknown."""
+    law = statutes.select(F.col("name").alias("_law"), F.struct(*_NAMES).alias("statute"))
+    return rows.drop("statute", "known").join(law, F.col(name) == F.col("_law"), "left").withColumn("known", F.col("_law").isNotNull()).drop("_law")
+
+
+def size(statutes: DataFrame) -> DataFrame:
+    """One row: how many statutes the catalog has; 0 for an empty one."""
+    return statutes.agg(F.count("*").alias("n"))

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-
+from assize.sources.shared import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder where the cluster keeps checkpoints; of this machine only if the session names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="assize-stream-")).as_uri()
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1000) -> DataFrame:
@@ -27,10 +20,12 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1000)
     return rows.withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream has written once its present input is used up, as a batch. In complete mode, its last answer."""
+def drained(stream: DataFrame, mode: str, out: str | None = None) -> DataFrame:
+    """What a stream has written once its present input is used up, as a batch. In complete mode, its last answer.
+
+    With the folder of an earlier call as `out`, the stream goes on from that call's state."""
     spark = stream.sparkSession
-    out = shared_folder(spark)
+    out = out or shared_folder(spark)
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/rows" if mode == "complete" else f"{out}/rows/epoch={epoch}")
@@ -40,6 +35,18 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/rows").select(stream.columns)
 
 
+def delivered(parts: list[DataFrame], job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `job` has appended after each of `parts` (rows of EVENT) was delivered and used up in turn: its state and its
+    watermark go on from one delivery to the next."""
+    spark = parts[0].sparkSession
+    at, out, rows = shared_folder(spark), shared_folder(spark), None
+    for part in parts:
+        part.select(*(f.split(" ")[0] for f in EVENT.split(", "))).write.mode("append").parquet(at)
+        stream = spark.readStream.schema(EVENT).parquet(at).withColumn("at", F.col("ts").cast("timestamp"))
+        rows = drained(job(stream), "append", out)
+    return rows
+
+
 def tumbling_counts(events: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Events and their value by tumbling window and type."""
     return _windowed(events.withWatermark("at", late), F.window("at", size))

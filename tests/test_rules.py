@@ -113,25 +113,31 @@ def test_book_json_round_trip(spark):
 P = Procedure("p", (Step("a", JUDGMENT, ("law",), {"refuted": "b", "not_refuted": "c"}), Step("b", CODE, (), {"done": "a", "other": "c"}), Step("c", CODE)))
 
 
-def test_procedure_lookups():
-    assert (P.initial_step, P.transition("a", "refuted"), P.transition("a", "blocked"), P.step_names()) == ("a", "b", "a", ["a", "b", "c"])
-    assert P.is_terminal("c") and not P.is_terminal("a") and not P.is_terminal("zzz")
-    assert P.get_step("a").next_step("nothing") is None
-    for name in (lambda: P.get_step("zzz"), lambda: P.transition("zzz", "done")):
-        with pytest.raises(KeyError):
-            name()
-
-
 @pytest.mark.parametrize("make", [lambda: Procedure("p", ()), lambda: Procedure("p", (Step("a", CODE),), "zzz"), lambda: Procedure("p", (Step("a", CODE, (), {"done": "zzz"}),))])
 def test_procedures_are_checked(make):
     with pytest.raises(ValueError):
         make()
 
 
-def test_procedure_json_round_trip():
-    assert Procedure.from_dict(json.loads(P.to_json())) == P
-    twice = Procedure("p", (Step("a", CODE), Step("a", CODE, (), {"done": "a"})))
-    assert twice.step_names() == ["a", "a"] and twice.transition("a", "done") == "a" and not twice.is_terminal("a")
+def test_stored_procedures(spark):
+    rows = procedure.stored(P.limits_frame(spark), P.steps_frame(spark), P.transitions_frame(spark))
+    text = rows.first().json
+    assert json.loads(text) == {
+        "name": "p", "initial_step": "a", "max_rounds": 10, "stall_threshold": 2,
+        "steps": [
+            {"name": "a", "kind": "JUDGMENT", "statutes": ["law"], "transitions": {"refuted": "b", "not_refuted": "c"}},
+            {"name": "b", "kind": "CODE", "statutes": [], "transitions": {"done": "a", "other": "c"}}, {"name": "c", "kind": "CODE", "statutes": [], "transitions": {}},
+        ],
+    }
+    again = procedure.unstored(rows)
+    assert procedure.loaded("p", *again) == P
+    with pytest.raises(KeyError):
+        procedure.loaded("zzz", *again)
+    odd = spark.createDataFrame([("no json",), (None,), ("{}",), ('{"name": "q"}',), ('{"name": "r", "steps": [{"name": "x", "kind": "CODE"}]}',)], "json string")
+    limits, steps, edges = procedure.unstored(odd)
+    assert sorted(tuple(r) for r in limits.collect()) == [("q", None, 10, 2), ("r", "x", 10, 2)] and steps.count() == 1 and edges.count() == 0
+    empty = procedure.stored(limits.where("procedure = 'q'"), steps, edges).first().json
+    assert json.loads(empty)["steps"] == []
 
 
 def test_procedure_columns_and_frames(spark):
