@@ -108,6 +108,14 @@ def test_book_json_round_trip(spark):
     assert json.loads(catalog.book_json(rows.limit(0)).first().json) == {"statutes": []}
 
 
+def test_get_and_size(spark):
+    book = catalog.statutes_from_json(spark.createDataFrame([(0, '{"name": "a", "description": "x"}'), (1, '{"name": "b"}')], "ord int, json string"))
+    rows = spark.createDataFrame([(1, "a", "old"), (2, "zzz", "old"), (3, None, "old")], "id int, name string, statute string")
+    got = {r.id: (r.known, r.statute and r.statute.description) for r in catalog.get(rows, "name", book).collect()}
+    assert got == {1: (True, "x"), 2: (False, None), 3: (False, None)}
+    assert catalog.size(book).first().n == 2 and catalog.size(book.limit(0)).first().n == 0
+
+
 # ---------------------------------------------------------------- procedures
 
 P = Procedure("p", (Step("a", JUDGMENT, ("law",), {"refuted": "b", "not_refuted": "c"}), Step("b", CODE, (), {"done": "a", "other": "c"}), Step("c", CODE)))
