@@ -60,6 +60,13 @@ class Table:
         self.path = f"{shared_folder(self.spark).rstrip('/')}/{uuid.uuid4().hex}"
         df.write.parquet(self.path)
 
+    @classmethod
+    def place(cls, spark: SparkSession) -> Table:
+        """A new place in the shared folder, for files of another kind."""
+        made = cls.__new__(cls)
+        made.spark, made.path = spark, f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+        return made
+
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
