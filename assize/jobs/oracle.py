@@ -195,6 +195,9 @@ ORACLE_SQL = {
     "q_procedure_lint": _GRAPH + """SELECT procedure, cur AS step, 'unknown target' AS problem, nxt AS name FROM edges e WHERE NOT EXISTS (SELECT 1 FROM steps s WHERE s.procedure = e.procedure AND s.step = e.nxt)
       UNION ALL SELECT procedure, step, 'unknown statute', 'law of ' || step FROM steps WHERE step = 'error'""",
     "q_stall_events": _stall("event_type", 2) + "SELECT user_id, event_id, run FROM hits",
+    "q_stall_court": """WITH g AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (ORDER BY ts, event_id)),
+      h AS (SELECT *, sum(new) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM g)
+      SELECT user_id, event_id, run FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY island ORDER BY ts, event_id) AS run FROM h) AS x WHERE run >= 3""",
     "q_stall_skip_blank": _stall(_BLANKED, 2) + "SELECT user_id, event_id, run FROM hits",
     "q_stall_first": _stall(_BLANKED, 3) + "SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id, arg_min(run, (ts, event_id)) AS run FROM hits GROUP BY user_id",
     "q_stall_fold": _stall(_BLANKED, 2) + "SELECT u.user_id, count(hits.event_id) AS hits FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN hits ON u.user_id = hits.user_id GROUP BY u.user_id",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from assize.functions.evidence import all_cited, evidence_reason, judgment_prompt, packet_section
 from assize.functions.text import json_body, terminal_token, truncated
 from assize.functions.verdicts import blocking_kind, confidence, decisive, fingerprint, is_blank_finding, parse_verdict, prepare, route, terminal_disposition, verdict_json
-from assize.operators import catalog, citations, extensions, procedure, stalls
+from assize.operators import catalog, citations, extensions, procedure, scans, stalls
 from assize.operators.adjudicate import DEFAULT_RESPONSE, Rules, Statute, adjudicate, adjudicate_live, judge_with, overridden
 from assize.operators.procedure import CODE, JUDGMENT, Procedure, Step, set_key
 from assize.sources.tables import conversation_cases, conversation_responses, judge_texts, order_citations, order_findings, table
@@ -313,6 +313,12 @@ def _blanked(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("fp", F.when(c("event_type") == "view", "").otherwise(c("event_type")))
 
 
+def q_stall_court(spark, sf_dir):
+    """One count over all users, as of a court that hears them all: a single key, in blocks."""
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    return scans.stall_scan(rows, None, ["ts", "event_id"], "event_type", 3, 5_000).where("stalled").select("user_id", "event_id", "run")
+
+
 def q_stall_skip_blank(spark, sf_dir):
     rows = stalls.stall_runs(_blanked(spark, sf_dir), "user_id", ["ts", "event_id"], "fp")
     return rows.where("stalled").select("user_id", "event_id", c("run").cast("long").alias("run"))

@@ -77,6 +77,18 @@ class Rules:
         return [s.name for s in self.procedure.by_name.values() if s.kind == JUDGMENT]
 
 
+def with_override(verdict: Column, facts: Column) -> Column:
+    """The verdict under struct<why,untrue>: blocked where `why` says what evidence is missing, refuted where a citation is
+    untrue."""
+    short = facts["why"] != ""
+    new = {
+        "refuted": verdict["refuted"] | short | facts["untrue"], "blocking": verdict["blocking"] | short,
+        "fallback_note": F.when(short, F.concat(F.lit("Evidence insufficient: "), facts["why"])).otherwise(verdict["fallback_note"]),
+    }
+    names = ("finding", "refuted", "confidence", "blocking", "blocking_kind", "evidence_refs", "findings", "reasoning", "details_md", "fallback_note", "tier", "refuted_coerced")
+    return F.struct(*((new.get(n, verdict[n])).alias(n) for n in names))
+
+
 def overridden(rules: Rules, step: Column, verdict: Column, sources: Column) -> Column:
     """The verdict after both evidence checks: the first statute whose required evidence isn't cited makes it blocking, and
     a citation that doesn't hold refutes it if any of the step's statutes rejects by default."""
@@ -89,16 +101,7 @@ def overridden(rules: Rules, step: Column, verdict: Column, sources: Column) ->
         strict = F.when(step == name, F.lit(any(s.default_to_reject for s in laws))).otherwise(strict)
     facts = F.struct(reason.alias("why"), (strict & ~all_cited(verdict["evidence_refs"], sources)).alias("untrue"))
 
-    def made(f: Column) -> Column:
-        short = f["why"] != ""
-        new = {
-            "refuted": verdict["refuted"] | short | f["untrue"], "blocking": verdict["blocking"] | short,
-            "fallback_note": F.when(short, F.concat(F.lit("Evidence insufficient: "), f["why"])).otherwise(verdict["fallback_note"]),
-        }
-        names = ("finding", "refuted", "confidence", "blocking", "blocking_kind", "evidence_refs", "findings", "reasoning", "details_md", "fallback_note", "tier", "refuted_coerced")
-        return F.struct(*((new.get(n, verdict[n])).alias(n) for n in names))
-
-    return let(facts, made)
+    return let(facts, lambda f: with_override(verdict, f))
 
 
 def opened(rules: Rules, data: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assize.functions.evidence import citation_failure, cited
+from assize.operators.scans import carried
+from assize.sources.shared import kept
 
 
 def sources_of(cases: DataFrame, case: str = "case_id", data: str = "data") -> DataFrame:
@@ -75,3 +77,22 @@ def contained(texts: DataFrame, snippets: DataFrame, text_id: str, text: str, sn
     if counts["keyless"]:
         found = found.union(held.join(F.broadcast(some.where(F.size("w") == 0).select("sid", "s")), F.contains(c("t"), c("s"))).select("tid", "sid"))
     return found.distinct().select(c("tid").alias(text_id), c("sid").alias(snippet_id))
+
+
+def verify_as_of(refs: DataFrame, sources: DataFrame, case: str = "case_id", order: str = "round") -> DataFrame:
+    """`refs` (case, round, source, snippet, ...) with `verified`, against the newest content up to and including the citation's
+    round: sources (case, round, source, content) may stand in many versions, of one round the last by content counts.
+
+    The as-of join is over numbers: versions and citations of a source in order, each with the last version's round carried on
+    (in blocks, so that no source's rows meet in one task). Texts meet afterwards, in an equi-join on (case, source, version)."""
+    c = F.col
+    # The ids must hold while both joins run.
+    own = kept(refs.withColumn("_id", F.monotonically_increasing_id()))
+    of = lambda k, x: x.select(c(case).alias("_case"), c("source").alias("_source"), c(order).alias("_round"), F.lit(k).alias("_kind"), *(["_id"] if k else [F.lit(-1).cast("long").alias("_id")]))
+    versions = sources.where("content is not null").groupBy(case, "source", order).agg(F.max("content").alias("content"))
+    marks = of(0, versions).withColumn("_version", c("_round")).unionByName(of(1, own).withColumn("_version", F.lit(None).cast(versions.schema[order].dataType)))
+    known = carried(marks, ["_case", "_source"], ["_round", "_kind", "_id"], "_version").where("_kind = 1").select(c("_id").alias("_of"), "_version")
+    texts = versions.select(c(case).alias("_case"), c("source").alias("_source"), c(order).alias("_at"), "content")
+    same = (c(case) == c("_case")) & (c("source") == c("_source")) & (c("_version") == c("_at"))
+    met = own.join(known, c("_id") == c("_of")).join(texts, same, "left")
+    return met.withColumn("verified", cited(c("snippet"), c("content"))).select(*refs.columns, "verified")

@@ -21,8 +21,27 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+class Kept:
+    """A table in the shared folder: what it holds is worked out once, its lineage ends there, and it can be dropped."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.schema, self.at = df.sparkSession, df.schema, shared_folder(df.sparkSession)
+        df.write.parquet(self.at)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.at)
+
+    def drop(self) -> None:
+        dropped(self.spark, self.at)
+
+
+def dropped(spark: SparkSession, at: str) -> None:
+    """Removes a folder, if it is there."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """`df` read back from a table in the shared folder: it is worked out once, and its lineage ends there."""
-    at = shared_folder(df.sparkSession)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    """`df` read back from a table in the shared folder."""
+    return Kept(df).read()
