@@ -1,10 +1,11 @@
 """Phrase collocations by Rabin-Karp fingerprints.
 
-Prefix polynomials over a block of text give the fingerprint of every n-gram from two sums. Tasks add up fingerprints, the
-shuffle adds up theirs, and only n-grams all of whose parts are frequent go through it: a Bloom filter of the frequent parts,
-of a fixed size whatever the corpus, drops most of the others and no frequent one. Fingerprints only say what may be frequent.
-A last pass takes these n-grams' occurrences, compares each with the text its fingerprint stands for, and counts texts; so
-collisions and false positives cost rows and change nothing.
+Prefix polynomials over a block of text give the fingerprint of every n-gram from two sums. Tasks add up fingerprints, each with
+a pointer to a document that has it, the shuffle adds up theirs, and only n-grams all of whose parts are frequent go through it: a
+Bloom filter of the frequent parts, of a fixed size whatever the corpus, drops most of the others and no frequent one. Frequent
+phrases are materialised from the documents their pointers name. Within a task every occurrence is compared with the text its
+fingerprint stands for there; tasks pass on a second fingerprint of these texts, and where two differ, a further pass counts the
+fingerprint's occurrences by their texts. So collisions and false positives cost rows and change nothing.
 """
 
 from __future__ import annotations
@@ -65,8 +66,8 @@ def segments(data: bytes, size: int = BLOCK_BYTES) -> Iterator[tuple[int, bytes]
 class Block:
     """The words of some segments as one lower-cased buffer, a single space between words of a piece, and their n-grams."""
 
-    def __init__(self, parts: list[tuple[int, int, bytes]], bits: int):
-        """parts: (language, own, bytes); fingerprints keep so many bits."""
+    def __init__(self, parts: list[tuple[int, int, bytes, int]], bits: int):
+        """parts: (language, own, bytes, document); fingerprints keep so many bits."""
         data = np.frombuffer(b"\n".join([p[2] for p in parts]) + b"\n", np.uint8)
         kind = _KIND[data]
         gap = kind != 0
@@ -86,8 +87,8 @@ class Block:
         self.piece = np.concatenate(([0], np.cumsum(broken)))[: len(first)]
         begins = np.cumsum([0, *(len(p[2]) + 1 for p in parts)])[:-1]
         of = np.searchsorted(begins, first, "right") - 1
-        self.lang = np.array([p[0] for p in parts])[of] if len(parts) else of
-        self.own = first < (begins + np.array([p[1] for p in parts]))[of] if len(parts) else of > 0
+        self.lang, self.doc = np.array([p[0] for p in parts])[of], np.array([p[3] for p in parts], np.int64)[of]
+        self.own = first < (begins + np.array([p[1] for p in parts]))[of]
         self.hashes = Rolling(self.bytes)
         self.mask = np.uint64((1 << bits) - 1)
 
@@ -103,31 +104,31 @@ class Block:
     def text(self, at: int, k: int) -> bytes:
         return self.bytes[self.start[at] : self.end[at + k - 1]].tobytes()
 
-    def texts(self, at: np.ndarray, k: int, keys: np.ndarray) -> Iterator[tuple[int, bytes, int]]:
-        """(language, phrase, occurrences) of the phrases at `at`. Every occurrence is compared, byte by byte, with the first
-        of its fingerprint; those of another text count by themselves."""
-        _, head, of, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-        begin, size = self.start[at], self.end[at + k - 1] - self.start[at]
-        rep = head[of]
-        same = (size == size[rep]) & (self.lang[at] == self.lang[at[rep]])
-        tried = np.flatnonzero(same)
+    def alike(self, at: np.ndarray, like: np.ndarray, k: int) -> np.ndarray:
+        """Whether the k words from each of `at` are, byte by byte, those from its counterpart of `like`, in one language."""
+        begin, other, size = self.start[at], self.start[like], self.end[at + k - 1] - self.start[at]
+        same = (size == self.end[like + k - 1] - other) & (self.lang[at] == self.lang[like])
+        tried = np.flatnonzero(same & (at != like))
         lengths = size[tried]
         steps = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        differs = self.bytes[np.repeat(begin[tried], lengths) + steps] != self.bytes[np.repeat(begin[rep[tried]], lengths) + steps]
+        differs = self.bytes[np.repeat(begin[tried], lengths) + steps] != self.bytes[np.repeat(other[tried], lengths) + steps]
         same[np.repeat(tried, lengths)[differs]] = False
-        strangers = np.flatnonzero(~same)
-        n = n - np.bincount(of[strangers], minlength=len(n))
-        for i, count in zip(head.tolist(), n.tolist()):
-            yield int(self.lang[at[i]]), self.text(at[i], k), count
-        for i in strangers.tolist():
-            yield int(self.lang[at[i]]), self.text(at[i], k), 1
+        return same
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, where groups of equal keys begin in it, the group of each place in it)."""
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], bits: int, langs: dict[str, int], seeds: list[int]) -> Iterator[Block]:
     """Blocks of all texts; `langs` and `seeds` learn the languages they meet."""
     held, total = [], 0
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+        for lang, text, doc in zip(batch.column("lang").to_pylist(), batch.column("text"), batch.column("doc").to_pylist()):
             if lang not in langs:
                 langs[lang] = len(langs)
                 seeds.append(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
@@ -135,7 +136,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], bits: int, langs: dict[str, int],
                 if held and total + len(part) > BLOCK_BYTES:
                     yield Block(held, bits)
                     held, total = [], 0
-                held.append((langs[lang], own, part))
+                held.append((langs[lang], own, part, doc))
                 total += len(part)
     if held:
         yield Block(held, bits)
@@ -157,70 +158,136 @@ def _frequent_parts(block: Block, k: int, seeds: np.ndarray, known: np.ndarray)
     return out
 
 
+class _Tally:
+    """Rows (key, n, low, high, doc) of fingerprints, added up: `low` and `high` are the least and the greatest second fingerprint
+    of a key's texts, as signed numbers, `doc` a document that has it."""
+
+    def __init__(self):
+        self.held, self.rows = [], 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.held.append(columns)
+        self.rows += len(columns[0])
+
+    def added(self) -> tuple[np.ndarray, ...]:
+        key, n, low, high, doc = (np.concatenate(x) for x in zip(*self.held))
+        order, begins, _ = _groups(key)
+        self.held, self.rows = [], 0
+        if not len(key):
+            return key, n, low, high, doc
+        return key[order[begins]], np.add.reduceat(n[order], begins), np.minimum.reduceat(low[order], begins), np.maximum.reduceat(high[order], begins), doc[order[begins]]
+
+
+def _total(seed: np.ndarray) -> np.ndarray:
+    """The key under which a language's words are counted."""
+    return mixed(~seed)
+
+
 def _counting(orders: tuple[int, ...], parts: int, known: Broadcast | None, bits: int):
-    """Adds up fingerprints of phrases of `orders` words, those all of whose parts of `parts` words may be frequent."""
+    """Adds up fingerprints of phrases of `orders` words, those all of whose parts of `parts` words may be frequent; single words
+    with the number of all words of a language."""
 
-    def rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
+    def rows(key, n, low, high, doc) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(key.view(np.int64)), pa.array(n), pa.array(low), pa.array(high), pa.array(doc)], ["key", "n", "low", "high", "doc"])
 
     def run(batches):
-        langs, seeds, held, total = {}, [], [], 0
+        langs, seeds, tally = {}, [], _Tally()
         for block in _blocks(batches, bits, langs, seeds):
             seed = np.array(seeds, np.uint64)
             good = _frequent_parts(block, parts, seed, known.value) if known else None
+            if orders == (1,):
+                mine = np.flatnonzero(block.own)
+                some, where = np.unique(block.lang[mine], return_index=True)
+                none = np.zeros(len(some), np.int64)
+                tally.add(_total(seed[some]), np.bincount(block.lang[mine], minlength=len(seed))[some], none, none, block.doc[mine[where]])
+            second = Rolling(block.bytes ^ np.uint8(0x5A))
             for k in orders:
                 chosen = block.begins(k)
                 n = len(chosen)
                 chosen &= block.own[:n]
                 for i in range(k - parts + 1 if known else 0):
                     chosen &= good[i : i + n]
-                held.append(np.unique(block.keys(np.flatnonzero(chosen), k, seed), return_counts=True))
-                total += len(held[-1][0])
-            if total > HELD_KEYS:
-                held = [_added(held)]
-                total = len(held[0][0])
-                if total > HELD_KEYS // 2:
-                    yield rows(*held[0])
-                    held, total = [], 0
-        if held:
-            yield rows(*_added(held))
+                at = np.flatnonzero(chosen)
+                if not len(at):
+                    continue
+                order, begins, of = _groups(keys := block.keys(at, k, seed))
+                at, keys = at[order], keys[order]
+                reps = at[begins]
+                marks = second.of(block.start[reps], block.end[reps + k - 1]).view(np.int64)
+                counts = np.diff(np.append(begins, len(at)))
+                strange = np.flatnonzero(~block.alike(at, reps[of], k))
+                counts -= np.bincount(of[strange], minlength=len(counts))
+                tally.add(keys[begins], counts, marks, marks, block.doc[reps])
+                if len(strange):
+                    # Another text under the same fingerprint, or another language.
+                    low, high = (np.full(len(strange), x, np.int64) for x in (-(1 << 63), (1 << 63) - 1))
+                    tally.add(keys[strange], np.ones(len(strange), np.int64), low, high, block.doc[at[strange]])
+            if tally.rows > HELD_KEYS:
+                tally.add(*tally.added())
+                if tally.rows > HELD_KEYS // 2:
+                    yield rows(*tally.added())
+        if tally.held:
+            yield rows(*tally.added())
 
     return run
 
 
-def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, of = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-    return keys, np.bincount(of, np.concatenate([h[1] for h in held]), len(keys)).astype(np.int64)
+def _materialised(bits: int):
+    """(key, lang, phrase) of the keys that point to a document: of its phrases with that fingerprint the one with the second
+    fingerprint, too. Its language's words have the empty phrase."""
 
+    def run(batches):
+        for b in batches:
+            out = {}
+            for i in range(b.num_rows):
+                one, wanted, lows = b.slice(i, 1), *(b.column(n)[i].values.to_numpy().view(np.uint64) for n in ("keys", "lows"))
+                order = np.argsort(wanted)
+                wanted, lows = wanted[order], lows[order]
+                langs, seeds = {}, []
+                for block in _blocks(iter([one]), bits, langs, seeds):
+                    seed, (lang,) = np.array(seeds, np.uint64), langs
+                    if (total := int(_total(seed)[0])) in wanted:
+                        out[total] = (lang, "")
+                    second = Rolling(block.bytes ^ np.uint8(0x5A))
+                    for k in range(1, MOST_WORDS + 1):
+                        at = np.flatnonzero(block.begins(k))
+                        keys = block.keys(at, k, seed)
+                        place = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+                        hit = np.flatnonzero(wanted[place] == keys)
+                        marks = second.of(block.start[at[hit]], block.end[at[hit] + k - 1])
+                        right = np.flatnonzero(marks == lows[place[hit]])
+                        found, first = np.unique(keys[hit[right]], return_index=True)
+                        for key, j in zip(found.tolist(), right[first].tolist()):
+                            out[key] = (lang, block.text(at[hit[j]], k).decode())
+            signed = lambda x: np.array(x, np.uint64).view(np.int64)
+            yield pa.record_batch([pa.array(signed(list(out))), pa.array([v[0] for v in out.values()], pa.string()), pa.array([v[1] for v in out.values()], pa.string())], ["key", "lang", "phrase"])
+
+    return run
 
-def _materialising(known: Broadcast, bits: int):
-    """(lang, phrase, n) of what the filter knows; the empty phrase has the number of words."""
+
+def _by_text(known: Broadcast, bits: int):
+    """(key, lang, phrase, n) of every phrase whose fingerprint the filter knows."""
 
     def rows(tally: dict, langs: dict) -> pa.RecordBatch:
-        names = list(langs)
-        return pa.record_batch([pa.array([names[k[0]] for k in tally], pa.string()), pa.array([k[1].decode() for k in tally], pa.string()), pa.array(list(tally.values()), pa.int64())], ["lang", "phrase", "n"])
+        names, keys = list(langs), np.array([k[0] for k in tally], np.uint64).view(np.int64)
+        return pa.record_batch([pa.array(keys), pa.array([names[k[1]] for k in tally], pa.string()), pa.array([k[2].decode() for k in tally], pa.string()), pa.array(list(tally.values()), pa.int64())], ["key", "lang", "phrase", "n"])
 
     def run(batches):
         langs, seeds, tally = {}, [], {}
         for block in _blocks(batches, bits, langs, seeds):
             seed = np.array(seeds, np.uint64)
-            for lang, n in enumerate(np.bincount(block.lang[block.own])):
-                if n:
-                    tally[lang, b""] = tally.get((lang, b""), 0) + int(n)
-            good = None
             for k in range(1, MOST_WORDS + 1):
                 chosen = block.begins(k)
-                n = len(chosen)
-                if good is not None:
-                    chosen &= good[:n] & good[1 : n + 1]
-                at = np.flatnonzero(chosen)
+                at = np.flatnonzero(chosen & block.own[: len(chosen)])
                 keys = block.keys(at, k, seed)
                 hit = _contains(known.value, keys)
-                chosen[at[~hit]] = False
-                good = chosen
-                mine = hit & block.own[at]
-                for lang, phrase, count in block.texts(at[mine], k, keys[mine]):
-                    tally[lang, phrase] = tally.get((lang, phrase), 0) + count
+                for key, place in zip(keys[hit].tolist(), at[hit].tolist()):
+                    phrase = (key, int(block.lang[place]), block.text(place, k))
+                    tally[phrase] = tally.get(phrase, 0) + 1
+            words = np.bincount(block.lang[block.own], minlength=len(seed))
+            for lang in np.flatnonzero(_contains(known.value, _total(seed))).tolist():
+                phrase = (int(_total(seed)[lang]), lang, b"")
+                tally[phrase] = tally.get(phrase, 0) + int(words[lang])
             if len(tally) > HELD_TEXTS:
                 yield rows(tally, langs)
                 tally = {}
@@ -243,17 +310,27 @@ def _filter(keys: DataFrame) -> Broadcast:
 def phrase_counts(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", text_col: str = "text", bits: int = 64) -> DataFrame:
     """(lang, phrase, n): every phrase of 1 to MOST_WORDS words with `least` occurrences in a language or more, and the empty
     phrase with the number of all its words. Exact: `bits`, the length of the fingerprints, changes no result."""
-    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN_LANG)).alias("lang"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    c = F.col
+    rows = docs.select(F.coalesce(c(lang_col).cast("string"), F.lit(UNKNOWN_LANG)).alias("lang"), c(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("doc")).where("text is not null")
 
     def frequent(orders: tuple[int, ...], parts: int, known: DataFrame | None) -> DataFrame:
         run = _counting(orders, parts, None if known is None else _filter(known), bits)
-        return written(rows.mapInArrow(lean(run), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key"))
+        found = rows.mapInArrow(lean(run), "key bigint, n bigint, low bigint, high bigint, doc bigint").groupBy("key")
+        # A language's words count however few they are: their key has no second fingerprint.
+        return written(found.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("doc").alias("doc")).where((c("n") >= least) | ((c("low") == 0) & (c("high") == 0))))
 
     one = frequent((1,), 1, None)
     two = frequent((2,), 1, one)
-    more = frequent(tuple(range(3, MOST_WORDS + 1)), 2, two)
-    texts = rows.mapInArrow(lean(_materialising(_filter(one.union(two).union(more)), bits)), "lang string, phrase string, n bigint")
-    return texts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == ""))
+    three = one.union(two).union(frequent(tuple(range(3, MOST_WORDS + 1)), 2, two))
+    every = three.groupBy("key").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("doc").alias("doc"))
+    clear, mixed_up = every.where("low = high"), every.where("low <> high").select("key")
+    named = clear.groupBy("doc").agg(F.collect_list(F.struct("key", "low")).alias("k")).select("doc", c("k.key").alias("keys"), c("k.low").alias("lows"))
+    texts = rows.join(named, "doc").mapInArrow(lean(_materialised(bits)), "key bigint, lang string, phrase string")
+    counts = clear.join(texts, "key").select("lang", "phrase", "n")
+    if not mixed_up.isEmpty():
+        told = rows.mapInArrow(lean(_by_text(_filter(mixed_up), bits)), "key bigint, lang string, phrase string, n bigint").join(mixed_up.distinct(), "key", "left_semi")
+        counts = counts.union(told.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((c("n") >= least) | (c("phrase") == "")))
+    return counts
 
 
 def collocations(docs: DataFrame, least: int = LEAST, most: int = MOST, within: int = WITHIN, lang_col: str = "lang", text_col: str = "text", bits: int = 64) -> DataFrame:

@@ -78,7 +78,7 @@ def test_parts_of_long_texts():
             assert b"".join(p[:own] for own, p in parts) == text.encode()
             got = Counter()
             for own, p in parts:
-                b = Block([(0, own, p)], 64)
+                b = Block([(0, own, p, 0)], 64)
                 for k in range(1, 6):
                     got.update((b.text(i, k) for i in range(len(b.begins(k))) if b.begins(k)[i] and b.own[i]))
             assert got == Counter({" ".join(p).encode(): n for p, n in counted([(text, "x")])["x"].items() if p})
