@@ -235,5 +235,6 @@ ORACLE_SQL = {
       SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM e
       WHERE closes <= last_mark AND (event_id % 10 <> 0 OR closes > first_mark) GROUP BY ALL""",
     "s_stall_batches": _stall("event_type", 2) + "SELECT user_id, event_id, run FROM hits",
+    "s_stall_ordered": _stall("event_type", 2) + "SELECT user_id, event_id, run FROM hits",
     "s_stall": _stall("event_type", 2) + "SELECT user_id, event_id, run FROM hits",
 }

@@ -508,6 +508,15 @@ def s_stall_batches(spark, sf_dir):
     return streams.delivered([rows.where(c("ts") < half), rows.where(c("ts") >= half)], streams.stalled_events).select("user_id", "event_id", c("run").cast("long").alias("run"))
 
 
+def s_stall_ordered(spark, sf_dir):
+    """Events come up to twelve hours late, in four deliveries that overlap in time: state puts them in order."""
+    rows = table(spark, sf_dir, "events")
+    comes = c("ts") + F.make_dt_interval(secs=(c("event_id") * 7919 % 43200).cast("decimal(18,6)"))
+    days = [F.expr(f"timestamp_ntz '2024-01-{d} 00:00:00'") for d in ("08", "15", "22")]
+    parts = [rows.where(comes < days[0]), *(rows.where((comes >= a) & (comes < b)) for a, b in zip(days, days[1:])), rows.where(comes >= days[-1]), streams.end_mark(spark)]
+    return streams.delivered(parts, streams.ordered_stalls, streams.STATE_STORE).select("user_id", "event_id", c("run").cast("long").alias("run"))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[:2] in ("q_", "s_", "u_")}
 
 
