@@ -85,26 +85,32 @@ def _cell(rank: Column, bounds: list[tuple[int, int]]) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)
 
 
+def cell_bounds(rows: DataFrame, cell_rows: int) -> tuple[int, list[tuple[int, int]]]:
+    """(cells, the least (k, h) of each but the first), by quantiles of a sample of (k, h): about 16 pairs for each cell come to
+    the driver. Pairs are drawn by id and text together: null texts, and one text under many ids, are drawn like all others."""
+    n = rows.count()
+    cells = min(MOST_CELLS, -(-n // cell_rows))
+    if cells <= 1:
+        return cells, []
+    some = rows.select("k", "h").where(F.pmod(F.xxhash64("k", "h"), F.lit(max(1, n // (16 * cells)))) == 0).distinct().orderBy("k", "h").limit(64 * MOST_CELLS).collect()
+    return cells, sorted({(some[i * len(some) // cells].k, some[i * len(some) // cells].h) for i in range(1, cells)}) if some else []
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = CELL_ROWS) -> DataFrame:
     """`docs` with next_<text_col>: the text of the next row by descending id (null ids last; ties by the text's hash, then the
     text), after the last row that of the first. Repeated rows follow one another. Other columns pass through, whatever their
     names; one named next_<text_col> is replaced.
 
-    Rows are cut into cells of neighbouring (id, hash of the text), whose bounds are quantiles of a sample, so dense, sparse
-    and repeated ids all give cells of about `cell_rows` rows (more, if MOST_CELLS don't suffice); the sample decides the cells
-    and no result. In a cell a window finds the next row; only each cell's top text moves, to the cell above it."""
+    Rows are cut into cells of neighbouring (id, hash of the text), whose bounds are quantiles of a sample of these pairs, so
+    dense, sparse and repeated ids, null texts and one text under many ids all give cells of about `cell_rows` rows (more beyond
+    MOST_CELLS times as many rows: 4096 cells for a million rows, and for more); the sample decides the cells and no result. Rows
+    with one id and one text share a cell, however many they are. In a cell a window finds the next row; only each cell's top text moves, to the cell above it."""
     c = F.col
     new = f"next_{text_col}"
     names = [n for n in docs.columns if n != new]
     rows = docs.select(*(c(n).alias(f"c{i}") for i, n in enumerate(names)), c(text_col).cast("string").alias("t"), F.coalesce(c(id_col).cast("long"), F.lit(LEAST)).alias("k"))
     rows = rows.withColumn("h", F.xxhash64("t"))
-    n = rows.count()
-    cells = min(MOST_CELLS, -(-n // cell_rows))
-    bounds = []
-    if cells > 1:
-        # About 16 rows for each cell come to the driver.
-        some = rows.select("k", "h").where(F.pmod("h", F.lit(max(1, n // (16 * cells)))) == 0).distinct().orderBy("k", "h").limit(64 * MOST_CELLS).collect()
-        bounds = sorted({(some[i * len(some) // cells].k, some[i * len(some) // cells].h) for i in range(1, cells)}) if some else []
+    cells, bounds = cell_bounds(rows, cell_rows)
     rank = F.struct("k", "h")
     rows = rows.withColumn("cell", _cell(rank, bounds))
     # Rows are small and what follows is not: the number of tasks follows the rows, not the bytes.
@@ -128,7 +134,8 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
     rows = with_next(docs).withColumn("edited", edited)
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), winnowed(F.col("text")).alias("marks"), winnowed(F.col("edited")).alias("edited_marks"), winnowed(F.col("next_text")).alias("next_marks"))
-    hashes = lambda name: F.col(name)["hash"]
+    # What is shown of each hash is what is compared.
+    hashes = lambda name: F.transform(F.col(name)["hash"], lambda h: F.shiftrightunsigned(h, 32))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint_text(F.col("marks")).alias("fingerprint"), fingerprint_text(F.col("edited_marks")).alias("edited_fingerprint"),
         likeness(hashes("marks"), hashes("edited_marks")).alias("near_edited"), likeness(hashes("marks"), hashes("next_marks")).alias("near_next"),

@@ -148,6 +148,23 @@ def test_next_rows(spark, ids, cell_rows):
     assert all(got[n] == ranked[(j + 1) % len(ranked)][1] for j, (_, t, n) in enumerate(ranked) if t is not None)
 
 
+@pytest.mark.parametrize("text", ["CAST(NULL AS STRING)", "'one text'", "CAST(id AS STRING)", "CAST(id % 7 AS STRING)"])
+def test_cells_are_small_whatever_repeats(spark, text):
+    """Null texts, one text under 20,000 ids, distinct and repeated texts."""
+    import bisect
+    from collections import Counter
+
+    rows = spark.range(20_000).selectExpr("id AS k", f"xxhash64({text}) AS h")
+    cells, bounds = winnowing.cell_bounds(rows, 256)
+    sizes = Counter(bisect.bisect_right(bounds, (r.k, r.h)) for r in rows.collect())
+    assert cells == 79 and len(sizes) > 70 and max(sizes.values()) < 700
+
+
+def test_next_of_null_texts(spark):
+    rows = spark.range(3000).selectExpr("id", "CAST(NULL AS STRING) AS text")
+    assert winnowing.with_next(rows, "id", "text", 50).where("next_text IS NULL").count() == 3000
+
+
 def test_likeness(spark):
     rows = spark.createDataFrame([([1, 2, 2], [2, 3]), ([], []), ([1], [])], "a array<bigint>, b array<bigint>")
     assert [r.x for r in rows.select(winnowing.likeness(F.col("a"), F.col("b")).alias("x")).collect()] == [1 / 3, 1.0, 0.0]
