@@ -350,14 +350,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     place = {"doc": doc, "sub": F.xxhash64(raw) if repeat else F.lit(0).cast("long")}
     once = (lambda rows: rows.dropDuplicates(["doc", "sub"])) if repeat else (lambda rows: rows)
     laid = once(docs.select(*(v.alias(k) for k, v in place.items()), raw.alias("text")))
-    met = segments(laid, length, gram, hot_anchors(laid, length, gram))
     same, by_anchor = Window.partitionBy("anchor", "content").orderBy("doc", "sub", "at"), Window.partitionBy("anchor")
-    ranked = met.repartition("anchor").withColumn("nth", F.row_number().over(same))
-    ranked = ranked.withColumns({"n": F.count("*").over(by_anchor), "low": F.min("content").over(by_anchor), "high": F.max("content").over(by_anchor)})
-    repeated = durable(ranked.where("late or n > 1").where("late or nth > 1 or low < high").select(F.when(~F.col("late") & (F.col("nth") == 1), F.col("anchor")).alias("anchor"), "content", "doc", "sub", "at"))
-    late = repeated.where("anchor is null").select("doc", "sub", "at")
-    firsts = repeated.where("anchor is not null")
-    total = firsts.agg(F.sum(F.col("at").bitwiseAND(F.lit(0xFF)) + (length - 1))).first()[0] or 0
+    hot, size = hot_anchors(laid, length, gram), F.sum(F.col("at").bitwiseAND(F.lit(0xFF)) + (length - 1))
+    while True:
+        met = segments(laid, length, gram, hot)
+        ranked = met.repartition("anchor").withColumn("nth", F.row_number().over(same))
+        ranked = ranked.withColumns({"n": F.count("*").over(by_anchor), "low": F.min("content").over(by_anchor), "high": F.max("content").over(by_anchor)})
+        repeated = durable(ranked.where("late or n > 1").where("late or nth > 1 or low < high").select(F.when(~F.col("late") & (F.col("nth") == 1), F.col("anchor")).alias("anchor"), "content", "doc", "sub", "at"))
+        late = repeated.where("anchor is null").select("doc", "sub", "at")
+        firsts = repeated.where("anchor is not null")
+        # What was not foretold, a phrase that one unsampled text repeats, say, is counted here and dealt by string as well.
+        over = firsts.groupBy("anchor").agg(size.alias("bytes")).where(F.col("bytes") > HOT_BYTES).orderBy(F.desc("bytes"), "anchor").limit(HOT_ANCHORS).select("anchor").toArrow()
+        found = np.setdiff1d(over.column(0).to_numpy().astype(np.int64).view(np.uint64), hot)
+        if not len(found):
+            break
+        hot = np.union1d(hot, found)
+    total = firsts.agg(size).first()[0] or 0
     buckets = max(1, -(-total // (SHARD_BYTES * SHARDS)))
     tasks = -(-buckets // TASK_BUCKETS)
     wanted = firsts.groupBy("doc", "sub").agg(F.collect_set(F.struct("anchor", "content", "at")).alias("found"))

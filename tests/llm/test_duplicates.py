@@ -271,3 +271,20 @@ def test_one_anchor_in_very_many_surroundings(spark, monkeypatch, sampled):
     assert sampled > 1 or len(substring_dedup.hot_anchors(laid, 100, 32)) > 0
     got = {r.doc_id: (bytes(r.kept), r.n_removed, r.n_spans) for r in substring_dedup.remove_repeats(rows).collect()}
     assert [got[i] for i in range(len(texts))] == brute([(i, t.encode()) for i, t in enumerate(texts)], 100)
+
+
+def test_one_text_that_repeats_a_phrase(spark, monkeypatch):
+    """What no sample foretells is counted: the phrase's strings are dealt one by one all the same."""
+    monkeypatch.setattr(substring_dedup, "SAMPLED", 1 << 40)
+    monkeypatch.setattr(substring_dedup, "HOT_BYTES", 20_000)
+    hot, made = [], substring_dedup.segments
+    monkeypatch.setattr(substring_dedup, "segments", lambda *a: (hot.append(len(a[3])), made(*a))[1])
+    rng = random.Random(16)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    phrase, sides = "This phrase of eighty bytes or more stands in one text very often, between others.", [some(90) for _ in range(12)]
+    texts = ["".join((rng.choice(sides) if rng.random() < 0.3 else some(90)) + phrase for _ in range(900)), some(500) + phrase + sides[0]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (bytes(r.kept), r.n_removed, r.n_spans) for r in substring_dedup.remove_repeats(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == brute([(i, t.encode()) for i, t in enumerate(texts)], 100)
+    # The sample's pass, one without and one with what was counted.
+    assert hot[:2] == [0, 0] and len(hot) >= 3 and hot[-1] > 0
