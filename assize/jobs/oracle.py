@@ -136,6 +136,26 @@ result AS (SELECT case_id, coalesce(disposition, 'max_rounds') AS final_disposit
   CAST(round AS BIGINT) AS round_count, CAST(k AS BIGINT) AS n_verdicts, steps FROM state WHERE disposition IS NOT NULL OR round = 5)
 """
 
+#: The settlement by recursion: the ledger is the one text that changes.
+_AUDIT = """
+WITH RECURSIVE edges(cur, outcome, nxt) AS (VALUES ('sums','not_refuted','delivery'),('sums','refuted','restate'),('sums','blocked','dispute'),('restate','done','delivery'),('delivery','not_refuted','settled'),('delivery','refuted','sums'),('delivery','blocked','dispute')),
+x AS (SELECT o_orderkey AS id, o_orderstatus AS s, coalesce(r, false) AS r FROM orders LEFT JOIN (SELECT l_orderkey, bool_or(l_returnflag = 'R') AS r FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey),
+state AS (
+  SELECT id, s, r, 'sums' AS step, 0 AS round, 0 AS k, 'status ' || s AS ledger, '' AS last, 0 AS run, CAST(NULL AS VARCHAR) AS disposition, '' AS reason, '' AS steps FROM x
+  UNION ALL
+  SELECT id, s, r, coalesce(nxt, step), round + 1, CASE WHEN is_code THEN k ELSE k + 1 END, CASE WHEN step = 'restate' THEN 'as restated by the clerk' ELSE ledger END, CASE WHEN fp <> '' THEN fp ELSE last END, now_run,
+    CASE WHEN fp <> '' AND now_run >= 2 THEN 'stalled' WHEN is_code AND nxt IS NULL THEN step END,
+    CASE WHEN fp <> '' AND now_run >= 2 THEN 'Same gap fingerprint appeared ' || CAST(now_run AS VARCHAR) || ' consecutive times' WHEN is_code AND nxt IS NULL THEN 'Procedure ended at terminal step ''' || step || '''' ELSE '' END,
+    steps || CASE WHEN steps = '' THEN '' ELSE '>' END || step
+  FROM (SELECT a.*, e.nxt, CASE WHEN fp = '' THEN run WHEN fp = last THEN run + 1 ELSE 1 END AS now_run FROM
+      (SELECT t.*, CASE WHEN told THEN CAST(k % 2 AS VARCHAR) ELSE '' END AS fp,
+          told OR NOT contains(ledger, CASE WHEN r AND k > 0 THEN 'restated' ELSE s END) OR (id % 5 = 0 AND k = 1) AS refuted FROM
+        (SELECT *, step IN ('restate', 'settled', 'dispute') AS is_code, step IN ('sums', 'delivery') AND ((k = 0 AND r) OR (k = 1 AND id % 4 = 0)) AS told FROM state WHERE disposition IS NULL AND round < 7) t) a
+    LEFT JOIN edges e ON e.cur = a.step AND e.outcome = CASE WHEN is_code THEN 'done' WHEN k > 3 THEN 'blocked' WHEN refuted THEN 'refuted' ELSE 'not_refuted' END))
+SELECT id AS case_id, coalesce(disposition, 'max_rounds') AS final_disposition, CASE WHEN disposition IS NULL THEN 'Procedure did not converge within 7 rounds' ELSE reason END AS reason,
+  CAST(round AS BIGINT) AS round_count, CAST(k AS BIGINT) AS n_verdicts, steps FROM state WHERE disposition IS NOT NULL OR round = 7
+"""
+
 _PARTS = """
 WITH book AS (SELECT p_partkey AS ord, 'part ' || CAST(p_partkey AS VARCHAR) AS name, CASE WHEN p_size = 1 THEN '' ELSE 'rule of ' || p_type END AS description, CASE WHEN p_size = 1 THEN '' ELSE p_brand END AS required_evidence,
   p_size = 1 OR p_size % 2 = 0 AS default_to_reject FROM part)
@@ -217,9 +237,7 @@ ORACLE_SQL = {
     "q_adjudicate_moderation": _hearing(_DESK, "facts", 5, 2, True) + "SELECT case_id, final_disposition, reason, round_count, n_verdicts, steps FROM result",
     "q_max_rounds": _hearing(_RETRY, "review", 3, 99, False) + "SELECT case_id, final_disposition, reason, round_count, n_verdicts, steps FROM result",
     "q_disposition_summary": _hearing(_DESK, "facts", 5, 2, True) + "SELECT final_disposition, count(*) AS n, CAST(sum(round_count) AS BIGINT) AS rounds, CAST(sum(n_verdicts) AS BIGINT) AS calls FROM result GROUP BY final_disposition",
-    "q_adjudicate_audit": """WITH x AS (SELECT o_orderkey AS case_id, coalesce(r, false) AS r, o_orderkey % 5 = 0 AS lie FROM orders LEFT JOIN (SELECT l_orderkey, bool_or(l_returnflag = 'R') AS r FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)
-      SELECT case_id, CASE WHEN r AND lie THEN 'rejected' ELSE 'approved' END AS final_disposition, 'Procedure ended at terminal step ''' || CASE WHEN r AND lie THEN 'rejected' ELSE 'approved' END || '''' AS reason,
-      CAST(CASE WHEN r THEN 5 ELSE 3 END AS BIGINT) AS round_count, CAST(CASE WHEN r THEN 3 ELSE 2 END AS BIGINT) AS n_verdicts, CASE WHEN r THEN 'check_invoice>fix_invoice>check_invoice>check_terms>' ELSE 'check_invoice>check_terms>' END || CASE WHEN r AND lie THEN 'rejected' ELSE 'approved' END AS steps FROM x""",
+    "q_adjudicate_audit": _AUDIT,
     "q_adjudicate_live": _LIVE + "SELECT case_id, final_disposition, reason, round_count, n_verdicts, steps FROM result",
     "q_no_backend": "SELECT conv_id AS case_id, 'withheld' AS final_disposition, 'Procedure ended at terminal step ''withheld''' AS reason, CAST(2 AS BIGINT) AS round_count, CAST(1 AS BIGINT) AS n_verdicts, 'facts>withheld' AS steps FROM conversations WHERE turn = 0",
     "q_no_procedure": "SELECT conv_id AS case_id, 'rejected' AS final_disposition, 'No procedure defined' AS reason, CAST(0 AS BIGINT) AS round_count, CAST(0 AS BIGINT) AS n_verdicts, '' AS steps FROM conversations WHERE turn = 0",

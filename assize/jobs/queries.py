@@ -34,18 +34,19 @@ DESK = Procedure(
 SOURCED = Statute("sourced", "Every claim can be found in the text.", ("content",), True, (("bare_claim", "major", "A claim that nothing supports"),))
 DESK_RULES = Rules(DESK, (SOURCED, Statute("measured", "The text keeps a level tone.", ("content",))))
 LOOP_RULES = Rules(Procedure("retry", (Step("review", JUDGMENT, (), {"not_refuted": "review", "refuted": "review", "blocked": "review"}),), max_rounds=3, stall_threshold=99))
-AUDIT = Procedure(
-    "order_audit",
+#: Sums, then delivery. What is restated goes on to the delivery; a refuted delivery sends the order back to its sums.
+SETTLEMENT = Procedure(
+    "settlement",
     (
-        Step("check_invoice", JUDGMENT, ("invoice_law",), {"not_refuted": "check_terms", "refuted": "fix_invoice", "blocked": "rejected"}),
-        Step("fix_invoice", CODE, (), {"done": "check_invoice"}, set_key("invoice", "UPDATED: lines restated")),
-        Step("check_terms", JUDGMENT, ("terms_law",), {"not_refuted": "approved", "refuted": "rejected", "blocked": "rejected"}),
-        Step("approved", CODE),
-        Step("rejected", CODE),
+        Step("sums", JUDGMENT, ("sums_law",), {"not_refuted": "delivery", "refuted": "restate", "blocked": "dispute"}),
+        Step("restate", CODE, (), {"done": "delivery"}, set_key("ledger", "as restated by the clerk")),
+        Step("delivery", JUDGMENT, ("slip_law", "sums_law"), {"not_refuted": "settled", "refuted": "sums", "blocked": "dispute"}),
+        Step("settled", CODE),
+        Step("dispute", CODE),
     ),
-    max_rounds=10,
+    max_rounds=7,
 )
-AUDIT_RULES = Rules(AUDIT, (Statute("invoice_law", "Lines are stated.", ("invoice",)), Statute("terms_law", "Terms are named.", ("terms",))))
+SETTLEMENT_RULES = Rules(SETTLEMENT, (Statute("sums_law", "Sums are in the ledger.", ("ledger",)), Statute("slip_law", "The slip is named.", ("slip",))))
 #: One procedure of the text verdicts: the route of each case ends it.
 TEXT_RULES = Rules(Procedure("text", (Step("judge", JUDGMENT, ("text_law",), {}),)), (Statute("text_law", "Cites the text.", ("text",)),))
 
@@ -410,21 +411,23 @@ def q_disposition_summary(spark, sf_dir):
 
 
 def q_adjudicate_audit(spark, sf_dir):
-    """Orders as cases: the first answer cites the order's status, later ones the priority; a returned line refutes."""
+    """Orders as cases, four answers each: every answer cites the ledger and the slip. A returned line refutes the first, an order
+    number divisible by four the second; one divisible by five cites in its second answer what the slip never said."""
     orders = table(spark, sf_dir, "orders")
-    cases = orders.select(c("o_orderkey").alias("case_id"), F.create_map(F.lit("invoice"), F.concat(F.lit("status "), c("o_orderstatus")), F.lit("terms"), c("o_orderpriority")).alias("data"))
+    cases = orders.select(c("o_orderkey").alias("case_id"), F.create_map(F.lit("ledger"), F.concat(F.lit("status "), c("o_orderstatus")), F.lit("slip"), c("o_orderpriority")).alias("data"))
     returned = table(spark, sf_dir, "lineitem").groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.bool_or(c("l_returnflag") == "R").alias("returned"))
     rows = orders.join(returned, "o_orderkey", "left").select("o_orderkey", "o_orderpriority", "o_orderstatus", F.coalesce("returned", F.lit(False)).alias("returned"))
 
-    def answer(refuted, source, snippet, detail):
-        return F.concat(F.lit('{"refuted": '), refuted, F.lit(f', "evidence_refs": [{{"source": "{source}", "snippet": "'), snippet, F.lit('"}], "findings": [{"kind": "'), detail, F.lit('", "location": "", "detail": ""}], "reasoning": "ok"}'))
+    def answer(k: int):
+        refuted = (c("returned") if k == 0 else c("o_orderkey") % 4 == 0 if k == 1 else F.lit(False)).cast("string")
+        ledger = F.when(c("returned") & F.lit(k > 0), "restated").otherwise(c("o_orderstatus"))
+        slip = F.when((c("o_orderkey") % 5 == 0) & F.lit(k == 1), "never said").otherwise(c("o_orderpriority"))
+        found = F.when(refuted == "true", f'[{{"kind": "gap", "location": "", "detail": "{k % 2}"}}]').otherwise("[]")
+        raw = F.concat(F.lit('{"refuted": '), refuted, F.lit(', "evidence_refs": [{"source": "ledger", "snippet": "'), ledger, F.lit('"}, {"source": "slip", "snippet": "'), slip, F.lit('"}], "findings": '), found, F.lit(', "reasoning": "seen"}'))
+        return F.struct(F.lit(k).alias("call_idx"), raw.alias("raw"))
 
-    first = F.struct(F.lit(0).alias("call_idx"), answer(c("returned").cast("string"), "invoice", c("o_orderstatus"), F.lit("first")).alias("raw"))
-    second = F.when(c("returned"), answer(F.lit("false"), "invoice", F.lit("restated"), F.lit("second"))).otherwise(answer(F.lit("false"), "terms", c("o_orderpriority"), F.lit("third")))
-    third = answer(F.lit("false"), "terms", F.when(c("o_orderkey") % 5 == 0, "never said").otherwise(c("o_orderpriority")), F.lit("third"))
-    said = F.array(first, F.struct(F.lit(1).alias("call_idx"), second.alias("raw")), F.struct(F.lit(2).alias("call_idx"), third.alias("raw")))
-    responses = rows.select(c("o_orderkey").alias("case_id"), F.explode(said).alias("r")).select("case_id", "r.*")
-    return _result(adjudicate(cases, responses, AUDIT_RULES))
+    responses = rows.select(c("o_orderkey").alias("case_id"), F.explode(F.array(*map(answer, range(4)))).alias("r")).select("case_id", "r.*")
+    return _result(adjudicate(cases, responses, SETTLEMENT_RULES))
 
 
 def _reviewer(prompts: list[str]) -> list[str]:

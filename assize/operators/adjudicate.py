@@ -3,7 +3,7 @@
 `advance` is one round for one case, as an expression over the case's state: CODE steps update its data, JUDGMENT steps take
 a verdict, check its evidence against the case's own texts, watch for stalls and follow the edge of its route. With scripted
 responses a case is one fold of `advance` over its verdicts, without a shuffle after they have met; with a live judge each
-round is a pass over the open cases, whose raw answers are written before they are parsed, so that no retry asks twice.
+round is a pass over the open cases, written once, so that nothing that follows asks again.
 """
 
 from __future__ import annotations
@@ -203,12 +203,90 @@ def adjudicate(cases: DataFrame, responses: DataFrame, rules: Rules | None, case
     rows = cases.select(case, "data").join(heard, case, "left")
     none = F.array().cast(f"array<{VERDICT}>")
     rows = rows.withColumn("_said", F.coalesce("_said", none)).withColumn("_default", parse_verdict(F.lit(DEFAULT_RESPONSE)))
+    # What a round reads of an answer is worked out once for each answer, not in each round.
+    rows = rows.withColumn("_facts", F.transform("_said", lambda v: facts_of(rules, v))).withColumn("_default_facts", facts_of(rules, F.col("_default")))
 
     def round_(state: Column, _: Column) -> Column:
-        return advance(rules, state, F.coalesce(F.get(F.col("_said"), state["calls"]), F.col("_default")))
+        moved = let(F.coalesce(F.get(F.col("_facts"), state["calls"]), F.col("_default_facts")), lambda f: _step(rules, state, f))
+        return F.when(state["disposition"].isNotNull(), state).otherwise(moved)
 
     turns = F.sequence(F.lit(1), F.lit(rules.rounds)) if rules.rounds > 0 else F.array().cast("array<int>")
-    return closed(rules, rows.withColumn("state", F.aggregate(turns, opened(rules, F.col("data")), round_)), case)
+    done = rows.withColumn("_end", F.aggregate(turns, _begun(rules, F.col("data")), round_))
+    # The k-th verdict is the k-th answer under what its round found.
+    verdicts = F.transform(F.col("_end.held"), lambda h, i: with_override(F.coalesce(F.get(F.col("_said"), i), F.col("_default")), h))
+    fields = {n: F.col(f"_end.{n}") for n in ("disposition", "reason", "round", "history", "blocking_approved")} | {"verdicts": verdicts}
+    return closed(rules, done.withColumn("state", F.struct(*(v.alias(k) for k, v in fields.items()))), case)
+
+
+# ---------------------------------------------------------------- the fold
+
+
+def facts_of(rules: Rules, v: Column) -> Column:
+    """What rounds read of a verdict: its fingerprint, flags, reasoning and citations, and for each JUDGMENT step what evidence is
+    missing under its statutes."""
+    whys = {}
+    for name in rules.judgment_steps():
+        checks = [evidence_reason(v["evidence_refs"], F.array(*map(F.lit, s.required_evidence)), 1) for s in rules.of_step(name) if s.required_evidence]
+        if checks:
+            whys[name] = F.coalesce(*(F.nullif(c, F.lit("")) for c in checks), F.lit(""))
+    why = F.create_map(*(x for k, c in whys.items() for x in (F.lit(k), c))) if whys else F.create_map().cast("map<string,string>")
+    return F.struct(fingerprint(v["findings"]).alias("fp"), v["refuted"].alias("refuted"), v["blocking"].alias("blocking"), v["reasoning"].alias("reasoning"), v["evidence_refs"].alias("refs"), why.alias("whys"))
+
+
+_SLIM = (
+    "struct<step:string,round:int,calls:int,last:string,run:int,data:map<string,string>,sources:map<string,string>,disposition:string,reason:string,history:array<string>,"
+    "held:array<struct<why:string,untrue:boolean>>,blocking_approved:boolean>"
+)
+_SLIM_FIELDS = ("step", "round", "calls", "last", "run", "data", "sources", "disposition", "reason", "history", "held", "blocking_approved")
+
+
+def _begun(rules: Rules, data: Column) -> Column:
+    data = F.coalesce(data, F.create_map().cast("map<string,string>"))
+    null, none = F.lit(None).cast("string"), F.array().cast("array<string>")
+    held = F.array().cast("array<struct<why:string,untrue:boolean>>")
+    values = (F.lit(rules.procedure.initial_step), F.lit(0), F.lit(0), null, F.lit(0), data, F.map_filter(data, lambda k, v: v.isNotNull()), null, null, none, held, F.lit(False))
+    return F.struct(*(v.alias(k) for k, v in zip(_SLIM_FIELDS, values))).cast(_SLIM)
+
+
+def _step(rules: Rules, state: Column, f: Column) -> Column:
+    """One round of the fold, as `advance`; `f` are the facts of the case's next answer."""
+    p = rules.procedure
+    begun = {"round": state["round"] + 1, "history": F.concat(state["history"], F.array(state["step"]))}
+    made = lambda **new: F.struct(*((begun | new).get(n, state[n]).alias(n) for n in _SLIM_FIELDS))
+
+    def code() -> Column:
+        data, nxt = p.updated(state["step"], state["data"]), p.next_of(state["step"], F.lit("done"))
+        fresh = F.map_filter(data, lambda k, v: v.isNotNull())
+        sources = F.map_concat(F.map_filter(state["sources"], lambda k, v: ~F.map_contains_key(fresh, k)), fresh)
+        ended = nxt.isNull()
+        return made(
+            data=data, sources=sources, step=F.coalesce(nxt, state["step"]), disposition=F.when(ended, state["step"]),
+            reason=F.when(ended, F.concat(F.lit("Procedure ended at terminal step '"), state["step"], F.lit("'"))),
+        )
+
+    strict = [name for name in rules.judgment_steps() if any(s.default_to_reject for s in rules.of_step(name))]
+    why = F.coalesce(F.try_element_at(f["whys"], state["step"]), F.lit(""))
+    untrue = F.when(state["step"].isin(*strict), ~all_cited(f["refs"], state["sources"])).otherwise(F.lit(False)) if strict else F.lit(False)
+
+    def judged(h: Column) -> Column:
+        refuted, blocking = f["refuted"] | (h["why"] != "") | h["untrue"], f["blocking"] | (h["why"] != "")
+        flags = {"refuted": refuted, "blocking": blocking}
+        seen = run_step(F.struct(state["last"].alias("last"), state["run"].alias("run")), f["fp"])
+        nxt = p.next_of(state["step"], route(flags))
+
+        def end(x: Column) -> Column:
+            s, n = x["seen"], x["nxt"]
+            stalled, final = (f["fp"] != "") & (s["run"] >= rules.threshold), n.isNull()
+            return made(
+                calls=state["calls"] + 1, last=s["last"], run=s["run"], held=F.concat(state["held"], F.array(h)), step=F.coalesce(n, state["step"]),
+                disposition=F.when(stalled, F.lit("stalled")).when(final, terminal_disposition(flags)),
+                reason=F.when(stalled, F.concat(F.lit("Same gap fingerprint appeared "), s["run"].cast("string"), F.lit(" consecutive times"))).when(final, f["reasoning"]),
+                blocking_approved=state["blocking_approved"] | (~stalled & final & blocking & ~refuted),
+            )
+
+        return let(F.struct(seen.alias("seen"), nxt.alias("nxt")), end)
+
+    return F.when(p.kind_of(state["step"]) == CODE, code()).otherwise(let(F.struct(why.alias("why"), untrue.alias("untrue")), judged))
 
 
 # ---------------------------------------------------------------- live judges
@@ -249,8 +327,9 @@ def prompt_of(rules: Rules, state: Column, order: tuple[str, ...] = ()) -> Colum
 def adjudicate_live(cases: DataFrame, rules: Rules, judge: Callable[[list[str]], list[str]] | None, case: str = "case_id", order: tuple[str, ...] = (), keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Results of `cases` under a live judge, round by round; None judges nothing and blocks (finding no_llm).
 
-    `keep` makes a round's answers durable (by default a table in the shared folder): cases that are decided leave the loop,
-    which ends once none is open, and no task that is run again asks the judge again."""
+    `keep` makes a round durable, its answers with it (by default a table in the shared folder): cases that are decided leave the
+    loop, which ends once none is open, and no later round asks again. `hearings.hear` does so for many procedures, and with a
+    ledger that outlives a hearing."""
     prepare(cases.sparkSession)
     keep = keep or kept
     s = F.col("state")
@@ -264,10 +343,11 @@ def adjudicate_live(cases: DataFrame, rules: Rules, judge: Callable[[list[str]],
         else:
             silent = rows.where(~asks).withColumn("raw", F.lit(None).cast("string"))
             spoken = judge_with(rows.where(asks).withColumn("prompt", prompt_of(rules, s, order)), judge).drop("prompt")
-            rows = keep(silent.unionByName(spoken))
+            rows = silent.unionByName(spoken)
             verdict = parse_verdict(F.col("raw"))
-        # Written each round: an unrolled plan would grow with the number of rounds.
-        rows = keep(rows.select(case, advance(rules, s, verdict).alias("state")))
+        # Written once a round: that asks, and an unrolled plan would grow with the number of rounds.
+        # The verdict is a column of its own: as an expression it would stand in the plan wherever a round reads of it.
+        rows = keep(rows.withColumn("_verdict", verdict).select(case, advance(rules, s, F.col("_verdict")).alias("state")))
         decided = rows.where(s["disposition"].isNotNull())
         done = decided if done is None else done.unionByName(decided)
         rows = rows.where(s["disposition"].isNull())

@@ -7,19 +7,19 @@ from assize.operators.adjudicate import Rules, Statute, adjudicate, adjudicate_l
 from assize.operators.procedure import CODE, JUDGMENT, Procedure, Step, set_key
 from assize.sources.judges import process_judge, scripted_judge
 
-MODERATION = Procedure(
-    "m",
+#: Whatever the first look says goes on to the weighing, which files or sends back; a block at the first look starts it anew, at the
+#: weighing it has no edge.
+WATCH = Procedure(
+    "watch",
     (
-        Step("review", JUDGMENT, ("hate",), {"not_refuted": "approved", "refuted": "classify", "blocked": "blocked"}),
-        Step("classify", JUDGMENT, ("hate",), {"not_refuted": "warned", "refuted": "blocked", "blocked": "blocked"}),
-        Step("approved", CODE),
-        Step("warned", CODE),
-        Step("blocked", CODE),
+        Step("sight", JUDGMENT, ("level",), {"not_refuted": "weigh", "refuted": "weigh", "blocked": "sight"}),
+        Step("weigh", JUDGMENT, ("level",), {"not_refuted": "filed", "refuted": "sight"}),
+        Step("filed", CODE),
     ),
     max_rounds=5,
 )
-HATE = Statute("hate", "no hate", ("content",))
-RULES = Rules(MODERATION, (HATE,))
+LEVEL = Statute("level", "no heat", ("content",))
+RULES = Rules(WATCH, (LEVEL,))
 
 
 def said(refuted, source="content", snippet="hello", detail=None, blocking="none", reasoning="why"):
@@ -33,38 +33,40 @@ def hear(spark, rules, scripts, data=None):
     return {r.case_id: r for r in rows.collect()}
 
 
-def test_moderation(spark):
+def test_kinds_of_answers(spark):
     got = hear(spark, RULES, {
-        "clean": [said(False)], "severe": [said(True, detail="a"), said(True, detail="b")], "mild": [said(True, detail="a"), said(False)], "stalled": [said(True, detail="a"), said(True, detail="a")],
-        "default": [], "uncited": [said(False, None)], "wrong source": [said(False, "other")], "untrue": [said(False, snippet="never said"), said(False)], "blocked": [said(True, blocking="contradiction")], "prose": ["prose"], "token": ["Not Refuted"],
+        "clean": [said(False)] * 2, "sent back": [said(True, detail="a"), said(True, detail="b"), said(False), said(False)], "mild": [said(True, detail="a"), said(False)], "stalled": [said(True, detail="a")] * 2,
+        "default": [], "uncited": [said(False, None)], "wrong source": [said(False, "other")], "untrue": [said(False, snippet="never said"), said(False)], "blocked": [said(True), said(True, blocking="contradiction")],
+        "prose": ["prose"], "token": ["Not Refuted"],
     })
     assert {k: (r.final_disposition, r.round_count, r.n_verdicts) for k, r in got.items()} == {
-        "clean": ("approved", 2, 1), "severe": ("blocked", 3, 2), "mild": ("warned", 3, 2), "stalled": ("stalled", 2, 2), "default": ("blocked", 2, 1), "uncited": ("blocked", 2, 1), "wrong source": ("blocked", 2, 1),
-        "untrue": ("warned", 3, 2), "blocked": ("blocked", 2, 1), "prose": ("blocked", 2, 1), "token": ("blocked", 2, 1),
+        "clean": ("filed", 3, 2), "sent back": ("filed", 5, 4), "mild": ("filed", 3, 2), "stalled": ("stalled", 2, 2), "untrue": ("filed", 3, 2), "blocked": ("blocked", 2, 2),
+        **{k: ("max_rounds", 5, 5) for k in ("default", "uncited", "wrong source", "prose", "token")},
     }
     assert got["stalled"].reason == "Same gap fingerprint appeared 2 consecutive times"
-    assert got["clean"].reason == "Procedure ended at terminal step 'approved'" and got["clean"].step_history == ["review", "approved"]
-    assert got["uncited"].verdicts[0].fallback_note == "Evidence insufficient: no evidence refs provided"
+    assert got["clean"].reason == "Procedure ended at terminal step 'filed'" and got["clean"].step_history == ["sight", "weigh", "filed"]
+    assert got["uncited"].verdicts[0].fallback_note == "Evidence insufficient: no evidence refs provided" and got["uncited"].verdicts[0].blocking
     assert got["untrue"].verdicts[0].refuted and not got["untrue"].verdicts[0].blocking
+    assert [len(r.verdicts) for r in got.values()] == [r.n_verdicts for r in got.values()]
 
 
 def test_handlers_change_data_and_sources(spark):
-    audit = Procedure(
-        "a",
+    loom = Procedure(
+        "loom",
         (
-            Step("consent", JUDGMENT, ("c",), {"not_refuted": "retention", "refuted": "fix_consent", "blocked": "rejected"}),
-            Step("fix_consent", CODE, (), {"done": "consent"}, set_key("consent", "UPDATED consent")),
-            Step("retention", JUDGMENT, ("r",), {"not_refuted": "approved", "refuted": "fix_retention", "blocked": "rejected"}),
-            Step("fix_retention", CODE, (), {"done": "retention"}, set_key("keep", "UPDATED keep")),
-            Step("approved", CODE),
-            Step("rejected", CODE),
+            Step("card", JUDGMENT, ("c",), {"not_refuted": "weave", "refuted": "oil"}),
+            Step("oil", CODE, (), {"done": "weave"}, set_key("wool", "oiled wool")),
+            Step("weave", JUDGMENT, ("w",), {"not_refuted": "sold", "refuted": "card"}),
+            Step("sold", CODE),
+            Step("sold", CODE),
         ),
     )
-    rules = Rules(audit, (Statute("c", "", ("consent",)), Statute("r", "", ("keep",))))
-    script = [said(True, "consent", "old", "x"), said(False, "consent", "UPDATED"), said(True, "keep", "old", "y"), said(False, "keep", "UPDATED keep")]
-    got = hear(spark, rules, {"gdpr": script, "early": [said(False, "consent", "UPDATED")]}, {"consent": "old", "keep": "old"})
-    assert (got["gdpr"].final_disposition, got["gdpr"].round_count, got["gdpr"].n_verdicts) == ("approved", 7, 4)
-    assert got["early"].verdicts[0].refuted
+    rules = Rules(loom, (Statute("c", "", ("wool",)), Statute("w", "", ("wool",))))
+    script = [said(True, "wool", "raw", "x"), said(False, "wool", "raw"), said(False, "wool", "oiled"), said(False, "wool", "oiled wool")]
+    got = hear(spark, rules, {"cloth": script, "early": [said(False, "wool", "oiled")]}, {"wool": "raw"})
+    assert (got["cloth"].final_disposition, got["cloth"].round_count, got["cloth"].n_verdicts) == ("sold", 6, 4)
+    # Once the wool is oiled, nothing raw can be cited, and before that nothing oiled.
+    assert [v.refuted for v in got["cloth"].verdicts] == [True, True, False, False] and got["early"].verdicts[0].refuted
 
 
 def test_stall_goes_on_behind_clean_rounds_and_cases_are_apart(spark):
@@ -84,16 +86,16 @@ def test_final_verdicts_without_edges(spark):
     assert got["odd"].blocking_approved and not got["ok"].blocking_approved and got["ok"].reason == "why"
 
 
-@pytest.mark.parametrize(("rounds", "want"), [(0, ("max_rounds", 0)), (1, ("max_rounds", 1)), (2, ("approved", 2)), (None, ("approved", 2))])
+@pytest.mark.parametrize(("rounds", "want"), [(0, ("max_rounds", 0)), (1, ("max_rounds", 1)), (2, ("max_rounds", 2)), (3, ("filed", 3)), (None, ("filed", 3))])
 def test_round_cap(spark, rounds, want):
-    got = hear(spark, Rules(MODERATION, (HATE,), max_rounds=rounds), {"c": [said(False)]})["c"]
+    got = hear(spark, Rules(WATCH, (LEVEL,), max_rounds=rounds), {"c": [said(False)] * 2})["c"]
     assert (got.final_disposition, got.round_count) == want
 
 
 def test_default_to_reject_off_and_unknown_statutes(spark):
-    lax = Rules(MODERATION, (Statute("hate", "", ("content",), default_to_reject=False),))
-    assert hear(spark, lax, {"c": [said(False, snippet="never said")]})["c"].final_disposition == "approved"
-    assert hear(spark, Rules(MODERATION), {"c": [said(False, "other", "never said")]})["c"].final_disposition == "approved"
+    lax = Rules(WATCH, (Statute("level", "", ("content",), default_to_reject=False),))
+    assert hear(spark, lax, {"c": [said(False, snippet="never said")] * 2})["c"].step_history == ["sight", "weigh", "filed"]
+    assert hear(spark, Rules(WATCH), {"c": [said(False, "other", "never said")] * 2})["c"].final_disposition == "filed"
 
 
 def test_code_step_ends_without_a_done_edge(spark):
@@ -109,18 +111,18 @@ def test_live_judge_agrees_with_the_script_and_none_blocks(spark):
         return ['{"refuted": %s, "evidence_refs": [{"source": "content", "snippet": "hello"}]}' % ("true" if "EVIL" in p else "false") for p in prompts]
 
     got = {r.case_id: (r.final_disposition, r.round_count, r.n_verdicts) for r in adjudicate_live(cases, RULES, judge).collect()}
-    assert got == {"good": ("approved", 2, 1), "bad": ("blocked", 3, 2)}
+    assert got == {"good": ("filed", 3, 2), "bad": ("max_rounds", 5, 5)}
     none = adjudicate_live(cases, RULES, None).collect()
-    assert {(r.final_disposition, r.verdicts[0].finding) for r in none} == {("blocked", "no_llm")}
+    assert {(r.final_disposition, r.verdicts[0].finding) for r in none} == {("max_rounds", "no_llm")}
 
 
 def test_prompt(spark):
     rows = spark.createDataFrame([({"objective": "do it", "content": "x" * 3000},), ({"content": "c"},)], "data map<string,string>")
-    rules = Rules(MODERATION, (Statute("hate", "no hate", ("content",), True, (("slur", "critical", "slurs"),)),))
+    rules = Rules(WATCH, (Statute("level", "no heat", ("content",), True, (("taunt", "grave", "taunts"),)),))
     long, short = (r.p for r in rows.select(prompt_of(rules, opened(rules, F.col("data")), ("objective",)).alias("p")).collect())
     assert "## OBJECTIVE\ndo it\n\n## CASE DATA\n### objective\ndo it\n\n### content\n" + "x" * 2000 + "\n... (truncated)\n" in long
     assert "## OBJECTIVE\n(no objective specified)" in short and "PRIOR GAPS" not in short
-    assert "### hate: no hate\nRequired evidence: content\nViolations to check:\n  - slur (critical): slurs\nDefault to reject: True\n\n## RULES" in short
+    assert "### level: no heat\nRequired evidence: content\nViolations to check:\n  - taunt (grave): taunts\nDefault to reject: True\n\n## RULES" in short
     assert short.endswith("Refuted\nNot Refuted")
 
 
