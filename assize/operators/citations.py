@@ -36,7 +36,7 @@ def failures(verified: DataFrame, case: str = "case_id", order: str = "pos") ->
     return verified.groupBy(case).agg(F.bool_and("verified").alias("all_verified"), F.transform(F.sort_array(F.collect_list(message)), lambda x: x["m"]).alias("messages"))
 
 
-#: Snippets without a whole word inside have no key: so many of them at most are broadcast and compared with every text.
+#: Snippets without a whole word inside have no key: so many of them at a time are broadcast and compared with every text.
 KEYLESS = 1000
 
 
@@ -46,7 +46,8 @@ def contained(texts: DataFrame, snippets: DataFrame, text_id: str, text: str, sn
     Instead of comparing every text with every snippet, both meet on runs of words: a snippet is looked up by one run of
     `words` whole words inside it that no text boundary can cut, or by its longest whole word if it has fewer. Only hashes
     and ids meet there; the texts join the candidates afterwards, and each candidate is verified on the whole snippet.
-    Snippets without a whole word inside are compared directly, and raise ValueError if there are more than KEYLESS."""
+    Snippets without a whole word inside are compared with every text, in blocks of about KEYLESS: each block is a pass over the
+    texts."""
     c = F.col
     space = r"[\s\x1c-\x1f\x85\p{Z}]+"
     inner = lambda x: F.filter(F.split(x, space), lambda w: w != "")
@@ -54,8 +55,6 @@ def contained(texts: DataFrame, snippets: DataFrame, text_id: str, text: str, sn
     whole = F.slice(inner(c(snippet)), F.lit(2), F.greatest(F.size(inner(c(snippet))) - 2, F.lit(0)))
     some = snippets.where(c(snippet) != "").select(c(snippet_id).alias("sid"), c(snippet).alias("s"), whole.alias("w"))
     counts = some.agg(F.count_if((F.size("w") > 0) & (F.size("w") < words)).alias("short"), F.count_if(F.size("w") == 0).alias("keyless")).first()
-    if counts["keyless"] > KEYLESS:
-        raise ValueError(f"{counts['keyless']} snippets have no whole word inside, more than {KEYLESS}")
     held = texts.select(c(text_id).alias("tid"), c(text).alias("t"))
 
     def candidates(of_texts, of_snippets: DataFrame) -> DataFrame:
@@ -74,8 +73,11 @@ def contained(texts: DataFrame, snippets: DataFrame, text_id: str, text: str, sn
     met = met.distinct().select(c("tid").alias("_tid"), c("sid").alias("_sid"))
     known = some.select("sid", "s")
     found = held.join(met, c("tid").eqNullSafe(c("_tid"))).join(known, c("sid").eqNullSafe(c("_sid"))).where(F.contains("t", c("s"))).select("tid", "sid")
-    if counts["keyless"]:
-        found = found.union(held.join(F.broadcast(some.where(F.size("w") == 0).select("sid", "s")), F.contains(c("t"), c("s"))).select("tid", "sid"))
+    blocks = -(-counts["keyless"] // KEYLESS)
+    for block in range(blocks):
+        queries = some.where((F.size("w") == 0) & (F.pmod(F.xxhash64("s"), F.lit(blocks)) == block)).select("s").distinct()
+        hits = held.join(F.broadcast(queries), F.contains(c("t"), c("s"))).select("tid", c("s").alias("_s"))
+        found = found.union(hits.join(known, c("_s") == c("s")).select("tid", "sid"))
     return found.distinct().select(c("tid").alias(text_id), c("sid").alias(snippet_id))
 
 

@@ -230,3 +230,13 @@ def test_as_of(spark, block, monkeypatch):
         content = max(known)[1] if known else None
         want.append((n, content is not None and bool((snippet or "").strip()) and snippet.strip() in content))
     assert sorted((r.n, r.verified) for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("block", [2, 1000])
+def test_contained_without_whole_words(spark, block, monkeypatch):
+    """Parts of words and runs of white space, in several blocks, beside snippets with whole words; repeated and empty ones too."""
+    monkeypatch.setattr(citations, "KEYLESS", block)
+    texts = ["alpha beta  gamma", "betamax alphabet", "", None, "x y z one two three four five six", "gamma\tdelta"]
+    snippets = ["a", "a b", "ta  ga", "  ", "\t", "beta", "beta", "max alpha", "", None, "y z one two three four five s", "zzz", "mma"]
+    got = citations.contained(spark.createDataFrame(list(enumerate(texts)), "t int, text string"), spark.createDataFrame(list(enumerate(snippets)), "i int, s string"), "t", "text", "i", "s")
+    assert sorted(map(tuple, got.collect())) == sorted((t, i) for t, text in enumerate(texts) for i, s in enumerate(snippets) if s and text and s in text)
