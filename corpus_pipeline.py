@@ -6,12 +6,10 @@ doc_id and a hash of all columns: different rows may share an id, and only rows
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assize.llm.common import small_batches
+from assize.llm.common import Table, small_batches
 from assize.llm.packing import pack, token_pieces
 from assize.llm.perplexity import classify
 from assize.llm.quality_rules import CURRENT, POLICIES, ledger, verdict
@@ -78,12 +76,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, through Parquet in the warehouse."""
-    at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/corpus_pipeline_{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}_{name}")
-        docs = spark.read.parquet(f"{at}/{i}_{name}")
+    """All stages over `documents`, through Parquet in the shared folder. A stage's table is dropped once the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        made = Table(stage(spark, docs, sf_dir))
+        docs = made.read()
+        if before is not None:
+            before.drop()
+        before = made
     return docs
 
 
