@@ -35,6 +35,45 @@ def test_bounded_loads(spark, n, shards, slack):
     assert not sizes or max(sizes.values()) <= max(sharding.capacity(n, shards, slack), -(-n // shards))
 
 
+def walked(pieces, keys, n_shards, slack):
+    """The shard of each key (id, hash), by a plain walk: units in ring order, whose keys stay while their shard has room; the others
+    queue up and go clockwise, first come, first served, to the places that lie at the units of shards with room to spare."""
+    units = {}
+    for i, h in sorted(keys, key=lambda k: (k[1], k[0])):
+        units.setdefault(next(p for p, lo, hi, _ in pieces if lo <= h <= hi), []).append(i)
+    home = {p: shard for p, _, _, shard in pieces}
+    n, order = len(keys), sorted(units)
+    ring = [(home[p], units[p]) for p in order] + [(s, []) for s in range(n_shards) if s not in {home[p] for p in order}]
+    cap = {s: n // n_shards + (s < n % n_shards) if slack == 0 else sharding.capacity(n, n_shards, slack) for s in range(n_shards)}
+    demand = {s: sum(len(k) for h, k in ring if h == s) for s in cap}
+    out, over, spare, seen, full = {}, [], [], {s: 0 for s in cap}, {s: 0 for s in cap}
+    for s, held in ring:
+        stay = held[: max(0, cap[s] - full[s])]
+        full[s] += len(stay)
+        out |= {i: s for i in stay}
+        over.append(held[len(stay) :])
+        room, places = max(0, cap[s] - demand[s]), sum(h == s for h, _ in ring)
+        spare.append((seen[s] + 1) * room // places - seen[s] * room // places)
+        seen[s] += 1
+    for start in range(len(ring)):
+        queue, moved = [], {}
+        for j in [*range(start, len(ring)), *range(start)]:
+            queue += over[j]
+            moved |= {i: ring[j][0] for i in queue[: spare[j]]}
+            queue = queue[spare[j] :]
+        if not queue:  # nobody walks past this start
+            return out | moved
+
+
+@pytest.mark.parametrize(("n", "shards", "slack"), [(1, 3, 0.0), (40, 5, 0.0), (500, 7, 0.0), (500, 7, 0.1), (300, 24, 0.5), (10, 24, 0.0)])
+def test_ring_walk(spark, n, shards, slack):
+    rows = spark.range(n)
+    pieces = [(r.piece, r.lo, r.hi, r["shard"]) for r in sharding.ring(spark, shards, 8).collect()]
+    keys = [(r.id, r.h) for r in rows.withColumn("h", F.xxhash64(F.lit(7), "id")).collect()]
+    got = {r.id: r["shard"] for r in sharding.bounded_load_shards(rows, ["id"], shards, vnodes=8, slack=slack).collect()}
+    assert got == walked(pieces, keys, shards, slack)
+
+
 def test_slack_limits_movement(spark):
     at = [{r.id: r.shard for r in sharding.bounded_load_shards(spark.range(2000), ["id"], k, vnodes=32, slack=0.5).collect()} for k in (10, 11)]
     assert sum(at[0][i] != at[1][i] for i in at[0]) < 0.35 * len(at[0])
