@@ -204,7 +204,10 @@ ORACLE_SQL = {
     "q_statute_upsert": "SELECT p_brand AS name, min(p_partkey) AS ord, arg_max(p_type, p_partkey) AS p_type, arg_max(p_size, p_partkey) AS p_size FROM part GROUP BY p_brand",
     "q_statute_lookup": _BOOK + ", s AS (SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT s_suppkey, CAST(pos AS BIGINT) AS pos, name, default_to_reject FROM s CROSS JOIN (VALUES (0), (2)) p(pos) JOIN book ON n_name = name",
     "q_statute_roundtrip": _PARTS + "SELECT CAST(ord AS INTEGER) AS ord, name, description, required_evidence, CAST(3 AS BIGINT) AS max_violations, 'block' AS action, default_to_reject, true AS blocking FROM book",
-    "q_statute_names": _BOOK + "SELECT CAST(row_number() OVER (ORDER BY ord) - 1 AS INTEGER) AS ord, name FROM book",
+    "q_statute_names": _PARTS + """, b AS (SELECT ord // 100 AS book, row_number() OVER (PARTITION BY ord // 100 ORDER BY ord) - 1 AS pos, p_brand AS brand, description, default_to_reject FROM book JOIN part ON ord = p_partkey)
+      SELECT book, CAST(min(pos) AS INTEGER) AS ord, brand AS name, arg_max(description, pos) AS description, arg_max(default_to_reject, pos) AS default_to_reject FROM b GROUP BY book, brand""",
+    "q_statute_parts": _PARTS + "SELECT CAST((n // 64) * 1048576 + n % 64 AS INTEGER) AS ord, name, description FROM (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS n FROM book) AS x",
+    "s_catalog": "SELECT p_brand AS name, min(p_partkey) AS ord, arg_max(p_type, p_partkey) AS p_type, arg_max(p_size, p_partkey) AS p_size FROM part GROUP BY p_brand",
     "q_transitions": _GRAPH + """, e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS own, event_type, CASE WHEN event_id % 2 = 0 THEN 'view' ELSE 'click' END AS outcome FROM events)
       SELECT event_id, nxt, coalesce(nxt, event_type) AS stays_or_next FROM e LEFT JOIN edges ON e.own = edges.procedure AND e.event_type = edges.cur AND e.outcome = edges.outcome""",
     "q_procedure_json": _GRAPH + """, t AS (SELECT procedure, cur, string_agg('"' || outcome || '":"' || nxt || '"', ',' ORDER BY outcome) AS j FROM edges GROUP BY ALL),

@@ -15,6 +15,7 @@ from assize.operators.adjudicate import DEFAULT_RESPONSE, Rules, Statute, adjudi
 from assize.operators.procedure import CODE, JUDGMENT, Procedure, Step, set_key
 from assize.sources.tables import conversation_cases, conversation_responses, judge_texts, order_citations, order_findings, table
 from assize.streaming import events as streams
+from assize.streaming import upserts
 
 c = F.col
 
@@ -251,9 +252,24 @@ def q_statute_roundtrip(spark, sf_dir):
     )
 
 
+def _brand_laws(spark, sf_dir):
+    """A statute for each part, under its brand's name: of the parts of a book with one brand, the last one's law holds."""
+    rows = _part_book(spark, sf_dir).select("ord", F.from_json("json", catalog.FIELDS).alias("s")).select("ord", "s.*")
+    brands = table(spark, sf_dir, "part").select(c("p_partkey").alias("ord"), "p_brand")
+    return catalog.with_defaults(rows.join(brands, "ord").withColumn("name", c("p_brand")).drop("p_brand"))
+
+
 def q_statute_names(spark, sf_dir):
-    book = catalog.book_from_json(catalog.book_json(catalog.statutes_from_json(_nation_book(spark, sf_dir))))
-    return book.select("ord", "name")
+    """Every hundred parts are a book: to JSON and back, its names in order, later laws at the earlier ones' places."""
+    books = catalog.book_json(_brand_laws(spark, sf_dir).withColumn("book", F.expr("ord div 100")), ("book",))
+    return catalog.book_from_json(books, by=("book",)).select("book", "ord", "name", "description", "default_to_reject")
+
+
+def q_statute_parts(spark, sf_dir):
+    """All parts' laws as one book, which is written in parts of 64 and read as one again."""
+    book = catalog.statutes_from_json(_part_book(spark, sf_dir))
+    again = catalog.book_from_json(catalog.book_parts(book, 64))
+    return again.select("ord", "name", "description")
 
 
 # ---------------------------------------------------------------- procedures
@@ -511,6 +527,13 @@ def s_stall_batches(spark, sf_dir):
     return streams.delivered([rows.where(c("ts") < half), rows.where(c("ts") >= half)], streams.stalled_events).select("user_id", "event_id", c("run").cast("long").alias("run"))
 
 
+def s_catalog(spark, sf_dir):
+    """Edits of a catalog (each part sets its brand's entry) in two deliveries, the later half first."""
+    rows = table(spark, sf_dir, "part").select(c("p_brand").alias("name"), c("p_partkey").alias("ord"), "p_type", "p_size")
+    half = rows.agg(F.max("ord")).first()[0] // 2
+    return upserts.upserted_in_batches([rows.where(c("ord") > half), rows.where(c("ord") <= half)]).select("name", "ord", "p_type", "p_size")
+
+
 def s_stall_ordered(spark, sf_dir):
     """Events come up to twelve hours late, in four deliveries that overlap in time: state puts them in order."""
     rows = table(spark, sf_dir, "events")

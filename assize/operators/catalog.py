@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assize.operators.scans import numbered_in_order
+
 VIOLATION = "struct<name:string,severity:string,description:string>"
 ESCALATION = "struct<max_violations:int,action:string,escalate_to:string>"
 FIELDS = f"name string, description string, threshold map<string,string>, required_evidence array<string>, violations array<{VIOLATION}>, escalation {ESCALATION}, default_to_reject boolean, blocking boolean"
@@ -36,10 +38,14 @@ def statute_json(prefix: str = "") -> Column:
     return F.to_json(F.struct(*(F.col(prefix + n).alias(n) for n in _NAMES)), {"ignoreNullFields": "false"})
 
 
-def book_from_json(rows: DataFrame, column: str = "json") -> DataFrame:
-    """The statutes of {"statutes": [...]} texts, in order; a missing list is an empty book, later names win."""
-    parsed = rows.select(F.from_json(column, f"struct<statutes:array<struct<{', '.join(_colons())}>>>").alias("b"))
-    return upserted(with_defaults(parsed.select(F.posexplode("b.statutes").alias("ord", "s")).select(F.col("ord").cast("int").alias("ord"), "s.*")))
+def book_from_json(rows: DataFrame, column: str = "json", by: tuple[str, ...] = ()) -> DataFrame:
+    """The statutes of {"statutes": [...]} texts, in order; a missing list is an empty book, later names win. Rows with other
+    values of the columns `by` are books of their own; the parts of one book, if it is in several, follow each other by `part`."""
+    part = F.col("part") if "part" in rows.columns else F.lit(0)
+    parsed = rows.select(*by, part.cast("int").alias("_part"), F.from_json(column, f"struct<statutes:array<struct<{', '.join(_colons())}>>>").alias("b"))
+    # A place of a part: parts have fewer than 2^20 statutes.
+    each = parsed.select(*by, "_part", F.posexplode("b.statutes").alias("pos", "s")).select(*by, (F.shiftleft(F.col("_part"), 20) + F.col("pos")).cast("int").alias("ord"), "s.*")
+    return upserted(with_defaults(each), [*by, "name"])
 
 
 def _colons() -> list[str]:
@@ -47,18 +53,27 @@ def _colons() -> list[str]:
     return [f"{n}:{t}" for n, t in zip(_NAMES, types)]
 
 
-def book_json(statutes: DataFrame) -> DataFrame:
-    """One row: the whole catalog as {"statutes": [...]}. A catalog is written by people, so it fits in a row."""
+def book_json(statutes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The whole catalog as {"statutes": [...]}, a row for each value of the columns `by` (one row without any). A book that
+    people write fits in a row; `book_parts` writes larger ones."""
     ordered = F.transform(F.sort_array(F.collect_list(F.struct(F.col("ord"), statute_json().alias("j")))), lambda x: x["j"])
-    return statutes.agg(F.concat(F.lit('{"statutes": ['), F.array_join(ordered, ", "), F.lit("]}")).alias("json"))
+    return statutes.groupBy(*by).agg(F.concat(F.lit('{"statutes": ['), F.array_join(ordered, ", "), F.lit("]}")).alias("json"))
+
+
+def book_parts(statutes: DataFrame, rows: int = 1000) -> DataFrame:
+    """(part, json): the catalog as books of at most `rows` statutes each, in order: what `book_from_json` reads as one. Places
+    are given without a gap first, by blocks, so no task sees the whole catalog."""
+    numbered = numbered_in_order(statutes, ["ord", "name"], "_n")
+    return book_json(numbered.withColumn("part", F.expr(f"_n div {rows}").cast("int")).drop("_n"), ("part",))
 
 
-def upserted(rows: DataFrame, key: str = "name", order: str = "ord") -> DataFrame:
+def upserted(rows: DataFrame, key: str | list[str] = "name", order: str = "ord") -> DataFrame:
     """The last row of each key, at the place where the key first stood (map-side combined; columns pass through)."""
-    others = [x for x in rows.columns if x not in (key, order)]
+    keys = [key] if isinstance(key, str) else key
+    others = [x for x in rows.columns if x not in (*keys, order)]
     last = F.max_by(F.struct(*others), order) if others else F.lit(1)
-    out = rows.groupBy(key).agg(F.min(order).alias(order), last.alias("_v"))
-    return out.select(order, key, *(F.col(f"_v.{x}").alias(x) for x in others))
+    out = rows.groupBy(*keys).agg(F.min(order).alias(order), last.alias("_v"))
+    return out.select(*keys[:-1], order, keys[-1], *(F.col(f"_v.{x}").alias(x) for x in others))
 
 
 def get_all(rows: DataFrame, names: str, statutes: DataFrame) -> DataFrame:

@@ -31,6 +31,15 @@ def _arriving(local: DataFrame, summary: DataFrame, keys: list[str], what: str)
     return local.join(held, same).drop("_b", *(f"_k{i}" for i in range(len(keys))))
 
 
+def numbered_in_order(rows: DataFrame, order: list[str], number: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """`rows` with `number`, their place in the order from 0, without gaps. The order must be total."""
+    placed = in_blocks(rows.withColumn("_all", F.lit(0)), ["_all"], order, block_rows)
+    before = Window.partitionBy("_all").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_block", "_all").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    local = placed.withColumn(number, F.row_number().over(Window.partitionBy("_block").orderBy(*order)) - 1)
+    return _arriving(local, starts, ["_all"], "_start").withColumn(number, F.col(number) + F.col("_start")).drop("_block", "_all", "_start")
+
+
 def carried(rows: DataFrame, keys: list[str], order: list[str], value: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """`rows` with `value` replaced by its last value that is not null, up to and including the row: an as-of join, for rows and
     versions in one table. The order must be total."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from assize.functions.casedata import case_data, set_text, shown, texts
 from assize.jobs import hearings as jobs
 from assize.jobs.queries import DESK, DESK_RULES
-from assize.operators import citations, scans, stalls
+from assize.operators import catalog, citations, scans, stalls
 from assize.operators.adjudicate import adjudicate
 from assize.operators.hearings import Options, docket, hear, with_step
 from assize.operators.ledger import Judge, Ledger
@@ -240,3 +240,32 @@ def test_contained_without_whole_words(spark, block, monkeypatch):
     snippets = ["a", "a b", "ta  ga", "  ", "\t", "beta", "beta", "max alpha", "", None, "y z one two three four five s", "zzz", "mma"]
     got = citations.contained(spark.createDataFrame(list(enumerate(texts)), "t int, text string"), spark.createDataFrame(list(enumerate(snippets)), "i int, s string"), "t", "text", "i", "s")
     assert sorted(map(tuple, got.collect())) == sorted((t, i) for t, text in enumerate(texts) for i, s in enumerate(snippets) if s and text and s in text)
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_places_without_gaps(spark, block):
+    rows = spark.createDataFrame([(i * 7 % 50, str(i)) for i in range(50)], "at int, x string").repartition(4)
+    got = {r.x: r.n for r in scans.numbered_in_order(rows, ["at", "x"], "n", block).collect()}
+    assert got == {str(i): i * 7 % 50 for i in range(50)}
+
+
+def test_book_in_parts(spark):
+    """Repeated names meet across the parts of a book, and not across books."""
+    laws = jobs._statutes(spark, *[{"name": f"n{i % 7}", "description": f"d{i}"} for i in range(20)])
+    parts = catalog.book_parts(laws, 6)
+    assert parts.count() == 4
+    got = [(r.name, r.description) for r in catalog.book_from_json(parts).orderBy("ord").collect()]
+    assert got == [(f"n{k}", f"d{max(i for i in range(20) if i % 7 == k)}") for k in range(7)]
+    two = catalog.book_json(laws.withColumn("book", F.col("ord") % 2), ("book",))
+    names = {(r.book, r.name) for r in catalog.book_from_json(two, by=("book",)).collect()}
+    assert names == {(i % 2, f"n{i % 7}") for i in range(20)}
+
+
+def test_catalog_from_deliveries(spark):
+    """Late edits change no newer entry."""
+    from assize.streaming.upserts import upserted_in_batches
+
+    rows = lambda *x: spark.createDataFrame(x, "name string, ord bigint, v string")
+    parts = [rows(("a", 5, "a5"), ("b", 6, "b6")), rows(("a", 1, "a1"), ("c", 7, "c7")), rows(("b", 9, "b9")), rows(("c", 8, None))]
+    got = sorted(map(tuple, upserted_in_batches(parts).collect()), key=str)
+    assert got == [("a", 1, "a5"), ("b", 6, "b9"), ("c", 7, None)]
