@@ -239,6 +239,8 @@ ORACLE_SQL = {
     "q_mock_responses": f"WITH {_SAID} SELECT f.conv_id AS case_id, CAST(i AS BIGINT) AS call_idx, t.raw IS NULL AS used_up, sha256(coalesce(t.raw, d.raw)) AS raw_sha256 FROM first f CROSS JOIN range(0, 10) r(i) CROSS JOIN default_ d LEFT JOIN texts t ON f.conv_id = t.case_id AND i = t.call_idx",
     "q_adjudicate_moderation": _hearing(_DESK, "facts", 5, 2, True) + "SELECT case_id, final_disposition, reason, round_count, n_verdicts, steps FROM result",
     "q_max_rounds": _hearing(_RETRY, "review", 3, 99, False) + "SELECT case_id, final_disposition, reason, round_count, n_verdicts, steps FROM result",
+    "q_own_limits": _hearing(_DESK, "facts", 3, 1, True) + "SELECT case_id, final_disposition, reason, round_count, n_verdicts, steps FROM result",
+    "q_case_ids": """SELECT o_orderkey, substr(sha256('[{"key":"priority","value":"' || o_orderpriority || '"},{"key":"status","value":"' || o_orderstatus || '"}]'), 1, 12) AS case_id FROM orders""",
     "q_disposition_summary": _hearing(_DESK, "facts", 5, 2, True) + "SELECT final_disposition, count(*) AS n, CAST(sum(round_count) AS BIGINT) AS rounds, CAST(sum(n_verdicts) AS BIGINT) AS calls FROM result GROUP BY final_disposition",
     "q_adjudicate_audit": _AUDIT,
     "q_adjudicate_live": _LIVE + "SELECT case_id, final_disposition, reason, round_count, n_verdicts, steps FROM result",

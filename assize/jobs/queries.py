@@ -11,7 +11,7 @@ from assize.functions.evidence import all_cited, evidence_reason, judgment_promp
 from assize.functions.text import json_body, terminal_token, truncated
 from assize.functions.verdicts import blocking_kind, confidence, decisive, fingerprint, is_blank_finding, parse_verdict, prepare, route, terminal_disposition, verdict_json
 from assize.operators import catalog, citations, extensions, procedure, scans, stalls
-from assize.operators.adjudicate import DEFAULT_RESPONSE, Rules, Statute, adjudicate, adjudicate_live, judge_with, overridden
+from assize.operators.adjudicate import DEFAULT_RESPONSE, Rules, Statute, adjudicate, adjudicate_live, judge_with, overridden, with_case_ids
 from assize.operators.procedure import CODE, JUDGMENT, Procedure, Step, set_key
 from assize.sources.tables import conversation_cases, conversation_responses, judge_texts, order_citations, order_findings, table
 from assize.streaming import events as streams
@@ -422,6 +422,17 @@ def q_max_rounds(spark, sf_dir):
     return _result(_moderated(spark, sf_dir, LOOP_RULES))
 
 
+def q_own_limits(spark, sf_dir):
+    """A court's own limits come before the procedure's."""
+    return _result(_moderated(spark, sf_dir, Rules(DESK, DESK_RULES.statutes, max_rounds=3, stall_threshold=1)))
+
+
+def q_case_ids(spark, sf_dir):
+    """Orders without a key of their own: equal data, equal ids."""
+    data = F.create_map(F.lit("status"), c("o_orderstatus"), F.lit("priority"), c("o_orderpriority"))
+    return with_case_ids(table(spark, sf_dir, "orders").select("o_orderkey", data.alias("data"))).select("o_orderkey", "case_id")
+
+
 def q_disposition_summary(spark, sf_dir):
     return _moderated(spark, sf_dir, DESK_RULES).groupBy("final_disposition").agg(F.count("*").alias("n"), F.sum("round_count").alias("rounds"), F.sum("n_verdicts").alias("calls"))
 
@@ -494,16 +505,21 @@ def q_escalations(spark, sf_dir):
 # ---------------------------------------------------------------- streams
 
 
+def _closed(spark, sf_dir, job):
+    """What a windowed job has appended once the watermark has closed all windows of the events."""
+    return streams.delivered([table(spark, sf_dir, "events"), streams.end_mark(spark)], job)
+
+
 def s_tumbling(spark, sf_dir):
-    return streams.drained(streams.tumbling_counts(streams.event_stream(spark, sf_dir)), "complete")
+    return _closed(spark, sf_dir, streams.tumbling_counts)
 
 
 def s_sliding(spark, sf_dir):
-    return streams.drained(streams.sliding_counts(streams.event_stream(spark, sf_dir)), "complete")
+    return _closed(spark, sf_dir, streams.sliding_counts)
 
 
 def s_session(spark, sf_dir):
-    return streams.drained(streams.sessions(streams.event_stream(spark, sf_dir)), "complete")
+    return _closed(spark, sf_dir, streams.sessions)
 
 
 def s_dedup(spark, sf_dir):

@@ -137,3 +137,35 @@ def test_no_procedure_and_no_ids(spark):
 def test_judges():
     assert process_judge(["cat"])([" Refuted\n", "x"]) == ["Refuted", "x"]
     assert scripted_judge({"a": "Refuted"}, "Not Refuted")(["a", "b"]) == ["Refuted", "Not Refuted"]
+
+
+def test_chat_judge(monkeypatch):
+    """A service on this machine: what is sent, what comes back, a missing answer, a refusal."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from assize.sources.judges import chat_judge
+
+    seen = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            prompt = body["messages"][0]["content"]
+            seen.append((self.headers.get("Authorization"), body["model"], body["temperature"], prompt))
+            self.send_response(500 if prompt == "fail" else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": None if prompt == "nothing" else prompt.upper()}}]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("SOME_KEY", "k")
+    ask = chat_judge(f"http://127.0.0.1:{server.server_port}", "m", "SOME_KEY")
+    assert ask(["a", "nothing", "é"]) == ["A", "", "É"] and ask([]) == []
+    assert sorted(seen) == [("Bearer k", "m", 0.1, p) for p in ("a", "nothing", "é")]
+    with pytest.raises(Exception, match="500"):
+        ask(["fail"])
+    server.shutdown()
