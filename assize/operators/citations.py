@@ -38,6 +38,8 @@ def failures(verified: DataFrame, case: str = "case_id", order: str = "pos") ->
 
 #: Snippets without a whole word inside have no key: so many of them at a time are broadcast and compared with every text.
 KEYLESS = 1000
+#: So many snippets' keys at most stand in the plan as a set of numbers.
+KEYS_IN_PLAN = 10_000
 
 
 def contained(texts: DataFrame, snippets: DataFrame, text_id: str, text: str, snippet_id: str, snippet: str, words: int = 5) -> DataFrame:
@@ -58,7 +60,12 @@ def contained(texts: DataFrame, snippets: DataFrame, text_id: str, text: str, sn
     held = texts.select(c(text_id).alias("tid"), c(text).alias("t"))
 
     def candidates(of_texts, of_snippets: DataFrame) -> DataFrame:
-        keyed = held.select("tid", F.explode(F.array_distinct(of_texts(inner(c("t"))))).alias("k"))
+        keys = of_texts(inner(c("t")))
+        # Few keys stand in the plan, so that a text's other runs never become rows; more of them only meet in the join.
+        few = [r.k for r in of_snippets.select("k").distinct().limit(KEYS_IN_PLAN + 1).collect()]
+        if len(few) <= KEYS_IN_PLAN:
+            keys = F.filter(keys, lambda k: k.isin(few))
+        keyed = held.select("tid", F.explode(F.array_distinct(keys)).alias("k"))
         return keyed.join(of_snippets, "k").select("tid", "sid")
 
     def runs(w):

@@ -181,6 +181,9 @@ def hear(
     void = rows.where("procedure is null").select(
         "case_id", "procedure", F.lit("rejected").alias("final_disposition"), F.lit("No procedure defined").alias("reason"), F.lit(0).alias("round_count"), F.lit(0).alias("n_verdicts"), F.lit(0).alias("n_calls"), F.array().cast("array<string>").alias("step_history"), F.array().cast(none).alias("verdicts"),
     )
+    # Every round joins the steps: they are worked out once.
+    tables = [Kept(steps)]
+    steps = tables[0].read()
     first = steps.select("procedure", "initial_step", c("max_rounds").alias("_rounds")).distinct()
     known = rows.where("procedure is not null").join(first, "procedure", "left")
     lost = F.raise_error(F.concat(F.lit("no procedure '"), c("procedure"), F.lit("'"))).cast("int")
@@ -189,7 +192,7 @@ def hear(
         "data", texts(c("data")).alias("sources"), F.array().cast("array<string>").alias("history"), F.array().cast(none).alias("verdicts"), F.lit(None).cast("string").alias("disposition"), F.lit(None).cast("string").alias("reason"),
     )
     most = steps.agg(F.max("max_rounds")).first()[0] or 0
-    columns, tables, ended = rows.columns, [], []
+    columns, ended = rows.columns, []
     if judges and len(judges) > 1 and ledger is None:
         # A stage reads what the stages before it have asked: that has to be written.
         ledger = Ledger(cases.sparkSession, shared_folder(cases.sparkSession))

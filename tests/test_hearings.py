@@ -232,6 +232,16 @@ def test_as_of(spark, block, monkeypatch):
     assert sorted((r.n, r.verified) for r in got.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("in_plan", [0, 10_000])
+def test_contained_whatever_the_number_of_keys(spark, in_plan, monkeypatch):
+    monkeypatch.setattr(citations, "KEYS_IN_PLAN", in_plan)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdef") * rng.randint(1, 2) for _ in range(60)) for _ in range(40)]
+    snippets = [t[a : a + n] for t in texts[:15] for a, n in [(rng.randint(0, 60), rng.randint(1, 40))]] + ["f e d c b a f e d c b a f"]
+    got = citations.contained(spark.createDataFrame(list(enumerate(texts)), "t int, text string"), spark.createDataFrame(list(enumerate(snippets)), "i int, s string"), "t", "text", "i", "s")
+    assert sorted(map(tuple, got.collect())) == sorted((t, i) for t, text in enumerate(texts) for i, s in enumerate(snippets) if s in text)
+
+
 @pytest.mark.parametrize("block", [2, 1000])
 def test_contained_without_whole_words(spark, block, monkeypatch):
     """Parts of words and runs of white space, in several blocks, beside snippets with whole words; repeated and empty ones too."""
