@@ -192,7 +192,7 @@ def hear(
         "data", texts(c("data")).alias("sources"), F.array().cast("array<string>").alias("history"), F.array().cast(none).alias("verdicts"), F.lit(None).cast("string").alias("disposition"), F.lit(None).cast("string").alias("reason"),
     )
     most = steps.agg(F.max("max_rounds")).first()[0] or 0
-    columns, ended = rows.columns, []
+    columns, ended = rows.columns, [rows.where("max_rounds <= 0")]
     if judges and len(judges) > 1 and ledger is None:
         # A stage reads what the stages before it have asked: that has to be written.
         ledger = Ledger(cases.sparkSession, shared_folder(cases.sparkSession))
@@ -222,7 +222,7 @@ def hear(
             after_round(number)
         if rows.where("disposition is null and round < max_rounds").isEmpty():
             break
-    done = reduce(DataFrame.unionByName, ended) if ended else rows
+    done = reduce(DataFrame.unionByName, ended)
     late = c("disposition").isNull()
     out = Kept(done.select(
         "case_id", "procedure", F.coalesce("disposition", F.lit("max_rounds")).alias("final_disposition"), F.when(late, F.concat(F.lit("Procedure did not converge within "), c("max_rounds").cast("string"), F.lit(" rounds"))).otherwise(c("reason")).alias("reason"),

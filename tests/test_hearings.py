@@ -104,17 +104,17 @@ def test_ledger_keeps_finished_tasks(spark, tmp_path):
 
 def test_many_procedures(spark):
     """Each case runs under its own; of steps with one name the last counts, unknown statutes are dropped."""
-    limits = spark.createDataFrame([("a", "s", 3, 2), ("b", "s", 2, 2)], "procedure string, initial_step string, max_rounds int, stall_threshold int")
+    limits = spark.createDataFrame([("a", "s", 3, 2), ("b", "s", 2, 2), ("z", "s", 0, 2)], "procedure string, initial_step string, max_rounds int, stall_threshold int")
     steps = spark.createDataFrame(
-        [("a", "s", 0, JUDGMENT, ["no such law"]), ("a", "t", 1, JUDGMENT, []), ("a", "t", 2, CODE, []), ("b", "s", 0, CODE, []), ("b", "u", 1, CODE, [])], "procedure string, step string, ord int, kind string, statutes array<string>"
+        [("a", "s", 0, JUDGMENT, ["no such law"]), ("a", "t", 1, JUDGMENT, []), ("a", "t", 2, CODE, []), ("b", "s", 0, CODE, []), ("b", "u", 1, CODE, []), ("z", "s", 0, CODE, [])], "procedure string, step string, ord int, kind string, statutes array<string>"
     )
     edges = spark.createDataFrame([("a", "s", "refuted", "t"), ("b", "s", "done", "s")], "procedure string, cur string, outcome string, nxt string")
     law = docket(limits, steps, edges, jobs._statutes(spark))
     responses = spark.createDataFrame([(1, 0, "Refuted"), (2, 0, "Refuted"), (4, 0, "Not Refuted")], "case_id bigint, call_idx int, raw string")
-    got = brief(hear(cases(spark, [(1, "a", None), (2, "b", "{}"), (3, None, "[1]"), (4, "a", "{}")]), law, responses=responses))
+    got = brief(hear(cases(spark, [(1, "a", None), (2, "b", "{}"), (3, None, "[1]"), (4, "a", "{}"), (5, "z", "{}")]), law, responses=responses))
     assert got == [
         (1, "t", "Procedure ended at terminal step 't'", 2, 1, ("s", "t")), (2, "max_rounds", "Procedure did not converge within 2 rounds", 2, 0, ("s", "s")),
-        (3, "rejected", "No procedure defined", 0, 0, ()), (4, "approved", "", 1, 1, ("s",)),
+        (3, "rejected", "No procedure defined", 0, 0, ()), (4, "approved", "", 1, 1, ("s",)), (5, "max_rounds", "Procedure did not converge within 0 rounds", 0, 0, ()),
     ]
     with pytest.raises(Exception, match="no procedure 'c'"):
         hear(cases(spark, [(1, "c", None)]), law, responses=responses).collect()
