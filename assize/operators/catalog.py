@@ -38,14 +38,16 @@ def statute_json(prefix: str = "") -> Column:
     return F.to_json(F.struct(*(F.col(prefix + n).alias(n) for n in _NAMES)), {"ignoreNullFields": "false"})
 
 
-def book_from_json(rows: DataFrame, column: str = "json", by: tuple[str, ...] = ()) -> DataFrame:
+def book_from_json(rows: DataFrame, column: str = "json", by: tuple[str, ...] = (), last: bool = True) -> DataFrame:
     """The statutes of {"statutes": [...]} texts, in order; a missing list is an empty book, later names win. Rows with other
-    values of the columns `by` are books of their own; the parts of one book, if it is in several, follow each other by `part`."""
+    values of the columns `by` are books of their own; the parts of one book, if it is in several, follow each other by `part`.
+    Without `last` all entries of a name stay, at their own places."""
     part = F.col("part") if "part" in rows.columns else F.lit(0)
     parsed = rows.select(*by, part.cast("int").alias("_part"), F.from_json(column, f"struct<statutes:array<struct<{', '.join(_colons())}>>>").alias("b"))
     # A place of a part: parts have fewer than 2^20 statutes.
     each = parsed.select(*by, "_part", F.posexplode("b.statutes").alias("pos", "s")).select(*by, (F.shiftleft(F.col("_part"), 20) + F.col("pos")).cast("int").alias("ord"), "s.*")
-    return upserted(with_defaults(each), [*by, "name"])
+    entries = with_defaults(each)
+    return upserted(entries, [*by, "name"]) if last else entries
 
 
 def _colons() -> list[str]:

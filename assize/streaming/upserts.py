@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assize.sources.shared import dropped, shared_folder
@@ -30,6 +30,12 @@ def keep_catalog(edits: DataFrame, at: str, key: str = "name", order: str = "ord
     return edits.writeStream.option("checkpointLocation", f"{at}/checkpoint").foreachBatch(apply).trigger(availableNow=True)
 
 
+def newest_catalog(spark: SparkSession, at: str, order: str = "ord") -> DataFrame:
+    """The last version that `keep_catalog` wrote below `at`."""
+    newest = spark.read.parquet(f"{at}/catalog").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{at}/catalog/version={newest}").withColumnRenamed("_first", order).drop("_last")
+
+
 def upserted_in_batches(parts: list[DataFrame], key: str = "name", order: str = "ord") -> DataFrame:
     """The catalog after each of `parts` was delivered and used up in turn: what `catalog.upserted` makes of all of them."""
     spark, schema = parts[0].sparkSession, parts[0].schema
@@ -37,6 +43,4 @@ def upserted_in_batches(parts: list[DataFrame], key: str = "name", order: str =
     for part in parts:
         part.write.mode("append").parquet(edits)
         keep_catalog(spark.readStream.schema(schema).parquet(edits), at, key, order).start().awaitTermination()
-    versions = spark.read.parquet(f"{at}/catalog")
-    newest = spark.read.parquet(f"{at}/catalog/version={versions.agg(F.max('version')).first()[0]}")
-    return newest.withColumnRenamed("_first", order).drop("_last").select(parts[0].columns)
+    return newest_catalog(spark, at, order).select(parts[0].columns)

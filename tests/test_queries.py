@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from assize.jobs import hearings, oracle as sql, queries
+from assize.jobs import hearings, oracle as sql, queries, records
 from assize.jobs.queries import flagship
 
-QUERIES, ORACLE_SQL = queries.QUERIES | hearings.QUERIES, sql.ORACLE_SQL | hearings.ORACLE_SQL
+QUERIES, ORACLE_SQL = queries.QUERIES | hearings.QUERIES | records.QUERIES, sql.ORACLE_SQL | hearings.ORACLE_SQL | records.ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
