@@ -80,7 +80,8 @@ def verify_at_once(refs: DataFrame, sources: DataFrame, case: str = "case_id", b
     asked = c(case).isNotNull() & c("source").isNotNull() & ~F.coalesce(blank(c("snippet")), F.lit(True))
     rows = refs.where(asked).select(c(case).alias("_case"), c("source").alias("_source"), F.struct(*own).alias("_ref"))
     size = F.sum(F.length(c("snippet")) + 64)
-    large = refs.where(asked).groupBy(c(case).alias("_case"), c("source").alias("_source")).agg(F.ceil(size / block).cast("int").alias("_n")).where("_n > 1")
+    # Written first: Spark sees its size, and sends it to the citations' tasks only where it is small.
+    large = kept(refs.where(asked).groupBy(c(case).alias("_case"), c("source").alias("_source")).agg(F.ceil(size / block).cast("int").alias("_n")).where("_n > 1"))
     few = rows.join(large, ["_case", "_source"], "left_anti").withColumns({"_block": F.lit(0), "_copies": F.lit(1).cast("long")})
     many = rows.join(large, ["_case", "_source"]).withColumn("_block", F.pmod(F.xxhash64("_ref"), c("_n")).cast("int"))
     many = many.groupBy("_case", "_source", "_block", "_ref").agg(F.count("*").alias("_copies"))
