@@ -85,10 +85,12 @@ def verify_at_once(refs: DataFrame, sources: DataFrame, case: str = "case_id", b
     few = rows.join(large, ["_case", "_source"], "left_anti").withColumns({"_block": F.lit(0), "_copies": F.lit(1).cast("long")})
     many = rows.join(large, ["_case", "_source"]).withColumn("_block", F.pmod(F.xxhash64("_ref"), c("_n")).cast("int"))
     many = many.groupBy("_case", "_source", "_block", "_ref").agg(F.count("*").alias("_copies"))
-    together = few.unionByName(many).groupBy("_case", "_source", "_block").agg(F.collect_list(F.struct("_ref", "_copies")).alias("_refs"))
+    # One column names the block: of several, Spark drops those that turn out constant, and then deals all citations once more.
+    at = F.struct("_case", "_source", "_block").alias("_at")
+    together = few.unionByName(many).select(at, "_ref", "_copies").groupBy("_at").agg(F.collect_list(F.struct("_ref", "_copies")).alias("_refs"))
     texts = sources.where("content is not null").select(c(case).alias("_case"), c("source").alias("_source"), "content").join(large, ["_case", "_source"], "left")
-    texts = texts.select("_case", "_source", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1)).alias("_block"), "content")
-    met = together.join(texts, ["_case", "_source", "_block"], "left").withColumn("_snippets", F.transform("_refs", lambda r: strip(r["_ref"]["snippet"])))
+    texts = texts.select("_case", "_source", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1)).alias("_block"), "content").select(at, "content")
+    met = together.join(texts, "_at", "left").withColumn("_snippets", F.transform("_refs", lambda r: strip(r["_ref"]["snippet"])))
     one_pass = (F.size("_snippets") > ONE_BY_ONE) & c("content").isNotNull()
     singly = F.transform("_snippets", lambda s: F.coalesce(F.contains(c("content"), s), F.lit(False)))
     met = met.withColumn("_hits", F.coalesce(_found(F.when(one_pass, c("content")), F.when(one_pass, c("_snippets"))), singly))
