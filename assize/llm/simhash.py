@@ -1,7 +1,8 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
 The 64 bits are regrouped so that correlated ones stand together, and cut into m parts. If thresholds T of the parts sum to
-radius - m + 1, any two fingerprints within the radius lie within T[i] of each other on some part i. The parts and their
+radius - m + 1, any two fingerprints within the radius lie within T[i] of each other on some part i. So
+they meet at a value halfway between them, if each probes all values within T[i] / 2, rounded up. The parts and their
 thresholds are chosen by dynamic programming on the candidate counts that histograms of all fingerprints foretell. Exact
 copies are one fingerprint from the start; candidates meet in buckets, are verified on all 64 bits, and leave a bucket only
 as stars of its components, however many pairs it holds.
@@ -10,6 +11,7 @@ as stars of its components, however many pairs it holds.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 from itertools import chain, combinations
 from math import ceil, comb
@@ -154,6 +156,21 @@ def _blocks(values: np.ndarray, order: list[int]) -> np.ndarray:
     return np.packbits(_bits(values)[:, order], axis=1)
 
 
+def reach(threshold: int) -> int:
+    """How far each of two values probes, so that both meet somewhere if they differ in `threshold` bits at most."""
+    return (threshold + 1) // 2
+
+
+def ball(width: int, r: int) -> int:
+    """Values that differ from one of `width` bits in r at most."""
+    return sum(comb(width, i) for i in range(r + 1))
+
+
+def meetings(width: int, r: int, d: int) -> int:
+    """At how many values two meet that differ in d of `width` bits and probe up to r bits each."""
+    return sum(comb(d, i) * comb(width - d, j) for i in range(d + 1) for j in range(r + 1) if i + j <= r and d - i + j <= r)
+
+
 def allocate(n: int, distances: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int, int]]:
     """(first block, blocks, threshold) of each part; thresholds sum to radius - parts + 1. A threshold of -1 leaves a
     part out. Dynamic programming over thresholds, for every cut of the blocks into parts of near-equal width."""
@@ -173,10 +190,12 @@ def allocate(n: int, distances: np.ndarray, radius: int = RADIUS) -> list[tuple[
             following: dict = {}
             for used, (cost, chosen) in state.items():
                 for t in range(-1, min(radius, width) + 1):
-                    ball = sum(comb(width, r) for r in range(t + 1))
-                    if ball > 5000:
+                    r = reach(t)
+                    probes = ball(width, r) if t >= 0 else 0
+                    if probes > 5000:
                         break
-                    more = n * ball * PROBE_COST + PAIR_COST * n * (n - 1) / 2 * law[: t + 1].sum() * (1 + (t > 0))
+                    met = sum(law[d] * meetings(width, r, d) for d in range(2 * r + 1) if d <= width) if t >= 0 else 0.0
+                    more = n * probes * PROBE_COST + PAIR_COST * n * (n - 1) / 2 * met
                     key = used + t
                     if key not in following or cost + more < following[key][0]:
                         following[key] = (cost + more, (*chosen, t))
@@ -193,13 +212,14 @@ def allocate(n: int, distances: np.ndarray, radius: int = RADIUS) -> list[tuple[
 
 
 def _probes(fps: DataFrame, order: list[int], parts: list[tuple[int, int, int]]) -> DataFrame:
-    """(part, value, fp): the value of each part, and every value within its threshold."""
+    """(key, fp): a key for the value of each part, and for every value within reach of its threshold. Keys are small numbers
+    where parts are narrow, which compresses well; two values of one key would be compared in vain, no more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = []
         for _, size, t in parts:
             bits = [np.uint64(1) << np.uint64(i) for i in range(size * WIDTH)]
-            masks.append(np.array([sum(c, np.uint64(0)) for r in range(t + 1) for c in combinations(bits, r)], np.uint64))
+            masks.append(np.array([sum(c, np.uint64(0)) for r in range(reach(t) + 1) for c in combinations(bits, r)], np.uint64))
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 fp = whole.slice(at, 2000).column(0).to_numpy(zero_copy_only=False)
@@ -209,9 +229,10 @@ def _probes(fps: DataFrame, order: list[int], parts: list[tuple[int, int, int]])
                     for j in range(first, first + size):
                         value = (value << np.uint64(WIDTH)) | blocks[:, j]
                     near = value[:, None] ^ masks[i][None, :]
-                    yield pa.record_batch([pa.array(np.full(near.size, i, np.int32)), pa.array(near.ravel().view(np.int64)), pa.array(np.repeat(fp, near.shape[1]))], ["part", "value", "fp"])
+                    key = near.ravel() * np.uint64(len(parts)) + np.uint64(i)
+                    yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(np.repeat(fp, near.shape[1]))], ["key", "fp"])
 
-    return fps.select("fp").mapInArrow(run, "part int, value long, fp long")
+    return fps.select("fp").mapInArrow(run, "key long, fp long")
 
 
 def _stars(fp: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -303,22 +324,18 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKE
     order = bit_order(n, both)
     parts = allocate(n, _distances(fps, order), radius)
     probes = _probes(fps, order, parts)
-    counts = probes.groupBy("part", "value").agg(F.count("*").alias("n"))
-    hot = counts.where(F.col("n") > bucket_rows).select(F.col("part").alias("p"), F.col("value").alias("v"), F.ceil(F.col("n") / (bucket_rows // 2)).cast("int").alias("g"))
+    counts = probes.groupBy("key").agg(F.count("*").alias("n"))
+    hot = counts.where(F.col("n") > bucket_rows).select(F.col("key").alias("k"), F.ceil(F.col("n") / (bucket_rows // 2)).cast("int").alias("g"))
     hot = durable(hot)
-    any_hot = not hot.isEmpty()
-    rows = probes
-    if any_hot:
+    rows, keys = probes, ["key"]
+    if not hot.isEmpty():
         mine = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
-        rows = rows.join(hot, (F.col("part") == F.col("p")) & (F.col("value") == F.col("v")), "left")
+        rows = rows.join(hot, F.col("key") == F.col("k"), "left")
         # Block i meets block j in the unit (min, max); a bucket that is not hot is one unit.
         units = F.when(F.col("g").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
             F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.least(mine, j).cast("long") * (1 << 31) + F.greatest(mine, j))
         )
-        rows = rows.select("part", "value", F.explode(units).alias("unit"), "fp")
-    else:
-        rows = rows.select("part", "value", F.lit(0).cast("long").alias("unit"), "fp")
-    keys = ["part", "value", "unit"]
+        rows, keys = rows.select("key", F.explode(units).alias("unit"), "fp"), ["key", "unit"]
     found = _verified(rows.repartition(*keys).sortWithinPartitions(*keys), keys, radius)
     # Buckets have leasts of their own: a member is linked with the least of these, and so are they. No member has more of
     # them than probes.
@@ -519,10 +536,11 @@ def staying(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     fps = [f"f{i}" for i in range(len(seeds))]
     marks = _marks(rows, id_type, NEAR_FEATURE, seeds)
     firsts = written(marks.groupBy("h").agg(F.min("id").alias("id"), F.first("size").alias("size"), *(F.first(f).alias(f) for f in fps)).select("id", F.xxhash64("h").alias("node"), "size", *fps))
-    links = _linked(firsts, fps[0], radius, bucket_rows)
-    for f in fps[1:]:
-        links = links.union(_linked(firsts, f, radius, bucket_rows))
-    roots = star_components(links)
+    # One fingerprint after another: the shuffle of one's probes can go before the next one's is made.
+    found = [Table(_linked(firsts, f, radius, bucket_rows)) for f in fps]
+    roots = star_components(reduce(DataFrame.union, (t.read() for t in found)))
+    for t in found:
+        t.drop()
     members = written(firsts.join(roots, "node").select(c("root").alias("class"), "node", "id", "size", "f0"))
 
     def ordered(some: DataFrame) -> DataFrame:

@@ -66,6 +66,24 @@ def test_thresholds_keep_the_pigeonhole():
             assert sum(t + 1 for _, _, t in parts) >= radius + 1
 
 
+def test_values_within_a_threshold_meet_halfway():
+    for t in range(5):
+        r, values = simhash.reach(t), np.arange(256)
+        near = [{v for v in range(256) if (v ^ x).bit_count() <= r} for x in range(256)]
+        assert len(near[7]) == simhash.ball(8, r)
+        for x, y in [(5, int(v) ^ 5) for v in values]:
+            d = (x ^ y).bit_count()
+            assert len(near[x] & near[y]) == simhash.meetings(8, r, d) and (d > t or near[x] & near[y])
+
+
+@pytest.mark.parametrize("n", [200_000, 2_200_000, 11_000_000])
+def test_probes_stay_few_as_the_table_grows(n):
+    # Before, 2.2 million fingerprints (documents of 6 GB) had 428 probes each within a radius of 10.
+    law = np.array([[0.005, 0.034, 0.114, 0.221, 0.272, 0.214, 0.106, 0.03, 0.004]] * 8)
+    parts = simhash.allocate(n, law, 10)
+    assert sum(simhash.ball(size * simhash.WIDTH, simhash.reach(t)) for _, size, t in parts) <= 100
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)] + [(5, 5)]
