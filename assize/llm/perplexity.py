@@ -1,7 +1,8 @@
 """Quality classifier: per-document perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
 The model is of order 3: trigrams of words, interpolated with continuation bigrams, continuation unigrams and a uniform
-share for unknown words, with the three discounts of the modified method at each order. A document's log probability is a
+share for unknown words, with the three discounts of the modified method at each order; all trusted documents of the training
+half fit it. A document's log probability is a
 sum of independent lookups: for each word log p1(w) + log gamma(w), for each bigram log(1 + (N - D) / (C gamma(c) p1(w))) +
 log gamma(bigram), for each trigram log(1 + (n - D) / (C gamma(c) p2(w))), and nothing for what the model lacks. So counts and
 documents are joined in shards by key: each task turns a chunk of texts into one compressed list of (key, documents) for each
@@ -12,12 +13,14 @@ trusted documents of its own language.
 
 A mean over a whole text hides a few hostile words in ordinary prose. So a document has a second score, its worst word: the
 largest log ratio of a word's Kneser-Ney unigram probability in labelled toxic text to that in trusted text. Words of all
-languages count together there; a bounded table of the words with the largest ratios is looked up on the spot.
+languages count together there; a bounded table of the words with the largest ratios is looked up on the spot, and the
+shards answer for all others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +32,10 @@ from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
 
 from .common import Rolling, Table, chunks, durable, lean, mixed, packed, shuffle_partitions, table, unpacked, written
 
-#: This many trusted documents, and as many toxic ones, train at most, whole texts each: all of them count words for the
-#: contrast of the two, and the first MODEL_DOCS trusted ones fit the trigrams.
-TRAIN_DOCS, MODEL_DOCS = 8000, 3000
+#: Slices of the n-grams that are valued one after another, so that the shuffles of one may go before the next.
+SLICES = 4
+#: Training ids that are broadcast to find their texts; more are joined.
+BROADCAST_IDS = 1 << 20
 QUANTILE = 0.995
 #: A language's threshold counts as many documents as calibrate it, and that of all languages together as this many.
 PRIOR_DOCS = 100
@@ -42,8 +46,12 @@ PRIOR_TOKENS = 20
 CHUNK_BYTES, HOT_KEYS, BLOOM_WORDS = 3 << 20, 65536, 1 << 19
 #: Input partitions whose requests to a shard meet in one group; the shard, of bounded size, is repeated for each.
 BLOCK_PARTITIONS = 64
-#: Words whose contrast of toxic and trusted text is looked up, those with the largest.
+#: Words whose contrast of toxic and trusted text is looked up on the spot, those with the largest; shards answer for the rest.
 CONTRAST_WORDS = 65536
+#: What tells the key of a word's contrast from that of the word.
+_CONTRAST = np.uint64(0x5DEECE66D)
+#: What a key is looked up for: an n-gram of several words, a word, a word's contrast.
+SEVERAL, WORD, CONTRAST = 0, 1, 2
 _BEGIN, _END = np.uint64(0x1234567), np.uint64(0x7654321)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -152,44 +160,56 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The model of n-gram counts (root, before, pair, context, word, n): values (key, value, weight, pair), pair being false
     for single words, and for each root the log probability of a word it lacks (root, unknown)."""
     c = F.col
-    tables = [Table(counts)]
-    counts = tables[-1].read()
+    counted = Table(counts)
+    counts = counted.read()
     triples = counts.where("before is not null")
     d3 = discounts(_counted(triples, "n"))
     # Keys contain their language, so a pair, a context and a word have one root each.
     seen = F.sum(F.when(c("before").isNull(), c("n")).otherwise(1))
-    tables.append(Table(counts.groupBy("pair").agg(*(F.first(x).alias(x) for x in ("root", "context", "word")), seen.alias("types"), F.sum("n").alias("weight"))))
-    pairs = tables[-1].read()
+    paired = Table(counts.groupBy("pair").agg(*(F.first(x).alias(x) for x in ("root", "context", "word")), seen.alias("types"), F.sum("n").alias("weight")))
+    pairs = paired.read()
     d2 = discounts(_counted(pairs, "types"))
-    words = durable(pairs.groupBy("root", "word").agg(F.count("*").alias("types"), F.sum("weight").alias("weight")))
+    words = written(pairs.groupBy("root", "word").agg(F.count("*").alias("types"), F.sum("weight").alias("weight")))
     d1 = discounts(_counted(words, "types"))
-    # One row for each language of the training sample.
+    # One row for each language of the training half.
     roots = words.groupBy("root").agg(F.sum("types").alias("all_types"), F.count("*").alias("words"), F.sum(_discount("types", d1)).alias("freed_words"))
-    roots = roots.withColumn("share", c("freed_words") / c("all_types") / (c("words") + 1))
+    roots = written(roots.withColumn("share", c("freed_words") / c("all_types") / (c("words") + 1)))
     p1 = (c("types") - _discount("types", d1)) / c("all_types") + c("share")
-    unigrams = words.join(F.broadcast(roots.select("root", "all_types", "share")), "root").select("word", p1.alias("p1"), "weight")
-    contexts = pairs.groupBy("context").agg(F.sum("types").alias("total"), F.sum(_discount("types", d2)).alias("freed"), F.sum("weight").alias("uses"))
-    after = triples.groupBy("before").agg(F.sum("n").alias("total3"), F.sum(_discount("n", d3)).alias("freed3"))
+    unigrams = written(words.join(_bounded(roots.select("root", "all_types", "share")), "root").select("word", p1.alias("p1"), "weight"))
+    contexts = written(pairs.groupBy("context").agg(F.sum("types").alias("total"), F.sum(_discount("types", d2)).alias("freed"), F.sum("weight").alias("uses")))
     more = c("types") - _discount("types", d2)
-    held = pairs.join(contexts.select("context", "total", "freed"), "context").join(unigrams.select("word", "p1"), "word")
-    tables.append(Table(held.select("pair", "weight", ((more + c("freed") * c("p1")) / c("total")).alias("p2"), F.log(1 + more / (c("freed") * c("p1"))).alias("value"))))
-    held = tables[-1].read()
-    double = held.join(after, c("pair") == c("before"), "left").select(c("pair").alias("key"), (c("value") + F.coalesce(F.log(c("freed3") / c("total3")), F.lit(0.0))).alias("value"), "weight", F.lit(True).alias("pair"))
-    gained = F.log(1 + (c("n") - _discount("n", d3)) / (c("freed3") * c("p2")))
-    triple = triples.select("before", "pair", "word", "n").join(held.select("pair", "p2"), "pair").join(after.select("before", "freed3"), "before").select("before", "word", gained.alias("value"), "n")
+    slice_of = lambda key, i: F.pmod(F.xxhash64(key), F.lit(SLICES)) == i
+
+    def valued(i: int) -> Table:
+        """The pairs of a slice: p2 for what follows `before`, the value of the pair, and as a context the freed mass."""
+        after = triples.where(slice_of("before", i)).groupBy("before").agg(F.sum("n").alias("total3"), F.sum(_discount("n", d3)).alias("freed3"))
+        held = pairs.where(slice_of("pair", i)).select("pair", "context", "word", "types", "weight").join(contexts.select("context", "total", "freed"), "context").join(unigrams.select("word", "p1"), "word")
+        held = held.select("pair", "weight", ((more + c("freed") * c("p1")) / c("total")).cast("float").alias("p2"), F.log(1 + more / (c("freed") * c("p1"))).alias("value"))
+        value = c("value") + F.coalesce(F.log(c("freed3") / c("total3")), F.lit(0.0))
+        return Table(held.join(after, c("pair") == c("before"), "left").select("pair", "weight", "p2", value.cast("float").alias("value"), c("freed3").cast("float").alias("freed3")))
+
+    slices = [valued(i) for i in range(SLICES)]
+    paired.drop()
+    held = reduce(DataFrame.union, (t.read() for t in slices))
+    double = held.select(c("pair").alias("key"), "value", "weight", F.lit(True).alias("pair"))
     single = unigrams.withColumnRenamed("word", "key").join(contexts.select(c("context").alias("key"), F.log(c("freed") / c("total")).alias("gamma"), "uses"), "key", "full_outer")
-    single = single.select("key", (F.coalesce(F.log("p1"), F.lit(0.0)) + F.coalesce("gamma", F.lit(0.0))).alias("value"), F.coalesce("weight", "uses").alias("weight"), F.lit(False).alias("pair"))
+    single = single.select("key", (F.coalesce(F.log("p1"), F.lit(0.0)) + F.coalesce("gamma", F.lit(0.0))).cast("float").alias("value"), F.coalesce("weight", "uses").alias("weight"), F.lit(False).alias("pair"))
+    gained = F.log(1 + (c("n") - _discount("n", d3)) / (c("freed3") * c("p2"))).cast("float")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             u, w = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1))
             yield pa.record_batch([pa.array(_joined(u, w, 3).view(np.int64)), b.column(2), b.column(3), pa.array(np.ones(len(u), bool))], ["key", "value", "weight", "pair"])
 
-    values = written(single.unionByName(double).unionByName(triple.mapInArrow(keyed, "key long, value double, weight long, pair boolean")))
-    unknown = durable(roots.select("root", F.log("share").alias("unknown")))
-    for t in tables:
+    made = [written(single.unionByName(double))]
+    for i, t in enumerate(slices):
+        # A pair before a word occurs itself, so both joins find their rows.
+        triple = triples.where(slice_of("pair", i)).select("before", "pair", "word", "n").join(t.read().select("pair", "p2"), "pair").select("before", "word", "n", "p2")
+        triple = triple.join(held.select(c("pair").alias("before"), "freed3"), "before").select("before", "word", gained.alias("value"), "n")
+        made.append(written(triple.mapInArrow(keyed, "key long, value float, weight long, pair boolean")))
+    for t in (counted, *slices):
         t.drop()
-    return values, unknown
+    return reduce(DataFrame.union, made), roots.select("root", F.log("share").alias("unknown"))
 
 
 def contrasts(toxic: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -205,7 +225,7 @@ def contrasts(toxic: DataFrame, trusted: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(pairs.view(np.int64)), pa.array(keys[1:][inside][at].view(np.int64))], ["pair", "key"])
 
     def types(texts: DataFrame, name: str) -> tuple:
-        words = durable(texts.select(F.lit(None).cast("string").alias("lang"), "text").mapInArrow(lean(followers), "pair long, key long").distinct().groupBy("key").agg(F.count("*").alias(name)))
+        words = written(texts.select(F.lit(None).cast("string").alias("lang"), "text").mapInArrow(lean(followers), "pair long, key long").distinct().groupBy("key").agg(F.count("*").alias(name)))
         d = discounts(_counted(words, name))
         total = words.agg(F.sum(name).alias("all"), F.count("*").alias("words"), F.sum(_discount(name, d)).alias("freed")).first()  # one row
         share = total["freed"] / total["all"] / (total["words"] + 1) if total["all"] else 1.0
@@ -233,7 +253,7 @@ def _bounds(shards: int) -> np.ndarray:
     return np.array([-(-(i << 32) // shards) << 32 for i in range(shards)], np.uint64)
 
 
-def _requests(hot_keys, hot_values, bloom, unknown, bad_keys, bad_values, shards: int, blocks: int):
+def _requests(hot_keys, hot_values, bloom, unknown, bad_keys, bad_values, more_bad: bool, shards: int, blocks: int):
     """A mapInArrow function: for each chunk a header row for each document, with what is known on the spot, and for each
     shard the keys to look up with the documents that hold them. Headers go to any shard of the chunk's block."""
 
@@ -259,16 +279,23 @@ def _requests(hot_keys, hot_values, bloom, unknown, bad_keys, bad_values, shards
                     pair_doc, pairs = ngram_keys(doc, keys)
                     place = pairs % np.uint64(BLOOM_WORDS * 64)
                     maybe = (bloom.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-                    all_doc = np.concatenate([doc, pair_doc[maybe]])
-                    all_keys = np.concatenate([keys, pairs[maybe]])
-                    single = np.concatenate([np.ones(len(doc), bool), np.zeros(int(maybe.sum()), bool)])
+                    bad_doc, further = doc[:0], keys[:0]
+                    if more_bad:
+                        further = mixed(mixed(hashes ^ no_lang) ^ _CONTRAST)
+                        place = further % np.uint64(BLOOM_WORDS * 64)
+                        perhaps = (bloom.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+                        bad_doc, further = doc[perhaps], further[perhaps]
+                    all_doc = np.concatenate([doc, pair_doc[maybe], bad_doc])
+                    all_keys = np.concatenate([keys, pairs[maybe], further])
+                    kinds = np.repeat(np.array([WORD, SEVERAL, CONTRAST], np.uint8), [len(doc), int(maybe.sum()), len(further)])
+                    single = kinds == WORD
                     # Every word counts as unknown until a lookup corrects it.
                     known = np.bincount(doc, least[doc], minlength=len(some))
                     hot = np.minimum(np.searchsorted(hot_keys.value, all_keys), len(hot_keys.value) - 1) if len(hot_keys.value) else np.zeros(len(all_keys), np.int64)
                     is_hot = hot_keys.value[hot] == all_keys if len(hot_keys.value) else np.zeros(len(all_keys), bool)
                     gain = hot_values.value[hot[is_hot]] - np.where(single[is_hot], least[all_doc[is_hot]], 0.0) if is_hot.any() else np.zeros(0)
                     known += np.bincount(all_doc[is_hot], gain, minlength=len(some))
-                    cold_doc, cold, kind = all_doc[~is_hot], all_keys[~is_hot], single[~is_hot]
+                    cold_doc, cold, kind = all_doc[~is_hot], all_keys[~is_hot], kinds[~is_hot]
                     order = np.argsort(cold, kind="stable")
                     cold_doc, cold, kind = cold_doc[order], cold[order], kind[order]
                     first = np.flatnonzero(np.concatenate([[True], cold[1:] != cold[:-1]])) if len(cold) else np.zeros(0, np.int64)
@@ -280,7 +307,7 @@ def _requests(hot_keys, hot_values, bloom, unknown, bad_keys, bad_values, shards
                         if lo < hi:
                             distinct = cold[first[lo:hi]]
                             names.append(s)
-                            blobs.append((packed(np.diff(distinct, prepend=np.uint64(0))), packed(np.diff(ends[lo : hi + 1]).astype(np.uint32)), packed(cold_doc[ends[lo] : ends[hi]].astype(np.uint16)), packed(kind[first[lo:hi]].astype(np.uint8))))
+                            blobs.append((packed(np.diff(distinct, prepend=np.uint64(0))), packed(np.diff(ends[lo : hi + 1]).astype(np.uint32)), packed(cold_doc[ends[lo] : ends[hi]].astype(np.uint16)), packed(kind[first[lo:hi]])))
                     column = lambda values, kind: pa.array(values, kind)
                     n = len(names)
                     ids = b.column("id").take(pa.array(rows))
@@ -323,11 +350,12 @@ def _answer(kinds: pa.Schema):
             each = np.repeat(hit, n)
             doc = unpacked(docs, np.uint16).astype(np.int64)[each]
             value = np.repeat(np.where(hit, values[at], 0.0), n)[each]
-            single = np.repeat(unpacked(kind, np.uint8), n)[each]
-            touched = np.unique(doc)
-            sums, singles = np.bincount(doc, value), np.bincount(doc, single)
-            out.append((chunk, packed(touched.astype(np.uint16)), packed(sums[touched]), packed(singles[touched].astype(np.uint32))))
-        parts = dict(zip(("chunk", "rows", "sums", "singles"), zip(*out))) if out else {}
+            kind = np.repeat(unpacked(kind, np.uint8), n)[each]
+            touched, bad = np.unique(doc), kind == CONTRAST
+            sums, singles, worsts = np.bincount(doc, np.where(bad, 0.0, value)), np.bincount(doc, kind == WORD), np.zeros(len(touched))
+            np.maximum.at(worsts, np.searchsorted(touched, doc[bad]), value[bad])
+            out.append((chunk, packed(touched.astype(np.uint16)), packed(sums[touched]), packed(singles[touched].astype(np.uint32)), packed(worsts)))
+        parts = dict(zip(("chunk", "rows", "sums", "singles", "worsts"), zip(*out))) if out else {}
         tables = []
         for n, columns in ((heads.num_rows, {c: heads.column(c) for c in heads.column_names if c in kinds.names}), (len(out), parts)):
             tables.append(pa.table([pa.chunked_array([columns[f.name]], f.type) if isinstance(columns.get(f.name), tuple) else columns[f.name].cast(f.type) if f.name in columns else pa.chunked_array([pa.nulls(n, f.type)]) for f in kinds], schema=kinds))
@@ -341,10 +369,12 @@ def _gathered(kinds: pa.Schema):
         """A chunk's documents with the sums of all shards' parts: at most 65,536 headers and a part for each shard."""
         heads, parts = chunk.filter(pc.is_null(chunk.column("rows"))), chunk.filter(pc.is_valid(chunk.column("rows")))
         size = heads.num_rows
-        each = [np.concatenate([np.zeros(0, kind), *(unpacked(x, kind) for x in parts.column(name).to_pylist())]) for name, kind in (("rows", np.uint16), ("sums", np.float64), ("singles", np.uint32))]
+        each = [np.concatenate([np.zeros(0, kind), *(unpacked(x, kind) for x in parts.column(name).to_pylist())]) for name, kind in (("rows", np.uint16), ("sums", np.float64), ("singles", np.uint32), ("worsts", np.float64))]
         sums, singles = np.bincount(each[0], each[1], minlength=size), np.bincount(each[0], each[2].astype(np.int64), minlength=size).astype(np.int64)
         at = heads.column("row").to_numpy()
-        new = {"part": pa.array(sums[at], pa.float64()), "found": pa.array(singles[at], pa.int64())}
+        worst = np.zeros(size)
+        np.maximum.at(worst, each[0].astype(np.int64), each[3])
+        new = {"part": pa.array(sums[at], pa.float64()), "found": pa.array(singles[at], pa.int64()), "worst": pa.array(np.maximum(heads.column("worst").to_numpy(), worst[at]), pa.float64())}
         return pa.table([new[f.name] if f.name in new else heads.column(f.name) for f in kinds], schema=kinds)
 
     return run
@@ -358,18 +388,30 @@ def scored(docs: DataFrame, model: DataFrame, unknown: DataFrame, id_col: str =
     shards = shuffle_partitions(spark)
     hot = model.orderBy(F.desc("weight"), "key").limit(HOT_KEYS).select("key", "value").toArrow()
     lowest = {r["root"]: r["unknown"] for r in unknown.collect()}  # one row for each language of the training sample
-    bad_keys, bad_values = np.zeros(0, np.uint64), np.zeros(0)
+    bad_keys, bad_values, more_bad = np.zeros(0, np.uint64), np.zeros(0), False
     if contrast is not None:
-        bad = contrast.where("contrast > 0").orderBy(F.desc("contrast"), "key").limit(CONTRAST_WORDS).toArrow()
+        positive = written(contrast.where("contrast > 0").select("key", F.col("contrast").cast("float").alias("contrast")))
+        bad = positive.orderBy(F.desc("contrast"), "key").limit(CONTRAST_WORDS).toArrow()
         bad_keys, bad_values = _by_key(bad.column("key"), bad.column("contrast"))
+        more_bad = positive.count() > len(bad_keys)
+        if more_bad:
+
+            def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    keys = mixed(b.column(0).to_numpy().view(np.uint64) ^ _CONTRAST)
+                    yield pa.record_batch([pa.array(keys.view(np.int64)), b.column(1)], ["key", "value"])
+
+            # The table on the spot holds the largest; those of its least contrast may be in both.
+            rest = positive.where(F.col("contrast") <= F.lit(float(bad_values.min()))).select("key", "contrast").mapInArrow(moved, "key long, value float")
+            model = model.unionByName(rest.select("key", "value", F.lit(0).cast("long").alias("weight"), F.lit(True).alias("pair")))
     shared = [context.broadcast(x) for x in (*_by_key(hot.column("key"), hot.column("value")), _bloom(model), lowest, bad_keys, bad_values)]
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     blocks = -(-max(1, rows.rdd.getNumPartitions()) // BLOCK_PARTITIONS)
-    asked = rows.mapInArrow(lean(_requests(*shared, shards, blocks)), _REQUEST.format(id=docs.schema[id_col].dataType.simpleString()))
+    asked = rows.mapInArrow(lean(_requests(*shared, more_bad, shards, blocks)), _REQUEST.format(id=docs.schema[id_col].dataType.simpleString()))
     of_shard = model.select(F.shiftright(F.shiftrightunsigned("key", 32) * shards, 32).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "key", "value")
     id_type = to_arrow_type(docs.schema[id_col].dataType)
     head = [("row", pa.int32()), ("id", id_type), ("lang", pa.string()), ("tokens", pa.int64()), ("known", pa.float64()), ("least", pa.float64()), ("worst", pa.float64())]
-    answered = pa.schema([("chunk", pa.int64()), *head, ("rows", pa.binary()), ("sums", pa.binary()), ("singles", pa.binary())])
+    answered = pa.schema([("chunk", pa.int64()), *head, ("rows", pa.binary()), ("sums", pa.binary()), ("singles", pa.binary()), ("worsts", pa.binary())])
     summed = pa.schema([*head[1:], ("part", pa.float64()), ("found", pa.int64())])
     # Headers and requests take one shuffle by shard, headers and answers one by chunk: nothing is computed or kept twice.
     answers = of_shard.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_answer(answered), from_arrow_schema(answered))
@@ -379,28 +421,30 @@ def scored(docs: DataFrame, model: DataFrame, unknown: DataFrame, id_col: str =
     return joined.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), F.col("tokens").alias("n_tokens"), F.when(F.col("least") < 0, log_p).alias("log_p"), "worst")
 
 
-def drawn(labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+def drawn(labels: DataFrame, train_docs: int | None = None, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Ids (_t) of labels (id_col, quality, toxic): trusted ones that train, all other trusted ones, toxic ones that train.
 
-    Trusted are quality 1 and not toxic, nulls are not. Half of the ids of a kind train, up to `train_docs` in the order of a
-    hash. Both training samples are bounded tables."""
+    Trusted are quality 1 and not toxic, nulls are not. Half of the ids of a kind train: the fold of a hash, all of it unless
+    `train_docs` says how many at most, in the order of another hash."""
     ids = lambda kind: labels.where(kind).select(F.col(id_col).alias("_t")).where("_t is not null").distinct()
     half = F.pmod(F.xxhash64("_t", F.lit("fold")), F.lit(2))
-    some = lambda of: durable(of.where(half == 0).orderBy(F.xxhash64("_t", F.lit("train")), "_t").limit(train_docs))
+    some = lambda of: of.where(half == 0) if train_docs is None else durable(of.where(half == 0).orderBy(F.xxhash64("_t", F.lit("train")), "_t").limit(train_docs))
     trusted = ids((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0))
     chosen = some(trusted)
-    return chosen, trusted.join(F.broadcast(chosen), "_t", "left_anti"), some(ids(F.col("toxic") == 1))
+    others = trusted.where(half != 0) if train_docs is None else trusted.join(chosen, "_t", "left_anti")
+    return chosen, others, some(ids(F.col("toxic") == 1))
 
 
-def _bounded(languages: DataFrame) -> DataFrame:
-    """A table with a row for each language, to be broadcast if these are few."""
-    return F.broadcast(languages) if languages.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES else languages
+def _bounded(rows: DataFrame, most: int = BROADCAST_LANGUAGES) -> DataFrame:
+    """A table with a row for each language, say, to be broadcast if these are few."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
-def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, model_docs: int = MODEL_DOCS, quantile: float = QUANTILE, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", labelled: str | None = None, label_col: str | None = None) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, train_docs: int | None = None, model_docs: int | None = None, quantile: float = QUANTILE, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", labelled: str | None = None, label_col: str | None = None) -> DataFrame:
     """(id_col, lang_col, n_tokens, perplexity, score, threshold, worst, limit, kept) of every document.
 
-    labels: (id_col, quality, toxic). `drawn` says which ids train the models of trusted and of toxic text; all other trusted
+    labels: (id_col, quality, toxic). `drawn` says which ids train the models of trusted and of toxic text, whole texts each
+    (`model_docs`: so many of the trusted ones fit the trigrams at most, all if not given); all other trusted
     ids calibrate: `threshold` and `limit` are the quantiles of their `score` and `worst` in the document's language, drawn
     towards those of all languages together, which weigh as much as PRIOR_DOCS documents: a language with few trusted
     documents has nearly the common ones, one without any has these. `score` is the mean negative log probability with PRIOR_TOKENS tokens of the
@@ -413,10 +457,10 @@ def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, m
     labelled, label_col = labelled or id_col, label_col or id_col
     chosen, calibrating, bad = drawn(labels, train_docs, label_col)
     texts = docs.select(F.col(labelled).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    # The texts of two bounded samples, found in one pass.
-    fits = chosen.orderBy(F.xxhash64("_t", F.lit("train")), "_t").limit(model_docs).withColumn("fits", F.lit(True))
-    marked = chosen.join(fits, "_t", "left").select("_t", F.lit(False).alias("bad"), F.coalesce("fits", F.lit(False)).alias("fits")).union(bad.select("_t", F.lit(True), F.lit(False)))
-    samples = written(texts.join(F.broadcast(marked), F.col("id") == F.col("_t")).select("lang", "text", "bad", "fits"))
+    fits = chosen.withColumn("fits", F.lit(True)) if model_docs is None else chosen.join(chosen.orderBy(F.xxhash64("_t", F.lit("train")), "_t").limit(model_docs).withColumn("fits", F.lit(True)), "_t", "left")
+    marked = written(fits.select("_t", F.lit(False).alias("bad"), F.coalesce("fits", F.lit(False)).alias("fits")).union(bad.select("_t", F.lit(True), F.lit(False))))
+    # The texts of both kinds, found in one pass.
+    samples = written(texts.join(_bounded(marked, BROADCAST_IDS), F.col("id") == F.col("_t")).select("lang", "text", "bad", "fits"))
     training = samples.where("not bad")
     values, unknown = kneser_ney(ngram_counts(samples.where("fits")))
     contrast = contrasts(samples.where("bad"), training)

@@ -103,6 +103,25 @@ def test_all_other_trusted_ids_calibrate(spark):
     assert 0 < len(toxic) <= 20 and set(toxic) <= {i for i, _, t in rows if t}
 
 
+def test_all_of_the_training_half_trains(spark):
+    # Before, 8,000 ids of a kind trained at most, and 3,000 of them fitted the trigrams.
+    labels = spark.range(40_000).selectExpr("id AS doc_id", "1 AS quality", "cast(id % 2 AS int) AS toxic")
+    train, others, toxic = (x.count() for x in perplexity.drawn(labels))
+    assert train + others == 20_000 and min(train, toxic) > 9_500
+
+
+def test_words_beyond_the_table_have_their_contrast(spark, monkeypatch):
+    rng = random.Random(15)
+    good, bad = "the of and sat ran cat dog bird tree house near".split(), "idiot scum moron fool rat pig".split()
+    text = lambda i: " ".join([rng.choice(good) for _ in range(30)] + [rng.choice(bad) for _ in range(i % 4 == 0)])
+    docs = spark.createDataFrame([(i, text(i), "en") for i in range(400)], "doc_id bigint, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id bigint, quality int, toxic int")
+    want = {r.doc_id: (r.worst, r.kept) for r in perplexity.classify(docs, labels).collect()}
+    monkeypatch.setattr(perplexity, "CONTRAST_WORDS", 2)
+    got = {r.doc_id: (r.worst, r.kept) for r in perplexity.classify(docs, labels).collect()}
+    assert got == want and len({w for w, _ in want.values()}) > 3
+
+
 def test_toxic_prose_is_rejected(spark):
     rng = random.Random(14)
     insults = "idiot scum moron".split()
