@@ -117,3 +117,16 @@ def test_rounds_merge_what_partitions_leave(spark):
 def test_lengths_are_checked(spark):
     with pytest.raises(Exception, match="lengths must lie"):
         packing.pack(spark.createDataFrame([(0,)], "length bigint"), capacity=10).collect()
+
+
+def test_word_tokenizer_remembers_a_million_words():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        words = packing.WordTokenizer(f.read()).words
+    for first in (0, 500_000):
+        words.learn([b"%d" % i for i in range(first, first + 500_000)], lambda new: [b""] * len(new))
+    # Before, half of them were forgotten; there still is a bound.
+    assert len(words) == 1_000_000
+    words.learn([b"x%d" % i for i in range(600_000)], lambda new: [b""] * len(new))
+    assert len(words) == 600_000
