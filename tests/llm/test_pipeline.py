@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from assize.llm import perplexity
 from tests.llm.test_duplicates import brute, shingles
 from tests.llm.test_simple_operators import measures
 from tests.llm.test_tokens import check_bins
@@ -97,6 +98,17 @@ def test_rows_that_share_an_id_are_told_apart(spark, tmp_path):
     assert {r[1] for r in left} == {r[1] for r in rows} and len(left) == len({r[1] for r in rows})
 
 
+def test_classifier_trains_on_all_of_the_half(spark, tmp_path, monkeypatch):
+    # Before, 8,000 ids trained at most.
+    drawn, seen = perplexity.drawn, []
+    monkeypatch.setattr(perplexity, "drawn", lambda *a: seen.append(drawn(*a)) or seen[0])
+    spark.range(20_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").write.parquet(f"file://{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(i, f"the cat sat on mat {i % 3}", "en", "s", 1) for i in range(40)], SCHEMA).repartition(2)
+    assert corpus_pipeline.quality_classifier(spark, docs, f"file://{tmp_path}").count() > 0
+    train, others, _ = (x.count() for x in seen[0])
+    assert train + others == 20_000 and train > 9_500
+
+
 def test_empty_corpus(spark, tmp_path):
     for name, schema in (("documents", SCHEMA), ("labels", "doc_id bigint, quality int, toxic int")):
         spark.createDataFrame([], schema).write.parquet(f"file://{tmp_path}/{name}.parquet")
