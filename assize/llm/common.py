@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -76,6 +77,46 @@ class Table:
         at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffles of what is written here are removed at once, and not when the driver next collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def tidied(df: DataFrame) -> Table:
+    """A table whose shuffles go once it is written."""
+    with tidy(df.sparkSession):
+        return Table(df)
+
+
+class Sharded(Table):
+    """A table in the shared folder, bucketed by its column `shard`: rows that meet it by shard are shuffled, its own are not."""
+
+    def __init__(self, spark: SparkSession, shards: int):
+        self.spark, self.shards, self.parts = spark, shards, 0
+        self.name = f"assize_{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(spark).rstrip('/')}/{self.name}"
+
+    def add(self, df: DataFrame) -> Sharded:
+        with tidy(self.spark):
+            df.write.format("parquet").mode("append").bucketBy(self.shards, "shard").option("path", self.path).saveAsTable(self.name)
+        self.parts += 1
+        return self
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        super().drop()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

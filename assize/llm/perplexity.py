@@ -2,14 +2,16 @@
 
 The model is of order 3: trigrams of words, interpolated with continuation bigrams, continuation unigrams and a uniform
 share for unknown words, with the three discounts of the modified method at each order; all trusted documents of the training
-half fit it. A document's log probability is a
-sum of independent lookups: for each word log p1(w) + log gamma(w), for each bigram log(1 + (N - D) / (C gamma(c) p1(w))) +
-log gamma(bigram), for each trigram log(1 + (n - D) / (C gamma(c) p2(w))), and nothing for what the model lacks. So counts and
-documents are joined in shards by key: each task turns a chunk of texts into one compressed list of (key, documents) for each
-shard, and a shard answers with partial sums by document. The most frequent keys, a fixed number, are answered on the spot,
-so that no shard gets a hot key; a Bloom filter of fixed size keeps most n-grams that the model lacks from being sent. A
-shard answers the requests of a bounded number of input partitions at a time. Rejected is what lies above a quantile of the
-trusted documents of its own language.
+half fit it. N-grams are counted, valued and kept in packed arrays, a row for each shard of keys: pairs meet there with what
+the shards of the vocabulary say of their words, triples go from the shard of their last pair to that of their first with p2.
+
+A document's log probability is a sum of independent lookups: for each word log p1(w) + log gamma(w), for each bigram
+log(1 + (N - D) / (C gamma(c) p1(w))) + log gamma(bigram), for each trigram log(1 + (n - D) / (C gamma(c) p2(w))), and nothing
+for what the model lacks. So each task turns a chunk of texts into one compressed list of (key, documents) for each shard, and
+a shard answers with partial sums by document. The most frequent keys, a fixed number, are answered on the spot; a Bloom
+filter of fixed size keeps many n-grams that the model lacks from being sent. Documents are scored in slices, one after
+another, so that the requests of one are gone before the next, and a shard answers the requests of a bounded number of input
+partitions at a time. Rejected is what lies above a quantile of the trusted documents of its own language.
 
 A mean over a whole text hides a few hostile words in ordinary prose. So a document has a second score, its worst word: the
 largest log ratio of a word's Kneser-Ney unigram probability in labelled toxic text to that in trusted text. Words of all
@@ -30,10 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
 
-from .common import Rolling, Table, chunks, durable, lean, mixed, packed, shuffle_partitions, table, unpacked, written
+from .common import Rolling, Sharded, Table, chunks, durable, lean, mixed, packed, shuffle_partitions, table, tidied, unpacked
 
-#: Slices of the n-grams that are valued one after another, so that the shuffles of one may go before the next.
-SLICES = 4
+#: Slices of the shards whose n-grams are valued one after another, and slices of the documents that are scored one after
+#: another: the shuffles of one go before the next.
+SLICES, SCORED_SLICES = 4, 6
 #: Training ids that are broadcast to find their texts; more are joined.
 BROADCAST_IDS = 1 << 20
 QUANTILE = 0.995
@@ -43,15 +46,17 @@ PRIOR_DOCS = 100
 BROADCAST_LANGUAGES = 10_000
 #: A score counts this many tokens of its language's mean, so that a few words alone don't reject a document.
 PRIOR_TOKENS = 20
-CHUNK_BYTES, HOT_KEYS, BLOOM_WORDS = 3 << 20, 65536, 1 << 19
-#: Input partitions whose requests to a shard meet in one group; the shard, of bounded size, is repeated for each.
+CHUNK_BYTES, COUNT_BYTES, HOT_KEYS, BLOOM_BITS = 3 << 20, 8 << 20, 65536, 1 << 27
+#: Input partitions whose requests to a shard meet in one group, at most: with more of them there are more slices.
 BLOCK_PARTITIONS = 64
 #: Words whose contrast of toxic and trusted text is looked up on the spot, those with the largest; shards answer for the rest.
 CONTRAST_WORDS = 65536
-#: What tells the key of a word's contrast from that of the word.
+#: What tells the key of a word's contrast from that of the word, besides the parts that the model has.
 _CONTRAST = np.uint64(0x5DEECE66D)
 #: What a key is looked up for: an n-gram of several words, a word, a word's contrast.
 SEVERAL, WORD, CONTRAST = 0, 1, 2
+#: What an entry of the model is.
+SINGLE, PAIR, TRIPLE = 0, 1, 2
 _BEGIN, _END = np.uint64(0x1234567), np.uint64(0x7654321)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -97,11 +102,16 @@ def _joined(a: np.ndarray, b: np.ndarray, order: int) -> np.ndarray:
     return mixed(a * np.uint64(0x9E3779B97F4A7C15) + b + np.uint64(order))
 
 
+def _followed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of triples, from those of their first pairs and of their last words; their upper 16 bits, which say the shard, are the pair's."""
+    return _joined(before, word, 3) & np.uint64((1 << 48) - 1) | before & ~np.uint64((1 << 48) - 1)
+
+
 def ngram_keys(doc: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, key) of every bigram and trigram, in the same key space."""
     pairs = _joined(keys[:-1], keys[1:], 2)
     two, three = doc[1:] == doc[:-1], doc[2:] == doc[:-2]
-    return np.concatenate([doc[1:][two], doc[2:][three]]), np.concatenate([pairs[two], _joined(pairs[:-1][three], keys[2:][three], 3)])
+    return np.concatenate([doc[1:][two], doc[2:][three]]), np.concatenate([pairs[two], _followed(pairs[:-1][three], keys[2:][three])])
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -112,29 +122,139 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
 # ---------------------------------------------------------------- the model
 
 
-def ngram_counts(docs: DataFrame) -> DataFrame:
-    """(root, before, pair, context, word, n) of texts given as (lang, text): how often `word` follows `context`, which make
-    `pair`, after `before`, the pair that ends in `context`; null where a text begins."""
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shards are equal ranges of the keys' upper 16 bits."""
+    return ((keys >> np.uint64(48)) * np.uint64(shards) >> np.uint64(16)).astype(np.int64)
+
+
+def _cuts(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard begins in sorted keys, and their end."""
+    return np.append(np.searchsorted(keys, _bounds(shards)), len(keys))
+
+
+def _ascending(a: np.ndarray) -> bytes:
+    return packed(np.diff(a, prepend=a.dtype.type(0)))
+
+
+def _summed(blob: bytes, dtype) -> np.ndarray:
+    return np.cumsum(unpacked(blob, dtype), dtype=dtype)
+
+
+def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where a new combination begins."""
+    if not len(sorted_columns[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([x[1:] != x[:-1] for x in sorted_columns])]))
+
+
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, first) if len(first) else values[:0]
+
+
+def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(list(x), f.type) for x, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
+
+
+def _binaries(*names: str) -> list:
+    return [(x, pa.binary()) for x in names]
+
+
+#: Words of a part of the n-grams (sorted), their languages' roots, and which is whose.
+_WORDS = _binaries("words", "langs", "lang_of")
+#: N-grams as places in `words`: context, word, and one more than the word before, 0 where a text begins.
+_GRAMS = pa.schema([("shard", pa.int32()), *_WORDS, *_binaries("b", "c", "a", "n")])
+#: A shard's n-grams, each pair once: `sizes` says how many triples it has. h3 and h2 count the triples and pairs that occur 1 to 4 times.
+_SHARD = pa.schema([("shard", pa.int32()), ("shards", pa.int32()), *_WORDS, *_binaries("b", "c", "sizes", "a", "n"), ("h3", pa.list_(pa.int64())), ("h2", pa.list_(pa.int64()))])
+#: Of each word: pairs it begins by their types (all, and how many have 1, 2, more), its uses as a context; pairs it ends, its uses.
+_COUNTS = ("total", "t1", "t2", "t3", "uses", "types", "weight")
+_PARTS = pa.schema([("shard", pa.int32()), ("source", pa.int32()), *_WORDS, *_binaries(*_COUNTS)])
+_VOCABULARY = pa.schema([("shard", pa.int32()), ("shards", pa.int32()), *_WORDS, *_binaries(*_COUNTS), ("sources", pa.list_(pa.int32())), ("picks", pa.list_(pa.binary())), ("h1", pa.list_(pa.int64()))])
+_OF_WORDS = pa.schema([("shard", pa.int32()), ("part", pa.int32()), *_binaries("total", "freed", "p1")])
+#: Entries on their way to their shard: words, pairs, and triples with the key of their first pair.
+_ENTRIES = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), *_binaries("before", "keys", "value", "weight")])
+#: The model: a row or more for each shard, with its most frequent keys and its share of the Bloom filter.
+_MODEL = pa.schema([("shard", pa.int32()), ("shards", pa.int32()), *_binaries("keys", "value", "hot_keys", "hot_values", "bloom")])
+
+
+def _languages(roots: np.ndarray) -> tuple[bytes, bytes]:
+    langs, lang_of = np.unique(roots, return_inverse=True)
+    return packed(langs), packed(lang_of.astype(np.uint32))
+
+
+def _roots_of(row: dict) -> np.ndarray:
+    return unpacked(row["langs"], np.uint64)[unpacked(row["lang_of"], np.uint32)]
+
+
+def _histogram(n: np.ndarray) -> list[int]:
+    return np.bincount(np.minimum(n, 5).astype(np.int64), minlength=6)[1:5].tolist()
+
+
+def ngram_counts(docs: DataFrame, triples: bool = True) -> DataFrame:
+    """How often each word follows each two, of texts given as (lang, text): packed, a row for each shard of pairs; without
+    `triples` the pairs alone."""
+    shards = shuffle_partitions(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in chunks(_rows(b), CHUNK_BYTES):
+        for batch in batches:
+            for part in chunks(_rows(batch), COUNT_BYTES):
                 roots = _roots([r[1] for r in part])
                 doc, keys = word_keys([r[2] for r in part], roots)
-                pairs, inside = _joined(keys[:-1], keys[1:], 2), doc[1:] == doc[:-1]
-                at = np.flatnonzero(inside)
-                begins = ~np.concatenate([[False], inside[:-1]])[at]
-                before = np.where(begins, np.uint64(0), pairs[at - 1])
-                order = np.lexsort((before, begins, pairs[at]))
-                at, begins, before = at[order], begins[order], before[order]
-                first = np.flatnonzero(np.concatenate([[True], (pairs[at][1:] != pairs[at][:-1]) | (before[1:] != before[:-1]) | (begins[1:] != begins[:-1])])) if len(at) else np.zeros(0, np.int64)
-                n, at = np.diff(np.append(first, len(at))), at[first]
-                columns = [roots[doc[at]], None, pairs[at], keys[at], keys[at + 1]]
-                columns = [pa.array(before[first].view(np.int64), mask=begins[first]) if x is None else pa.array(x.view(np.int64)) for x in columns]
-                yield pa.record_batch([*columns, pa.array(n)], ["root", "before", "pair", "context", "word", "n"])
-
-    parts = docs.select("lang", "text").mapInArrow(lean(run), "root long, before long, pair long, context long, word long, n long")
-    return parts.repartition("pair").groupBy("root", "before", "pair", "context", "word").agg(F.sum("n").alias("n"))
+                at = np.flatnonzero(doc[1:] == doc[:-1])
+                begins = np.concatenate([[True], doc[1:] != doc[:-1]])[at]
+                words, first, place = np.unique(keys, return_index=True, return_inverse=True)
+                of_word, place = roots[doc[first]], place.astype(np.int64)
+                shard = _shard(_joined(keys[at], keys[at + 1], 2), shards)
+                pair = place[at] * len(words) + place[at + 1]
+                a = np.where(begins, 0, place[at - 1] + 1) if triples else np.zeros(len(at), np.int64)
+                order = np.lexsort((a, pair, shard))
+                shard, pair, a = shard[order], pair[order], a[order]
+                first = _starts(shard, pair, a)
+                n = np.diff(np.append(first, len(pair))).astype(np.uint64)
+                b, c, a = pair[first] // len(words), pair[first] % len(words), a[first]
+                cuts, rows = np.searchsorted(shard[first], np.arange(shards + 1)), []
+                for s in range(shards):
+                    lo, hi = cuts[s], cuts[s + 1]
+                    if lo < hi:
+                        own = np.unique(np.concatenate([b[lo:hi], c[lo:hi], a[lo:hi][a[lo:hi] > 0] - 1]))
+                        local = lambda x, own=own: np.searchsorted(own, x).astype(np.uint32)
+                        before = np.where(a[lo:hi] > 0, local(a[lo:hi] - 1) + 1, 0).astype(np.uint32)
+                        rows.append((s, _ascending(words[own]), *_languages(of_word[own]), _ascending(local(b[lo:hi])), packed(local(c[lo:hi])), packed(before), packed(n[lo:hi])))
+                yield _batch(_GRAMS, rows)
+
+    def merged(key: tuple, grams: pa.Table) -> pa.Table:
+        rows = grams.to_pylist()
+        held = [_summed(r["words"], np.uint64) for r in rows]
+        words = np.unique(np.concatenate(held))
+        of_word, columns = np.zeros(len(words), np.uint64), []
+        for row, own in zip(rows, held):
+            at = np.searchsorted(words, own)
+            of_word[at] = _roots_of(row)
+            a = unpacked(row["a"], np.uint32).astype(np.int64)
+            pair = at[_summed(row["b"], np.uint32)] * len(words) + at[unpacked(row["c"], np.uint32)]
+            columns.append((pair, np.where(a > 0, at[np.maximum(a - 1, 0)] + 1, 0), unpacked(row["n"], np.uint64)))
+        pair, a, n = (np.concatenate(x) for x in zip(*columns))
+        order = np.lexsort((a, pair))
+        pair, a = pair[order], a[order]
+        first = _starts(pair, a)
+        pair, a, n = pair[first], a[first], _sums(n[order], first)
+        first = _starts(pair)
+        types = _sums(np.where(a == 0, n, 1).astype(np.uint64), first)
+        sizes = np.diff(np.append(first, len(pair))).astype(np.uint32)
+        b, c = ((x(pair[first], len(words))).astype(np.uint32) for x in (np.floor_divide, np.remainder))
+        row = (key[0].as_py(), shards, _ascending(words), *_languages(of_word), _ascending(b), packed(c), packed(sizes), packed(a.astype(np.uint32)), packed(n), _histogram(n[a > 0]), _histogram(types))
+        return pa.Table.from_batches([_batch(_SHARD, [row])])
+
+    parts = docs.select("lang", "text").mapInArrow(lean(run), from_arrow_schema(_GRAMS))
+    return parts.groupBy("shard").applyInArrow(merged, from_arrow_schema(_SHARD))
+
+
+def _grams(row: dict) -> tuple[np.ndarray, ...]:
+    """(words, b, c, sizes, a, n, types, weight) of a shard; types and weight of its pairs."""
+    b, c, sizes, a = _summed(row["b"], np.uint32), *(unpacked(row[x], np.uint32) for x in ("c", "sizes", "a"))
+    n = unpacked(row["n"], np.uint64)
+    first = np.cumsum(sizes, dtype=np.int64) - sizes
+    types = _sums(np.where(a == 0, n, 1).astype(np.uint64), first)
+    return _summed(row["words"], np.uint64), b.astype(np.int64), c.astype(np.int64), sizes, a.astype(np.int64), n, types, _sums(n, first)
 
 
 def discounts(counts_of_counts: dict[int, int]) -> tuple[float, float, float]:
@@ -147,89 +267,189 @@ def discounts(counts_of_counts: dict[int, int]) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), i - 0.05) for i, x in enumerate(d, 1))
 
 
-def _counted(rows: DataFrame, column: str) -> dict[int, int]:
-    found = rows.where(F.col(column) <= 4).groupBy(column).agg(F.count("*").alias("rows")).collect()  # 4 rows
-    return {r[column]: r["rows"] for r in found}
+def _counted(rows: DataFrame, column: str) -> tuple[float, float, float]:
+    found = rows.select(*(F.sum(F.col(column)[i]).alias(f"n{i}") for i in range(4))).first()  # one row
+    return discounts({i + 1: found[i] or 0 for i in range(4)})
+
+
+def _discount(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    return np.array([0.0, *d])[np.minimum(n, 3).astype(np.int64)]
 
 
-def _discount(n: str, d: tuple[float, float, float]):
-    return F.when(F.col(n) == 1, F.lit(d[0])).when(F.col(n) == 2, F.lit(d[1])).otherwise(F.lit(d[2]))
+def vocabulary(counts: DataFrame) -> DataFrame:
+    """What all shards of `ngram_counts` count of each word, in shards of words; `picks` are the words that a source has."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, b, c, _, _, _, types, weight = _grams(row)
+                each = lambda at, w=None: np.bincount(at, w, minlength=len(words)).astype(np.uint64)  # noqa: E731, B023
+                counted = [each(b, types), each(b[types == 1]), each(b[types == 2]), each(b[types > 2]), each(b, weight), each(c), each(c, weight)]
+                of_word, cuts = _roots_of(row), _cuts(words, row["shards"])
+                spans = [(s, cuts[s], cuts[s + 1]) for s in range(row["shards"]) if cuts[s] < cuts[s + 1]]
+                yield _batch(_PARTS, [(s, row["shard"], _ascending(words[lo:hi]), *_languages(of_word[lo:hi]), *(packed(x[lo:hi]) for x in counted)) for s, lo, hi in spans])
+
+    shards = shuffle_partitions(counts.sparkSession)
+
+    def merged(key: tuple, parts: pa.Table) -> pa.Table:
+        rows = parts.to_pylist()
+        held = [_summed(r["words"], np.uint64) for r in rows]
+        words = np.unique(np.concatenate(held))
+        of_word, sums, picks = np.zeros(len(words), np.uint64), [np.zeros(len(words), np.uint64) for _ in _COUNTS], []
+        for row, own in zip(rows, held):
+            at = np.searchsorted(words, own)
+            of_word[at] = _roots_of(row)
+            for into, name in zip(sums, _COUNTS):
+                into[at] += unpacked(row[name], np.uint64)
+            picks.append(_ascending(at.astype(np.uint32)))
+        row = (key[0].as_py(), shards, _ascending(words), *_languages(of_word), *map(packed, sums), [r["source"] for r in rows], picks, _histogram(sums[_COUNTS.index("types")]))
+        return pa.Table.from_batches([_batch(_VOCABULARY, [row])])
+
+    parts = counts.mapInArrow(lean(run), from_arrow_schema(_PARTS))
+    return parts.groupBy("shard").applyInArrow(merged, from_arrow_schema(_VOCABULARY))
+
+
+def _totals(words: DataFrame) -> DataFrame:
+    """(root, all_types, words, n1, n2, n3) of a vocabulary: a row for each language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                types = unpacked(row["types"], np.uint64)
+                langs, lang_of = np.unique(_roots_of(row), return_inverse=True)
+                each = lambda of, w=None: np.bincount(lang_of[of], w, minlength=len(langs)).astype(np.int64)  # noqa: E731, B023
+                yield pa.record_batch([pa.array(langs.view(np.int64)), *(pa.array(x) for x in (each(types > 0, types[types > 0]), each(types > 0), each(types == 1), each(types == 2), each(types > 2)))], ["root", "all_types", "words", "n1", "n2", "n3"])
 
-def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The model of n-gram counts (root, before, pair, context, word, n): values (key, value, weight, pair), pair being false
-    for single words, and for each root the log probability of a word it lacks (root, unknown)."""
-    c = F.col
-    counted = Table(counts)
+    rows = words.mapInArrow(run, "root long, all_types long, words long, n1 long, n2 long, n3 long")
+    return rows.groupBy("root").agg(*(F.sum(x).alias(x) for x in ("all_types", "words", "n1", "n2", "n3")))
+
+
+def kneser_ney(counts: DataFrame, texts: Table | None = None) -> tuple[Sharded, DataFrame]:
+    """The model of `ngram_counts`, a packed row for each shard of keys, and for each root the log probability of a word it
+    lacks (root, unknown). `texts`, a table, is dropped once they are counted."""
+    spark = counts.sparkSession
+    shards = shuffle_partitions(spark)
+    counted = Sharded(spark, shards).add(counts)
+    if texts is not None:
+        texts.drop()
     counts = counted.read()
-    triples = counts.where("before is not null")
-    d3 = discounts(_counted(triples, "n"))
-    # Keys contain their language, so a pair, a context and a word have one root each.
-    seen = F.sum(F.when(c("before").isNull(), c("n")).otherwise(1))
-    paired = Table(counts.groupBy("pair").agg(*(F.first(x).alias(x) for x in ("root", "context", "word")), seen.alias("types"), F.sum("n").alias("weight")))
-    pairs = paired.read()
-    d2 = discounts(_counted(pairs, "types"))
-    words = written(pairs.groupBy("root", "word").agg(F.count("*").alias("types"), F.sum("weight").alias("weight")))
-    d1 = discounts(_counted(words, "types"))
+    known = tidied(vocabulary(counts))
+    words = known.read()
+    d3, d2, d1 = _counted(counts, "h3"), _counted(counts, "h2"), _counted(words, "h1")
     # One row for each language of the training half.
-    roots = words.groupBy("root").agg(F.sum("types").alias("all_types"), F.count("*").alias("words"), F.sum(_discount("types", d1)).alias("freed_words"))
-    roots = written(roots.withColumn("share", c("freed_words") / c("all_types") / (c("words") + 1)))
-    p1 = (c("types") - _discount("types", d1)) / c("all_types") + c("share")
-    unigrams = written(words.join(_bounded(roots.select("root", "all_types", "share")), "root").select("word", p1.alias("p1"), "weight"))
-    contexts = written(pairs.groupBy("context").agg(F.sum("types").alias("total"), F.sum(_discount("types", d2)).alias("freed"), F.sum("weight").alias("uses")))
-    more = c("types") - _discount("types", d2)
-    slice_of = lambda key, i: F.pmod(F.xxhash64(key), F.lit(SLICES)) == i
-
-    def valued(i: int) -> Table:
-        """The pairs of a slice: p2 for what follows `before`, the value of the pair, and as a context the freed mass."""
-        after = triples.where(slice_of("before", i)).groupBy("before").agg(F.sum("n").alias("total3"), F.sum(_discount("n", d3)).alias("freed3"))
-        held = pairs.where(slice_of("pair", i)).select("pair", "context", "word", "types", "weight").join(contexts.select("context", "total", "freed"), "context").join(unigrams.select("word", "p1"), "word")
-        held = held.select("pair", "weight", ((more + c("freed") * c("p1")) / c("total")).cast("float").alias("p2"), F.log(1 + more / (c("freed") * c("p1"))).alias("value"))
-        value = c("value") + F.coalesce(F.log(c("freed3") / c("total3")), F.lit(0.0))
-        return Table(held.join(after, c("pair") == c("before"), "left").select("pair", "weight", "p2", value.cast("float").alias("value"), c("freed3").cast("float").alias("freed3")))
-
-    slices = [valued(i) for i in range(SLICES)]
-    paired.drop()
-    held = reduce(DataFrame.union, (t.read() for t in slices))
-    double = held.select(c("pair").alias("key"), "value", "weight", F.lit(True).alias("pair"))
-    single = unigrams.withColumnRenamed("word", "key").join(contexts.select(c("context").alias("key"), F.log(c("freed") / c("total")).alias("gamma"), "uses"), "key", "full_outer")
-    single = single.select("key", (F.coalesce(F.log("p1"), F.lit(0.0)) + F.coalesce("gamma", F.lit(0.0))).cast("float").alias("value"), F.coalesce("weight", "uses").alias("weight"), F.lit(False).alias("pair"))
-    gained = F.log(1 + (c("n") - _discount("n", d3)) / (c("freed3") * c("p2"))).cast("float")
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            u, w = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-            yield pa.record_batch([pa.array(_joined(u, w, 3).view(np.int64)), b.column(2), b.column(3), pa.array(np.ones(len(u), bool))], ["key", "value", "weight", "pair"])
-
-    made = [written(single.unionByName(double))]
-    for i, t in enumerate(slices):
-        # A pair before a word occurs itself, so both joins find their rows.
-        triple = triples.where(slice_of("pair", i)).select("before", "pair", "word", "n").join(t.read().select("pair", "p2"), "pair").select("before", "word", "n", "p2")
-        triple = triple.join(held.select(c("pair").alias("before"), "freed3"), "before").select("before", "word", gained.alias("value"), "n")
-        made.append(written(triple.mapInArrow(keyed, "key long, value float, weight long, pair boolean")))
-    for t in (counted, *slices):
+    share = sum(F.col(f"n{i}") * F.lit(x) for i, x in enumerate(d1, 1)) / F.col("all_types") / (F.col("words") + 1)
+    roots = durable(_totals(words).select("root", "all_types", share.alias("share")))
+    law = {r["root"]: (r["all_types"], r["share"]) for r in roots.collect()}
+
+    def valued(row: dict) -> tuple[np.ndarray, ...]:
+        langs = [law[int(x)] for x in unpacked(row["langs"], np.uint64).view(np.int64)]
+        lang_of = unpacked(row["lang_of"], np.uint32)
+        all_types, least = (np.array([x[i] for x in langs], np.float64)[lang_of] for i in (0, 1))
+        counts = {x: unpacked(row[x], np.uint64) for x in _COUNTS}
+        p1 = (counts["types"] - _discount(counts["types"], d1)) / all_types + least
+        return counts, p1, sum(counts[f"t{i}"] * x for i, x in enumerate(d2, 1))
+
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                counts, p1, freed = valued(row)
+                picks = [_summed(x, np.uint32) for x in row["picks"]]
+                yield _batch(_OF_WORDS, [(s, row["shard"], packed(counts["total"][at]), packed(freed[at]), packed(p1[at])) for s, at in zip(row["sources"], picks)])
+
+    def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                counts, p1, freed = valued(row)
+                ends, begins = counts["types"] > 0, counts["total"] > 0
+                value = np.log(np.where(ends, p1, 1.0)) + np.log(np.where(begins, freed, 1.0) / np.where(begins, counts["total"], 1))
+                yield _batch(_ENTRIES, [(row["shard"], SINGLE, None, row["words"], packed(value.astype(np.float32)), packed(np.where(ends, counts["weight"], counts["uses"])))])
+
+    def entries(part: int, shards: int):
+        def run(key: tuple, grams: pa.Table, answers: pa.Table) -> pa.Table:
+            (row,) = grams.to_pylist()
+            words, b, c, sizes, a, n, types, weight = _grams(row)
+            answers = sorted(answers.to_pylist(), key=lambda r: r["part"])
+            total, freed, p1 = (np.concatenate([unpacked(r[x], kind) for r in answers]) for x, kind in (("total", np.uint64), ("freed", np.float64), ("p1", np.float64)))
+            pairs, more, rest = _joined(words[b], words[c], 2), types - _discount(types, d2), freed[b] * p1[c]
+            out = []
+            if row["shard"] % SLICES == part:
+                order = np.argsort(pairs)
+                out.append((row["shard"], PAIR, None, _ascending(pairs[order]), packed(np.log1p(more / rest)[order].astype(np.float32)), packed(weight[order])))
+            of, full = np.repeat(np.arange(len(pairs)), sizes), a > 0
+            of, a, n = of[full], a[full] - 1, n[full]
+            before = _joined(words[a], words[b[of]], 2)
+            mine = _shard(before, shards) % SLICES == part
+            of, n, before = of[mine], n[mine], before[mine]
+            order = np.argsort(before)
+            of, n, before = of[order], n[order], before[order]
+            keys, p2 = _followed(before, words[c[of]]), ((more + rest) / total[b])[of].astype(np.float32)
+            cuts = _cuts(before, shards)
+            for s in range(shards):
+                lo, hi = cuts[s], cuts[s + 1]
+                if lo < hi:
+                    out.append((s, TRIPLE, _ascending(before[lo:hi]), packed(keys[lo:hi]), packed(p2[lo:hi]), packed(n[lo:hi])))
+            return pa.Table.from_batches([_batch(_ENTRIES, out)])
+
+        return run
+
+    def built(key: tuple, parts: pa.Table) -> pa.Table:
+        held: dict[int, list] = {SINGLE: [], PAIR: [], TRIPLE: []}
+        for r in parts.to_pylist():
+            keys = unpacked(r["keys"], np.uint64) if r["kind"] == TRIPLE else _summed(r["keys"], np.uint64)
+            held[r["kind"]].append((keys, unpacked(r["value"], np.float32).astype(np.float64), unpacked(r["weight"], np.uint64), _summed(r["before"], np.uint64) if r["before"] else keys[:0]))
+        none = (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        single, pair, triple = ([np.concatenate(x) for x in zip(none, *held[k])] for k in (SINGLE, PAIR, TRIPLE))
+        order = np.argsort(triple[3])
+        keys, p2, n, before = (x[order] for x in triple)
+        first, freed = _starts(before), _discount(n, d3)
+        total, left = _sums(n, first), _sums(freed, first)
+        each = np.repeat(left, np.diff(np.append(first, len(before))))
+        # A pair before a word occurs itself.
+        pair[1][np.searchsorted(pair[0], before[first])] += np.log(left / total)
+        several = np.concatenate([pair[0], keys]), np.concatenate([pair[1], np.log1p((n - freed) / (each * p2))]), np.concatenate([pair[2], n])
+        return pa.Table.from_batches([_model_row(key[0].as_py(), shards, *(np.concatenate(x) for x in zip(single[:3], several)), several[0])])
+
+    model, unigrams = Sharded(spark, shards), words.mapInArrow(lean(singles), from_arrow_schema(_ENTRIES))
+    for part in range(SLICES):
+        grams = counts.groupBy("shard").cogroup(words.mapInArrow(lean(of_words), from_arrow_schema(_OF_WORDS)).groupBy("shard")).applyInArrow(entries(part, shards), from_arrow_schema(_ENTRIES))
+        both = grams.unionByName(unigrams.where(F.col("shard") % SLICES == part))
+        model.add(both.groupBy("shard").applyInArrow(built, from_arrow_schema(_MODEL)))
+    for t in (counted, known):
         t.drop()
-    return reduce(DataFrame.union, made), roots.select("root", F.log("share").alias("unknown"))
+    return model, roots.select("root", F.log("share").alias("unknown"))
+
+
+def _model_row(shard: int, shards: int, keys: np.ndarray, values: np.ndarray, weight: np.ndarray, filtered: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(keys)
+    keys, values, weight = keys[order], values[order].astype(np.float32), weight[order]
+    # Keys are dealt by hash, so the shards' most frequent are nearly those of all. Which are answered on the spot changes no score.
+    hot = np.sort(np.argsort(weight, kind="stable")[::-1][: max(1, HOT_KEYS // shards)])
+    hot = hot[weight[hot] > 0]
+    bits = np.zeros(_filter_bits(shards), np.uint8)
+    bits[(filtered % np.uint64(len(bits))).astype(np.int64)] = 1
+    return _batch(_MODEL, [(shard, shards, _ascending(keys), packed(values), packed(keys[hot]), packed(values[hot]), packed(np.packbits(bits)))])
 
 
 def contrasts(toxic: DataFrame, trusted: DataFrame) -> DataFrame:
     """(key, contrast) of the words of toxic text, of texts given as (text): log of the Kneser-Ney unigram probability there
     over that in trusted text, which has an unknown word's share for what it lacks. Keys are those of the null language."""
 
-    def followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in chunks(_rows(b), CHUNK_BYTES):
-                doc, keys = word_keys([r[2] for r in part], _roots([None] * len(part)))
-                inside = doc[1:] == doc[:-1]
-                pairs, at = np.unique(_joined(keys[:-1], keys[1:], 2)[inside], return_index=True)
-                yield pa.record_batch([pa.array(pairs.view(np.int64)), pa.array(keys[1:][inside][at].view(np.int64))], ["pair", "key"])
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                types = unpacked(row["types"], np.uint64).astype(np.int64)
+                yield pa.record_batch([pa.array(_summed(row["words"], np.uint64)[types > 0].view(np.int64)), pa.array(types[types > 0])], ["key", "types"])
 
     def types(texts: DataFrame, name: str) -> tuple:
-        words = written(texts.select(F.lit(None).cast("string").alias("lang"), "text").mapInArrow(lean(followers), "pair long, key long").distinct().groupBy("key").agg(F.count("*").alias(name)))
-        d = discounts(_counted(words, name))
-        total = words.agg(F.sum(name).alias("all"), F.count("*").alias("words"), F.sum(_discount(name, d)).alias("freed")).first()  # one row
-        share = total["freed"] / total["all"] / (total["words"] + 1) if total["all"] else 1.0
-        return words, F.coalesce((F.col(name) - _discount(name, d)) / F.lit(float(total["all"] or 1)), F.lit(0.0)) + F.lit(float(share))
+        counted = tidied(ngram_counts(texts.select(F.lit(None).cast("string").alias("lang"), "text"), triples=False))
+        words = tidied(vocabulary(counted.read())).read()
+        counted.drop()
+        d = _counted(words, "h1")
+        total = _totals(words).first()  # one row, as there is one language
+        all_types = total["all_types"] if total else 0
+        share = sum(total[f"n{i}"] * x for i, x in enumerate(d, 1)) / all_types / (total["words"] + 1) if all_types else 1.0
+        less = F.when(F.col(name) == 1, F.lit(d[0])).when(F.col(name) == 2, F.lit(d[1])).otherwise(F.lit(d[2]))
+        return words.mapInArrow(rows, "key long, types long").withColumnRenamed("types", name), F.coalesce((F.col(name) - less) / F.lit(float(all_types or 1)), F.lit(0.0)) + F.lit(float(share))
 
     (bad, p_bad), (good, p_good) = types(toxic, "bad"), types(trusted, "good")
     return bad.join(good, "key", "left").select("key", F.log(p_bad / p_good).alias("contrast"))
@@ -238,28 +458,60 @@ def contrasts(toxic: DataFrame, trusted: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- scoring
 
 
-def _bloom(model: DataFrame) -> np.ndarray:
-    """One bit for each n-gram key; BLOOM_WORDS rows at most come to the driver."""
-    bit = f"pmod(key, {BLOOM_WORDS * 64})"
-    place, value = F.expr(f"shiftright({bit}, 6)"), F.expr(f"shiftleft(1L, cast({bit} % 64 as int))")
-    rows = model.where("pair").groupBy(place.alias("place")).agg(F.bit_or(value).alias("bits")).toArrow()
-    out = np.zeros(BLOOM_WORDS, np.uint64)
-    out[rows.column("place").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return out
+def _filter_bits(shards: int) -> int:
+    """Bits of a shard's share of the Bloom filter."""
+    return max(8, BLOOM_BITS // shards // 8 * 8)
+
+
+def _passing(bloom: np.ndarray, keys: np.ndarray, shards: int) -> np.ndarray:
+    size = _filter_bits(shards)
+    place = _shard(keys, shards) * size + (keys % np.uint64(size)).astype(np.int64)
+    return (bloom[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+
+
+class _Among:
+    """Sorted keys, with a small filter before their search."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.filter = keys, np.zeros(1 << 20, bool)
+        self.filter[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of `keys` are among them, and their places."""
+        some = np.flatnonzero(self.filter[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        if not len(some) or not len(self.keys):
+            return some[:0], some[:0]
+        at = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
+        hit = self.keys[at] == keys[some]
+        return some[hit], at[hit]
 
 
 def _bounds(shards: int) -> np.ndarray:
-    """The least key of each shard: shards are equal ranges of the keys' upper 32 bits."""
-    return np.array([-(-(i << 32) // shards) << 32 for i in range(shards)], np.uint64)
+    """The least key of each shard."""
+    return np.array([-(-(i << 16) // shards) << 48 for i in range(shards)], np.uint64)
+
+
+def _on_the_spot(model: DataFrame, shards: int) -> tuple[np.ndarray, ...]:
+    """(keys, values, bits) of the most frequent keys and the Bloom filter: HOT_KEYS and BLOOM_BITS at most come to the driver."""
+    size = _filter_bits(shards) // 8
+    keys, values, bits = [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)], np.zeros(size * shards, np.uint8)
+    for r in model.select("shard", "hot_keys", "hot_values", "bloom").collect():
+        keys.append(unpacked(r["hot_keys"], np.uint64))
+        values.append(unpacked(r["hot_values"], np.float32))
+        bits[r["shard"] * size : (r["shard"] + 1) * size] |= unpacked(r["bloom"], np.uint8)
+    keys, values = np.concatenate(keys), np.concatenate(values)
+    order = np.argsort(keys)
+    return keys[order], values[order], bits
 
 
-def _requests(hot_keys, hot_values, bloom, unknown, bad_keys, bad_values, more_bad: bool, shards: int, blocks: int):
+def _requests(hot_keys, hot_values, bloom, unknown, bad_keys, bad_values, salt: np.uint64 | None, shards: int):
     """A mapInArrow function: for each chunk a header row for each document, with what is known on the spot, and for each
-    shard the keys to look up with the documents that hold them. Headers go to any shard of the chunk's block."""
+    shard the keys to look up with the documents that hold them. Headers go to any shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = TaskContext.get().partitionId() << 32
         (no_lang,) = _roots([None])
+        among_hot, among_bad = _Among(hot_keys.value), _Among(bad_keys.value)
         for b in batches:
             for part in chunks(_rows(b), CHUNK_BYTES):
                 for at in range(0, len(part), 65536):
@@ -271,19 +523,15 @@ def _requests(hot_keys, hot_values, bloom, unknown, bad_keys, bad_values, more_b
                     tokens = np.bincount(doc, minlength=len(some)) - 1
                     worst = np.zeros(len(some))
                     if len(bad_keys.value):
-                        common = mixed(hashes ^ no_lang)
-                        bad = np.minimum(np.searchsorted(bad_keys.value, common), len(bad_keys.value) - 1)
-                        is_bad = bad_keys.value[bad] == common
-                        np.maximum.at(worst, doc[is_bad], bad_values.value[bad[is_bad]])
+                        is_bad, bad = among_bad.find(mixed(hashes ^ no_lang))
+                        np.maximum.at(worst, doc[is_bad], bad_values.value[bad])
                     least = np.array([unknown.value.get(int(r), 0.0) for r in roots.view(np.int64)])
                     pair_doc, pairs = ngram_keys(doc, keys)
-                    place = pairs % np.uint64(BLOOM_WORDS * 64)
-                    maybe = (bloom.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+                    maybe = _passing(bloom.value, pairs, shards)
                     bad_doc, further = doc[:0], keys[:0]
-                    if more_bad:
-                        further = mixed(mixed(hashes ^ no_lang) ^ _CONTRAST)
-                        place = further % np.uint64(BLOOM_WORDS * 64)
-                        perhaps = (bloom.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+                    if salt is not None:
+                        further = mixed(mixed(hashes ^ no_lang) ^ salt)
+                        perhaps = _passing(bloom.value, further, shards)
                         bad_doc, further = doc[perhaps], further[perhaps]
                     all_doc = np.concatenate([doc, pair_doc[maybe], bad_doc])
                     all_keys = np.concatenate([keys, pairs[maybe], further])
@@ -291,15 +539,16 @@ def _requests(hot_keys, hot_values, bloom, unknown, bad_keys, bad_values, more_b
                     single = kinds == WORD
                     # Every word counts as unknown until a lookup corrects it.
                     known = np.bincount(doc, least[doc], minlength=len(some))
-                    hot = np.minimum(np.searchsorted(hot_keys.value, all_keys), len(hot_keys.value) - 1) if len(hot_keys.value) else np.zeros(len(all_keys), np.int64)
-                    is_hot = hot_keys.value[hot] == all_keys if len(hot_keys.value) else np.zeros(len(all_keys), bool)
-                    gain = hot_values.value[hot[is_hot]] - np.where(single[is_hot], least[all_doc[is_hot]], 0.0) if is_hot.any() else np.zeros(0)
+                    is_hot, hot = among_hot.find(all_keys)
+                    gain = hot_values.value[hot] - np.where(single[is_hot], least[all_doc[is_hot]], 0.0)
                     known += np.bincount(all_doc[is_hot], gain, minlength=len(some))
-                    cold_doc, cold, kind = all_doc[~is_hot], all_keys[~is_hot], kinds[~is_hot]
-                    order = np.argsort(cold, kind="stable")
-                    cold_doc, cold, kind = cold_doc[order], cold[order], kind[order]
-                    first = np.flatnonzero(np.concatenate([[True], cold[1:] != cold[:-1]])) if len(cold) else np.zeros(0, np.int64)
-                    cuts = np.append(np.searchsorted(cold[first], _bounds(shards)), len(first))
+                    others = np.ones(len(all_keys), bool)
+                    others[is_hot] = False
+                    others = np.flatnonzero(others)
+                    others = others[np.argsort(all_keys[others])]
+                    cold_doc, cold, kind = all_doc[others], all_keys[others], kinds[others]
+                    first = _starts(cold)
+                    cuts = _cuts(cold[first], shards)
                     ends = np.append(first, len(cold))
                     names, blobs = [], []
                     for s in range(shards):
@@ -307,25 +556,25 @@ def _requests(hot_keys, hot_values, bloom, unknown, bad_keys, bad_values, more_b
                         if lo < hi:
                             distinct = cold[first[lo:hi]]
                             names.append(s)
-                            blobs.append((packed(np.diff(distinct, prepend=np.uint64(0))), packed(np.diff(ends[lo : hi + 1]).astype(np.uint32)), packed(cold_doc[ends[lo] : ends[hi]].astype(np.uint16)), packed(kind[first[lo:hi]])))
+                            blobs.append((_ascending(distinct), packed(np.diff(ends[lo : hi + 1]).astype(np.uint32)), packed(cold_doc[ends[lo] : ends[hi]].astype(np.uint16)), packed(kind[first[lo:hi]])))
                     column = lambda values, kind: pa.array(values, kind)
                     n = len(names)
                     ids = b.column("id").take(pa.array(rows))
                     yield pa.record_batch(
                         [
-                            column([(serial >> 32) % shards] * len(some) + names, pa.int32()), column([(serial >> 32) % blocks] * (len(some) + n), pa.int32()), column([serial] * (len(some) + n), pa.int64()), column([*range(len(some)), *[-1] * n], pa.int32()),
+                            column([(serial >> 32) % shards] * len(some) + names, pa.int32()), column([serial] * (len(some) + n), pa.int64()), column([*range(len(some)), *[-1] * n], pa.int32()),
                             pa.concat_arrays([ids, pa.nulls(n, ids.type)]), pa.concat_arrays([b.column("lang").take(pa.array(rows)), pa.nulls(n, pa.string())]),
                             column([*tokens.tolist(), *[None] * n], pa.int64()), column([*known.tolist(), *[None] * n], pa.float64()), column([*least.tolist(), *[None] * n], pa.float64()), column([*worst.tolist(), *[None] * n], pa.float64()),
                             *(column([None] * len(some) + [x[i] for x in blobs], pa.binary()) for i in range(4)),
                         ],
-                        ["shard", "block", "chunk", "row", "id", "lang", "tokens", "known", "least", "worst", "gaps", "counts", "docs", "kinds"],
+                        ["shard", "chunk", "row", "id", "lang", "tokens", "known", "least", "worst", "gaps", "counts", "docs", "kinds"],
                     )
                     serial += 1
 
     return run
 
 
-_REQUEST = "shard int, block int, chunk long, row int, id {id}, lang string, tokens long, known double, least double, worst double, gaps binary, counts binary, docs binary, kinds binary"
+_REQUEST = "shard int, chunk long, row int, id {id}, lang string, tokens long, known double, least double, worst double, gaps binary, counts binary, docs binary, kinds binary"
 
 
 def _by_key(keys: pa.ChunkedArray, values: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -340,7 +589,12 @@ def _answer(kinds: pa.Schema):
         which stop being unknown. The chunks' headers pass through."""
         heads = requests.filter(pc.is_null(requests.column("gaps")))
         asks = requests.filter(pc.is_valid(requests.column("gaps")))
-        keys, values = _by_key(model.column("key"), model.column("value"))
+        shard = model.select(["keys", "value"]).to_pylist()
+        keys = np.concatenate([np.zeros(0, np.uint64), *(_summed(r["keys"], np.uint64) for r in shard)])
+        values = np.concatenate([np.zeros(0, np.float32), *(unpacked(r["value"], np.float32) for r in shard)])
+        if len(shard) > 1:
+            order = np.argsort(keys)
+            keys, values = keys[order], values[order]
         out: list[tuple] = []
         for chunk, gaps, counts, docs, kind in zip(*(asks.column(n).to_pylist() for n in ("chunk", "gaps", "counts", "docs", "kinds"))) if len(keys) else ():
             asked = np.cumsum(unpacked(gaps, np.uint64), dtype=np.uint64)
@@ -380,42 +634,50 @@ def _gathered(kinds: pa.Schema):
     return run
 
 
-def scored(docs: DataFrame, model: DataFrame, unknown: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", contrast: DataFrame | None = None) -> DataFrame:
+def scored(docs: DataFrame, model: Sharded, unknown: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", contrast: DataFrame | None = None) -> DataFrame:
     """(id_col, lang, n_tokens, log_p, worst) of every document; n_tokens counts the end of the text, worst is the largest
-    contrast (key, contrast) of its words, 0 at least."""
+    contrast (key, contrast) of its words, 0 at least. The model takes up the contrasts that are not looked up on the spot."""
     spark = docs.sparkSession
     context = spark.sparkContext
-    shards = shuffle_partitions(spark)
-    hot = model.orderBy(F.desc("weight"), "key").limit(HOT_KEYS).select("key", "value").toArrow()
-    lowest = {r["root"]: r["unknown"] for r in unknown.collect()}  # one row for each language of the training sample
-    bad_keys, bad_values, more_bad = np.zeros(0, np.uint64), np.zeros(0), False
+    shards = model.shards
+    lowest = {r["root"]: r["unknown"] for r in unknown.collect()}  # one row for each language of the training half
+    bad_keys, bad_values, salt = np.zeros(0, np.uint64), np.zeros(0), None
     if contrast is not None:
-        positive = written(contrast.where("contrast > 0").select("key", F.col("contrast").cast("float").alias("contrast")))
+        positive = tidied(contrast.where("contrast > 0").select("key", F.col("contrast").cast("float").alias("contrast"))).read()
         bad = positive.orderBy(F.desc("contrast"), "key").limit(CONTRAST_WORDS).toArrow()
         bad_keys, bad_values = _by_key(bad.column("key"), bad.column("contrast"))
-        more_bad = positive.count() > len(bad_keys)
-        if more_bad:
+        if positive.count() > len(bad_keys):
+            salt = _CONTRAST + np.uint64(model.parts)
 
             def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in batches:
-                    keys = mixed(b.column(0).to_numpy().view(np.uint64) ^ _CONTRAST)
+                    keys = mixed(b.column(0).to_numpy().view(np.uint64) ^ salt)
                     yield pa.record_batch([pa.array(keys.view(np.int64)), b.column(1)], ["key", "value"])
 
             # The table on the spot holds the largest; those of its least contrast may be in both.
             rest = positive.where(F.col("contrast") <= F.lit(float(bad_values.min()))).select("key", "contrast").mapInArrow(moved, "key long, value float")
-            model = model.unionByName(rest.select("key", "value", F.lit(0).cast("long").alias("weight"), F.lit(True).alias("pair")))
-    shared = [context.broadcast(x) for x in (*_by_key(hot.column("key"), hot.column("value")), _bloom(model), lowest, bad_keys, bad_values)]
+
+            def in_rows(key: tuple, rows: pa.Table) -> pa.Table:
+                keys, values = _by_key(rows.column("key"), rows.column("value"))
+                return pa.Table.from_batches([_model_row(key[0].as_py(), shards, keys, values, np.zeros(len(keys), np.uint64), keys)])
+
+            of_key = F.shiftright(F.shiftrightunsigned("key", 48) * shards, 16).cast("int").alias("shard")
+            model.add(rest.select(of_key, "key", "value").groupBy("shard").applyInArrow(in_rows, from_arrow_schema(_MODEL)))
+    shared = [context.broadcast(x) for x in (*_on_the_spot(model.read(), shards), lowest, bad_keys, bad_values)]
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    blocks = -(-max(1, rows.rdd.getNumPartitions()) // BLOCK_PARTITIONS)
-    asked = rows.mapInArrow(lean(_requests(*shared, more_bad, shards, blocks)), _REQUEST.format(id=docs.schema[id_col].dataType.simpleString()))
-    of_shard = model.select(F.shiftright(F.shiftrightunsigned("key", 32) * shards, 32).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "key", "value")
     id_type = to_arrow_type(docs.schema[id_col].dataType)
     head = [("row", pa.int32()), ("id", id_type), ("lang", pa.string()), ("tokens", pa.int64()), ("known", pa.float64()), ("least", pa.float64()), ("worst", pa.float64())]
     answered = pa.schema([("chunk", pa.int64()), *head, ("rows", pa.binary()), ("sums", pa.binary()), ("singles", pa.binary()), ("worsts", pa.binary())])
     summed = pa.schema([*head[1:], ("part", pa.float64()), ("found", pa.int64())])
-    # Headers and requests take one shuffle by shard, headers and answers one by chunk: nothing is computed or kept twice.
-    answers = of_shard.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_answer(answered), from_arrow_schema(answered))
-    joined = answers.groupBy("chunk").applyInArrow(_gathered(summed), from_arrow_schema(summed))
+    partitions = max(1, rows.rdd.getNumPartitions())
+    slices = max(min(SCORED_SLICES, partitions), -(-partitions // BLOCK_PARTITIONS))
+    requests, of_shard, done = lean(_requests(*shared, salt, shards)), model.read().select("shard", "keys", "value"), []
+    for i in range(slices):
+        asked = rows.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == i).mapInArrow(requests, _REQUEST.format(id=docs.schema[id_col].dataType.simpleString()))
+        # Headers and requests take one shuffle by shard, headers and answers one by chunk: nothing is computed or kept twice.
+        answers = of_shard.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_answer(answered), from_arrow_schema(answered))
+        done.append(tidied(answers.groupBy("chunk").applyInArrow(_gathered(summed), from_arrow_schema(summed))).read())
+    joined = reduce(DataFrame.union, done)
     log_p = F.col("known") + F.col("part") - F.col("found") * F.col("least")
     # A language that the model has not seen has no probability for unknown words, and no score.
     return joined.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), F.col("tokens").alias("n_tokens"), F.when(F.col("least") < 0, log_p).alias("log_p"), "worst")
@@ -458,13 +720,14 @@ def classify(docs: DataFrame, labels: DataFrame, train_docs: int | None = None,
     chosen, calibrating, bad = drawn(labels, train_docs, label_col)
     texts = docs.select(F.col(labelled).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     fits = chosen.withColumn("fits", F.lit(True)) if model_docs is None else chosen.join(chosen.orderBy(F.xxhash64("_t", F.lit("train")), "_t").limit(model_docs).withColumn("fits", F.lit(True)), "_t", "left")
-    marked = written(fits.select("_t", F.lit(False).alias("bad"), F.coalesce("fits", F.lit(False)).alias("fits")).union(bad.select("_t", F.lit(True), F.lit(False))))
+    marked = tidied(fits.select("_t", F.lit(False).alias("bad"), F.coalesce("fits", F.lit(False)).alias("fits")).union(bad.select("_t", F.lit(True), F.lit(False)))).read()
     # The texts of both kinds, found in one pass.
-    samples = written(texts.join(_bounded(marked, BROADCAST_IDS), F.col("id") == F.col("_t")).select("lang", "text", "bad", "fits"))
-    training = samples.where("not bad")
-    values, unknown = kneser_ney(ngram_counts(samples.where("fits")))
-    contrast = contrasts(samples.where("bad"), training)
+    found = tidied(texts.join(_bounded(marked, BROADCAST_IDS), F.col("id") == F.col("_t")).select("lang", "text", "bad", "fits"))
+    samples = found.read()
+    contrast = contrasts(samples.where("bad"), samples.where("not bad"))
+    values, unknown = kneser_ney(ngram_counts(samples.where("fits")), found)
     scores = durable(scored(docs, values, unknown, id_col, lang_col, text_col, contrast).withColumn("_lang", F.coalesce(F.concat(F.lit("="), F.col(lang_col)), F.lit(""))))
+    values.drop()
     known = scores.where("log_p is not null").join(calibrating, F.col(labelled) == F.col("_t"), "left_semi")
     known = durable(known.select("_lang", "n_tokens", "log_p", "worst"))
     # Sums and quantiles are combined on the way: no task holds a language's rows.

@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,3 +148,30 @@ def test_without_labels_or_documents_everything_is_kept(spark, odd_docs, no_docs
     assert perplexity.classify(no_docs.withColumn("lang", F.lit("en")), labels).count() == 0
     trusted = spark.createDataFrame([(7, 1, 0), (8, 1, None)], "doc_id bigint, quality int, toxic int")
     assert perplexity.classify(odd_docs.withColumn("lang", F.lit(None).cast("string")), trusted).count() == 8
+
+
+def test_the_model_takes_few_bytes_an_n_gram(spark):
+    # Before, an n-gram was a row of five hashes while it was counted; each count and each join moved all of them.
+    rng = random.Random(21)
+    texts = [" ".join(str(rng.randrange(3000)) for _ in range(400)) for _ in range(200)]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(4)
+    grams = len({g for t in texts for w in [["<s>", *t.split(), "</s>"]] for k in (1, 2, 3) for g in zip(*(w[i:] for i in range(k)))})
+    size = lambda t: sum(f.stat().st_size for f in Path(t.path.removeprefix("file:")).glob("*.parquet"))
+    counted = perplexity.tidied(perplexity.ngram_counts(docs))
+    model, _ = perplexity.kneser_ney(perplexity.ngram_counts(docs))
+    rows = model.read().collect()
+    assert sum(len(perplexity.unpacked(r["value"], "float32")) for r in rows) == grams
+    assert size(counted) < 8 * grams and sum(len(r["keys"]) + len(r["value"]) for r in rows) < 12 * grams
+    model.drop()
+    assert not Path(model.path.removeprefix("file:")).exists()
+
+
+def test_slices_and_their_number_change_no_score(spark, corpus, monkeypatch):
+    docs = spark.createDataFrame([(i, t, lang) for i, t, lang in corpus], "doc_id bigint, text string, lang string").repartition(6)
+    labels = spark.createDataFrame([(i, int(i % 7 != 0), int(i % 35 == 0)) for i, _, _ in corpus if i % 3 < 2], "doc_id bigint, quality int, toxic int")
+    results = []
+    for slices, scored in ((4, 6), (1, 1), (3, 2)):
+        monkeypatch.setattr(perplexity, "SLICES", slices)
+        monkeypatch.setattr(perplexity, "SCORED_SLICES", scored)
+        results.append({r.doc_id: (r.n_tokens, round(r.perplexity, 6), round(r.worst, 6), r.kept) for r in perplexity.classify(docs, labels).collect()})
+    assert len(results[0]) == len(corpus) and results[0] == results[1] == results[2]
