@@ -686,13 +686,14 @@ def scored(docs: DataFrame, model: Sharded, unknown: DataFrame, id_col: str = "d
 def drawn(labels: DataFrame, train_docs: int | None = None, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Ids (_t) of labels (id_col, quality, toxic): trusted ones that train, all other trusted ones, toxic ones that train.
 
-    Trusted are quality 1 and not toxic, nulls are not. Half of the ids of a kind train: the fold of a hash, all of it unless
-    `train_docs` says how many at most, in the order of another hash."""
+    Trusted are quality 1 and not toxic, nulls are not. Half of the trusted ids train, the fold of a hash: the others set the
+    thresholds, which need text that the model hasn't seen. No threshold is taken from toxic text, so all toxic ids train. If
+    `train_docs` is given, it says how many of a kind at most, in the order of another hash."""
     ids = lambda kind: labels.where(kind).select(F.col(id_col).alias("_t")).where("_t is not null").distinct()
     half = F.pmod(F.xxhash64("_t", F.lit("fold")), F.lit(2))
-    some = lambda of: of.where(half == 0) if train_docs is None else durable(of.where(half == 0).orderBy(F.xxhash64("_t", F.lit("train")), "_t").limit(train_docs))
+    some = lambda of: of if train_docs is None else durable(of.orderBy(F.xxhash64("_t", F.lit("train")), "_t").limit(train_docs))
     trusted = ids((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0))
-    chosen = some(trusted)
+    chosen = some(trusted.where(half == 0))
     others = trusted.where(half != 0) if train_docs is None else trusted.join(chosen, "_t", "left_anti")
     return chosen, others, some(ids(F.col("toxic") == 1))
 

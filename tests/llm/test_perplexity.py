@@ -111,6 +111,13 @@ def test_all_of_the_training_half_trains(spark):
     assert train + others == 20_000 and min(train, toxic) > 9_500
 
 
+def test_all_toxic_ids_train(spark):
+    # Before, half of them trained, and the other half was used for nothing.
+    labels = spark.range(4_000).selectExpr("id AS doc_id", "1 AS quality", "cast(id % 2 AS int) AS toxic")
+    _, _, toxic = perplexity.drawn(labels)
+    assert toxic.count() == 2_000
+
+
 def test_words_beyond_the_table_have_their_contrast(spark, monkeypatch):
     rng = random.Random(15)
     good, bad = "the of and sat ran cat dog bird tree house near".split(), "idiot scum moron fool rat pig".split()
