@@ -46,7 +46,7 @@ PRIOR_DOCS = 100
 BROADCAST_LANGUAGES = 10_000
 #: A score counts this many tokens of its language's mean, so that a few words alone don't reject a document.
 PRIOR_TOKENS = 20
-CHUNK_BYTES, COUNT_BYTES, HOT_KEYS, BLOOM_BITS = 3 << 20, 8 << 20, 65536, 1 << 27
+CHUNK_BYTES, HOT_KEYS, BLOOM_BITS = 3 << 20, 65536, 1 << 27
 #: Input partitions whose requests to a shard meet in one group, at most: with more of them there are more slices.
 BLOCK_PARTITIONS = 64
 #: Words whose contrast of toxic and trusted text is looked up on the spot, those with the largest; shards answer for the rest.
@@ -196,7 +196,7 @@ def ngram_counts(docs: DataFrame, triples: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(_rows(batch), COUNT_BYTES):
+            for part in chunks(_rows(batch), CHUNK_BYTES):
                 roots = _roots([r[1] for r in part])
                 doc, keys = word_keys([r[2] for r in part], roots)
                 at = np.flatnonzero(doc[1:] == doc[:-1])
