@@ -10,6 +10,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -87,61 +88,99 @@ class ByteBpe:
         self.tokens = [base64.b64decode(a) for a, _ in pairs]
         self.ids = np.array([int(b) for _, b in pairs], np.int64)
         self.ranks = dict(zip(self.tokens, self.ids.tolist()))
-        self.bytes_of = dict(zip(self.ids.tolist(), self.tokens))
         self.whole = whole or PerfectHash(self.tokens)
         self.pattern = compiled(pattern)
         self.pretokens, self.pieces = Memory(), Memory()
-
-    def merged(self, token: bytes) -> list[int]:
-        """Ids of a pre-token that is no token itself: lowest rank first, the leftmost of equals."""
-        n, ranks = len(token), self.ranks
-        end, before, version = list(range(1, n + 1)), list(range(-1, n - 1)), [0] * n
-        heap = [(r, i, 0, 0) for i in range(n - 1) if (r := ranks.get(token[i : i + 2])) is not None]
-        heapq.heapify(heap)
+        #: Rank of each pair of bytes, -1 if it has none.
+        self.pair_ranks = np.array([self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)], np.int64)
+        self.ends = [*range(1, 65)]
+        self.id_bytes = {t: i.to_bytes(4, "little") for t, i in self.ranks.items()}
+        #: All tokens end to end, and by id where each lies.
+        self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
+        sizes = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
+        self.size_of, self.start_of = (np.zeros(int(self.ids.max(initial=-1)) + 1, np.int64) for _ in range(2))
+        self.size_of[self.ids], self.start_of[self.ids] = sizes, np.cumsum(sizes) - sizes
+
+    def heaps(self, tokens: list[bytes]) -> tuple[int, Iterator[tuple[list[int], list[int]]]]:
+        """An entry is rank << shift | place. For each pre-token: the entries of its pairs of bytes by place (-1: no pair), and
+        a heap of them. All are sorted at once, as an ordered list is a heap."""
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        shift = max(13, int(sizes.max(initial=0)).bit_length())
+        data = np.frombuffer(b"".join(tokens), np.uint8).astype(np.int64)
+        ends, owner = np.cumsum(sizes), np.repeat(np.arange(len(tokens)), sizes)
+        entries = np.full(len(data), -1, np.int64)
+        entries[:-1] = self.pair_ranks[(data[:-1] << 8) | data[1:]]
+        entries[ends[sizes > 0] - 1] = -1
+        at = np.flatnonzero(entries >= 0)
+        owner = owner[at]
+        entries[at] = (entries[at] << shift) | (at - (ends - sizes)[owner])
+        heap = entries[at][np.lexsort((entries[at], owner))].tolist()
+        entries, ends = entries.tolist(), ends.tolist()
+        cuts = np.cumsum(np.bincount(owner, minlength=len(tokens))).tolist()
+        return shift, ((entries[lo:hi], heap[first:last]) for lo, hi, first, last in zip([0, *ends], ends, [0, *cuts], cuts))
+
+    def merged(self, token: bytes, live: list[int], heap: list[int], shift: int) -> bytes:
+        """Ids of a pre-token that is no token itself: lowest rank first, the leftmost of equals. An entry of the heap holds
+        while it is its place's."""
+        n, known, pop, push, mask = len(token), self.ranks.get, heapq.heappop, heapq.heappush, (1 << shift) - 1
+        end, before = self.ends[:n] if n <= len(self.ends) else [*range(1, n + 1)], [*range(-1, n - 1)]
         while heap:
-            _, i, vi, vj = heapq.heappop(heap)
-            j = end[i]
-            if version[i] != vi or j >= n or version[j] != vj:
+            entry = pop(heap)
+            i = entry & mask
+            if live[i] != entry:
                 continue
+            j = end[i]
             end[i] = stop = end[j]
-            version[i] += 1
-            version[j] = -1
+            live[j] = -1
             if stop < n:
                 before[stop] = i
-                if (r := ranks.get(token[i : end[stop]])) is not None:
-                    heapq.heappush(heap, (r, i, version[i], version[stop]))
-            if (p := before[i]) >= 0 and (r := ranks.get(token[p:stop])) is not None:
-                heapq.heappush(heap, (r, p, version[p], version[i]))
-        out, i = [], 0
+                if (r := known(token[i : end[stop]])) is None:
+                    live[i] = -1
+                else:
+                    live[i] = r = (r << shift) | i
+                    push(heap, r)
+            else:
+                live[i] = -1
+            if (p := before[i]) >= 0:
+                if (r := known(token[p:stop])) is None:
+                    live[p] = -1
+                else:
+                    live[p] = r = (r << shift) | p
+                    push(heap, r)
+        ids, out, i = self.id_bytes, [], 0
         while i < n:
-            out.append(ranks[token[i : end[i]]])
-            i = end[i]
-        return out
+            stop = end[i]
+            out.append(ids[token[i:stop]])
+            i = stop
+        return b"".join(out)
 
     def of_pretokens(self, new: list[str]) -> list[bytes]:
         raw = [t.encode() for t in new]
-        found = self.whole.find(raw)
-        ids, tokens = self.ids, self.tokens
-        return [
-            np.array([ids[at]] if at >= 0 and tokens[at] == t else self.merged(t), "<u4").tobytes()
-            for t, at in zip(raw, found.tolist())
-        ]
+        tokens, ids = self.tokens, self.id_bytes
+        out = [ids[t] if at >= 0 and tokens[at] == t else None for t, at in zip(raw, self.whole.find(raw).tolist())]
+        apart = [t for t, x in zip(raw, out) if x is None]
+        shift, heaps = self.heaps(apart)
+        made = (self.merged(t, live, heap, shift) for t, (live, heap) in zip(apart, heaps))
+        return [next(made) if x is None else x for x in out]
 
     def of_pieces(self, new: list[str]) -> list[bytes]:
-        split = [self.pattern.findall(p) for p in new]
-        self.pretokens.learn((t for s in split for t in s), self.of_pretokens)
+        split = list(map(self.pattern.findall, new))
+        self.pretokens.learn(chain.from_iterable(split), self.of_pretokens)
         get = self.pretokens.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
     def encoded(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [pieces(t) if t else [] for t in texts]
-        self.pieces.learn((p for c in cut if c is not None for p in c), self.of_pieces)
+        self.pieces.learn(chain.from_iterable(filter(None, cut)), self.of_pieces)
         get = self.pieces.__getitem__
         return [b"".join(map(get, c)) if c is not None else self.of_pieces([t])[0] for t, c in zip(texts, cut)]
 
     def decoded(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        at = np.frombuffer(ids, "<u4")
+        sizes = self.size_of[at]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.start_of[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
 
 def _tasks(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str, text_col: str, outputs: str, row, slice_rows: int) -> DataFrame:

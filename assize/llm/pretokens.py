@@ -38,25 +38,36 @@ def pieces(text: str) -> list[str] | None:
 
 
 class Memory(dict):
-    """A dict that computes what it lacks, and forgets all of it beyond `most` entries or `most_chars` in its keys."""
+    """A dict that computes what it lacks, of at most `most` entries and `most_chars` in its keys (one call's keys may be more).
+
+    Beyond that it forgets all keys but those that a later call has asked for again, unless these fill half of it: words that
+    one text has go, frequent ones stay and aren't learnt anew."""
 
     def __init__(self, most: int = 600_000, most_chars: int = 32 << 20):
         super().__init__()
-        self.most, self.most_chars, self.chars = most, most_chars, 0
+        self.most, self.most_chars, self.chars, self.again = most, most_chars, 0, set()
 
     def learn(self, keys: Iterable, compute: Callable[[list], Iterable]) -> None:
         """Afterwards all keys are present."""
         wanted = set(keys)
-        new = [k for k in wanted if k not in self]
+        new = wanted.difference(self)
+        self.again |= wanted - new
         if not new:
             return
         size = sum(map(len, new))
         if len(self) + len(new) > self.most or self.chars + size > self.most_chars:
+            kept = {k: self[k] for k in self.again}
+            chars = sum(map(len, kept))
             self.clear()
-            new, self.chars = list(wanted), 0
+            self.again, self.chars = set(), 0
+            if 2 * len(kept) <= self.most and 2 * chars <= self.most_chars:
+                self.update(kept)
+                self.chars = chars
+            new = wanted.difference(self)
             size = sum(map(len, new))
         self.chars += size
-        self.update(zip(new, compute(new)))
+        ordered = list(new)
+        self.update(zip(ordered, compute(ordered)))
 
 
 def shipped(spark: SparkSession, path: str) -> Broadcast:

@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from assize.llm import byte_bpe, packing, token_counts
+from assize.llm import byte_bpe, packing, pretokens, token_counts
 
 JSON, RANKS, CLIP = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"))
 ODD = "abIxS  '.,\n\té世 Σσİ'll12<|endoftext|>\x1c\x85　́K-"
@@ -130,3 +130,20 @@ def test_word_tokenizer_remembers_a_million_words():
     assert len(words) == 1_000_000
     words.learn([b"x%d" % i for i in range(600_000)], lambda new: [b""] * len(new))
     assert len(words) == 600_000
+
+
+def test_memory_keeps_what_is_asked_for_again():
+    memory, asked = pretokens.Memory(most=10), []
+
+    def compute(new):
+        asked.extend(new)
+        return [len(x) for x in new]
+
+    for i in range(40):
+        memory.learn(["often", *(f"{i} {j}" for j in range(3))], compute)
+    assert asked.count("often") == 1 and len(memory) <= 10 and memory["often"] == 5
+    # What fills more than half is forgotten as a whole.
+    for _ in range(2):
+        memory.learn([f"x{i}" for i in range(9)], compute)
+    memory.learn(["y", "z"], compute)
+    assert set(memory) == {"y", "z"}
