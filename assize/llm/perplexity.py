@@ -147,6 +147,11 @@ def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([x[1:] != x[:-1] for x in sorted_columns])]))
 
 
+def _ordered(pair: np.ndarray, a: np.ndarray, words: int) -> np.ndarray:
+    """The order by pairs of so many words, then by `a`, which is one more at most."""
+    return np.argsort(pair * (words + 1) + a) if words < 1 << 20 else np.lexsort((a, pair))
+
+
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, first) if len(first) else values[:0]
 
@@ -206,19 +211,23 @@ def ngram_counts(docs: DataFrame, triples: bool = True) -> DataFrame:
                 shard = _shard(_joined(keys[at], keys[at + 1], 2), shards)
                 pair = place[at] * len(words) + place[at + 1]
                 a = np.where(begins, 0, place[at - 1] + 1) if triples else np.zeros(len(at), np.int64)
-                order = np.lexsort((a, pair, shard))
+                order = _ordered(pair, a, len(words))
+                order = order[np.argsort(shard[order].astype(np.uint16), kind="stable")]
                 shard, pair, a = shard[order], pair[order], a[order]
-                first = _starts(shard, pair, a)
+                first = _starts(pair, a)
                 n = np.diff(np.append(first, len(pair))).astype(np.uint64)
                 b, c, a = pair[first] // len(words), pair[first] % len(words), a[first]
                 cuts, rows = np.searchsorted(shard[first], np.arange(shards + 1)), []
+                # One more than a word's place in the chunk, so that a word before may be none; and its place in a shard.
+                local, has = np.zeros(len(words) + 1, np.uint32), np.zeros(len(words) + 1, bool)
                 for s in range(shards):
                     lo, hi = cuts[s], cuts[s + 1]
                     if lo < hi:
-                        own = np.unique(np.concatenate([b[lo:hi], c[lo:hi], a[lo:hi][a[lo:hi] > 0] - 1]))
-                        local = lambda x, own=own: np.searchsorted(own, x).astype(np.uint32)
-                        before = np.where(a[lo:hi] > 0, local(a[lo:hi] - 1) + 1, 0).astype(np.uint32)
-                        rows.append((s, _ascending(words[own]), *_languages(of_word[own]), _ascending(local(b[lo:hi])), packed(local(c[lo:hi])), packed(before), packed(n[lo:hi])))
+                        has[:] = False
+                        has[b[lo:hi] + 1] = has[c[lo:hi] + 1] = has[a[lo:hi]] = True
+                        own = np.flatnonzero(has[1:])
+                        local[own + 1] = np.arange(1, len(own) + 1)
+                        rows.append((s, _ascending(words[own]), *_languages(of_word[own]), _ascending(local[b[lo:hi] + 1] - np.uint32(1)), packed(local[c[lo:hi] + 1] - np.uint32(1)), packed(local[a[lo:hi]]), packed(n[lo:hi])))
                 yield _batch(_GRAMS, rows)
 
     def merged(key: tuple, grams: pa.Table) -> pa.Table:
@@ -233,7 +242,7 @@ def ngram_counts(docs: DataFrame, triples: bool = True) -> DataFrame:
             pair = at[_summed(row["b"], np.uint32)] * len(words) + at[unpacked(row["c"], np.uint32)]
             columns.append((pair, np.where(a > 0, at[np.maximum(a - 1, 0)] + 1, 0), unpacked(row["n"], np.uint64)))
         pair, a, n = (np.concatenate(x) for x in zip(*columns))
-        order = np.lexsort((a, pair))
+        order = _ordered(pair, a, len(words))
         pair, a = pair[order], a[order]
         first = _starts(pair, a)
         pair, a, n = pair[first], a[first], _sums(n[order], first)
@@ -539,13 +548,17 @@ def _requests(hot_keys, hot_values, bloom, unknown, bad_keys, bad_values, salt:
                     single = kinds == WORD
                     # Every word counts as unknown until a lookup corrects it.
                     known = np.bincount(doc, least[doc], minlength=len(some))
-                    is_hot, hot = among_hot.find(all_keys)
-                    gain = hot_values.value[hot] - np.where(single[is_hot], least[all_doc[is_hot]], 0.0)
-                    known += np.bincount(all_doc[is_hot], gain, minlength=len(some))
-                    others = np.ones(len(all_keys), bool)
-                    others[is_hot] = False
-                    others = np.flatnonzero(others)
-                    others = others[np.argsort(all_keys[others])]
+                    # The table of frequent keys is searched once for each distinct key, in order.
+                    order = np.argsort(all_keys)
+                    in_order = all_keys[order]
+                    first = _starts(in_order)
+                    is_hot, hot = among_hot.find(in_order[first])
+                    each = np.diff(np.append(first, len(in_order)))
+                    found = np.zeros(len(first), bool)
+                    found[is_hot] = True
+                    on_spot, others = (order[np.repeat(x, each)] for x in (found, ~found))
+                    gain = np.repeat(hot_values.value[hot], each[is_hot]) - np.where(single[on_spot], least[all_doc[on_spot]], 0.0)
+                    known += np.bincount(all_doc[on_spot], gain, minlength=len(some))
                     cold_doc, cold, kind = all_doc[others], all_keys[others], kinds[others]
                     first = _starts(cold)
                     cuts = _cuts(cold[first], shards)

@@ -182,3 +182,11 @@ def test_slices_and_their_number_change_no_score(spark, corpus, monkeypatch):
         monkeypatch.setattr(perplexity, "SCORED_SLICES", scored)
         results.append({r.doc_id: (r.n_tokens, round(r.perplexity, 6), round(r.worst, 6), r.kept) for r in perplexity.classify(docs, labels).collect()})
     assert len(results[0]) == len(corpus) and results[0] == results[1] == results[2]
+
+
+@pytest.mark.parametrize("words", [50, 1 << 20])
+def test_ngrams_are_ordered_by_pair_and_word_before(words):
+    rng = np.random.default_rng(5)
+    pair, a = rng.integers(0, 50 * 50, 5000), rng.integers(0, 51, 5000)
+    order, want = perplexity._ordered(pair, a, words), np.lexsort((a, pair))
+    assert (pair[order] == pair[want]).all() and (a[order] == a[want]).all()
