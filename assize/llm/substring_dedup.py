@@ -41,16 +41,13 @@ HOT_BYTES, SAMPLED, HOT_ANCHORS = 2 << 20, 64, 1 << 16
 
 def _anchors(h: np.ndarray, span: int) -> np.ndarray:
     """For each start the index of the least of `span` consecutive hashes, the leftmost of equals."""
-    at = np.arange(len(h), dtype=np.int32)
+    at, least = np.arange(len(h), dtype=np.int32), h
     width = 1
-    while 2 * width <= span:
-        left, right = at[:-width], at[width:]
-        at = np.where(h[left] <= h[right], left, right)
-        width *= 2
-    rest = span - width
-    if rest:
-        left, right = at[: len(at) - rest], at[rest:]
-        at = np.where(h[left] <= h[right], left, right)
+    while width < span:
+        step = min(width, span - width)
+        left = least[:-step] <= least[step:]
+        at, least = np.where(left, at[:-step], at[step:]), np.minimum(least[:-step], least[step:])
+        width += step
     return at
 
 
@@ -137,11 +134,14 @@ def rotations(symbols: np.ndarray) -> np.ndarray:
         key = (key << np.uint64(9)) | np.roll(symbols, -i).astype(np.uint64)
     step = 7
     while True:
-        order = np.argsort(key, kind="stable")
-        changes = np.concatenate([[0], (key[order][1:] != key[order][:-1])])
+        # Equal keys get equal ranks, so their order need not be kept.
+        order = np.argsort(key)
+        found = key[order]
+        places = np.zeros(n, np.uint64)
+        np.cumsum(found[1:] != found[:-1], out=places[1:])
         rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(changes)
-        if changes.sum() == n - 1:
+        rank[order] = places
+        if places[-1] == n - 1:
             return order
         key = rank * np.uint64(n) + np.roll(rank, -step)
         step *= 2
@@ -204,7 +204,7 @@ def merged(transforms: list[np.ndarray], length: int, stride: int = STRIDE) -> t
     symbols before them turns an order by h symbols into one by h + stride, and blocks split where those symbols or the
     blocks behind them differ."""
     sizes = [len(t) for t in transforms]
-    shard = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+    shard = np.repeat(np.arange(len(sizes), dtype=np.uint8 if len(sizes) <= 256 else np.uint16), sizes)
     block = np.zeros(len(shard), np.int32)
     whole = np.concatenate(transforms)
 

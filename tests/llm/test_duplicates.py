@@ -306,3 +306,10 @@ def test_one_text_that_repeats_a_phrase(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute([(i, t.encode()) for i, t in enumerate(texts)], 100)
     # The sample's pass, one without and one with what was counted.
     assert hot[:2] == [0, 0] and len(hot) >= 3 and hot[-1] > 0
+
+
+def test_anchors_are_the_leftmost_least():
+    h = substring_dedup.np.array([5, 3, 3, 9, 1, 1, 7, 2, 2, 2, 8, 0, 4, 6, 3, 3], "uint64")
+    for span in range(1, len(h) + 1):
+        want = [i + int(h[i : i + span].argmin()) for i in range(len(h) - span + 1)]
+        assert substring_dedup._anchors(h, span).tolist() == want
