@@ -6,13 +6,16 @@ items of their own to the next round, where the partitions of `fan_in` groups me
 
 from __future__ import annotations
 
+import hashlib
 import os
+import pickle
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,19 +32,26 @@ class WordTokenizer:
     New words go to the library many at a time, with a mark between them that is a token of its own."""
 
     MARK, TOGETHER = "|", 64
-    #: Words, and bytes in them, that a worker remembers: some 200 bytes a word with its ids. A worker that forgets after
-    #: 600,000 learns the frequent words anew every 12,000 documents.
-    REMEMBERED = 1_500_000, 64 << 20
+    #: Words, and bytes in them, that a worker remembers: some 200 bytes a word with its ids, so 200 MB if words have 10 bytes.
+    #: Packing takes a second worker in the same task, and workers change places: four in an executor of two cores remember.
+    REMEMBERED = 1_500_000, 10 << 20
 
-    def __init__(self, vocabulary: bytes):
+    def __init__(self, vocabulary: bytes, known: bytes | None = None):
+        """`known`: what another one of the same vocabulary has kept."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(vocabulary.decode())
         self.words = Memory(*self.REMEMBERED)
+        if known:
+            self.words.recall(pickle.loads(zstandard.decompress(known)))
         mark = self.library.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
+    def kept(self) -> bytes:
+        """The words asked for again, with their ids."""
+        return zstandard.compress(pickle.dumps(self.words.frequent()), 1)
+
     def of_library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -77,9 +87,14 @@ class WordTokenizer:
         return [self.of_library([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
 
 
-def token_pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, slice_rows: int = 500) -> DataFrame:
+#: What this worker's tokenizers have kept, by vocabulary.
+_kept: dict[bytes, bytes] = {}
+
+
+def token_pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, slice_rows: int = 500, lasting: bool = True) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32[, ids]) of every document: its ids and END_ID, cut only if longer than
-    `capacity`. A null or empty text has the one id END_ID. Ids may be null or repeat. Nothing is shuffled."""
+    `capacity`. A null or empty text has the one id END_ID. Ids may be null or repeat. Nothing is shuffled. Workers keep
+    their tokenizer if it is `lasting`; if not, the words asked for again alone, compressed, and their memory is others'."""
     data = shipped(docs.sparkSession, vocabulary_path)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     names = ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
@@ -87,7 +102,8 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = made("word_tokenizer", data.value, WordTokenizer)
+        name = hashlib.sha1(data.value).digest()
+        tokenizer = made("word_tokenizer", data.value, WordTokenizer) if lasting else WordTokenizer(data.value, _kept.get(name))
         for whole in batches:
             for at in range(0, whole.num_rows, slice_rows):
                 b = whole.slice(at, slice_rows)
@@ -100,6 +116,8 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY
                             x.append(v)
                 columns = [b.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.record_batch(columns + [pa.array(ids, pa.binary())] * with_ids, names)
+        if not lasting:
+            _kept[name] = tokenizer.kept()
 
     return rows.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 

@@ -47,6 +47,15 @@ class Memory(dict):
         super().__init__()
         self.most, self.most_chars, self.chars, self.again = most, most_chars, 0, set()
 
+    def frequent(self) -> dict:
+        """What a later call has asked for again; nothing if that fills more than half."""
+        small = 2 * len(self.again) <= self.most and 2 * sum(map(len, self.again)) <= self.most_chars
+        return {k: self[k] for k in self.again} if small else {}
+
+    def recall(self, known: dict) -> None:
+        self.update(known)
+        self.chars += sum(map(len, known))
+
     def learn(self, keys: Iterable, compute: Callable[[list], Iterable]) -> None:
         """Afterwards all keys are present."""
         wanted = set(keys)
@@ -56,13 +65,10 @@ class Memory(dict):
             return
         size = sum(map(len, new))
         if len(self) + len(new) > self.most or self.chars + size > self.most_chars:
-            kept = {k: self[k] for k in self.again}
-            chars = sum(map(len, kept))
+            kept = self.frequent()
             self.clear()
             self.again, self.chars = set(), 0
-            if 2 * len(kept) <= self.most and 2 * chars <= self.most_chars:
-                self.update(kept)
-                self.chars = chars
+            self.recall(kept)
             new = wanted.difference(self)
             size = sum(map(len, new))
         self.chars += size

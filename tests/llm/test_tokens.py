@@ -147,3 +147,14 @@ def test_memory_keeps_what_is_asked_for_again():
         memory.learn([f"x{i}" for i in range(9)], compute)
     memory.learn(["y", "z"], compute)
     assert set(memory) == {"y", "z"}
+
+
+def test_word_tokenizer_s_memory_is_bounded_and_handed_on(texts):
+    data = open(CLIP, "rb").read()
+    first = packing.WordTokenizer(data)
+    want = [first.of_texts(texts) for _ in range(2)][0]
+    second = packing.WordTokenizer(data, first.kept())
+    assert len(second.words) and second.of_texts(texts) == want
+    for i in range(12):
+        second.words.learn([b"%012d" % j for j in range(i * 100_000, (i + 1) * 100_000)], lambda new: [b""] * len(new))
+    assert sum(map(len, second.words)) <= 10 << 20
