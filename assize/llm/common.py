@@ -18,9 +18,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of so many rows: a Python task holds one batch of texts at a time."""
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Arrow batches of so many rows and about so many bytes: a Python task holds one batch of texts at a time, and rows that
+    are packed arrays of a few MB each don't meet in one batch by the hundred MB."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -62,7 +62,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     import public_tokenizers
 
-    pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False, lasting=False)
     return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

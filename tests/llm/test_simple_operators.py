@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from assize.llm import preference, quality_rules, sharding, winnowing
+from assize.llm import common, preference, quality_rules, sharding, winnowing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -258,3 +258,21 @@ def test_long_turns_are_kept_whole(spark):
     made = preference.format_preferences(preference.pairs_of(spark.createDataFrame([(0, 0, "user", long, ""), (0, 1, "assistant", long, ""), (1, 0, "user", long, "")], CONVERSATION)))
     whole = made.where("kind = 'whole'").first()
     assert whole.n_prompt_turns == 1 and whole.prompt == f"<|user|>\n{long}<|end|>\n" and whole.chosen_completion == f"<|assistant|>\n{long}<|end|>\n" and whole.rejected_completion == ""
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    before = {k: spark.conf.get(f"spark.sql.execution.arrow.{k}") for k in ("maxRecordsPerBatch", "maxBytesPerBatch")}
+    common.small_batches(spark)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], ["n"])
+
+    try:
+        rows = spark.range(0, 12, 1, 1).select(F.expr("cast(repeat('x', 4000000) as binary)").alias("blob"))
+        assert max(r.n for r in rows.mapInArrow(sizes, "n long").collect()) <= 16 << 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.execution.arrow.{k}", v)
