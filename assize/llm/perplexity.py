@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
 
-from .common import Rolling, Sharded, Table, chunks, durable, lean, mixed, packed, shuffle_partitions, table, tidied, unpacked
+from .common import Rolling, Sharded, Table, chunks, durable, lean, lean_group, mixed, packed, shuffle_partitions, table, tidied, unpacked
 
 #: Slices of the shards whose n-grams are valued one after another, and slices of the documents that are scored one after
 #: another: the shuffles of one go before the next.
@@ -70,6 +70,17 @@ def _roots(langs: list[str | None]) -> np.ndarray:
     return mixed(Rolling(np.frombuffer(b"".join(names), np.uint8)).of(starts, ends) + np.uint64(1)) if names else np.zeros(0, np.uint64)
 
 
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int = 1 << 18) -> np.ndarray:
+    """Hashes of the words of a buffer, of about `size` bytes of it at a time: prefix sums take many times their bytes."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        lo = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, lo + size, side="right")))
+        out[at:to] = Rolling(data[lo : ends[to - 1]]).of(starts[at:to] - lo, ends[at:to] - lo)
+        at = to
+    return out
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of every word, with a begin and an end for each text."""
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
@@ -79,7 +90,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.flatnonzero(space & np.concatenate([[False], word[:-1]]))
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     owner = np.searchsorted(np.cumsum(sizes), starts, side="right")
-    hashes = Rolling(data).of(starts, ends)
+    hashes = _hashes(data, starts, ends)
     n = np.bincount(owner, minlength=len(texts))
     doc = np.repeat(np.arange(len(texts)), n + 2)
     first = np.cumsum(n + 2) - (n + 2)
@@ -208,12 +219,14 @@ def ngram_counts(docs: DataFrame, triples: bool = True) -> DataFrame:
                 begins = np.concatenate([[True], doc[1:] != doc[:-1]])[at]
                 words, first, place = np.unique(keys, return_index=True, return_inverse=True)
                 of_word, place = roots[doc[first]], place.astype(np.int64)
-                shard = _shard(_joined(keys[at], keys[at + 1], 2), shards)
+                shard = _shard(_joined(keys[at], keys[at + 1], 2), shards).astype(np.uint16)
                 pair = place[at] * len(words) + place[at + 1]
                 a = np.where(begins, 0, place[at - 1] + 1) if triples else np.zeros(len(at), np.int64)
+                del doc, keys, at, begins, place
                 order = _ordered(pair, a, len(words))
-                order = order[np.argsort(shard[order].astype(np.uint16), kind="stable")]
+                order = order[np.argsort(shard[order], kind="stable")]
                 shard, pair, a = shard[order], pair[order], a[order]
+                del order
                 first = _starts(pair, a)
                 n = np.diff(np.append(first, len(pair))).astype(np.uint64)
                 b, c, a = pair[first] // len(words), pair[first] % len(words), a[first]
@@ -254,7 +267,7 @@ def ngram_counts(docs: DataFrame, triples: bool = True) -> DataFrame:
         return pa.Table.from_batches([_batch(_SHARD, [row])])
 
     parts = docs.select("lang", "text").mapInArrow(lean(run), from_arrow_schema(_GRAMS))
-    return parts.groupBy("shard").applyInArrow(merged, from_arrow_schema(_SHARD))
+    return parts.groupBy("shard").applyInArrow(lean_group(merged), from_arrow_schema(_SHARD))
 
 
 def _grams(row: dict) -> tuple[np.ndarray, ...]:
@@ -315,7 +328,7 @@ def vocabulary(counts: DataFrame) -> DataFrame:
         return pa.Table.from_batches([_batch(_VOCABULARY, [row])])
 
     parts = counts.mapInArrow(lean(run), from_arrow_schema(_PARTS))
-    return parts.groupBy("shard").applyInArrow(merged, from_arrow_schema(_VOCABULARY))
+    return parts.groupBy("shard").applyInArrow(lean_group(merged), from_arrow_schema(_VOCABULARY))
 
 
 def _totals(words: DataFrame) -> DataFrame:
@@ -420,9 +433,9 @@ def kneser_ney(counts: DataFrame, texts: Table | None = None) -> tuple[Sharded,
 
     model, unigrams = Sharded(spark, shards), words.mapInArrow(lean(singles), from_arrow_schema(_ENTRIES))
     for part in range(SLICES):
-        grams = counts.groupBy("shard").cogroup(words.mapInArrow(lean(of_words), from_arrow_schema(_OF_WORDS)).groupBy("shard")).applyInArrow(entries(part, shards), from_arrow_schema(_ENTRIES))
+        grams = counts.groupBy("shard").cogroup(words.mapInArrow(lean(of_words), from_arrow_schema(_OF_WORDS)).groupBy("shard")).applyInArrow(lean_group(entries(part, shards)), from_arrow_schema(_ENTRIES))
         both = grams.unionByName(unigrams.where(F.col("shard") % SLICES == part))
-        model.add(both.groupBy("shard").applyInArrow(built, from_arrow_schema(_MODEL)))
+        model.add(both.groupBy("shard").applyInArrow(lean_group(built), from_arrow_schema(_MODEL)))
     for t in (counted, known):
         t.drop()
     return model, roots.select("root", F.log("share").alias("unknown"))
@@ -545,6 +558,7 @@ def _requests(hot_keys, hot_values, bloom, unknown, bad_keys, bad_values, salt:
                     all_doc = np.concatenate([doc, pair_doc[maybe], bad_doc])
                     all_keys = np.concatenate([keys, pairs[maybe], further])
                     kinds = np.repeat(np.array([WORD, SEVERAL, CONTRAST], np.uint8), [len(doc), int(maybe.sum()), len(further)])
+                    del hashes, keys, pair_doc, pairs, maybe, bad_doc, further
                     single = kinds == WORD
                     # Every word counts as unknown until a lookup corrects it.
                     known = np.bincount(doc, least[doc], minlength=len(some))
@@ -560,6 +574,7 @@ def _requests(hot_keys, hot_values, bloom, unknown, bad_keys, bad_values, salt:
                     gain = np.repeat(hot_values.value[hot], each[is_hot]) - np.where(single[on_spot], least[all_doc[on_spot]], 0.0)
                     known += np.bincount(all_doc[on_spot], gain, minlength=len(some))
                     cold_doc, cold, kind = all_doc[others], all_keys[others], kinds[others]
+                    del all_doc, all_keys, kinds, single, order, in_order, on_spot, others, gain, each
                     first = _starts(cold)
                     cuts = _cuts(cold[first], shards)
                     ends = np.append(first, len(cold))
@@ -675,7 +690,7 @@ def scored(docs: DataFrame, model: Sharded, unknown: DataFrame, id_col: str = "d
                 return pa.Table.from_batches([_model_row(key[0].as_py(), shards, keys, values, np.zeros(len(keys), np.uint64), keys)])
 
             of_key = F.shiftright(F.shiftrightunsigned("key", 48) * shards, 16).cast("int").alias("shard")
-            model.add(rest.select(of_key, "key", "value").groupBy("shard").applyInArrow(in_rows, from_arrow_schema(_MODEL)))
+            model.add(rest.select(of_key, "key", "value").groupBy("shard").applyInArrow(lean_group(in_rows), from_arrow_schema(_MODEL)))
     shared = [context.broadcast(x) for x in (*_on_the_spot(model.read(), shards), lowest, bad_keys, bad_values)]
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     id_type = to_arrow_type(docs.schema[id_col].dataType)
@@ -688,7 +703,7 @@ def scored(docs: DataFrame, model: Sharded, unknown: DataFrame, id_col: str = "d
     for i in range(slices):
         asked = rows.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == i).mapInArrow(requests, _REQUEST.format(id=docs.schema[id_col].dataType.simpleString()))
         # Headers and requests take one shuffle by shard, headers and answers one by chunk: nothing is computed or kept twice.
-        answers = of_shard.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_answer(answered), from_arrow_schema(answered))
+        answers = of_shard.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(lean_group(_answer(answered)), from_arrow_schema(answered))
         done.append(tidied(answers.groupBy("chunk").applyInArrow(_gathered(summed), from_arrow_schema(summed))).read())
     joined = reduce(DataFrame.union, done)
     log_p = F.col("known") + F.col("part") - F.col("found") * F.col("least")

@@ -191,3 +191,35 @@ def test_ngrams_are_ordered_by_pair_and_word_before(words):
     pair, a = rng.integers(0, 50 * 50, 5000), rng.integers(0, 51, 5000)
     order, want = perplexity._ordered(pair, a, words), np.lexsort((a, pair))
     assert (pair[order] == pair[want]).all() and (a[order] == a[want]).all()
+
+
+def test_words_are_hashed_in_small_blocks(monkeypatch):
+    """Prefix sums take many times their bytes; before, they were made of a whole chunk of 3 MB at once."""
+    sizes, rolling = [], perplexity.Rolling
+
+    def seen(data):
+        sizes.append(len(data))
+        return rolling(data)
+
+    monkeypatch.setattr(perplexity, "Rolling", seen)
+    texts = [b"one two  three\n" * 60_000, b"x" * 300_000 + b" y", b"", b" a b "]
+    doc, got = perplexity.word_hashes(texts)
+    assert max(sizes) <= 300_000 and len(sizes) > 3
+    words = [[rolling(np.frombuffer(w, np.uint8)).of(np.array([0]), np.array([len(w)]))[0] for w in t.split()] for t in (texts[0][:15], *texts[1:])]
+    assert got[doc == 0][1:-1].tolist() == words[0] * 60_000
+    assert [got[doc == i][1:-1].tolist() for i in (1, 2, 3)] == words[1:]
+
+
+def test_groups_give_their_memory_back(monkeypatch):
+    from inspect import signature
+
+    from assize.llm import common
+
+    released = []
+    monkeypatch.setattr(common, "release", lambda circles=True: released.append(circles))
+
+    def one(key, rows):
+        return rows
+
+    assert common.lean_group(one)(1, 2) == 2 and released == [False]
+    assert list(signature(common.lean_group(one)).parameters) == ["key", "rows"]
