@@ -15,6 +15,9 @@ WHITE = r"\t-\r \x85\xa0  -     　"
 #: A vocabulary file is a few MB whatever the corpus; anything larger is refused rather than broadcast.
 MOST_VOCABULARY_BYTES = 64 << 20
 
+#: ASCII punctuation: at a word's end, after a letter, a run of it is one pre-token of all the patterns here.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
 _unsafe = re.compile(rf" (?=[{WHITE}]|\Z)(?<=[{WHITE}] )")
 
 
@@ -60,7 +63,8 @@ class Memory(dict):
         """Afterwards all keys are present."""
         wanted = set(keys)
         new = wanted.difference(self)
-        self.again |= wanted - new
+        wanted -= new
+        self.again |= wanted
         if not new:
             return
         size = sum(map(len, new))
@@ -69,7 +73,7 @@ class Memory(dict):
             self.clear()
             self.again, self.chars = set(), 0
             self.recall(kept)
-            new = wanted.difference(self)
+            new |= wanted.difference(self)
             size = sum(map(len, new))
         self.chars += size
         ordered = list(new)

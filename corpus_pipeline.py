@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assize.llm.common import Table, small_batches
-from assize.llm.packing import pack, token_pieces
+from assize.llm.packing import packed_documents
 from assize.llm.perplexity import classify
 from assize.llm.quality_rules import CURRENT, POLICIES, ledger, verdict
 from assize.llm.simhash import staying
@@ -62,8 +62,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     import public_tokenizers
 
-    pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False, lasting=False)
-    return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    packed = packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"), lasting=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES = [

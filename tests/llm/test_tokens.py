@@ -158,3 +158,25 @@ def test_word_tokenizer_s_memory_is_bounded_and_handed_on(texts):
     for i in range(12):
         second.words.learn([b"%012d" % j for j in range(i * 100_000, (i + 1) * 100_000)], lambda new: [b""] * len(new))
     assert sum(map(len, second.words)) <= 10 << 20
+
+
+def test_words_of_letters_leave_the_library_s_expressions_out():
+    rng, mine, library = random.Random(4), packing.WordTokenizer(open(CLIP, "rb").read()), Tokenizer.from_file(CLIP)
+    words = ["".join(rng.choice("abstzß\xb5éÿ\xf7\xbá'|.,#<>-12Ǆ") for _ in range(rng.randint(1, 9))).encode().lower() for _ in range(5000)]
+    whole, seen = mine.of_library, []
+    mine.of_library = lambda texts: seen.extend(texts) or whole(texts)
+    got = mine.of_words(words + [b"straw", b"na\xc3\xafve,", b"word.###"])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got[:-3]] == [e.ids for e in library.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+    assert not any(x in t for t in seen for x in ("straw", "naïve", "word"))
+
+
+def test_one_worker_makes_the_pieces_and_packs_them(docs, odd_docs, no_docs):
+    columns = ("doc_id", "piece", "start", "length", "ids_crc32")
+    two = packing.pack(packing.token_pieces(docs, CLIP, capacity=256, with_ids=False), capacity=256).collect()
+    for lasting in (True, False):
+        one = packing.packed_documents(docs, CLIP, capacity=256, lasting=lasting)
+        rows = one.collect()
+        assert sorted([r[c] for c in columns] for r in rows) == sorted([r[c] for c in columns] for r in two)
+        assert check_bins(rows, 256) == check_bins(two, 256)
+    assert packing.packed_documents(odd_docs, CLIP).count() == 8
+    assert packing.packed_documents(no_docs, CLIP).count() == 0
