@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from .text import let
+
 DATA = "map<string,variant>"
 
 
@@ -27,6 +29,20 @@ def texts(data: Column) -> Column:
     return F.transform_values(F.map_filter(data, lambda k, v: is_text(v)), lambda k, v: v.cast("string"))
 
 
+def same_as(data: Column, within: Column, alone: Column) -> Column:
+    """64 hexadecimal digits that two data have in common only if they are equal, field by field and in type, and `within` is too.
+
+    A field is told by its name, type and JSON. What a list or an object of mixed or rounded types holds is not told exactly by
+    these: data with such a field are equal to no other, by `alone`."""
+    field = lambda e: F.struct(e["key"].alias("name"), F.schema_of_variant(e["value"]).alias("type"), F.to_json(e["value"]).alias("json"))
+
+    def told(fields: Column) -> Column:
+        unsure = F.exists(fields, lambda f: F.coalesce(f["type"].rlike("^(ARRAY|OBJECT).*(VARIANT|DECIMAL|DOUBLE)"), F.lit(False)))
+        return F.concat(F.to_json(F.struct(within.alias("within"), fields.alias("fields"))), F.when(unsure, F.to_json(F.struct(alone.alias("alone")))).otherwise(F.lit("")))
+
+    return F.sha2(let(F.transform(F.map_entries(data), field), told), 256)
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def _written(values: pd.Series) -> pd.Series:
     # Numbers, lists and objects, from JSON to the way the prompt writes them.

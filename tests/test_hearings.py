@@ -5,10 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from assize.functions.casedata import case_data, set_text, shown, texts
+from assize.functions.casedata import case_data, same_as, set_text, shown, texts
 from assize.jobs import hearings as jobs
 from assize.jobs.queries import DESK, DESK_RULES
-from assize.operators import catalog, citations, scans, stalls
+from assize.operators import catalog, citations, hearings, scans, stalls
 from assize.operators.adjudicate import adjudicate
 from assize.operators.hearings import Options, docket, hear, with_step
 from assize.operators.ledger import Judge, Ledger
@@ -81,6 +81,41 @@ def test_ledger_asks_once_and_goes_on(spark, desk, tmp_path):
     assert more.value == 15 and ledger.size() == 30
 
 
+def test_equal_cases_are_heard_as_one(spark, desk, tmp_path, monkeypatch):
+    """Rounds see each data once, and every case gets its results: as from a hearing that takes each case by itself."""
+    texts_of = [None, '{"content": "t1"}', '{"content": "t2", "n": 1}', '{"content": "t2", "n": "1"}', '{"content": 3, "l": [1, "x"]}']
+    rows = cases(spark, [(i, "desk" if i % 7 else None, texts_of[i % 5]) for i in range(70)])
+    judge, asked = counted(spark)
+    want = brief(hear(rows, desk, [judge]))
+    alone, rounds = asked.value, []
+
+    class Seen(hearings.Kept):
+        def __init__(self, df):
+            super().__init__(df)
+            if {"round", "disposition"} <= {*df.columns}:
+                rounds.append(self.read().count())
+
+    monkeypatch.setattr(hearings, "Kept", Seen)
+    got = brief(hear(rows, desk, [judge], ledger=Ledger(spark, (tmp_path / "answers").as_uri())))
+    assert got == want and len(got) == 70
+    # Four data, and the 12 cases with a mixed list, which are equal to none.
+    assert max(rounds) == 16 and asked.value - alone < alone
+
+
+def test_equal_data(spark):
+    """Equal are data of equal names, types and values; what can't be told for certain is equal to nothing."""
+    made = ['{"a": 1}', '{"a": "1"}', '{"a": 1.0}', '{"a": null}', '{"a": "null"}', "{}", '{"a": true}', '{"a": "true"}', '{"a": "1", "b": "2"}', '{"a": "1\\", \\"b\\": \\"2"}', '{"a": [1, 2]}', '{"a": "[1,2]"}', '{"a": {"b": 1}}']
+    mixed = ['{"a": [1, "x"]}', '{"a": [1, 1.5]}', '{"a": {"b": [true, {}]}}']
+    rows = spark.createDataFrame([(i, j) for i, j in enumerate((made + mixed) * 2)], "i int, j string")
+    key = lambda p: same_as(case_data(F.parse_json("j")), F.lit(p), F.col("i"))
+    got = [r.k for r in rows.select("i", key("p").alias("k")).orderBy("i").collect()]
+    n = len(made)
+    assert got[:n] == got[n + 3 : 2 * n + 3] and len({*got}) == n + 6
+    assert not {*got} & {r.k for r in rows.select(key("q").alias("k")).collect()}
+    days = spark.sql("select 1 i, map('a', cast(date'2020-01-01' as variant)) d union all select 1, map('a', cast('2020-01-01' as variant)) union all select 1, map('a', cast(null as variant)) union all select 1, map('a', parse_json('null'))")
+    assert len({r.k for r in days.select(same_as(F.col("d"), F.lit("p"), F.col("i")).alias("k")).collect()}) == 4
+
+
 def test_ledger_keeps_finished_tasks(spark, tmp_path):
     """Answers of tasks that finished stay when the job fails."""
     ledger = Ledger(spark, (tmp_path / "answers").as_uri())
